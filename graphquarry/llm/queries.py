@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, lm, media, neardup, quality
+from . import chat, fingerprint, language, licenses, lm, media, mixing, neardup, packing, quality
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    best, names = F.get("matches", 0), F.array_sort(F.array_distinct("matches.license"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        best["license"].alias("license"),
+        F.round(best["dice"], 6).alias("dice"),
+        best["piece"].alias("piece"),
+        best["position"].alias("position"),
+        F.size(names).alias("n_licenses"),
+        F.array_join(names, ",").alias("licenses"),
+    )
+
+
+ORACLES["op1_license_scan"] = licenses.oracle_sql()
+
+
 @query
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
@@ -29,17 +48,38 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix_domain", "lang", "source", "mix_epoch")
+
+
+ORACLES["op4_mixing"] = mixing.oracle_sql()
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_columns(table(spark, sf_dir, "documents"), keep_media=False)
     return out.withColumn("n_pairs", F.size("pairs").cast("long")).drop("times", "pairs")
 
 
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op8_chat_format"] = chat.ORACLE
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.language_id(table(spark, sf_dir, "documents"))
