@@ -6,8 +6,10 @@ is a Poisson process with its weight as rate whose arrivals fall on random regis
 arrival's shingle, and a text stops once no arrival can come first any more.  Two registers are then equal
 with the probability Jaccard similarity.  Texts equal in all registers of a band share a bucket.
 
-Within a bucket a pivot is compared with all others; while a bucket holds more than one class, more and more
-of its members become pivots, up to all of them, so no pair of a bucket is left out but those already in one class.
+Within a bucket one pivot is compared with all others.  Buckets that then still hold more than one class are gone
+through pair by pair, in tiles of bounded size: a pair of different classes whose registers can reach the threshold
+(by 4.5 standard deviations) is compared too, and a link found joins the two classes for the rest of the tile.  So
+only pairs already in one class are left out, and no list of a bucket's pairs is ever made.
 A pair is a link if the Jaccard similarity of its distinct shingles, computed in full, is at least the threshold.
 Classes are the connected components of the links; the class id is its least document id.
 
@@ -131,17 +133,25 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, items): the sorted distinct shingles of (id, text), as binary."""
+    """(id, items, marks) of (id, text): the sorted distinct shingles, and a byte of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHasher()
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
-                d, s, _ = shingles(*words(data, offsets), part.num_rows)
+                d, s, times = shingles(*words(data, offsets), part.num_rows)
+                marks = (prob_minhash(d, s, 1 + np.log(times), part.num_rows) & np.uint64(255)).astype(np.uint8)
                 ends = np.searchsorted(d, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "items": pa.array([s[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {"id": part.column("id"), "items": pa.array([s[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "marks": pa.array([m.tobytes() for m in marks], pa.binary())}
+                )
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, items binary, marks binary")
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, items binary")
+
+def likely(n: int, threshold: float, registers: int = REGISTERS) -> bool:
+    """Whether texts whose marks agree in n registers can reach the threshold, but for 4.5 standard deviations."""
+    return (n / registers - 1 / 256) / (1 - 1 / 256) >= threshold - 4.5 * (threshold * (1 - threshold) / registers) ** 0.5
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -155,6 +165,54 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def tiled_links(members: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
+    """(a, b): links that join the classes of each bucket of (bucket, rep, label, n, items, marks).
+
+    A bucket of more than `tile` members is cut into tiles; each step sees two tiles.
+    """
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    dealt = members.withColumn("tile", F.pmod(F.hash("rep"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "label", "items", "marks")
+    keys = ("bucket", "lo", "hi")
+    least = next((n for n in range(REGISTERS + 1) if likely(n, threshold)), REGISTERS)
+    id_type = members.schema["rep"].dataType.simpleString()
+
+    def links(t: pa.RecordBatch) -> pa.RecordBatch:
+        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(t.num_rows, REGISTERS)
+        own, items = t.column("tile").to_numpy(), t.column("items")
+        one_tile = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        label = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        i, j = [], []
+        for k in range(t.num_rows - 1):
+            ok = label[k + 1 :] != label[k]
+            if not one_tile:
+                ok &= own[k + 1 :] != own[k]
+            if not ok.any():
+                continue
+            ok &= (marks[k + 1 :] == marks[k]).sum(axis=1) >= least
+            for at in np.flatnonzero(ok) + k + 1:
+                if label[at] != label[k] and similarity(items[k].as_buffer(), items[int(at)].as_buffer()) >= threshold:
+                    label[label == label[at]] = label[k]
+                    i.append(k)
+                    j.append(int(at))
+        return pa.RecordBatch.from_pydict({"a": t.column("rep").take(pa.array(i, pa.int64())), "b": t.column("rep").take(pa.array(j, pa.int64()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield links(t.slice(a, b - a).combine_chunks().to_batches()[0])
+            held = t.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield links(held.combine_chunks().to_batches()[0])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, f"a {id_type}, b {id_type}")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity is at least the threshold, with it."""
     id_type = pairs.schema["a"].dataType.simpleString()
@@ -178,33 +236,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.abs(F.xxhash64("rep", F.lit(5)) % F.lit(1 << 40)) / float(1 << 40)
     spread = copies.select("rep", F.explode("bands").alias("bucket")).distinct()
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("u"), F.col("rep"))).alias("pivot")).filter("n > 1")
-    members = cut(spread.join(sizes, "bucket").select("bucket", "rep", order.alias("u"), "n", F.col("pivot.rep").alias("pivot")))
+    members = cut(spread.join(sizes, "bucket").select("bucket", "rep", "n", F.col("pivot.rep").alias("pivot")))
     candidates = cut(members.select(F.col("rep").alias("id")).distinct())
     texts = source.join(broadcast_within(candidates, broadcast_ids), "id", "left_semi").dropDuplicates(["id"])
     sets = cut(shingle_sets(texts))
 
-    def ordered(p: str, q: str) -> list:
-        return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
-
-    compared = cut(members.filter("rep <> pivot").select(*ordered("rep", "pivot")).distinct())
-    links = cut(verified(compared, sets, threshold))
-    pivots = 1
-    while True:
-        classes = connected_components(links, "a", "b")
-        labelled = members.join(classes, members.rep == classes.node, "left").select("bucket", "rep", "u", "n", F.coalesce("component", "rep").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
-        open_ = cut(labelled.join(mixed, "bucket").filter(F.lit(pivots) < F.col("n")))
-        if not open_.limit(1).count():
-            break
-        low, pivots = pivots, pivots * 8
-        chosen = open_.filter((F.col("u") < F.lit(pivots) / F.col("n")) & ((F.col("u") >= F.lit(low) / F.col("n")) | (F.lit(low) == 1)))
-        p, q = chosen.select("bucket", F.col("rep").alias("p"), F.col("u").alias("pu"), F.col("label").alias("pl")), open_.select("bucket", F.col("rep").alias("q"), F.col("u").alias("qu"), F.col("label").alias("ql"))
-        new = p.join(q, "bucket").filter((F.col("pl") != F.col("ql")) & (F.col("pu") < F.col("qu"))).select(*ordered("p", "q")).distinct().join(compared, ["a", "b"], "left_anti")
-        new = cut(new)
-        compared = compared.union(new)
-        found = cut(verified(new, sets, threshold))
-        if found.limit(1).count():
-            links = links.union(found)
+    stars = members.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    links = cut(verified(stars, sets, threshold)).select("a", "b")
+    classes = connected_components(links, "a", "b")
+    labelled = members.join(classes, members.rep == classes.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
+    open_ = labelled.join(mixed, "bucket").join(sets.withColumnRenamed("id", "rep"), "rep")
+    more = cut(tiled_links(open_, threshold).distinct())
+    if more.limit(1).count():
+        classes = connected_components(links.union(more), "a", "b")
     members_of = copies.select("k1", "k2", "rep").join(classes, copies.rep == classes.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     out = rows.select("id", "k1", "k2").join(members_of, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id")
     alone = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(out.schema["class_id"].dataType).alias("class_id"))
