@@ -33,9 +33,14 @@ def count_in(text: Column, parts) -> Column:
 
 
 def dedupe_by(items: Column, key) -> Column:
-    """items without those whose key an earlier one has."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == (i + 1).cast("bigint"))
+    """items without those whose key an earlier one has; items is evaluated once."""
+    none = F.struct(strings([]).alias("seen"), strings([]).alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        more = F.struct(F.concat(acc["seen"], F.array(key(x))).alias("seen"), F.concat(acc["out"], F.array(x)).alias("out"))
+        return F.when(F.array_contains(acc["seen"], key(x)), acc).otherwise(more)
+
+    return F.aggregate(items, none, add, lambda acc: acc["out"])
 
 
 def text_tokens(text: Column) -> Column:
@@ -83,10 +88,9 @@ def tag_confidence(names: Column) -> Column:
     return F.least(F.lit(1.0), F.size(names) / 5.0)
 
 
-def suggested_tags(text: Column, similar: Column, most: int = 5) -> Column:
-    """Three entities, the topic, and similar existing tags, each once whatever its case."""
-    names = entities(text)
-    every = F.concat(F.slice(names, 1, 3), F.array(F.concat(F.lit("topic:"), topic(text, names))), F.slice(similar, 1, 2))
+def suggested_tags(names: Column, subject: Column, similar: Column, most: int = 5) -> Column:
+    """Three entities, the topic, and two similar existing tags, each once whatever its case."""
+    every = F.concat(F.slice(names, 1, 3), F.array(F.concat(F.lit("topic:"), subject)), F.slice(similar, 1, 2))
     return F.slice(dedupe_by(every, F.lower), 1, most)
 
 
@@ -95,7 +99,7 @@ def code_references(text: Column) -> Column:
     ticked = F.regexp_extract_all(text, F.lit(r"`([a-zA-Z_][a-zA-Z0-9_./]*)`"), F.lit(1))
     files = F.regexp_extract_all(text, F.lit(r"(?:^|[\s(])((?:\.?\.?/)?[a-zA-Z0-9_\-/]+\.[a-zA-Z]{1,4})(?::\d+)?(?:[\s),]|$)"), F.lit(1))
     named = F.regexp_extract_all(text, F.lit(r"(?i)\b([a-z][a-z0-9_]{2,})\s+(?:function|method|class|implementation)\b"), F.lit(1))
-    return F.filter(F.array_distinct(F.transform(F.concat(ticked, files, named), F.trim)), lambda r: r != "")
+    return F.filter(F.array_distinct(F.transform(F.concat(ticked, files, named), lambda r: F.trim(r))), lambda r: r != "")
 
 
 def query_class(query: Column) -> Column:
@@ -159,7 +163,7 @@ def chain_ends(query: Column) -> tuple[Column, Column]:
 
 def safe_expansions(terms: Column) -> Column:
     """Expansion terms that are no identifiers."""
-    trimmed = F.transform(terms, F.trim)
+    trimmed = F.transform(terms, lambda t: F.trim(t))
     starts = lambda t: reduce(lambda a, b: a | b, [F.lower(t).startswith(s) for s in words.IDENTIFIER_STARTS])
     return F.filter(trimmed, lambda t: (t != "") & ~t.rlike("[a-z0-9][A-Z]") & ~t.contains("_") & ~t.rlike("[./()@]") & ~starts(t))
 
