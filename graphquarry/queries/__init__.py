@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from . import registry
-from . import claims, graph, retrieval, text  # noqa: F401  they register themselves
+from . import analytics, claims, graph, retrieval, text, versions  # noqa: F401  they register themselves
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
