@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, text_buffer
+from .common import blocks, crc_mod
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
@@ -154,33 +154,38 @@ def window_scores(net: ByteCNN, tables: tuple[np.ndarray, np.ndarray], data: np.
     return total / np.maximum(1, sizes)[:, None]
 
 
-def identify(docs: DataFrame, net: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns `keep`, lang_pred and score, a row a document; no shuffle."""
-    names = dict.fromkeys((id_col, *keep))
-    source = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], F.col(text_col).cast("string").alias("in_text"))
-    schema = ", ".join(f"`{c}` {source.schema[f'in_{i}'].dataType.simpleString()}" for i, c in enumerate(names)) + ", lang_pred string, score double"
+def identify(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score; only texts go to Python, and there is no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = sent.value
         tables = net.tables() if net else None
-        for batch in batches:
-            for part, data, offsets in blocks(batch, "in_text"):
-                letters = pc.fill_null(pc.match_substring_regex(part.column("in_text"), r"\pL"), False).to_numpy(zero_copy_only=False)
+        for column in columns:
+            preds, scores = [], []
+            for part, data, offsets in blocks(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
                 n = part.num_rows
                 if net is None:
-                    pred, score = np.full(n, UND, object), np.zeros(n)
-                else:
-                    p = softmax(window_scores(net, tables, data, offsets))
-                    best = p.argmax(axis=1)
-                    pred = np.where(letters, np.array(net.labels, object)[best], UND)
-                    score = np.where(letters, p[np.arange(n), best], 0.0)
-                out = {c: part.column(f"in_{i}") for i, c in enumerate(names)}
-                yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
-
-    return source.mapInArrow(run, schema)
-
-
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Train on a bounded sample of docs (per_label texts of each label, ids with crc32 mod 5 <> 0) and label all of docs."""
-    return identify(docs, train(*sample(docs, per_label, id_col, text_col, lang_col)), id_col, text_col, keep)
+                    preds += [UND] * n
+                    scores.append(np.zeros(n))
+                    continue
+                letters = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\pL"), False).to_numpy(zero_copy_only=False)
+                p = softmax(window_scores(net, tables, data, offsets))
+                best = p.argmax(axis=1)
+                preds += np.where(letters, np.array(net.labels, object)[best], UND).tolist()
+                scores.append(np.where(letters, p[np.arange(n), best], 0.0))
+            yield pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], ["lang", "score"])
+            pa.default_memory_pool().release_unused()
+
+    found = F.col("language_found")
+    out = docs.withColumn("language_found", label(F.col(text_col).cast("string")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], found["lang"].alias(pred), found["score"].alias(score))
+
+
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, keep: tuple[str, ...] = (), pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """id_col, the columns `keep`, pred and score of all of docs, after training on a bounded sample of them
+    (per_label texts of each label, ids with crc32 mod 5 <> 0)."""
+    net = train(*sample(docs, per_label, id_col, text_col, lang_col))
+    wide = identify(docs.select(*dict.fromkeys((id_col, *keep, text_col))), net, text_col, pred, score)
+    return wide.select(*dict.fromkeys((id_col, *keep)), pred, score)

@@ -99,30 +99,32 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text
     return texts, out
 
 
-def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns `keep` and score, a row a document; no shuffle."""
-    names = dict.fromkeys((id_col, *keep))
-    source = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], F.col(text_col).cast("string").alias("in_text"))
-    schema = ", ".join(f"`{c}` {source.schema[f'in_{i}'].dataType.simpleString()}" for i, c in enumerate(names)) + ", score double"
+def score(docs: DataFrame, model: Model | float, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the quality score; only texts go to Python, and there is no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def rate(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         if not isinstance(m, float):
             good, bad = compressor(m.good, m.trained[0]), compressor(m.bad, m.trained[1])
-        for batch in batches:
-            for part, data, offsets in blocks(batch, "in_text"):
-                if not isinstance(m, float):
-                    x = np.array([gain(data[a:b].tobytes(), good, bad) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                    p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30)))
-                else:
-                    p = np.full(part.num_rows, m)
-                out = {c: part.column(f"in_{i}") for i, c in enumerate(names)}
-                yield pa.RecordBatch.from_pydict(out | {"score": pa.array(p, pa.float64())})
-
-    return source.mapInArrow(run, schema)
-
-
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Learn from a bounded sample of labels (per_class ids of each class, crc32 mod 5 <> 0) and score all of docs."""
-    return score(docs, fit(*sample(docs, labels, per_class, id_col, text_col, label_col)), id_col, text_col, keep)
+        for column in columns:
+            scores = [np.zeros(0)]
+            for part, data, offsets in blocks(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
+                if isinstance(m, float):
+                    scores.append(np.full(part.num_rows, m))
+                    continue
+                x = np.array([gain(data[a:b].tobytes(), good, bad) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                scores.append(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))))
+            yield pa.array(np.concatenate(scores), pa.float64())
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], rate(F.col(text_col).cast("string")).alias(name))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """id_col, the columns `keep` and the score of all of docs, after learning from a bounded sample of labels
+    (per_class ids of each class, crc32 mod 5 <> 0)."""
+    model = fit(*sample(docs, labels, per_class, id_col, text_col, label_col))
+    wide = score(docs.select(*dict.fromkeys((id_col, *keep, text_col))), model, text_col, name)
+    return wide.select(*dict.fromkeys((id_col, *keep)), name)
