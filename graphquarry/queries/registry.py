@@ -59,7 +59,7 @@ UNION ALL SELECT 'method_' || c_custkey, 'method_' || (c_custkey % 10) FROM cust
 UNION ALL SELECT 'method_' || ((c_custkey * 7 + 3) % 1000), 'method_' || c_custkey FROM customer WHERE c_custkey % 40 = 0
 UNION ALL SELECT 'method_' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'print' ELSE '<operator>.add' END FROM customer WHERE c_custkey % 20 = 1
 UNION ALL SELECT 'method_' || c_custkey, 'method_' || c_custkey FROM customer WHERE c_custkey % 60 = 2""",
-    "methods": """SELECT 'method_' || c_custkey AS name, 'src/' || lower(c_mktsegment) || '.c' AS filename, CAST(c_custkey % 300 AS INT) AS line, CAST(c_custkey % 300 + c_acctbal / 100 AS INT) AS line_end FROM customer""",
+    "methods": """SELECT 'method_' || c_custkey AS name, 'src/' || lower(c_mktsegment) || '.c' AS filename, CAST(c_custkey % 300 AS INT) AS line, CAST(c_custkey % 300 + floor(c_acctbal / 100) AS INT) AS line_end FROM customer""",
 }
 
 

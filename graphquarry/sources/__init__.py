@@ -1,0 +1 @@
+"""Sources and sinks: files, conversations, code-property graphs, the graph store."""
