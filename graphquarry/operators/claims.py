@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.materialise import broadcast_blocks
 
 
 def date_key(s: Column) -> Column:
@@ -98,10 +101,11 @@ def provenance(relations: DataFrame) -> DataFrame:
 def answer_entities(answers: DataFrame, names: DataFrame, grounded: DataFrame) -> DataFrame:
     """(answer_id, name, verdict): names that an answer has, grounded if they are an end of a grounded edge, else absent.
 
-    A substring has no equi-join: the names, a checked small list, go to the answers.
+    A substring has no equi-join: the names go to the answers in parts of a checked size.
     """
     ends = grounded.select(F.lower("s").alias("k")).union(grounded.select(F.lower("o"))).distinct().withColumn("g", F.lit(True))
-    hits = answers.join(F.broadcast(names.select("name").distinct()), F.contains(F.lower("text"), F.lower("name"))).select("answer_id", "name")
+    has = F.contains(F.lower("text"), F.lower("name"))
+    hits = reduce(DataFrame.unionByName, [answers.join(p, has).select("answer_id", "name") for p in broadcast_blocks(names.select("name").distinct())])
     return hits.join(ends, F.lower("name") == F.col("k"), "left").select("answer_id", "name", F.when(F.col("g"), "grounded").otherwise("absent").alias("verdict"))
 
 

@@ -224,7 +224,8 @@ def explained_paths(pairs: DataFrame, seeds: DataFrame, titles: DataFrame, k: in
         return pd.DataFrame(rows, columns=["query_id", "rank", "path", "score", "narrative"])
 
     a, b = (titles.select(F.col("node").alias(c), F.col("title").alias(f"{c}_title")) for c in ("a", "b"))
-    named = pairs.join(a, "a").join(b, "b")
+    named = pairs.join(a, "a").join(b, "b").select(*[F.col(c).alias(c) for c in ("query_id", "a", "b", "weight", "score", "label", "a_title", "b_title")])
+    seeds = seeds.select(F.col("query_id").alias("query_id"), F.col("node").alias("node"))
     return named.groupBy("query_id").cogroup(seeds.groupBy("query_id")).applyInPandas(solve, "query_id bigint, rank int, path array<string>, score double, narrative string")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions import words
+from ..plans.materialise import broadcast_blocks
 
 
 def reference_edges(symbols: DataFrame) -> DataFrame:
@@ -92,15 +95,15 @@ def conversation_links(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, ref, target, rule): references of conversations to the nodes they name, by the first rule that holds:
     path (in the path), name (is or is in the file name), content (a whole word of the content).
 
-    references: (conv_id, ref), a checked small batch; nodes: (node_id, path, content).  A substring condition has no
-    equi-join, so the references are sent to the nodes, which are read once.
+    references: (conv_id, ref); nodes: (node_id, path, content).  A substring condition has no equi-join, so the distinct
+    references go to the nodes in parts of a checked size.
     """
     low, path = F.lower("ref"), F.lower("path")
     name = F.element_at(F.split(path, "/"), -1)
     quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.col("ref"), F.lit(r"\E($|[^\p{L}\p{N}_])"))
     rule = F.when(F.contains(path, low), "path").when((name == low) | F.contains(name, low), "name").when(F.contains("content", F.col("ref")) & F.regexp_like("content", quoted), "content")
-    distinct = F.broadcast(references.select("ref").distinct())
-    hits = nodes.join(distinct, rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule"))
+    parts = broadcast_blocks(references.select("ref").distinct())
+    hits = reduce(DataFrame.unionByName, [nodes.join(p, rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule")) for p in parts])
     return references.join(hits, "ref").select(F.col("conv_id").alias("source"), "ref", "target", "rule")
 
 
@@ -116,7 +119,7 @@ def endpoint_match(ends: DataFrame, nodes: DataFrame, entities: DataFrame) -> Da
     low = F.lower("name")
     exact = ends.join(entities.select(F.lower("entity").alias("k"), "node_id"), low == F.col("k")).select("name", "node_id", F.lit(4).alias("w"))
     w = F.when(F.contains(F.lower("path"), low), 3).when(F.contains(F.lower("title"), low), 2).when(F.contains(F.lower("content"), low), 1)
-    loose = nodes.join(F.broadcast(ends.select("name").distinct()), w.isNotNull()).select("name", "node_id", w.alias("w"))
+    loose = reduce(DataFrame.unionByName, [nodes.join(p, w.isNotNull()).select("name", "node_id", w.alias("w")) for p in broadcast_blocks(ends.select("name").distinct())])
     rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("w"), "node_id"))
     how = F.element_at(T.strings(["content", "title", "path", "entity"]), F.col("w"))
     return exact.unionByName(loose).withColumn("r", rank).filter("r = 1").select("name", "node_id", how.alias("how"))

@@ -17,22 +17,20 @@ SMALL = 200_000
 
 
 def adjacency(edges: DataFrame, how: str = "reference_aware") -> DataFrame:
-    """(src, dst) steps of a traversal.
+    """(src, dst) steps of a traversal, as often as there are edges: frontiers are made distinct, not the edges.
 
     undirected: both ways.  reverse / forward: one way.  reference_aware: directed types forward, other types both
     ways, supersedes and contradicts not at all.
     """
-    forward = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    back = edges.select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    step = lambda df, a, b: df.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     if how == "forward":
-        return forward.distinct()
+        return step(edges, "source", "target")
     if how == "reverse":
-        return back.distinct()
-    if how == "undirected":
-        return forward.union(back).distinct()
-    live = edges.filter(~F.col("type").isin(*schema.UNTRAVERSED_TYPES))
-    both = live.filter(~F.col("type").isin(*schema.DIRECTED_TYPES))
-    return live.select(F.col("source").alias("src"), F.col("target").alias("dst")).union(both.select("target", "source")).distinct()
+        return step(edges, "target", "source")
+    both_ways = F.lit(True) if how == "undirected" else ~F.col("type").isin(*schema.DIRECTED_TYPES)
+    live = edges if how == "undirected" else edges.filter(~F.col("type").isin(*schema.UNTRAVERSED_TYPES))
+    here, back = F.struct(F.col("source").alias("src"), F.col("target").alias("dst")), F.struct(F.col("target").alias("src"), F.col("source").alias("dst"))
+    return live.select(F.inline(F.when(both_ways, F.array(here, back)).otherwise(F.array(here))))
 
 
 def reachable(seeds: DataFrame, steps: DataFrame, hops: int, keys: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:

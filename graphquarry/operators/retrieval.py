@@ -7,12 +7,15 @@ a query in each task before the shuffle).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
+from ..plans.materialise import broadcast_blocks, cut
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,12 +45,13 @@ def rounded(score: Column) -> Column:
 def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = schema.BM25_K1, b: float = schema.BM25_B) -> DataFrame:
     """(query_id, doc_id, score): BM25 over each query's distinct terms.
 
-    Postings are first cut down to the terms that any query has, so document frequencies are counted on those only.
+    Postings are first cut down to the terms that any query has; document frequencies are counted on those only, and
+    the documents are not tokenised again for them.
     """
     corpus = corpus_stats(stats).first()  # two numbers
     n, avgdl = corpus.n_docs, corpus.avgdl or 1.0
     wanted = terms.select("term").distinct()
-    own = posts.join(wanted, "term")
+    own = cut(posts.join(wanted, "term"))
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").select("query_id", "term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     hits = own.join(weights, "term").join(stats, "doc_id")
@@ -69,21 +73,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, doc_id, score): cosine of each query vector with every vector, by brute force.
+def dense_scores(queries: DataFrame, vectors: DataFrame, batch: int = 4000) -> DataFrame:
+    """(query_id, doc_id, score): exact cosine of each query vector with every vector.
 
-    The batch of queries is checked to have at most max_queries rows and sent to every task, where one pass over the
-    vectors serves it; each vector's norm is computed once.  Larger batches are to be cut by the caller.
+    Queries go to every task as batches of a checked size, and one pass over the vectors serves a batch; each vector is
+    scaled once.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors at once")
-    unit = lambda df, vec: F.transform(F.col(vec), lambda x: x.cast("double") / F.sqrt(dot(F.col(vec), F.col(vec))))
-    q = queries.select("query_id", unit(queries, "embedding").alias("qv")).agg(F.collect_list(F.struct("query_id", "qv")).alias("batch"))
-    v = vectors.select("doc_id", unit(vectors, "embedding").alias("dv"))
-    batch = F.broadcast(q)
-    pairs = v.join(batch, F.lit(True)).select("doc_id", "dv", F.explode("batch").alias("q"))
-    return pairs.select(F.col("q.query_id").alias("query_id"), "doc_id", dot(F.col("q.qv"), F.col("dv")).alias("score"))
+    unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    v = vectors.select("doc_id", unit.alias("dv"))
+    parts = broadcast_blocks(queries.select("query_id", unit.alias("qv")), batch)
+    return reduce(DataFrame.unionByName, [v.join(p, F.lit(True)).select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score")) for p in parts])
 
 
 def min_max(scores: DataFrame) -> DataFrame:

@@ -25,3 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast of a materialised table if it has at most max_rows rows; beyond, leave a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def broadcast_blocks(df: DataFrame, max_rows: int = 100_000) -> list[DataFrame]:
+    """df in hash-dealt parts of about max_rows / 2 rows, each to be broadcast.
+
+    For joins without an equal key (substrings, patterns), where the other side is read once for each part.
+    """
+    df = cut(df)
+    k = max(1, -(-2 * df.count() // max_rows))
+    if k == 1:
+        return [F.broadcast(df)]
+    return [F.broadcast(df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(k)) == i)) for i in range(k)]

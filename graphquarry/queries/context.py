@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .. import schema
 from ..operators import context as C
 from ..operators import retrieval as R
 from ..plans import query as Q
-from ..plans.materialise import cut
+from ..plans.materialise import broadcast_blocks, cut
 from .registry import query, sql, table
 from .retrieval import _BM25, _TOP
 
@@ -138,8 +140,9 @@ _QUOTED = "SELECT doc_id AS answer_id, 'As stated, \"' || substr(text, 3, 30) ||
 SELECT answer_id, quote, count(*) AS n FROM x JOIN documents d ON contains(d.text, quote) GROUP BY answer_id, quote"""
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted spans found in documents; the quotes of a batch are sent to the documents."""
+    """Quoted spans found in documents; the quotes go to the documents in parts of a checked size."""
     quotes = sql(spark, sf_dir, _QUOTED).select("answer_id", F.explode(F.regexp_extract_all("response", F.lit('"([^"]{20,})"'), F.lit(1))).alias("quote"))
     docs = table(spark, sf_dir, "documents").select("text")
-    found = docs.join(F.broadcast(quotes.select("quote").distinct()), F.contains("text", "quote")).groupBy("quote").agg(F.count(F.lit(1)).alias("n"))
+    hits = [docs.join(p, F.contains("text", "quote")).select("quote") for p in broadcast_blocks(quotes.select("quote").distinct())]
+    found = reduce(DataFrame.union, hits).groupBy("quote").agg(F.count(F.lit(1)).alias("n"))
     return quotes.join(found, "quote").select("answer_id", "quote", "n")
