@@ -43,10 +43,14 @@ def dedupe_by(items: Column, key) -> Column:
     return F.aggregate(items, none, add, lambda acc: acc["out"])
 
 
+def long_words(text: Column) -> Column:
+    """Lower-cased words of at least two characters, stop words among them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def text_tokens(text: Column) -> Column:
     """Lower-cased words of at least two characters that are no stop words (all occurrences)."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(words.STOP_WORDS))
+    return F.filter(long_words(text), lambda w: ~w.isin(words.STOP_WORDS))
 
 
 def code_tokens(code: Column) -> Column:
@@ -252,8 +256,9 @@ def markdown(text: Column) -> Column:
     """Line ends as LF, lines right-trimmed, at most two blank lines in a row, and a blank line after a heading."""
     s = F.regexp_replace(text, r"\r\n?", "\n")
     s = F.regexp_replace(s, r"(?m)[ \t\f\x0B]+$", "")
-    s = F.regexp_replace(s, r"^(\n\n)\n+", "$1")
-    s = F.regexp_replace(s, r"(\n\n\n)\n+", "$1")
+    # n line ends between texts leave n - 1 blank lines, before the first or after the last text n, without any text n + 1.
+    for pattern, to in ((r"^\n+\z", "\n"), (r"^\n{3,}(?=[^\n])", "\n\n"), (r"(?<=[^\n])\n{3,}\z", "\n\n"), (r"\n{4,}", "\n\n\n")):
+        s = F.regexp_replace(s, pattern, to)
     return F.regexp_replace(s, r"(?m)^(#[^\n]*)\n(?=[^\n])", "$1\n\n")
 
 

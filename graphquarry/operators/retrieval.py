@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
+from ..functions import words
 from ..plans.materialise import broadcast_blocks, cut
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, term, tf): how often each document has each term."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.text_tokens(F.col(text_col))).alias("term"))
+    """(doc_id, term, tf): how often each document has each term.  Stop words go after the explode, in compiled code."""
+    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.long_words(F.col(text_col))).alias("term")).filter(~F.col("term").isin(words.STOP_WORDS))
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -48,6 +49,7 @@ def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = schem
     Postings are first cut down to the terms that any query has; document frequencies are counted on those only, and
     the documents are not tokenised again for them.
     """
+    stats = cut(stats)  # narrow: documents are tokenised for their lengths once
     corpus = corpus_stats(stats).first()  # two numbers
     n, avgdl = corpus.n_docs, corpus.avgdl or 1.0
     wanted = terms.select("term").distinct()
