@@ -25,6 +25,8 @@ from .common import blocks, crc_mod
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
 UND = "und"
+#: The most characters of text that a sample holds.
+SAMPLE_CHARS = 64 << 20
 
 
 @dataclass
@@ -118,8 +120,11 @@ def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int((1 << 30) * min(1.0, 2 * per_label / n + 0.001)))])
     chosen = known.filter(h < share[F.col(lang_col)]).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), h.alias("h")).orderBy("h", "t").limit(2 * per_label * len(counts) + 1000)
-    texts, langs, seen = [], [], dict.fromkeys(counts, 0)
+    texts, langs, seen, held = [], [], dict.fromkeys(counts, 0), 0
     for r in chosen.toLocalIterator():
+        held += len(r.t)
+        if held > SAMPLE_CHARS:
+            break
         if seen[r.l] < per_label:
             seen[r.l] += 1
             texts.append(r.t)

@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are built from a bounded, hash-chosen sample of labelled texts.  A whole text is cut into
 chunks, each compressed with both; the difference of the total sizes by the text's size is the only feature, and
-a logistic curve, fitted on other labelled texts, turns it into the score.
+a logistic curve, fitted on other labelled texts and shifted from the sample's share of each class to that of all
+labels, turns it into the score.
 
 A null or empty text has the feature 0, and so the score of the curve there.  Without labels of both classes the
 score is the share of label 1 (0.5 without labels).  Repeated rows get equal scores; an empty table gives an empty table.
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, crc_mod
 
-CHUNK, LEVEL, DICT_BYTES = 2048, 3, 64 << 10
+CHUNK, LEVEL, DICT_BYTES = 256, 3, 110 << 10
 CUT = 0.3
+#: The most bytes of text that a sample holds.
+SAMPLE_BYTES = 64 << 20
 
 
 @dataclass
@@ -74,8 +77,8 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / dev), float(w[1] - w[0] * mean / dev)
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model | float:
-    """Even rows of each class build the dictionaries, odd ones fit the curve."""
+def fit(texts: list[bytes], labels: list[int], prior: float | None = None) -> Model | float:
+    """Even rows of each class build the dictionaries, odd ones fit the curve; prior: the share of label 1 in all labels."""
     of = {k: [t for t, v in zip(texts, labels, strict=True) if v == k] for k in (0, 1)}
     if len(of[0]) < 2 or len(of[1]) < 2:
         return float(len(of[1]) / len(labels)) if labels else 0.5
@@ -83,20 +86,28 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | float:
     g, b = compressor(*good), compressor(*bad)
     x = np.array([gain(t, g, b) for k in (0, 1) for t in of[k][1::2]])
     y = np.array([k for k in (0, 1) for _ in of[k][1::2]], float)
-    return Model(good[0], bad[0], (good[1], bad[1]), *calibrate(x, y))
+    slope, offset = calibrate(x, y)
+    if prior is not None and 0 < prior < 1:
+        offset += float(np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean())))
+    return Model(good[0], bad[0], (good[1], bad[1]), slope, offset)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[bytes], list[int]]:
-    """At most per_class labelled ids of each class, by the order of a hash; then their texts.  Only ids are sorted."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[bytes], list[int], float | None]:
+    """At most per_class labelled ids of each class, by the order of a hash; then their texts, and the share of label 1 in
+    all labels.  Only ids are sorted."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     h = F.xxhash64(F.col(id_col), F.lit(13))
     ids = known.filter("label = 0").orderBy(h, id_col).limit(per_class).unionByName(known.filter("label = 1").orderBy(h, id_col).limit(per_class))
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(17)), "text").toLocalIterator()
-    texts, out = [], []
+    texts, out, held = [], [], 0
     for r in rows:
-        texts.append((r.text or "").encode())
+        raw = (r.text or "").encode()
+        held += len(raw)
+        if held > SAMPLE_BYTES:
+            break
+        texts.append(raw)
         out.append(r.label)
-    return texts, out
+    return texts, out, known.agg(F.avg("label")).first()[0]
 
 
 def score(docs: DataFrame, model: Model | float, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -122,7 +133,7 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", name: s
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns], rate(F.col(text_col).cast("string")).alias(name))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """id_col, the columns `keep` and the score of all of docs, after learning from a bounded sample of labels
     (per_class ids of each class, crc32 mod 5 <> 0)."""
     model = fit(*sample(docs, labels, per_class, id_col, text_col, label_col))
