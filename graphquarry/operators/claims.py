@@ -17,18 +17,32 @@ def date_key(s: Column) -> Column:
     return F.coalesce(F.when(F.try_to_timestamp(s).isNotNull(), s), F.lit(""))
 
 
-def _by_key() -> W:
-    return W.partitionBy(F.lower("entity"), F.lower("attribute"))
+def with_previous(rows: DataFrame, keys: list[str], bucket: str, order: list[str], of: list[str]) -> DataFrame:
+    """rows with `before`: the columns `of` of the previous row of the same keys, null for the first.
+
+    Keys may be hot: rows are ordered inside (keys, bucket) only, and the last row of each bucket is handed to the next one
+    of the key; `bucket` must not fall along `order`.
+    """
+    here = F.struct(*[F.col(c).alias(c) for c in of])
+    inside = W.partitionBy(*keys, bucket).orderBy(*order)
+    lasts = rows.groupBy(*keys, bucket).agg(F.max_by(here, F.struct(*order)).alias("last"))
+    handed = lasts.select(*keys, bucket, F.lag("last").over(W.partitionBy(*keys).orderBy(bucket)).alias("handed"))
+    return rows.join(handed, [*keys, bucket]).withColumn("before", F.coalesce(F.lag(here).over(inside), F.col("handed"))).drop("handed")
+
+
+def _keyed(claims: DataFrame) -> DataFrame:
+    """Claims with their key; a null entity or attribute counts as empty."""
+    part = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    return claims.select("claim_id", "value", F.coalesce("valid_at", F.lit("")).alias("valid_at"), part("entity").alias("e"), part("attribute").alias("a"), date_key(F.col("valid_at")).alias("at"))
 
 
 def temporal_edges(claims: DataFrame) -> DataFrame:
     """(source, target, type): each claim supersedes the one before it of its key if both are dated and it is later,
     and contradicts it if the values differ.  Order: date, then claim_id."""
-    order = _by_key().orderBy(date_key(F.col("valid_at")), "claim_id")
-    pairs = claims.select("claim_id", "value", date_key(F.col("valid_at")).alias("at"), F.lag("claim_id").over(order).alias("before"), F.lag("value").over(order).alias("old"), F.lag(date_key(F.col("valid_at"))).over(order).alias("then"))
-    later = pairs.filter((F.col("then") != "") & (F.col("then") < F.col("at")))
-    kinds = F.when(F.col("value") != F.col("old"), F.array(F.lit("supersedes"), F.lit("contradicts"))).otherwise(F.array(F.lit("supersedes")))
-    return later.select(F.col("claim_id").alias("source"), F.col("before").alias("target"), F.explode(kinds).alias("type"))
+    pairs = with_previous(_keyed(claims), ["e", "a"], "at", ["at", "claim_id"], ["claim_id", "value", "at"])
+    later = pairs.filter((F.col("before.at") != "") & (F.col("before.at") < F.col("at")))
+    kinds = F.when(F.col("value") != F.col("before.value"), F.array(F.lit("supersedes"), F.lit("contradicts"))).otherwise(F.array(F.lit("supersedes")))
+    return later.select(F.col("claim_id").alias("source"), F.col("before.claim_id").alias("target"), F.explode(kinds).alias("type"))
 
 
 def latest(claims: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -39,12 +53,11 @@ def latest(claims: DataFrame, as_of: str | None = None) -> DataFrame:
 
 def stream_edges(claims: DataFrame) -> DataFrame:
     """(source, target, type) in the order of arrival (claim_id), from the earlier claim to the new one."""
-    order = _by_key().orderBy("claim_id")
-    pairs = claims.select("claim_id", "value", "valid_at", F.lag("claim_id").over(order).alias("before"), F.lag("value").over(order).alias("old"), F.lag("valid_at").over(order).alias("then"))
-    new = pairs.filter(F.col("value") != F.col("old"))
-    later = (F.col("then") != "") & (F.col("valid_at") != "") & (F.col("then") < F.col("valid_at"))
+    rows = _keyed(claims).withColumn("bucket", F.floor(F.col("claim_id") / 100_000))
+    new = with_previous(rows, ["e", "a"], "bucket", ["claim_id"], ["claim_id", "value", "valid_at"]).filter(F.col("value") != F.col("before.value"))
+    later = (F.col("before.valid_at") != "") & (F.col("valid_at") != "") & (F.col("before.valid_at") < F.col("valid_at"))
     kinds = F.when(later, F.array(F.lit("CONTRADICTS"), F.lit("SUPERSEDES"))).otherwise(F.array(F.lit("CONTRADICTS")))
-    return new.select(F.col("before").alias("source"), F.col("claim_id").alias("target"), F.explode(kinds).alias("type"))
+    return new.select(F.col("before.claim_id").alias("source"), F.col("claim_id").alias("target"), F.explode(kinds).alias("type"))
 
 
 def _normal(df: DataFrame) -> DataFrame:
