@@ -179,9 +179,6 @@ def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.graphml(spark.createDataFrame(_XML, "ord int, content string"))[1]
 
 
-_FACTS = "SELECT s_suppkey AS id, s_name AS x, 'Company' || s_suppkey AS c, 1990 + s_suppkey % 30 AS y FROM supplier"
-
-
 @query(
     """SELECT 's' || s_suppkey AS doc, CAST(0 AS INT) AS n, 'Company is a maker.' AS unit, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS p, CAST(NULL AS VARCHAR) AS o FROM supplier
 UNION ALL SELECT 's' || s_suppkey, 1, 'Company was founded in ' || (1990 + s_suppkey % 30) || '.', NULL, NULL, NULL FROM supplier UNION ALL SELECT 's' || s_suppkey, 2, 'Company produces the Part' || s_suppkey || '..', NULL, NULL, NULL FROM supplier

@@ -111,6 +111,8 @@ def query(oracle: str | None = None, name: str | None = None):
 
     def add(f):
         key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"two queries are called {key}")
         QUERIES[key] = f
         if oracle is not None:
             ORACLES[key] = with_model(oracle)
