@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.materialise import broadcast_blocks
+from ..plans.materialise import broadcast_blocks, cut
 
 
 def date_key(s: Column) -> Column:
@@ -73,8 +73,8 @@ def evaluate(claims: DataFrame, triples: DataFrame) -> DataFrame:
 def revise(claims: DataFrame, triples: DataFrame) -> DataFrame:
     """(id, s, p, o, part): unsupported claims mended by the first anchor triple that differs in predicate or object only;
     abandoned if another anchor differs in the same part with another value."""
-    known = _normal(triples).select("s", "p", "o").distinct()
-    own = _normal(claims).join(known, ["s", "p", "o"], "left_anti")
+    known = cut(_normal(triples).select("s", "p", "o").distinct())  # read three times below
+    own = cut(_normal(claims).join(known, ["s", "p", "o"], "left_anti"))
     by_object = own.join(known.withColumnRenamed("p", "new"), ["s", "o"]).select("id", "s", F.col("new").alias("p"), "o", F.lit("predicate").alias("part"), F.col("new").alias("value"))
     by_predicate = own.join(known.withColumnRenamed("o", "new"), ["s", "p"]).select("id", "s", "p", F.col("new").alias("o"), F.lit("object").alias("part"), F.col("new").alias("value"))
     anchors = by_object.unionByName(by_predicate)
