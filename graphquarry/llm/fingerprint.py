@@ -1,6 +1,6 @@
 """Document fingerprints: improbable-feature digests of byte windows in chained Bloom filters.
 
-Every 64-byte window of a text has an entropy; the further it lies from that of ordinary prose, the rarer the
+Every 16-byte window of a text has an entropy; the further it lies from that of ordinary prose, the rarer the
 window counts.  Windows that are the rarest of enough of their neighbourhoods become features.  Features, in text
 order, fill Bloom filters of 2048 bits, at most 160 each; the chain of filters is the fingerprint.  Two chains
 are compared by the bit overlap of their filters, normalised so that overlap by chance is 0 and equality is 1.
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import mix, powers
 
-WINDOW, NEIGHBOURS, POPULAR = 64, 64, 16
+WINDOW, NEIGHBOURS, POPULAR = 16, 32, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 #: Entropy of windows of ordinary prose, in thousandths of the most; windows under LEAST are noise.
-TYPICAL, LEAST = 640, 100
+TYPICAL, LEAST = 788, 100
 #: Share of the possible overlap beyond chance that still counts as none.
 SLACK = 0.1
 _LANE = 1024
@@ -74,38 +74,49 @@ def entropy_scores(x: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the selected features of every text of a buffer, in text order, each hash once a text."""
-    n = len(data)
+    """(text, hash) of the selected features of every text of a buffer, in text order, each hash once a text.
+
+    The texts are laid out with gaps, so no neighbourhood of one reaches the next.
+    """
     sizes = np.diff(offsets)
-    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    texts = len(sizes)
+    starts = offsets[:-1] + np.arange(texts) * NEIGHBOURS
+    ends = starts + sizes
+    n = len(data) + texts * NEIGHBOURS
+    place = np.arange(len(data)) + np.repeat(np.arange(texts) * NEIGHBOURS, sizes)
+    spaced = np.zeros(n, np.uint8)
+    spaced[place] = data
+    left = np.zeros(n, np.int64)  # bytes of the text from here on
+    left[place] = np.repeat(ends, sizes) - place
     p = powers(n + 1, _BASE)
     q = powers(n + 1, pow(_BASE, -1, 1 << 64))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
-    scores = entropy_scores(data)
-    if len(scores):
+    np.cumsum((spaced.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    long = np.flatnonzero(sizes >= WINDOW)
+    if len(long):
+        scores = entropy_scores(spaced)
+        where = np.uint64((1 << 40) - 1)
         rank = np.where(scores < LEAST, 2000, 1000 - np.abs(scores - TYPICAL)).astype(np.uint64)
         key = (rank << np.uint64(40)) | np.arange(len(scores), dtype=np.uint64)
-        whole = np.repeat(offsets[1:], sizes)[: len(scores)] - np.arange(len(scores)) >= WINDOW
+        whole = left[: len(scores)] >= WINDOW
         key[~whole] = _NONE
         least = np.concatenate([key, np.full(NEIGHBOURS - 1, _NONE)])
         width = 1
         while width < NEIGHBOURS:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
-        at = (least[: len(key)][whole] & np.uint64((1 << 40) - 1)).astype(np.int64)
-        chosen = np.bincount(at, minlength=len(key)) >= POPULAR
-        long = np.flatnonzero(sizes >= WINDOW)
-        if len(long):  # the rarest window of each text always counts
-            cuts = np.stack([offsets[long], offsets[long] + sizes[long] - WINDOW + 1], 1).reshape(-1)
-            best = np.minimum.reduceat(np.append(key, _NONE), cuts)[::2]
-            chosen[(best & np.uint64((1 << 40) - 1)).astype(np.int64)] = True
+        chosen = np.bincount((least[: len(key)][whole] & where).astype(np.int64), minlength=len(key)) >= POPULAR
+        # the rarest window of each text always counts
+        cuts = np.stack([starts[long], ends[long] - WINDOW + 1], 1).reshape(-1)
+        best = np.minimum.reduceat(np.append(key, _NONE), cuts)[::2]
+        chosen[(best & where).astype(np.int64)] = True
         at = np.flatnonzero(chosen)
-        docs.append(np.searchsorted(offsets, at, side="right") - 1)
+        docs.append(np.searchsorted(starts, at, side="right") - 1)
         hashes.append(mix((sums[at + WINDOW] - sums[at]) * q[at]))
     short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
     docs.append(short)
-    lo, hi = offsets[:-1][short], offsets[1:][short]
+    lo, hi = starts[short], ends[short]
     hashes.append(mix((sums[hi] - sums[lo]) * q[lo] + (hi - lo).astype(np.uint64)))
     doc, h = np.concatenate(docs), np.concatenate(hashes)
     order = np.lexsort((np.arange(len(h)), h, doc))
