@@ -3,8 +3,9 @@
 Counting: every worker counts the words and word pairs of all training texts by 64-bit hashes, and deals its counts
 out in slices of the hash space; each slice is merged by itself.  Model: the level of a count is the whole part of
 its logarithm, plus 1; a gram enters the filter once for each of its levels, and is read back by probing level
-after level until one is missing.  The filter's size is capped, so it can be broadcast: where it would overflow, the
-lowest levels stay out (rare grams then count as unseen), chosen from the histogram of levels over all grams.
+after level until one is missing.  The filter is sized for all its entries, counted from the histograms of levels, and
+grows with the input.  Up to filter_bits it is broadcast; a larger one stays in parts of the hash space: every block of
+texts asks each part for its words and pairs, and the levels found come back to the block.
 Score: log10 of  s * c(h, w) / c(h)  +  (1 - s) * (c(w) + 1) / (N + V + 1), with the counts read from the filter and s
 the share of all pairs that the filter holds, times c(h) / (c(h) + trust), so that rare contexts count little.  The base score takes exact counts: those of the most frequent words
 are broadcast (bounded), all other words go through a join.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, blocks, cut, mix
+from .common import WordHasher, blocks, cut, mix, text_buffer
 
 END, START = np.uint64(0x51ED270B35A9E1C7), np.uint64(0xA0761D6478BD642F)
 BASE = 1.5
@@ -151,15 +152,6 @@ def count_grams(texts: DataFrame, slices: int, most: int = 2_500_000) -> DataFra
     return texts.mapInArrow(count, SLICED).groupBy("slice").applyInArrow(join, schema)
 
 
-def least_level(histogram: np.ndarray, room: int, first: int) -> int:
-    """The lowest level, from `first` on, from which all entries fit the room."""
-    for least in range(first, LEVELS):
-        entries = sum(int(n) * (q - least + 1) for q, n in enumerate(histogram) if q >= least)
-        if entries <= room:
-            return least
-    return LEVELS
-
-
 def place(h: np.ndarray, level: np.ndarray | int, slices: int, per: int) -> tuple[np.ndarray, np.ndarray]:
     """The filter word of a gram at a level, within its slice's words, and the bits it sets there."""
     g = mix(h + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -170,24 +162,102 @@ def place(h: np.ndarray, level: np.ndarray | int, slices: int, per: int) -> tupl
     return (h >> shift).astype(np.int64) * per + ((g >> np.uint64(32)) % np.uint64(per)).astype(np.int64), bits
 
 
-def probe(filter_: np.ndarray, h: np.ndarray, least: int, slices: int) -> np.ndarray:
-    """The counts that the filter has of grams: probe from the least level up to the first that is missing."""
-    found = np.zeros(len(h), np.int64)
+def levels_in(filter_: np.ndarray, h: np.ndarray, least: int, slices: int, per: int, first: int = 0) -> np.ndarray:
+    """The levels that the filter's slices from `first` on have of grams: probe from the least level up to the first that
+    is missing."""
+    found = np.zeros(len(h), np.uint8)
     live = np.arange(len(h))
-    per = len(filter_) // slices
     for level in range(least, LEVELS):
         word, bits = place(h[live], level, slices, per)
-        live = live[(filter_[word] & bits) == bits]
+        live = live[(filter_[word - first * per] & bits) == bits]
         if not len(live):
             break
         found[live] = level
-    return COUNT_OF[found]
+    return found
+
+
+def probe(filter_: np.ndarray, h: np.ndarray, least: int, slices: int) -> np.ndarray:
+    """The counts that the whole filter has of grams."""
+    return COUNT_OF[levels_in(filter_, h, least, slices, len(filter_) // slices)]
+
+
+ASKED = "part int, block long, first int, words binary, pairs binary, filter binary"
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A block of texts as compressed bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    batch = pa.ipc.open_stream(raw).read_next_batch()
+    return batch, *text_buffer(batch.column("text"))
+
+
+def blocked(source: DataFrame) -> DataFrame:
+    """(block, rows): the texts of `source` in blocks, each under the key of its first text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in blocks(batch, "text"):
+                yield pa.RecordBatch.from_pydict({"block": part.column("key").slice(0, 1), "rows": pa.array([packed(part)], pa.binary())})
+
+    return source.mapInArrow(run, "block long, rows binary")
+
+
+def answered(held: DataFrame, filters: DataFrame, slices: int, per: int, least_word: int, least_gram: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """(block, part, words, pairs): for each block of `held` the levels of its distinct words and pairs, in the order of
+    their hashes, from each part of the filter (slice, filter).  A task holds one part of the filter at a time; the
+    parts are 256, or more where they would be over most_bytes."""
+    parts = min(slices, 1 << (max(256, -(-slices * per * 8 // most_bytes)) - 1).bit_length())
+    wide = slices // parts
+    shift = np.uint64(64 - parts.bit_length() + 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, edges = WordHasher(), np.arange(parts + 1, dtype=np.uint64)
+        for batch in batches:
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                _, data, offsets = unpacked(rows.as_py())
+                tokens, _, pairs = stream(words, data, offsets)
+                sent = []
+                for h in (np.unique(tokens), np.unique(pairs)):
+                    cuts = np.searchsorted(h >> shift, edges)
+                    sent.append([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                yield pa.RecordBatch.from_pydict(
+                    {"part": pa.array(range(parts), pa.int32()), "block": pa.array([block] * parts, pa.int64()), "first": pa.nulls(parts, pa.int32()), "words": pa.array(sent[0], pa.binary()), "pairs": pa.array(sent[1], pa.binary()), "filter": pa.nulls(parts, pa.binary())}
+                ).filter(pa.array([bool(a or b) for a, b in zip(*sent, strict=True)]))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, filter_ = -1, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                part, block, first, words, pairs, slice_ = (batch.column(c)[k].as_py() for c in range(6))
+                if part != own:
+                    own, filter_ = part, np.zeros(wide * per, np.uint64)
+                if block is None:
+                    at = (first - own * wide) * per
+                    filter_[at : at + per] = np.frombuffer(slice_, np.uint64)
+                    continue
+                found = (levels_in(filter_, np.frombuffer(h, np.uint64), least, slices, per, own * wide).tobytes() for h, least in ((words, least_word), (pairs, least_gram)))
+                out.append((block, part, *found))
+            if out:
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "part", "words", "pairs"])
+
+    none = F.lit(None).cast("binary")
+    of_filter = filters.select(F.floor(F.col("slice") / wide).cast("int").alias("part"), F.lit(None).cast("long").alias("block"), F.col("slice").alias("first"), none.alias("words"), none.alias("pairs"), "filter")
+    rows = held.mapInArrow(ask, ASKED).unionByName(of_filter)
+    return rows.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, part int, words binary, pairs binary")
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, filter_bits: int = 1 << 28, head_words: int = 1 << 19, trust: float = 32.0) -> DataFrame:
     """id, held_out (learn is not true), n_tokens, n_known, train_tokens, base_score, score; a row a document.
 
-    filter_bits and head_words bound what is broadcast.  slices grow with the partitions that the texts are read in,
+    filter_bits and head_words bound what is broadcast, not what the model holds.  slices grow with the partitions that the texts are read in,
     and with the session's shuffle partitions.
     """
     spark = docs.sparkSession
@@ -204,10 +274,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         by_word += np.array(r.by_word)
         by_gram += np.array(r.by_gram)
         mass += np.array(r.mass)
-    room = filter_bits // _ROOM // 2
-    least_word, least_gram = least_level(by_word, room, 1), least_level(by_gram, room, 2)
+    least_word, least_gram = 1, 2
     entries = sum(int(k) * (q - least + 1) for least, hist in ((least_word, by_word), (least_gram, by_gram)) for q, k in enumerate(hist) if q >= least)
-    per = max(4, -(-min(filter_bits, max(1, entries) * _ROOM) // 64 // slices))
+    per = max(4, -(-max(1, entries) * _ROOM // 64 // slices))
     share = float(mass[least_gram:].sum() / n) if n else 0.0
     share = min(0.95, share)
     head_level = next(q for q in range(1, LEVELS + 1) if by_word[q:].sum() <= head_words)
@@ -223,62 +292,92 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     for level in range(least, int(lv.max(initial=0)) + 1):
                         word, bits = place(h[lv >= level], level, slices, per)
                         np.bitwise_or.at(part, word - r["slice"] * per, bits)
-                head = wq >= head_level
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([r["slice"]], pa.int32()), "filter": [part.tobytes()], "head": [w[head].tobytes()], "head_counts": [c[head].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([r["slice"]], pa.int32()), "filter": [part.tobytes()]})
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                w, c = np.frombuffer(w, np.int64), np.frombuffer(c, np.int64)
+                often = level_of(c) >= head_level
+                yield pa.RecordBatch.from_pydict({"h": [w[often].tobytes()], "c": [c[often].tobytes()]})
 
-    filter_ = np.zeros(slices * per, np.uint64)
     head, head_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in grams.select("slice", "words", "counts", "grams", "levels").mapInArrow(build, "slice int, filter binary, head binary, head_counts binary").toLocalIterator(prefetchPartitions=True):
-        filter_[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["filter"], np.uint64)
-        head.append(np.frombuffer(r["head"], np.uint64))
-        head_counts.append(np.frombuffer(r["head_counts"], np.int64))
+    for r in grams.select("words", "counts").mapInArrow(frequent, "h binary, c binary").toLocalIterator(prefetchPartitions=True):
+        head.append(np.frombuffer(r["h"], np.uint64))
+        head_counts.append(np.frombuffer(r["c"], np.int64))
     h, c = np.concatenate(head), np.concatenate(head_counts)
     order = np.argsort(h)
+    filters = grams.select("slice", "words", "counts", "grams", "levels").mapInArrow(build, "slice int, filter binary")
+    whole = slices * per * 64 <= filter_bits
+    filter_ = np.zeros(slices * per if whole else 0, np.uint64)
+    if whole:
+        for r in filters.toLocalIterator(prefetchPartitions=True):
+            filter_[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["filter"], np.uint64)
     sent = spark.sparkContext.broadcast((filter_, h[order], c[order]))
     scale = float(np.log10(n + v + 1))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rated(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: WordHasher, found: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+        """A block's rows; found: the levels of its distinct words and pairs, where they do not come from the broadcast."""
         filter_, head, head_counts = sent.value
+        k = part.num_rows
+        tokens, doc, pairs = stream(words, data, offsets)
+        types, of = np.unique(tokens, return_inverse=True)
+        grams_, gram_of = np.unique(pairs, return_inverse=True)
+        if found is None:
+            seen, together = probe(filter_, types, least_word, slices), probe(filter_, grams_, least_gram, slices)
+        else:
+            seen, together = (COUNT_OF[x] for x in found)
+        if (len(seen), len(together)) != (len(types), len(grams_)):
+            raise ValueError("a block has not got all its answers")
+        c_hw = together[gram_of]
+        c_w = seen[of]
+        c_h = np.concatenate([[0.0], c_w[:-1]])
+        c_h[np.concatenate([[True], doc[1:] != doc[:-1]])] = n_docs
+        own = share * c_h / (c_h + trust)
+        p = own * np.minimum(1.0, c_hw / np.maximum(np.maximum(c_h, c_hw), 1)) + (1 - own) * (c_w + 1) / (n + v + 1)
+        logs = np.bincount(doc, np.log10(np.minimum(p, 1.0)), k)
+        at = np.minimum(np.searchsorted(head, types), max(0, len(head) - 1))
+        known = head[at] == types if len(head) else np.zeros(len(types), bool)
+        exact = np.where(known, head_counts[at], 0) if len(head) else np.zeros(len(types), np.int64)
+        base = np.bincount(doc, (np.log10(exact + 1.0) - scale)[of], k)  # tail words as if unseen, mended below
+        n_known = np.bincount(doc, known[of], k).astype(np.int64)
+        rest = ~known[of]
+        pair, times = tail(doc[rest], tokens[rest])
+        splits = np.searchsorted(pair[0], np.arange(k + 1))
+        struct = pa.StructArray.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "m"])
+        return pa.RecordBatch.from_pydict(
+            {
+                "key": part.column("key"),
+                "id": part.column("id"),
+                "held_out": part.column("held_out"),
+                "n_tokens": pa.array(np.bincount(doc, minlength=k).astype(np.int64)),
+                "n_known": pa.array(n_known),
+                "base": pa.array(base),
+                "score": pa.array(logs),
+                "tail": pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), struct),
+            }
+        )
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHasher()
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
-                k = part.num_rows
-                tokens, doc, pairs = stream(words, data, offsets)
-                types, of = np.unique(tokens, return_inverse=True)
-                seen = probe(filter_, types, least_word, slices)
-                grams_, gram_of = np.unique(pairs, return_inverse=True)
-                c_hw = probe(filter_, grams_, least_gram, slices)[gram_of]
-                c_w = seen[of]
-                c_h = np.concatenate([[0.0], c_w[:-1]])
-                c_h[np.concatenate([[True], doc[1:] != doc[:-1]])] = n_docs
-                own = share * c_h / (c_h + trust)
-                p = own * np.minimum(1.0, c_hw / np.maximum(np.maximum(c_h, c_hw), 1)) + (1 - own) * (c_w + 1) / (n + v + 1)
-                logs = np.bincount(doc, np.log10(np.minimum(p, 1.0)), k)
-                at = np.minimum(np.searchsorted(head, types), max(0, len(head) - 1))
-                known = head[at] == types if len(head) else np.zeros(len(types), bool)
-                exact = np.where(known, head_counts[at], 0) if len(head) else np.zeros(len(types), np.int64)
-                base = np.bincount(doc, (np.log10(exact + 1.0) - scale)[of], k)  # tail words as if unseen, mended below
-                n_known = np.bincount(doc, known[of], k).astype(np.int64)
-                rest = ~known[of]
-                pair, times = tail(doc[rest], tokens[rest])
-                splits = np.searchsorted(pair[0], np.arange(k + 1))
-                struct = pa.StructArray.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "m"])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": part.column("key"),
-                        "id": part.column("id"),
-                        "held_out": part.column("held_out"),
-                        "n_tokens": pa.array(np.bincount(doc, minlength=k).astype(np.int64)),
-                        "n_known": pa.array(n_known),
-                        "base": pa.array(base),
-                        "score": pa.array(logs),
-                        "tail": pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), struct),
-                    }
-                )
+                yield rated(part, data, offsets, words, None)
+
+    def regain(held: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")
+        found = tuple(np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint8) for x in ("words", "pairs"))
+        return pa.Table.from_batches([rated(*unpacked(held.column("rows")[0].as_py()), WordHasher(), found)])
 
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), text)
-    scored = source.mapInArrow(apply, f"key long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,m:int>>")
+    schema = f"key long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,m:int>>"
+    if whole:
+        scored = source.mapInArrow(apply, schema)
+    else:
+        held = cut(blocked(source))
+        asked = answered(held, filters, slices, per, least_word, least_gram)
+        scored = held.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(regain, schema)
     one = scored.select("key", "id", "held_out", "n_tokens", "n_known", "base", "score", F.posexplode_outer("tail").alias("pos", "t"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
 

@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphquarry.llm import fingerprint, language, licenses, lm, media, mixing, neardup, packing, quality
+from graphquarry.llm.common import crc_mod
 from graphquarry.llm.queries import ORACLES, QUERIES
 
 
@@ -72,6 +74,14 @@ def test_op2_filter_has_the_counts():
     assert (np.abs(want - c) / c).max() < 0.5
 
 
+def test_op2_holds_all_levels_beyond_the_broadcast(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole, parts = ({r.doc_id: r for r in lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2, filter_bits=bits).collect()} for bits in (1 << 28, 1 << 12))
+    assert whole.keys() == parts.keys()
+    for i, r in whole.items():
+        assert parts[i].n_known == r.n_known and parts[i].base_score == pytest.approx(r.base_score, abs=1e-6) and parts[i].score == pytest.approx(r.score, abs=1e-6)
+
+
 def test_op3(spark, sf_dir, documents):
     out = {r.doc_id: r for r in QUERIES["op3_fingerprints"](spark, sf_dir).collect()}
     ids = sorted(documents)
