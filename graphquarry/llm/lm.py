@@ -1,6 +1,6 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting: every worker counts the words and word pairs of all training texts by 64-bit hashes, and deals its counts
+Counting: every worker counts the words and word pairs of all training texts by hashes (64 bits, pairs 48), and deals its counts
 out in slices of the hash space; each slice is merged by itself.  Model: the level of a count is the whole part of
 its logarithm, plus 1; a gram enters the filter once for each of its levels, and is read back by probing level
 after level until one is missing.  The filter is sized for all its entries, counted from the histograms of levels, and
@@ -51,7 +51,7 @@ def merge(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stream(words: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, its text, hash of the pair with the token before) over a block; each text ends with END."""
+    """(token, its text, 48-bit hash of the pair with the token before, in the high bits) over a block; each text ends with END."""
     h, doc = words(data, offsets)
     n = len(offsets) - 1
     ends = np.cumsum(np.bincount(doc, minlength=n))
@@ -60,7 +60,18 @@ def stream(words: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.concatenate([[0], (ends + np.arange(1, n + 1))[:-1]])] = START
-    return tokens, doc, mix(before * np.uint64(0x9FB21C651E98DF25) + tokens)
+    return tokens, doc, mix(before * np.uint64(0x9FB21C651E98DF25) + tokens) & ~np.uint64(0xFFFF)
+
+
+def short(h: np.ndarray) -> bytes:
+    """Hashes of pairs, whose last two bytes are 0, without these."""
+    return np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
 class Tally:
@@ -88,6 +99,7 @@ SLICED = "slice int, pairs boolean, ones binary, more binary, counts binary, doc
 
 def dealt(slices: int, pairs: bool, h: np.ndarray, c: np.ndarray, docs: int) -> Iterator[pa.RecordBatch]:
     """A row for each slice of the sorted hashes; those counted once without their counts."""
+    raw = short if pairs else np.ndarray.tobytes
     shift = np.uint64(64 - slices.bit_length() + 1)
     cuts = np.searchsorted(h >> shift, np.arange(slices + 1, dtype=np.uint64))
     for at in range(0, slices, 64):
@@ -96,7 +108,7 @@ def dealt(slices: int, pairs: bool, h: np.ndarray, c: np.ndarray, docs: int) ->
             hs, cs = h[cuts[s] : cuts[s + 1]], c[cuts[s] : cuts[s + 1]]
             if len(hs) or (s == 0 and docs):
                 one = cs == 1
-                rows.append((s, pairs, hs[one].tobytes(), hs[~one].tobytes(), cs[~one].tobytes(), docs if s == 0 else 0))
+                rows.append((s, pairs, raw(hs[one]), raw(hs[~one]), cs[~one].tobytes(), docs if s == 0 else 0))
         if rows:
             names = ("slice", "pairs", "ones", "more", "counts", "docs")
             types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
@@ -104,8 +116,8 @@ def dealt(slices: int, pairs: bool, h: np.ndarray, c: np.ndarray, docs: int) ->
 
 
 def count_grams(texts: DataFrame, slices: int, most: int = 2_500_000) -> DataFrame:
-    """Counts of all words and pairs, slice by slice: one row a slice, with its words (hash, count), its pairs of
-    count 2 and more (hash, level), and its share of the statistics."""
+    """Counts of all words and pairs, slice by slice: one row a slice, with its words (hash, count), its pairs
+    (hash, level), and its share of the statistics."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, uni, bi, docs = WordHasher(), Tally(), Tally(), 0
@@ -127,17 +139,16 @@ def count_grams(texts: DataFrame, slices: int, most: int = 2_500_000) -> DataFra
         for pairs in (False, True):
             own = t.filter(pa.array(kind == pairs))
             ones, more, counts = (b"".join(own.column(x).to_pylist()) for x in ("ones", "more", "counts"))
-            ones, more = np.frombuffer(ones, np.uint64), np.frombuffer(more, np.uint64)
+            ones, more = (long(x) if pairs else np.frombuffer(x, np.uint64) for x in (ones, more))
             held[pairs] = merge(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), np.frombuffer(counts, np.int64)]))
         (w, wc), (p, pc_) = held[False], held[True]
         levels = level_of(pc_)
-        often = pc_ > 1
         row = {
             "slice": [t.column("slice")[0].as_py()],
             "words": [w.tobytes()],
             "counts": [wc.tobytes()],
-            "grams": [p[often].tobytes()],
-            "levels": [levels[often].astype(np.uint8).tobytes()],
+            "grams": [short(p)],
+            "levels": [levels.astype(np.uint8).tobytes()],
             "tokens": [int(wc.sum())],
             "types": [len(w)],
             "docs": [int(sum(t.column("docs").to_pylist()))],
@@ -187,7 +198,7 @@ ASKED = "part int, block long, first int, words binary, pairs binary, filter bin
 def packed(batch: pa.RecordBatch) -> bytes:
     """A block of texts as compressed bytes."""
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
         writer.write_batch(batch)
     return out.getvalue().to_pybytes()
 
@@ -223,9 +234,9 @@ def answered(held: DataFrame, filters: DataFrame, slices: int, per: int, least_w
                 _, data, offsets = unpacked(rows.as_py())
                 tokens, _, pairs = stream(words, data, offsets)
                 sent = []
-                for h in (np.unique(tokens), np.unique(pairs)):
+                for h, raw in ((np.unique(tokens), np.ndarray.tobytes), (np.unique(pairs), short)):
                     cuts = np.searchsorted(h >> shift, edges)
-                    sent.append([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                    sent.append([raw(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
                 yield pa.RecordBatch.from_pydict(
                     {"part": pa.array(range(parts), pa.int32()), "block": pa.array([block] * parts, pa.int64()), "first": pa.nulls(parts, pa.int32()), "words": pa.array(sent[0], pa.binary()), "pairs": pa.array(sent[1], pa.binary()), "filter": pa.nulls(parts, pa.binary())}
                 ).filter(pa.array([bool(a or b) for a, b in zip(*sent, strict=True)]))
@@ -242,7 +253,7 @@ def answered(held: DataFrame, filters: DataFrame, slices: int, per: int, least_w
                     at = (first - own * wide) * per
                     filter_[at : at + per] = np.frombuffer(slice_, np.uint64)
                     continue
-                found = (levels_in(filter_, np.frombuffer(h, np.uint64), least, slices, per, own * wide).tobytes() for h, least in ((words, least_word), (pairs, least_gram)))
+                found = (levels_in(filter_, h, least, slices, per, own * wide).tobytes() for h, least in ((np.frombuffer(words, np.uint64), least_word), (long(pairs), least_gram)))
                 out.append((block, part, *found))
             if out:
                 types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -274,7 +285,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         by_word += np.array(r.by_word)
         by_gram += np.array(r.by_gram)
         mass += np.array(r.mass)
-    least_word, least_gram = 1, 2
+    least_word, least_gram = 1, 1
     entries = sum(int(k) * (q - least + 1) for least, hist in ((least_word, by_word), (least_gram, by_gram)) for q, k in enumerate(hist) if q >= least)
     per = max(4, -(-max(1, entries) * _ROOM // 64 // slices))
     share = float(mass[least_gram:].sum() / n) if n else 0.0
@@ -286,7 +297,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             for r in batch.to_pylist():
                 part = np.zeros(per, np.uint64)
                 w, c = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64)
-                g, q = np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["levels"], np.uint8).astype(np.int64)
+                g, q = long(r["grams"]), np.frombuffer(r["levels"], np.uint8).astype(np.int64)
                 wq = level_of(c)
                 for h, lv, least in ((w, wq, least_word), (g, q, least_gram)):
                     for level in range(least, int(lv.max(initial=0)) + 1):

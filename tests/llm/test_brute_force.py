@@ -82,6 +82,13 @@ def test_op2_holds_all_levels_beyond_the_broadcast(spark, sf_dir):
         assert parts[i].n_known == r.n_known and parts[i].base_score == pytest.approx(r.base_score, abs=1e-6) and parts[i].score == pytest.approx(r.score, abs=1e-6)
 
 
+def test_op2_knows_pairs_seen_once(spark):
+    rows = [(i, f"alpha x{i} beta y{i}", True) for i in range(60)] + [(100, "alpha beta", True), (200, "alpha beta", False), (201, "beta alpha", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    out = {r.doc_id: r.score for r in lm.score(docs, F.col("learn")).filter("held_out").collect()}
+    assert out[200] > out[201] + 0.5
+
+
 def test_op3(spark, sf_dir, documents):
     out = {r.doc_id: r for r in QUERIES["op3_fingerprints"](spark, sf_dir).collect()}
     ids = sorted(documents)
