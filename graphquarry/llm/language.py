@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks, crc_mod
@@ -112,23 +113,28 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 900, b
 
 
 def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """At most per_label texts of each label, by the order of a hash of id and text; the bound holds at every size."""
+    """The per_label texts of each label that come first by a hash of the id, at every size; of rows that tie, any.
+
+    Ids are cut before texts are read.  A label's texts that no longer fit its part of SAMPLE_CHARS are passed
+    over; its first is taken in any case, up to that length.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    if not counts:
+    ids = known.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
+    first = ids.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("n") <= per_label)
+    bounds = first.groupBy("l").agg(F.max("h").alias("last")).collect()
+    if not bounds:
         return [], []
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int((1 << 30) * min(1.0, 2 * per_label / n + 0.001)))])
-    chosen = known.filter(h < share[F.col(lang_col)]).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), h.alias("h")).orderBy("h", "t").limit(2 * per_label * len(counts) + 1000)
-    texts, langs, seen, held = [], [], dict.fromkeys(counts, 0), 0
-    for r in chosen.toLocalIterator():
-        held += len(r.t)
-        if held > SAMPLE_CHARS:
-            break
-        if seen[r.l] < per_label:
-            seen[r.l] += 1
-            texts.append(r.t)
-            langs.append(r.l)
+    most = max(WINDOW, SAMPLE_CHARS // len(bounds))
+    last = F.create_map(*[F.lit(v) for r in bounds for v in (r.l, r.last)])
+    chosen = known.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.substring(F.col(text_col).cast("string"), 1, most).alias("t")).filter(F.col("h") <= last[F.col("l")])
+    texts, langs, seen, held = [], [], dict.fromkeys((r.l for r in bounds), 0), dict.fromkeys((r.l for r in bounds), 0)
+    for r in chosen.orderBy("h", "t").toLocalIterator():
+        if seen[r.l] == per_label or (seen[r.l] and held[r.l] + len(r.t) > most):
+            continue
+        seen[r.l] += 1
+        held[r.l] += len(r.t)
+        texts.append(r.t)
+        langs.append(r.l)
     return texts, langs
 
 

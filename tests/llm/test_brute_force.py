@@ -222,6 +222,16 @@ def test_op9(spark, sf_dir, documents):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_op9_samples_rare_labels(spark, monkeypatch):
+    rare = F.col("id") % 30000 == 0
+    many = spark.range(3_000_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(rare, "rare").otherwise("hot").alias("lang"))
+    assert Counter(language.sample(many, 5, "doc_id", "text", "lang")[1]) == {"hot": 5, "rare": 5}
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 2000)
+    rows = [(i, "long " * 1000, "a") for i in range(40)] + [(100 + i, "short text", "b") for i in range(40)]
+    texts, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, "doc_id", "text", "lang")
+    assert Counter(langs) == {"a": 1, "b": 5} and sum(map(len, texts)) <= 2000
+
+
 def test_op9_tables_give_the_convolution():
     net = language.train(["the of and to in " * 30, "le la les des une " * 30], ["en", "fr"], steps=30)
     x = language.cut_windows(("some text of the kind " * 40).encode())
