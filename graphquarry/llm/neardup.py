@@ -4,10 +4,12 @@ Words are lower-cased and split at white space; texts with equal words are copie
 A shingle of five words (all words, where there are fewer) weighs 1 + ln of how often it occurs.  Each shingle
 is a Poisson process with its weight as rate whose arrivals fall on random registers; a register keeps its first
 arrival's shingle, and a text stops once no arrival can come first any more.  Two registers are then equal
-with the probability Jaccard similarity.  Texts equal in all registers of a band share a bucket.
+with the probability Jaccard similarity.  Texts equal in all registers of a band share a bucket.  Where shingles repeat,
+that similarity can be far under the one of the distinct shingles, which links go by: such a text has a second
+signature with all weights 1, and stands in the buckets of both (without repeats the two are the same).
 
 Within a bucket one pivot is compared with all others.  Buckets that then still hold more than one class are gone
-through pair by pair, in tiles of bounded size: a pair of different classes whose registers can reach the threshold
+through pair by pair, in tiles of bounded size: a pair of different classes whose registers of weight 1 can reach the threshold
 (by 4.5 standard deviations) is compared too, and a link found joins the two classes for the rest of the tile.  So
 only pairs already in one class are left out, and no list of a bucket's pairs is ever made.
 A pair is a link if the Jaccard similarity of its distinct shingles, computed in full, is at least the threshold.
@@ -122,25 +124,30 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h, doc = words(data, offsets)
                 k1, k2 = content_keys(h, doc, n)
                 d, s, times = shingles(h, doc, n)
-                bands = band_hashes(prob_minhash(d, s, 1 + np.log(times), n)).view(np.int64)
-                some = np.bincount(doc, minlength=n) > 0
-                ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+                some = np.flatnonzero(np.bincount(doc, minlength=n))
+                again = np.unique(d[times > 1])  # texts with repeated shingles
+                own = np.isin(d, again)
+                weighted = prob_minhash(np.searchsorted(again, d[own]), s[own], 1 + np.log(times[own]), len(again))
+                bands = np.concatenate([band_hashes(prob_minhash(d, s, np.ones(len(d)), n))[some], band_hashes(weighted)]).view(np.int64)
+                of = np.concatenate([some, again])
+                bands = bands[np.argsort(of, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n) * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
-                    {"id": part.column("id"), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].reshape(-1)))}
+                    {"id": part.column("id"), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1)))}
                 )
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, items, marks) of (id, text): the sorted distinct shingles, and a byte of each register."""
+    """(id, items, marks) of (id, text): the sorted distinct shingles, and a byte of each register of weight 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHasher()
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
-                d, s, times = shingles(*words(data, offsets), part.num_rows)
-                marks = (prob_minhash(d, s, 1 + np.log(times), part.num_rows) & np.uint64(255)).astype(np.uint8)
+                d, s, _ = shingles(*words(data, offsets), part.num_rows)
+                marks = (prob_minhash(d, s, np.ones(len(d)), part.num_rows) & np.uint64(255)).astype(np.uint8)
                 ends = np.searchsorted(d, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_pydict(
                     {"id": part.column("id"), "items": pa.array([s[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "marks": pa.array([m.tobytes() for m in marks], pa.binary())}

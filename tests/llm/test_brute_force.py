@@ -140,6 +140,15 @@ def test_op5_hot_groups(spark):
     assert sum(got[i] != want[i] for i in texts) == 0
 
 
+def test_op5_repeated_passages(spark):
+    texts = {}
+    for i in range(30):  # 84 shared shingles, 20 more on one side, most of these repeated
+        shared, more = " ".join(f"p{i}x{k}" for k in range(88)), " ".join(f"q{i}x{k}" for k in range(16))
+        texts |= {2 * i: shared, 2 * i + 1: " ".join([shared, *[more] * 50])}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == classes_by_brute_force(texts) and len(set(got.values())) == 30
+
+
 def test_op5_estimates_probability_jaccard():
     rng = np.random.default_rng(5)
     d = np.repeat([0, 1], 300)
