@@ -1,7 +1,8 @@
 """Packing: length buckets that waste the least padding, and token-budget batches inside each bucket.
 
 The histogram of all lengths, on a grid whose size is bounded whatever the lengths (exact up to 255, then 128
-cells an octave), goes to the driver; dynamic programming over it finds the bucket bounds with the least padding.
+cells an octave), goes to the driver, each cell with its longest length; dynamic programming over it finds the bucket
+bounds with the least padding.  A bound is a length that occurs; buckets are cut between cells only.
 Every document is padded to its bucket's bound, so a batch of a bucket holds budget // bound documents (one, where a
 document is longer than the budget).  Inside a bucket documents stand in a seeded order and are cut into
 batches by their rank, which is found from counts over prefixes of that order and a rank inside each prefix: no
@@ -38,7 +39,7 @@ def cell(n: Column) -> Column:
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """The bucket bounds, among the cells, with the least total padding; ties: the lower bound."""
+    """The bucket bounds, among the cells' lengths, with the least total padding; ties: the lower bound."""
     m = len(lengths)
     if m == 0:
         return []
@@ -66,9 +67,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     names = dict.fromkeys((id_col, *keep))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], tokens(F.col(text_col)).alias("n"), F.concat(F.md5(F.concat(F.lit(f"{seed}:"), key)), F.lit(":"), F.lpad(key, 20, "0")).alias("place"))
-    histogram = sorted(tuple(r) for r in rows.groupBy(cell(F.col("n")).alias("c")).agg(F.count(F.lit(1)), F.sum("n")).collect())  # bounded by the grid
-    bounds = best_bounds(*(np.array([float(r[i]) for r in histogram]) for i in range(3)), buckets)
-    total = sum(r[1] for r in histogram)
+    histogram = sorted(tuple(r) for r in rows.groupBy(cell(F.col("n")).alias("c")).agg(F.max("n"), F.count(F.lit(1)), F.sum("n")).collect())  # bounded by the grid
+    bounds = best_bounds(*(np.array([float(r[i]) for r in histogram]) for i in (1, 2, 3)), buckets)
+    total = sum(r[2] for r in histogram)
     digits = max(2, math.ceil(math.log(max(1, total) / 65536, 16))) if total > 65536 else 2
     number, bound = F.lit(0), F.lit(1)
     for i, b in reversed(list(enumerate(bounds))):

@@ -195,6 +195,13 @@ def test_op6_bounds_are_optimal():
     assert packing.best_bounds(*(np.zeros(0),) * 3, 4) == []
 
 
+def test_op6_bounds_are_lengths_that_occur(spark):
+    lengths = [3, 300, 301, 1001, 5001, 5003]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    bounds = {r.doc_id: r.bound for r in packing.pack(docs, buckets=4).collect()}
+    assert bounds == {0: 3, 1: 301, 2: 301, 3: 1001, 4: 5003, 5: 5003}
+
+
 def test_op6_cells(spark):
     from pyspark.sql import functions as F
 
