@@ -1,17 +1,25 @@
-"""Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
-
-Counting: every worker counts the words and word pairs of all training texts by hashes (64 bits, pairs 48), and deals its counts
-out in slices of the hash space; each slice is merged by itself.  Model: the level of a count is the whole part of
-its logarithm, plus 1; a gram enters the filter once for each of its levels, and is read back by probing level
-after level until one is missing.  The filter is sized for all its entries, counted from the histograms of levels, and
-grows with the input.  Up to filter_bits it is broadcast; a larger one stays in parts of the hash space: every block of
-texts asks each part for its words and pairs, and the levels found come back to the block.
-Score: log10 of  s * c(h, w) / c(h)  +  (1 - s) * (c(w) + 1) / (N + V + 1), with the counts read from the filter and s
-the share of all pairs that the filter holds, times c(h) / (c(h) + trust), so that rare contexts count little.  The base score takes exact counts: those of the most frequent words
-are broadcast (bounded), all other words go through a join.
+"""Language-model scoring with a log-frequency Bloom filter of quantised counts of words, word pairs and word triples.
+
+Texts are put into blocks.  Each block deals its distinct grams (hashes; words of 64 bits, the others of 48), with their
+counts in the training texts, to slices of the hash space.  A slice adds up the counts and fills its part of the filter: the
+level of a count is the whole part of its logarithm, plus 1, and a gram enters once for each of its levels.  It is read
+back by probing level after level until one is missing.  A part is sized for all entries of its slice, so the model grows
+with the input and no gram is left out.
+
+Up to small_bytes of text, where the whole filter has a proven bound (a gram has at most as many levels as occurrences), its parts
+are put together and broadcast.  Beyond, a part stays with its slice, which probes it for the grams that the blocks have dealt to it
+and sends the levels back to the blocks; the scores are the same.
+
+Score: sum of log10 p over the tokens, each given the two before it:
+  p1 = (c(w) + 1) / (sum of c + V + 1),    p2 = a * (c(h, w) - DISCOUNT)+ / c(h) + (1 - a) * p1,    p = the same from p2 with the two words before,
+with c read from the filter and a = c(h) / (c(h) + trust).  A level stands for its middle count in p1, for its least count
+where it is divided and its greatest where it divides (c(h) of one word is exact), so the p of all words and one
+unknown word sum to 1 at most, but for false positives of the filter (under one in a hundred).
+The base score and n_known take exact counts.
 
 A null or empty text has the end token only.  Without training texts N, V and all counts are 0, the base score
 is 0 and the score is 0.  Repeated rows are scored, and counted, each by itself; an empty table gives an empty table.
+Only the id of the input's columns is returned, so others may have any name.
 """
 
 from __future__ import annotations
@@ -23,25 +31,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, blocks, cut, mix, text_buffer
+from .common import WordHasher, cut, mix, text_buffer
 
 END, START = np.uint64(0x51ED270B35A9E1C7), np.uint64(0xA0761D6478BD642F)
 BASE = 1.5
 LEVELS = 64
 PROBES = 5
-_ROOM = 10  # bits a level entry
+DISCOUNT = 0.75
+ROOM = 16  # bits a level entry
+KINDS = ("words", "pairs", "triples")
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
     return np.clip(1 + np.floor(np.log(np.maximum(count, 1)) / np.log(BASE) + 1e-9).astype(np.int64), 1, LEVELS - 1)
 
 
-#: The count that a level stands for: the middle of the whole numbers on it.
 _q = np.arange(1, LEVELS)
-COUNT_OF = np.concatenate([[0.0], (np.ceil(BASE ** (_q - 1.0) - 1e-9) + np.maximum(np.ceil(BASE**_q - 1e-9) - 1, np.ceil(BASE ** (_q - 1.0) - 1e-9))) / 2])
+#: The least, greatest and middle count of a level.
+LEAST_OF = np.concatenate([[0.0], np.ceil(BASE ** (_q - 1.0) - 1e-9)])
+MOST_OF = np.concatenate([[0.0], np.maximum(np.ceil(BASE**_q - 1e-9) - 1, LEAST_OF[1:])])
+COUNT_OF = (LEAST_OF + MOST_OF) / 2
 
 
-def merge(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and the sum of each one's counts."""
     if not len(h):
         return h, c
     order = np.argsort(h)
@@ -50,151 +63,86 @@ def merge(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(c[order], first)
 
 
-def stream(words: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, its text, 48-bit hash of the pair with the token before, in the high bits) over a block; each text ends with END."""
+def stream(words: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(text of each token, (token, pair, triple that end there)) over a block; each text ends with END."""
     h, doc = words(data, offsets)
     n = len(offsets) - 1
     ends = np.cumsum(np.bincount(doc, minlength=n))
     tokens = np.insert(h, ends, END)
     doc = np.insert(doc, ends, np.arange(n))
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], (ends + np.arange(1, n + 1))[:-1]])] = START
-    return tokens, doc, mix(before * np.uint64(0x9FB21C651E98DF25) + tokens) & ~np.uint64(0xFFFF)
-
+    first = np.concatenate([[0], (ends + np.arange(1, n + 1))[:-1]])
+    one = np.concatenate([[START], tokens[:-1]])
+    one[first] = START
+    two = np.concatenate([[START], one[:-1]])
+    two[first] = START
+    pairs = mix(one * np.uint64(0x9FB21C651E98DF25) + tokens)
+    triples = mix(pairs * np.uint64(0xC2B2AE3D27D4EB4F) + two)
+    return doc, (tokens, pairs & ~np.uint64(0xFFFF), triples & ~np.uint64(0xFFFF))
 
-def short(h: np.ndarray) -> bytes:
-    """Hashes of pairs, whose last two bytes are 0, without these."""
-    return np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
+def small(x: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them all, after that width."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << (8 * w))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
-def long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
+def whole(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
 
-class Tally:
-    """Counts by hash, compacted as they grow."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+def to_steps(h: np.ndarray, short: bool) -> bytes:
+    """Sorted hashes of one slice as the steps between them; short: without their last two bytes, which are 0."""
+    return small(np.diff(h >> np.uint64(16) if short else h, prepend=np.uint64(0)))
 
-    def add(self, h: np.ndarray) -> None:
-        part = np.unique(h, return_counts=True)
-        self.parts.append(part)
-        self.size += len(part[0])
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        out = merge(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]).astype(np.int64))
-        self.parts, self.size = [], 0
-        return out
+def from_steps(raw: bytes, start: np.uint64, short: bool) -> np.ndarray:
+    h = np.cumsum(whole(raw), dtype=np.uint64)
+    return (h << np.uint64(16) if short else h) + start
 
 
-SLICED = "slice int, pairs boolean, ones binary, more binary, counts binary, docs long"
+def slice_start(slice_: int, slices: int) -> np.uint64:
+    return np.uint64(slice_ << (64 - slices.bit_length() + 1)) if slice_ else np.uint64(0)
 
 
-def dealt(slices: int, pairs: bool, h: np.ndarray, c: np.ndarray, docs: int) -> Iterator[pa.RecordBatch]:
-    """A row for each slice of the sorted hashes; those counted once without their counts."""
-    raw = short if pairs else np.ndarray.tobytes
-    shift = np.uint64(64 - slices.bit_length() + 1)
-    cuts = np.searchsorted(h >> shift, np.arange(slices + 1, dtype=np.uint64))
-    for at in range(0, slices, 64):
-        rows = []
-        for s in range(at, min(slices, at + 64)):
-            hs, cs = h[cuts[s] : cuts[s + 1]], c[cuts[s] : cuts[s + 1]]
-            if len(hs) or (s == 0 and docs):
-                one = cs == 1
-                rows.append((s, pairs, raw(hs[one]), raw(hs[~one]), cs[~one].tobytes(), docs if s == 0 else 0))
-        if rows:
-            names = ("slice", "pairs", "ones", "more", "counts", "docs")
-            types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
+    return (h >> np.uint64(64 - slices.bit_length() + 1)).astype(np.int64)
 
 
-def count_grams(texts: DataFrame, slices: int, most: int = 2_500_000) -> DataFrame:
-    """Counts of all words and pairs, slice by slice: one row a slice, with its words (hash, count), its pairs
-    (hash, level), and its share of the statistics."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, uni, bi, docs = WordHasher(), Tally(), Tally(), 0
-        for batch in batches:
-            docs += batch.num_rows
-            for _, data, offsets in blocks(batch, "text"):
-                tokens, _, pairs = stream(words, data, offsets)
-                uni.add(tokens)
-                bi.add(pairs)
-                if bi.size + uni.size > most:
-                    yield from dealt(slices, False, *uni.take(), 0)
-                    yield from dealt(slices, True, *bi.take(), 0)
-        yield from dealt(slices, False, *uni.take(), docs)
-        yield from dealt(slices, True, *bi.take(), 0)
-
-    def join(t: pa.Table) -> pa.Table:
-        held = {}
-        kind = t.column("pairs").to_numpy()
-        for pairs in (False, True):
-            own = t.filter(pa.array(kind == pairs))
-            ones, more, counts = (b"".join(own.column(x).to_pylist()) for x in ("ones", "more", "counts"))
-            ones, more = (long(x) if pairs else np.frombuffer(x, np.uint64) for x in (ones, more))
-            held[pairs] = merge(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), np.frombuffer(counts, np.int64)]))
-        (w, wc), (p, pc_) = held[False], held[True]
-        levels = level_of(pc_)
-        row = {
-            "slice": [t.column("slice")[0].as_py()],
-            "words": [w.tobytes()],
-            "counts": [wc.tobytes()],
-            "grams": [short(p)],
-            "levels": [levels.astype(np.uint8).tobytes()],
-            "tokens": [int(wc.sum())],
-            "types": [len(w)],
-            "docs": [int(sum(t.column("docs").to_pylist()))],
-            "by_word": [np.bincount(level_of(wc), minlength=LEVELS)[:LEVELS].tolist()],
-            "by_gram": [np.bincount(levels, minlength=LEVELS)[:LEVELS].tolist()],
-            "mass": [np.bincount(levels, weights=pc_, minlength=LEVELS)[:LEVELS].astype(np.int64).tolist()],
-        }
-        return pa.table({k: pa.array(v, types[k]) for k, v in row.items()})
-
-    types = {"slice": pa.int32()} | dict.fromkeys(("words", "counts", "grams", "levels"), pa.binary()) | dict.fromkeys(("tokens", "types", "docs"), pa.int64()) | dict.fromkeys(("by_word", "by_gram", "mass"), pa.list_(pa.int64()))
-    schema = "slice int, words binary, counts binary, grams binary, levels binary, tokens long, types long, docs long, by_word array<long>, by_gram array<long>, mass array<long>"
-    return texts.mapInArrow(count, SLICED).groupBy("slice").applyInArrow(join, schema)
-
-
-def place(h: np.ndarray, level: np.ndarray | int, slices: int, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter word of a gram at a level, within its slice's words, and the bits it sets there."""
-    g = mix(h + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def place(h: np.ndarray, level: int, per: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter word of a gram at a level, within `per` words, and the bits it sets there."""
+    g = mix(h + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
     bits = np.zeros(len(g), np.uint64)
     for k in range(PROBES):
         bits |= np.uint64(1) << ((g >> np.uint64(6 * k)) & np.uint64(63))
-    shift = np.uint64(64 - slices.bit_length() + 1)
-    return (h >> shift).astype(np.int64) * per + ((g >> np.uint64(32)) % np.uint64(per)).astype(np.int64), bits
+    return ((g >> np.uint64(32)) % np.asarray(per, np.uint64)).astype(np.int64), bits
 
 
-def levels_in(filter_: np.ndarray, h: np.ndarray, least: int, slices: int, per: int, first: int = 0) -> np.ndarray:
-    """The levels that the filter's slices from `first` on have of grams: probe from the least level up to the first that
-    is missing."""
+def filled(grams: list[tuple[np.ndarray, np.ndarray]], room: int = ROOM) -> np.ndarray:
+    """The filter of (hashes, levels): as many words as its entries need, 4 at least."""
+    entries = int(sum(lv.sum() for _, lv in grams))
+    out = np.zeros(max(4, -(-entries * room // 64)), np.uint64)
+    for h, lv in grams:
+        for level in range(1, int(lv.max(initial=0)) + 1):
+            word, bits = place(h[lv >= level], level, len(out))
+            np.bitwise_or.at(out, word, bits)
+    return out
+
+
+def probe(filter_: np.ndarray, h: np.ndarray, start: np.ndarray | int = 0, per: np.ndarray | int | None = None) -> np.ndarray:
+    """The levels that the filter has of grams: probe level after level up to the first that is missing.  Parts of the
+    filter are told apart by where they start and their number of words."""
     found = np.zeros(len(h), np.uint8)
     live = np.arange(len(h))
-    for level in range(least, LEVELS):
-        word, bits = place(h[live], level, slices, per)
-        live = live[(filter_[word - first * per] & bits) == bits]
+    start, per = (np.broadcast_to(x, len(h)) for x in (start, len(filter_) if per is None else per))
+    for level in range(1, LEVELS):
+        word, bits = place(h[live], level, per[live])
+        live = live[(filter_[start[live] + word] & bits) == bits]
         if not len(live):
             break
         found[live] = level
     return found
 
 
-def probe(filter_: np.ndarray, h: np.ndarray, least: int, slices: int) -> np.ndarray:
-    """The counts that the whole filter has of grams."""
-    return COUNT_OF[levels_in(filter_, h, least, slices, len(filter_) // slices)]
-
-
-ASKED = "part int, block long, first int, words binary, pairs binary, filter binary"
-
-
 def packed(batch: pa.RecordBatch) -> bytes:
     """A block of texts as compressed bytes."""
     out = pa.BufferOutputStream()
@@ -208,219 +156,228 @@ def unpacked(raw: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
     return batch, *text_buffer(batch.column("text"))
 
 
-def blocked(source: DataFrame) -> DataFrame:
-    """(block, rows): the texts of `source` in blocks, each under the key of its first text."""
+def squeezed(x: np.ndarray) -> bytes:
+    raw = small(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def spread(raw: bytes) -> np.ndarray:
+    return whole(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
+
+
+def blocked(source: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, bytes, rows): the texts of `source` in blocks of about block_bytes (one text at least), each under the key of its
+    first text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({"block": rows.column("key").slice(0, 1), "bytes": pa.array([size], pa.int64()), "rows": pa.array([packed(rows)], pa.binary())})
+
         for batch in batches:
-            for part, _, _ in blocks(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"block": part.column("key").slice(0, 1), "rows": pa.array([packed(part)], pa.binary())})
+            offsets = text_buffer(batch.column("text"))[1]
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(offsets, offsets[at] + block_bytes - size, side="right")) - 1
+                to = min(batch.num_rows, max(at if held else at + 1, to))
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+                    size += int(offsets[to] - offsets[at])
+                if to < batch.num_rows:
+                    yield block()
+                    held, size = [], 0
+                at = to
+        if held:
+            yield block()
+
+    return source.mapInArrow(run, "block long, bytes long, rows binary")
 
-    return source.mapInArrow(run, "block long, rows binary")
 
+DEALT = "slice int, block long, " + ", ".join(f"{k} binary, n_{k} binary" for k in KINDS)
 
-def answered(held: DataFrame, filters: DataFrame, slices: int, per: int, least_word: int, least_gram: int, most_bytes: int = 32 << 20) -> DataFrame:
-    """(block, part, words, pairs): for each block of `held` the levels of its distinct words and pairs, in the order of
-    their hashes, from each part of the filter (slice, filter).  A task holds one part of the filter at a time; the
-    parts are 256, or more where they would be over most_bytes."""
-    parts = min(slices, 1 << (max(256, -(-slices * per * 8 // most_bytes)) - 1).bit_length())
-    wide = slices // parts
-    shift = np.uint64(64 - parts.bit_length() + 1)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, edges = WordHasher(), np.arange(parts + 1, dtype=np.uint64)
+def dealt(held: DataFrame, slices: int) -> DataFrame:
+    """The distinct grams of each block, slice by slice, with how often training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, edges = WordHasher(), np.arange(slices)
         for batch in batches:
             for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
-                _, data, offsets = unpacked(rows.as_py())
-                tokens, _, pairs = stream(words, data, offsets)
-                sent = []
-                for h, raw in ((np.unique(tokens), np.ndarray.tobytes), (np.unique(pairs), short)):
-                    cuts = np.searchsorted(h >> shift, edges)
-                    sent.append([raw(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-                yield pa.RecordBatch.from_pydict(
-                    {"part": pa.array(range(parts), pa.int32()), "block": pa.array([block] * parts, pa.int64()), "first": pa.nulls(parts, pa.int32()), "words": pa.array(sent[0], pa.binary()), "pairs": pa.array(sent[1], pa.binary()), "filter": pa.nulls(parts, pa.binary())}
-                ).filter(pa.array([bool(a or b) for a, b in zip(*sent, strict=True)]))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, filter_ = -1, np.zeros(0, np.uint64)
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                part, block, first, words, pairs, slice_ = (batch.column(c)[k].as_py() for c in range(6))
-                if part != own:
-                    own, filter_ = part, np.zeros(wide * per, np.uint64)
-                if block is None:
-                    at = (first - own * wide) * per
-                    filter_[at : at + per] = np.frombuffer(slice_, np.uint64)
-                    continue
-                found = (levels_in(filter_, h, least, slices, per, own * wide).tobytes() for h, least in ((np.frombuffer(words, np.uint64), least_word), (long(pairs), least_gram)))
-                out.append((block, part, *found))
-            if out:
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "part", "words", "pairs"])
-
-    none = F.lit(None).cast("binary")
-    of_filter = filters.select(F.floor(F.col("slice") / wide).cast("int").alias("part"), F.lit(None).cast("long").alias("block"), F.col("slice").alias("first"), none.alias("words"), none.alias("pairs"), "filter")
-    rows = held.mapInArrow(ask, ASKED).unionByName(of_filter)
-    return rows.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, part int, words binary, pairs binary")
-
-
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, filter_bits: int = 1 << 28, head_words: int = 1 << 19, trust: float = 32.0) -> DataFrame:
+                part, data, offsets = unpacked(rows.as_py())
+                doc, grams = stream(words, data, offsets)
+                learnt = (~part.column("held_out").to_numpy(zero_copy_only=False)).astype(np.int64)[doc]
+                own = [summed(h, learnt) for h in grams]
+                cuts = [np.append(np.searchsorted(slice_of(h, slices), edges), len(h)) for h, _ in own]
+                for at in range(0, slices, 256):
+                    out: dict[str, list] = {k: [] for x in KINDS for k in (x, f"n_{x}")}
+                    some = [s for s in range(at, min(slices, at + 256)) if any(c[s] < c[s + 1] for c in cuts)]
+                    for s in some:
+                        start = slice_start(s, slices)
+                        for k, (h, c), e in zip(KINDS, own, cuts, strict=True):
+                            out[k].append(to_steps(h[e[s] : e[s + 1]] - start, k != "words"))
+                            out[f"n_{k}"].append(small(c[e[s] : e[s + 1]]))
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+    return held.mapInArrow(run, DEALT)
+
+
+def gathered(t: pa.Table, slices: int, room: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of one slice: its part of the filter, and for each kind of gram its distinct hashes, their counts, and for each row of t in
+    turn where its hashes stand among these, and where its share ends."""
+    start = slice_start(t.column("slice")[0].as_py(), slices)
+    kinds = []
+    for k in KINDS:
+        own = [from_steps(raw, start, k != "words") for raw in t.column(k).to_pylist()]
+        counts = np.concatenate([whole(raw) for raw in t.column(f"n_{k}").to_pylist()]).astype(np.int64)
+        h, at = np.unique(np.concatenate(own), return_inverse=True)
+        kinds.append((h, np.bincount(at, counts, len(h)).astype(np.int64), at, np.cumsum([len(x) for x in own])))
+    return filled([(h[c > 0], level_of(c[c > 0])) for h, c, _, _ in kinds], room), kinds
+
+
+STATS = "tokens long, types long, mass double"
+
+
+def stats_of(counts: np.ndarray) -> tuple[int, int, float]:
+    """Of a slice's words: tokens, types, and the tokens as the filter has them."""
+    known = counts[counts > 0]
+    return int(known.sum()), len(known), float(COUNT_OF[level_of(known)].sum())
+
+
+def parts(rows: DataFrame, slices: int, room: int) -> DataFrame:
+    """(slice, filter, words, counts) and statistics: the parts of the filter, for the broadcast."""
+
+    def join(t: pa.Table) -> pa.Table:
+        filter_, kinds = gathered(t, slices, room)
+        h, c = kinds[0][0], kinds[0][1]
+        tokens, types, mass = stats_of(c)
+        row = {"slice": [t.column("slice")[0].as_py()], "filter": [filter_.tobytes()], "words": [h[c > 0].tobytes()], "counts": [c[c > 0].tobytes()], "tokens": [tokens], "types": [types], "mass": [mass]}
+        kinds_ = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({k: pa.array(v, x) for (k, v), x in zip(row.items(), kinds_, strict=True)})
+
+    return rows.groupBy("slice").applyInArrow(join, f"slice int, filter binary, words binary, counts binary, {STATS}")
+
+
+ANSWERS = "block long, slice int, counts binary, words binary, pairs binary, triples binary"
+
+
+def answers(rows: DataFrame, slices: int, room: int) -> DataFrame:
+    """For each row its block's exact counts of words and the filter's levels of all grams, in the order of the hashes; the first
+    row of a slice has the slice's statistics too."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        filter_, kinds = gathered(t, slices, room)
+        found = [probe(filter_, h) for h, _, _, _ in kinds]
+        told = [(kinds[0][1], kinds[0])] + list(zip(found, kinds, strict=True))
+        out = [[squeezed(x) for x in np.split(values[at], ends[:-1])] for values, (_, _, at, ends) in told]
+        names = ("counts", *KINDS)
+        data = {"block": t.column("block"), "slice": t.column("slice")} | {k: pa.array(v, pa.binary()) for k, v in zip(names, out, strict=True)}
+        for k, v, kind in zip(("tokens", "types", "mass"), stats_of(kinds[0][1]), (pa.int64(), pa.int64(), pa.float64()), strict=True):
+            data[k] = pa.array([v] + [0] * (t.num_rows - 1), kind)
+        return pa.table(data)
+
+    return rows.groupBy("slice").applyInArrow(answer, f"{ANSWERS}, {STATS}")
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, small_bytes: int = 32 << 20, head_words: int = 1 << 20, block_bytes: int = 6 << 20, trust: tuple[float, float] = (300.0, 4.0), room: int = ROOM) -> DataFrame:
     """id, held_out (learn is not true), n_tokens, n_known, train_tokens, base_score, score; a row a document.
 
-    filter_bits and head_words bound what is broadcast, not what the model holds.  slices grow with the partitions that the texts are read in,
-    and with the session's shuffle partitions.
+    small_bytes and head_words bound what is broadcast (at most twice small_bytes, and 16 bytes a word), not what the model holds.
+    There is a slice for every 8 MB of text, 2^18 at most; trust is that of one and of two
+    words before, room the bits of the filter for each entry.
     """
     spark = docs.sparkSession
-    if slices is None:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.select(id_col, text_col).rdd.getNumPartitions())
-        slices = min(1 << 15, max(64, 1 << (parts - 1).bit_length()))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    grams = cut(count_grams(docs.filter(learn).select(text), slices))
-    stats = grams.select("tokens", "types", "docs", "by_word", "by_gram", "mass").toLocalIterator()  # a row a slice
-    n = v = n_docs = 0
-    by_word, by_gram, mass = (np.zeros(LEVELS, np.int64) for _ in range(3))
-    for r in stats:
-        n, v, n_docs = n + r.tokens, v + r.types, n_docs + r.docs
-        by_word += np.array(r.by_word)
-        by_gram += np.array(r.by_gram)
-        mass += np.array(r.mass)
-    least_word, least_gram = 1, 1
-    entries = sum(int(k) * (q - least + 1) for least, hist in ((least_word, by_word), (least_gram, by_gram)) for q, k in enumerate(hist) if q >= least)
-    per = max(4, -(-max(1, entries) * _ROOM // 64 // slices))
-    share = float(mass[least_gram:].sum() / n) if n else 0.0
-    share = min(0.95, share)
-    head_level = next(q for q in range(1, LEVELS + 1) if by_word[q:].sum() <= head_words)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                part = np.zeros(per, np.uint64)
-                w, c = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64)
-                g, q = long(r["grams"]), np.frombuffer(r["levels"], np.uint8).astype(np.int64)
-                wq = level_of(c)
-                for h, lv, least in ((w, wq, least_word), (g, q, least_gram)):
-                    for level in range(least, int(lv.max(initial=0)) + 1):
-                        word, bits = place(h[lv >= level], level, slices, per)
-                        np.bitwise_or.at(part, word - r["slice"] * per, bits)
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([r["slice"]], pa.int32()), "filter": [part.tobytes()]})
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                w, c = np.frombuffer(w, np.int64), np.frombuffer(c, np.int64)
-                often = level_of(c) >= head_level
-                yield pa.RecordBatch.from_pydict({"h": [w[often].tobytes()], "c": [c[often].tobytes()]})
-
-    head, head_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in grams.select("words", "counts").mapInArrow(frequent, "h binary, c binary").toLocalIterator(prefetchPartitions=True):
-        head.append(np.frombuffer(r["h"], np.uint64))
-        head_counts.append(np.frombuffer(r["c"], np.int64))
-    h, c = np.concatenate(head), np.concatenate(head_counts)
-    order = np.argsort(h)
-    filters = grams.select("slice", "words", "counts", "grams", "levels").mapInArrow(build, "slice int, filter binary")
-    whole = slices * per * 64 <= filter_bits
-    filter_ = np.zeros(slices * per if whole else 0, np.uint64)
-    if whole:
-        for r in filters.toLocalIterator(prefetchPartitions=True):
-            filter_[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["filter"], np.uint64)
-    sent = spark.sparkContext.broadcast((filter_, h[order], c[order]))
-    scale = float(np.log10(n + v + 1))
-
-    def rated(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: WordHasher, found: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
-        """A block's rows; found: the levels of its distinct words and pairs, where they do not come from the broadcast."""
-        filter_, head, head_counts = sent.value
+    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), text)
+    held = cut(blocked(source, block_bytes))
+    size = held.agg(F.sum("bytes")).first()[0] or 0
+    slices = slices or min(1 << 18, max(64, 1 << max(0, (size >> 23) - 1).bit_length()))
+    rows = dealt(held, slices)
+    schema = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def rated(part: pa.RecordBatch, doc: np.ndarray, of: list[np.ndarray], exact: np.ndarray, levels: list[np.ndarray], stats: tuple[int, int, float, int]) -> pa.RecordBatch:
+        """A block's rows from the exact counts of its distinct words and the levels of its distinct grams."""
+        n, v, mass, n_docs = stats
         k = part.num_rows
-        tokens, doc, pairs = stream(words, data, offsets)
-        types, of = np.unique(tokens, return_inverse=True)
-        grams_, gram_of = np.unique(pairs, return_inverse=True)
-        if found is None:
-            seen, together = probe(filter_, types, least_word, slices), probe(filter_, grams_, least_gram, slices)
-        else:
-            seen, together = (COUNT_OF[x] for x in found)
-        if (len(seen), len(together)) != (len(types), len(grams_)):
+        words, pairs, triples = (x[i] for x, i in zip(levels, of, strict=True))
+        first = np.concatenate([[True], doc[1:] != doc[:-1]])
+        counts = exact[of[0]]
+        before = np.concatenate([[0], counts[:-1]]).astype(np.float64)
+        before_two = np.concatenate([[0.0], MOST_OF[pairs[:-1]]])
+        before[first] = before_two[first] = n_docs
+        p = (COUNT_OF[words] + 1) / (mass + v + 1)
+        for level, context, t in ((pairs, before, trust[0]), (triples, before_two, trust[1])):
+            share = context / (context + t)
+            p = share * np.minimum(1.0, np.maximum(LEAST_OF[level] - DISCOUNT, 0) / np.maximum(context, 1)) + (1 - share) * p
+        base = np.bincount(doc, np.log10(counts + 1.0) - float(np.log10(n + v + 1)), k)
+        columns = {
+            id_col: part.column("id"),
+            "held_out": part.column("held_out"),
+            "n_tokens": np.bincount(doc, minlength=k).astype(np.int64),
+            "n_known": np.bincount(doc, counts > 0, k).astype(np.int64),
+            "train_tokens": np.full(k, n, np.int64),
+            "base_score": base,
+            "score": np.bincount(doc, np.log10(np.minimum(p, 1.0)), k),
+        }
+        return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], list(columns))
+
+    def taken_apart(raw: bytes, words: WordHasher) -> tuple[pa.RecordBatch, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        part, data, offsets = unpacked(raw)
+        doc, grams = stream(words, data, offsets)
+        distinct, of = zip(*(np.unique(h, return_inverse=True) for h in grams), strict=True)
+        return part, doc, distinct, of
+
+    def broadcast_model() -> DataFrame | None:
+        """The scores by a broadcast filter, unless there are more than head_words words."""
+        found = sorted(cut(parts(rows, slices, room)).toLocalIterator(), key=lambda r: r["slice"])  # at most small_bytes * 2 in all
+        v = sum(r["types"] for r in found)
+        if v > head_words:
+            return None
+        per = np.ones(slices, np.int64)
+        for r in found:
+            per[r["slice"]] = len(r["filter"]) // 8
+        filter_ = np.zeros(int(per.sum()), np.uint64)
+        starts = np.cumsum(per) - per
+        for r in found:
+            filter_[starts[r["slice"]] :][: per[r["slice"]]] = np.frombuffer(r["filter"], np.uint64)
+        known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], np.uint64) for r in found)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in found)])
+        n_docs = int(counts[known == END].sum())
+        sent = spark.sparkContext.broadcast((filter_, starts, per, known, counts, (sum(r["tokens"] for r in found), v, sum(r["mass"] for r in found), n_docs)))
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filter_, starts, per, known, counts, stats = sent.value
+            words = WordHasher()
+            for batch in batches:
+                for raw in batch.column("rows"):
+                    part, doc, distinct, of = taken_apart(raw.as_py(), words)
+                    slice_ = [slice_of(h, slices) for h in distinct]
+                    levels = [probe(filter_, h, starts[s], per[s]) for h, s in zip(distinct, slice_, strict=True)]
+                    exact = np.zeros(len(distinct[0]), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, distinct[0]), len(known) - 1)
+                        exact = np.where(known[at] == distinct[0], counts[at], 0)
+                    yield rated(part, doc, of, exact, levels, stats)
+
+        return held.select("rows").mapInArrow(apply, schema)
+
+    if size <= small_bytes:
+        scored = broadcast_model()
+        if scored is not None:
+            return scored
+    told = cut(answers(rows, slices, room))
+    n, v, mass = (x or 0 for x in told.agg(F.sum("tokens"), F.sum("types"), F.sum("mass")).first())
+    n_docs = source.filter("not held_out").count()
+
+    def regain(own: pa.Table, answered: pa.Table) -> pa.Table:
+        part, doc, distinct, of = taken_apart(own.column("rows")[0].as_py(), WordHasher())
+        answered = answered.sort_by("slice")
+        exact, *levels = (np.concatenate([spread(x) for x in answered.column(k).to_pylist()]) for k in ("counts", *KINDS))
+        if [len(x) for x in levels] != [len(h) for h in distinct]:
             raise ValueError("a block has not got all its answers")
-        c_hw = together[gram_of]
-        c_w = seen[of]
-        c_h = np.concatenate([[0.0], c_w[:-1]])
-        c_h[np.concatenate([[True], doc[1:] != doc[:-1]])] = n_docs
-        own = share * c_h / (c_h + trust)
-        p = own * np.minimum(1.0, c_hw / np.maximum(np.maximum(c_h, c_hw), 1)) + (1 - own) * (c_w + 1) / (n + v + 1)
-        logs = np.bincount(doc, np.log10(np.minimum(p, 1.0)), k)
-        at = np.minimum(np.searchsorted(head, types), max(0, len(head) - 1))
-        known = head[at] == types if len(head) else np.zeros(len(types), bool)
-        exact = np.where(known, head_counts[at], 0) if len(head) else np.zeros(len(types), np.int64)
-        base = np.bincount(doc, (np.log10(exact + 1.0) - scale)[of], k)  # tail words as if unseen, mended below
-        n_known = np.bincount(doc, known[of], k).astype(np.int64)
-        rest = ~known[of]
-        pair, times = tail(doc[rest], tokens[rest])
-        splits = np.searchsorted(pair[0], np.arange(k + 1))
-        struct = pa.StructArray.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "m"])
-        return pa.RecordBatch.from_pydict(
-            {
-                "key": part.column("key"),
-                "id": part.column("id"),
-                "held_out": part.column("held_out"),
-                "n_tokens": pa.array(np.bincount(doc, minlength=k).astype(np.int64)),
-                "n_known": pa.array(n_known),
-                "base": pa.array(base),
-                "score": pa.array(logs),
-                "tail": pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), struct),
-            }
-        )
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHasher()
-        for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
-                yield rated(part, data, offsets, words, None)
-
-    def regain(held: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("part")
-        found = tuple(np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint8) for x in ("words", "pairs"))
-        return pa.Table.from_batches([rated(*unpacked(held.column("rows")[0].as_py()), WordHasher(), found)])
+        return pa.Table.from_batches([rated(part, doc, of, exact.astype(np.int64), levels, (n, v, mass, n_docs))])
 
-    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), text)
-    schema = f"key long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,m:int>>"
-    if whole:
-        scored = source.mapInArrow(apply, schema)
-    else:
-        held = cut(blocked(source))
-        asked = answered(held, filters, slices, per, least_word, least_gram)
-        scored = held.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(regain, schema)
-    one = scored.select("key", "id", "held_out", "n_tokens", "n_known", "base", "score", F.posexplode_outer("tail").alias("pos", "t"))
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                w, c = np.frombuffer(w, np.int64), np.frombuffer(c, np.int64)
-                rare = level_of(c) < head_level
-                yield pa.RecordBatch.from_pydict({"h": pa.array(w[rare]), "c": pa.array(c[rare])})
-
-    rare = grams.select("words", "counts").mapInArrow(unfold, "h long, c long")
-    joined = one.select("key", "id", "held_out", F.col("t.h").alias("h"), F.col("t.m").alias("m"), *[F.when(first, F.col(x)).alias(x) for x in ("n_tokens", "n_known", "base", "score")]).join(rare, "h", "left")
-    mended = F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("m") * F.log10(F.col("c") + 1.0))), F.lit(0.0))
-    return (
-        joined.groupBy("key", "id", "held_out")
-        .agg(
-            F.max("n_tokens").alias("n_tokens"),
-            (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("m").cast("long"))), F.lit(0))).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            (F.max("base") + mended).alias("base_score"),
-            F.max("score").alias("score"),
-        )
-        .withColumnRenamed("id", id_col)
-        .drop("key")
-    )
-
-
-def tail(doc: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """((text, hash), times) of the words left for the join, each once a text."""
-    order = np.lexsort((h, doc))
-    d, t = doc[order], h[order]
-    if not len(d):
-        return (d, t), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
-    return (d[first], t[first]), np.diff(np.append(first, len(d)))
+    asked = told.select("block", "slice", "counts", *KINDS)
+    return held.select("block", "rows").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(regain, schema)

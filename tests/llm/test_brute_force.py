@@ -64,22 +64,67 @@ def test_op2(spark, sf_dir, documents):
 def test_op2_filter_has_the_counts():
     rng = np.random.default_rng(1)
     h, c = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), rng.integers(1, 4000, 5000)
-    filter_ = np.zeros(64 * 200, np.uint64)
-    for level in range(1, lm.LEVELS):
-        word, bits = lm.place(h[lm.level_of(c) >= level], level, 64, 200)
-        np.bitwise_or.at(filter_, word, bits)
-    got = lm.probe(filter_, h, 1, 64)
+    filter_ = lm.filled([(h, lm.level_of(c))])
+    got = lm.COUNT_OF[lm.probe(filter_, h)]
     want = lm.COUNT_OF[lm.level_of(c)]
     assert (got >= want).all() and (got == want).mean() > 0.9
     assert (np.abs(want - c) / c).max() < 0.5
+    assert (lm.LEAST_OF[lm.level_of(c)] <= c).all() and (c <= lm.MOST_OF[lm.level_of(c)]).all()
+    assert (lm.probe(filter_, rng.integers(0, 1 << 63, 5000).astype(np.uint64)) > 0).mean() < 0.01
 
 
 def test_op2_holds_all_levels_beyond_the_broadcast(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    whole, parts = ({r.doc_id: r for r in lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2, filter_bits=bits).collect()} for bits in (1 << 28, 1 << 12))
-    assert whole.keys() == parts.keys()
-    for i, r in whole.items():
-        assert parts[i].n_known == r.n_known and parts[i].base_score == pytest.approx(r.base_score, abs=1e-6) and parts[i].score == pytest.approx(r.score, abs=1e-6)
+    sizes = {"whole": {}, "parts": {"small_bytes": 0}, "small blocks": {"small_bytes": 0, "block_bytes": 20_000}, "many words": {"head_words": 10}}
+    out = {k: {r.doc_id: r for r in lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2, **kw).collect()} for k, kw in sizes.items()}
+    whole = out.pop("whole")
+    for got in out.values():
+        assert got.keys() == whole.keys()
+        for i, r in whole.items():
+            assert got[i].n_known == r.n_known and got[i].base_score == pytest.approx(r.base_score, abs=1e-6) and got[i].score == pytest.approx(r.score, abs=1e-6)
+
+
+def modelled(counted, texts, discount=0.75, trust=(300.0, 4.0)):
+    """The scores of texts by a model of plain dicts, with the levels of the counts; and the sum of p over all words after some contexts."""
+    one, two, three = Counter(), Counter(), Counter()
+    split = lambda t: [*t.encode().lower().split(), "end"]
+    for t in counted:
+        w = ["start", "start", *split(t)]
+        one.update(w[2:])
+        two.update(zip(w[1:], w[2:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+
+    def span(c):  # all counts on c's level
+        q = math.floor(math.log(c, 1.5) + 1e-9)
+        return [x for x in range(max(1, math.floor(1.5**q)), math.ceil(1.5 ** (q + 1)) + 1) if math.floor(math.log(x, 1.5) + 1e-9) == q]
+
+    least, most, middle = ({c: f(span(c)) if c else 0 for c in {0, *one.values(), *two.values(), *three.values()}} for f in (min, max, lambda s: (s[0] + s[-1]) / 2))
+    mass, docs = sum(middle[c] for c in one.values()), one["end"]
+
+    def p(a, b, w):
+        out = (middle[one[w]] + 1) / (mass + len(one) + 1)
+        for gram, context, t in ((two[b, w], docs if b == "start" else one[b], trust[0]), (three[a, b, w], docs if b == "start" else most[two[a, b]], trust[1])):
+            share = context / (context + t)
+            out = share * min(1.0, max(least[gram] - discount, 0) / max(context, 1)) + (1 - share) * out
+        return out
+
+    scores = []
+    for t in texts:
+        w = ["start", "start", *split(t)]
+        scores.append(sum(math.log10(p(*w[k : k + 3])) for k in range(len(w) - 2)))
+    contexts = [x for x, _ in two.most_common(20)] + list(two)[:20]
+    return scores, [sum(p(a, b, w) for w in [*one, "never seen"]) for a, b in contexts if b != "end"]
+
+
+def test_op2_score_by_dicts(spark, sf_dir, documents):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.score for r in lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2, room=512).collect()}
+    ids = sorted(documents)
+    want, sums = modelled([documents[i].text for i in ids if crc(i, 7) != 2], [documents[i].text for i in ids])
+    assert [got[i] for i in ids] == pytest.approx(want, abs=1e-2, rel=1e-4)
+    assert max(sums) <= 1 + 1e-9
+    plain = {r.doc_id: r.score for r in lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2).collect()}
+    assert sum(plain.values()) == pytest.approx(sum(want), rel=0.01)
 
 
 def test_op2_knows_pairs_seen_once(spark):
