@@ -1,20 +1,25 @@
 """Fixed word lists, patterns and catalogues that decide results.  All are values of the data model, in natural order."""
 
 # English stop words.
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
-    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
-    "do does did doing a an the and but if or because as until while of at by for with about against between into through during "
-    "before after above below to from up down in out on off over under again further then once here there when where why how all any "
-    "both each few more most other some such no nor not only own same so than too very s t can will just don should now"
-).split()
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his",
+    "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by",
+    "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up",
+    "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+]
 
 # Words of programming languages that stop-word removal keeps.
-CODE_KEYWORDS = (
-    "def class import from return if else elif for while try except finally with as async await yield lambda pass break continue raise "
-    "assert global nonlocal del in is not and or true false none self super init main function var let const new this null undefined "
-    "public private protected static void int string bool float double char interface extends implements"
-).split()
+CODE_KEYWORDS = [
+    "def", "class", "import", "from", "return", "if", "else", "elif", "for", "while", "try", "except", "finally", "with", "as", "async",
+    "await", "yield", "lambda", "pass", "break", "continue", "raise", "assert", "global", "nonlocal", "del", "in", "is", "not", "and", "or",
+    "true", "false", "none", "self", "super", "init", "main", "function", "var", "let", "const", "new", "this", "null", "undefined",
+    "public", "private", "protected", "static", "void", "int", "string", "bool", "float", "double", "char", "interface", "extends",
+    "implements",
+]
 
 # Topics by keyword, in order of precedence.
 TOPICS = {
@@ -113,7 +118,27 @@ FALLBACK_TOOL = "joern_query"
 IDENTIFIER_STARTS = ["get_", "set_", "is_", "find_", "calc_", "hesapla", "bul"]
 
 # Abbreviations after which a sentence goes on.
-ABBREVIATIONS = "dr prof mr mrs ms st inc ltd co corp eg ie etc vs jr sr".split()
+ABBREVIATIONS = [
+    "dr", "prof", "mr", "mrs", "ms", "st", "inc", "ltd", "co", "corp", "eg", "ie", "etc", "vs", "jr", "sr",
+]
+
+# Words by which sentences are taken apart.
+TITLES = ["dr", "prof", "mr", "mrs", "ms"]
+OFFICES = ["CEO", "CTO", "CFO"]
+LED_BY = ["lead", "leads", "leaded"]
+LEADER_TITLES = ["CEO", "President", "CTO"]
+LEADING = {"led": "leads", "headed": "heads", "run": "runs"}
+FOUNDING = ["founded", "established", "incorporated"]
+LAUNCHING = ["released", "launched", "introduced"]
+PLACING = ["headquartered", "based", "located", "registered", "incorporated"]
+PLACE_PREPOSITIONS = ["in", "at", "on", "near"]
+PRODUCT_KINDS = ["flagship", "main", "latest"]
+TAIL_PREPOSITIONS = ["to", "for", "with", "in", "at", "on", "from"]
+LIST_PREPOSITIONS = ["with", "to", "for", "in", "at", "on", "from", "between", "across", "through"]
+NO_CLAUSE_STARTS = [
+    "the", "a", "an", "its", "it", "this", "that", "of", "for", "with", "to", "in", "on", "by", "at", "from", "into", "over", "under", "between",
+]
+PRONOUNS = ["the", "a", "an", "its", "it", "they"]
 
 # File kinds for ranking.
 CODE_EXTENSIONS = [".tsx", ".ts", ".js", ".jsx", ".py", ".java", ".go", ".rs", ".rb", ".php", ".cs", ".cpp", ".c", ".h"]
@@ -145,22 +170,26 @@ MIN_CODE_FILES, MIN_CODE_LINES = 5, 100
 LIFTED_NAMES = ["readme.md", "readme.txt", "__init__.py", "package.json", "index.md", "overview.md", "architecture.md"]
 
 # Symbols too common to link.
-GENERIC_SYMBOLS = (
-    "__init__ __new__ __del__ __repr__ __str__ __enter__ __exit__ __call__ __iter__ __next__ __getitem__ __setitem__ __delitem__ __len__ "
-    "__contains__ __eq__ __ne__ __lt__ __le__ __gt__ __ge__ __hash__ __bool__ __add__ __sub__ __mul__ __truediv__ __floordiv__ __mod__ "
-    "__pow__ __and__ __or__ __xor__ __neg__ __pos__ __abs__ __invert__ __radd__ __rsub__ __rmul__ __rtruediv__ __iadd__ __isub__ __imul__ "
-    "__itruediv__ __class__ __name__ __module__ __qualname__ __dict__ __slots__ __weakref__ __doc__ __init_subclass__ __set_name__ "
-    "__class_getitem__ __match_args__ __allow_redefinition__ run _run main _main self cls args kwargs value item key e err ex exc error "
-    "i j k n x y z result output data info msg text"
-).split()
+GENERIC_SYMBOLS = [
+    "__init__", "__new__", "__del__", "__repr__", "__str__", "__enter__", "__exit__", "__call__", "__iter__", "__next__", "__getitem__",
+    "__setitem__", "__delitem__", "__len__", "__contains__", "__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__", "__hash__",
+    "__bool__", "__add__", "__sub__", "__mul__", "__truediv__", "__floordiv__", "__mod__", "__pow__", "__and__", "__or__", "__xor__",
+    "__neg__", "__pos__", "__abs__", "__invert__", "__radd__", "__rsub__", "__rmul__", "__rtruediv__", "__iadd__", "__isub__", "__imul__",
+    "__itruediv__", "__class__", "__name__", "__module__", "__qualname__", "__dict__", "__slots__", "__weakref__", "__doc__",
+    "__init_subclass__", "__set_name__", "__class_getitem__", "__match_args__", "__allow_redefinition__", "run", "_run", "main", "_main",
+    "self", "cls", "args", "kwargs", "value", "item", "key", "e", "err", "ex", "exc", "error", "i", "j", "k", "n", "x", "y", "z", "result",
+    "output", "data", "info", "msg", "text",
+]
 
 # Call targets that say nothing about a program.
-SKIPPED_CALLS = (
-    "len print str int float list dict set tuple type isinstance hasattr getattr setattr dir vars range enumerate zip map filter sorted "
-    "reversed any all min max sum abs round open input super property staticmethod classmethod __import__ format repr id hash callable iter "
-    "next append extend insert remove pop clear items keys values get update setdefault copy deepcopy upper lower strip split join replace "
-    "startswith endswith find index count encode decode json echo"
-).split()
+SKIPPED_CALLS = [
+    "len", "print", "str", "int", "float", "list", "dict", "set", "tuple", "type", "isinstance", "hasattr", "getattr", "setattr", "dir",
+    "vars", "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "any", "all", "min", "max", "sum", "abs", "round", "open",
+    "input", "super", "property", "staticmethod", "classmethod", "__import__", "format", "repr", "id", "hash", "callable", "iter", "next",
+    "append", "extend", "insert", "remove", "pop", "clear", "items", "keys", "values", "get", "update", "setdefault", "copy", "deepcopy",
+    "upper", "lower", "strip", "split", "join", "replace", "startswith", "endswith", "find", "index", "count", "encode", "decode", "json",
+    "echo",
+]
 
 _WEB = ["request.GET", "request.POST", "request.args", "request.form"]
 # Vulnerability kinds in order of precedence, with sources and sinks.
