@@ -1,22 +1,27 @@
 """Near-duplicate classes: ProbMinHash signatures of weighted word shingles, banding, exact verification.
 
-Words are lower-cased and split at white space; texts with equal words are copies, and one row stands for them all.
+Words are lower-cased and split at white space; texts with equal words are copies, and one node stands for them all.
 A shingle of five words (all words, where there are fewer) weighs 1 + ln of how often it occurs.  Each shingle
 is a Poisson process with its weight as rate whose arrivals fall on random registers; a register keeps its first
 arrival's shingle, and a text stops once no arrival can come first any more.  Two registers are then equal
-with the probability Jaccard similarity.  Texts equal in all registers of a band share a bucket.  Where shingles repeat,
-that similarity can be far under the one of the distinct shingles, which links go by: such a text has a second
-signature with all weights 1, and stands in the buckets of both (without repeats the two are the same).
+with the probability Jaccard similarity.  Texts equal in all registers of a band share a bucket.
 
-Within a bucket one pivot is compared with all others.  Buckets that then still hold more than one class are gone
-through pair by pair, in tiles of bounded size: a pair of different classes whose registers of weight 1 can reach the threshold
-(by 4.5 standard deviations) is compared too, and a link found joins the two classes for the rest of the tile.  So
-only pairs already in one class are left out, and no list of a bucket's pairs is ever made.
-A pair is a link if the Jaccard similarity of its distinct shingles, computed in full, is at least the threshold.
-Classes are the connected components of the links; the class id is its least document id.
+A pair is a link if the Jaccard similarity of its distinct shingles, computed in full, is at least the threshold.  That is the
+probability Jaccard similarity at weight 1.  Where shingles repeat, the weighted one can be far under it, so a text with
+repeats has a second signature with all weights 1 and stands in the buckets of both (without repeats the two are the same).
+Only signatures of weight 1 prune: a pair is compared in full if the lowest bits of their registers agree as often as at the
+threshold, but for 4.5 standard deviations.
+
+1. In each bucket a pivot is paired with all others.
+2. Buckets whose other members are then still of several classes are gone through in tiles; of each pair of classes in a tile, the
+   pair that agrees best is compared.
+3. Those that even then hold several classes: all their pairs of different classes that the signatures do not rule out.
+So only pairs already in one class are left out.  Tiles hold 40 bytes of signature a text, and no tile is made of two parts of a
+bucket's largest class.  Classes are the connected components of the links; the class id is its least document id.
 
 A row with a null id is a class of its own without an id and is kept.  Null and empty texts (no words) are copies of each
 other.  Rows that repeat an id belong to one class if their words are equal.  An empty table gives an empty table.
+Only the id of the input's columns is returned, so others may have any name.
 """
 
 from __future__ import annotations
@@ -113,8 +118,26 @@ def content_keys(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
+MARKS = -(-REGISTERS // 64)
+
+
+def marks_of(signature: np.ndarray) -> np.ndarray:
+    """(n, MARKS): the lowest bit of each register."""
+    bits = np.zeros((len(signature), MARKS * 64), np.uint8)
+    bits[:, :REGISTERS] = signature & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def least_marks(threshold: float, registers: int = REGISTERS) -> int:
+    """How many marks of two texts agree at least where they reach the threshold, but for 4.5 standard deviations."""
+    p = (1 + threshold) / 2
+    return max(0, int(np.floor(registers * (p - 4.5 * (p * (1 - p) / registers) ** 0.5))))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, k1, k2, bands) of (id, text): the keys of equal words, and the band hashes (none for a text without words)."""
+    """(id, node, check, bands, m0..) of (id, text): two keys of equal words, the band hashes (none for a text without words)
+    and the marks."""
+    names = [f"m{i}" for i in range(MARKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHasher()
@@ -127,137 +150,148 @@ def sketches(docs: DataFrame) -> DataFrame:
                 some = np.flatnonzero(np.bincount(doc, minlength=n))
                 again = np.unique(d[times > 1])  # texts with repeated shingles
                 own = np.isin(d, again)
-                weighted = prob_minhash(np.searchsorted(again, d[own]), s[own], 1 + np.log(times[own]), len(again))
-                bands = np.concatenate([band_hashes(prob_minhash(d, s, np.ones(len(d)), n))[some], band_hashes(weighted)]).view(np.int64)
+                weighted = band_hashes(prob_minhash(np.searchsorted(again, d[own]), s[own], 1 + np.log(times[own]), len(again)))
+                signature = prob_minhash(d, s, np.ones(len(d)), n)
+                bands = np.concatenate([band_hashes(signature)[some], weighted]).view(np.int64)
                 of = np.concatenate([some, again])
                 bands = bands[np.argsort(of, kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n) * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict(
-                    {"id": part.column("id"), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1)))}
-                )
+                out = {"id": part.column("id"), "node": pa.array(k1.view(np.int64)), "check": pa.array(k2.view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1)))}
+                yield pa.RecordBatch.from_pydict(out | dict(zip(names, map(pa.array, marks_of(signature).view(np.int64).T.copy()), strict=True)))
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, check long, bands array<long>, " + ", ".join(f"{m} long" for m in names))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, items, marks) of (id, text): the sorted distinct shingles, and a byte of each register of weight 1."""
+    """(node, items) of (id, text): the distinct shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHasher()
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
-                d, s, _ = shingles(*words(data, offsets), part.num_rows)
-                marks = (prob_minhash(d, s, np.ones(len(d)), part.num_rows) & np.uint64(255)).astype(np.uint8)
-                ends = np.searchsorted(d, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_pydict(
-                    {"id": part.column("id"), "items": pa.array([s[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "marks": pa.array([m.tobytes() for m in marks], pa.binary())}
-                )
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, items binary, marks binary")
-
-
-def likely(n: int, threshold: float, registers: int = REGISTERS) -> bool:
-    """Whether texts whose marks agree in n registers can reach the threshold, but for 4.5 standard deviations."""
-    return (n / registers - 1 / 256) / (1 - 1 / 256) >= threshold - 4.5 * (threshold * (1 - threshold) / registers) ** 0.5
-
+                h, doc = words(data, offsets)
+                d, s, _ = shingles(h, doc, part.num_rows)
+                ends = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
+                node = content_keys(h, doc, part.num_rows)[0]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "items": pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))})
 
-def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x):
-        return float(len(y) == 0)
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return both / (len(x) + len(y) - both)
+    return docs.mapInArrow(run, "node long, items array<long>")
 
 
-def tiled_links(members: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
-    """(a, b): links that join the classes of each bucket of (bucket, rep, label, n, items, marks).
+def tiled_pairs(members: DataFrame, threshold: float, best: bool, tile: int = 512) -> DataFrame:
+    """(a, b): pairs of different labels in a bucket that the marks do not rule out, of (bucket, node, pivot, label, m0..); with
+    `best` only the pair of each two labels in a tile that agrees best.  Pairs with the bucket's pivot are left out.
 
-    A bucket of more than `tile` members is cut into tiles; each step sees two tiles.
+    A bucket's largest label is cut into tiles of its own, the other members into theirs; each step sees two tiles, one of the
+    others at least.
     """
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    dealt = members.withColumn("tile", F.pmod(F.hash("rep"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "label", "items", "marks")
+    rest = members.filter("node <> pivot")
+    sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+    sizes = sizes.agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    sizes = sizes.select("bucket", F.col("most.label").alias("large"), F.ceil((F.col("n") - F.col("most.k")) / tile).cast("int").alias("few"), F.ceil(F.col("most.k") / tile).cast("int").alias("many"))
+    is_large = F.col("label") == F.col("large")
+    h = F.hash("node")
+    rows = rest.join(sizes, "bucket").withColumn("tile", F.when(is_large, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
+    others = F.sequence(F.lit(0), F.when(is_large, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    marks = [f"m{i}" for i in range(MARKS)]
+    dealt = rows.withColumn("other", F.explode(others)).select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "label", *marks)
     keys = ("bucket", "lo", "hi")
-    least = next((n for n in range(REGISTERS + 1) if likely(n, threshold)), REGISTERS)
-    id_type = members.schema["rep"].dataType.simpleString()
-
-    def links(t: pa.RecordBatch) -> pa.RecordBatch:
-        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(t.num_rows, REGISTERS)
-        own, items = t.column("tile").to_numpy(), t.column("items")
-        one_tile = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        label = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        i, j = [], []
-        for k in range(t.num_rows - 1):
-            ok = label[k + 1 :] != label[k]
-            if not one_tile:
-                ok &= own[k + 1 :] != own[k]
-            if not ok.any():
-                continue
-            ok &= (marks[k + 1 :] == marks[k]).sum(axis=1) >= least
-            for at in np.flatnonzero(ok) + k + 1:
-                if label[at] != label[k] and similarity(items[k].as_buffer(), items[int(at)].as_buffer()) >= threshold:
-                    label[label == label[at]] = label[k]
-                    i.append(k)
-                    j.append(int(at))
-        return pa.RecordBatch.from_pydict({"a": t.column("rep").take(pa.array(i, pa.int64())), "b": t.column("rep").take(pa.array(j, pa.int64()))})
+    least = least_marks(threshold)
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        column = {c: t.column(c).to_numpy() for c in t.column_names}
+        k = np.stack([column[c].astype(np.int64) for c in keys], 1)
+        group = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]).any(axis=1)]))
+        bits = np.stack([column[m] for m in marks], 1).view(np.uint64)
+        node, label, own = column["node"], column["label"], column["tile"]
+        single = column["lo"] == column["hi"]
+        i, j, agree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, len(group)):
+            at = np.flatnonzero(group[d:] == group[:-d])
+            if not len(at):
+                break
+            at = at[(label[at] != label[at + d]) & (single[at] | (own[at] != own[at + d]))]
+            same = REGISTERS - np.bitwise_count(bits[at] ^ bits[at + d]).sum(axis=1, dtype=np.int64)
+            ok = same >= least
+            i.append(at[ok])
+            j.append(at[ok] + d)
+            agree.append(same[ok])
+        i, j, agree = np.concatenate(i), np.concatenate(j), np.concatenate(agree)
+        if best and len(i):
+            lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            order = np.lexsort((-agree, hi, lo, group[i]))
+            g, lo, hi = group[i][order], lo[order], hi[order]
+            first = np.concatenate([[True], (g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            i, j = i[order][first], j[order][first]
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys], 1)
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield links(t.slice(a, b - a).combine_chunks().to_batches()[0])
-            held = t.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield links(held.combine_chunks().to_batches()[0])
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, f"a {id_type}, b {id_type}")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least the threshold, with it."""
-    id_type = pairs.schema["a"].dataType.simpleString()
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                sim = np.array([similarity(x.as_buffer(), y.as_buffer()) for x, y in zip(part.column("x"), part.column("y"), strict=True)])
-                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "sim": pa.array(sim, pa.float64())}).filter(pa.array(sim >= threshold))
-
-    return rows.mapInArrow(run, f"a {id_type}, b {id_type}, sim double")
+            # a step ends where the group changes; up to the last change everything is complete
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            turns = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            if held and len(k):
+                before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in keys]
+                if before != k[0].tolist():
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+            if len(turns):
+                last = int(turns[-1])
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            elif len(k):
+                held.append(batch)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, threshold: float, broadcast_ids: int = 200_000, most: int = 512) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least the threshold.  Only the texts that stand in pairs are read for it, and
+    a text of many pairs is dealt out, at most about `most` pairs to a task."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = cut(nodes.select("node", F.col("rep").alias("id")).join(wanted, "node").select("id").distinct())
+    sets = cut(shingle_sets(source.join(broadcast_within(ids, broadcast_ids), "id", "left_semi")).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    left = sets.join(parts, sets.node == parts.a).select("a", "parts", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), F.col("parts")))
+    rows = dealt.join(left, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return rows.filter(both / (F.size("x") + F.size("y") - both) >= threshold).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, broadcast_ids: int = 200_000) -> DataFrame:
     """(id, class_id, kept), a row a document: kept marks the one row of each class whose id is the class id."""
-    source = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
-    rows = cut(sketches(source.filter("id is not null")))
-    copies = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    copies = cut(copies)
-    order = F.abs(F.xxhash64("rep", F.lit(5)) % F.lit(1 << 40)) / float(1 << 40)
-    spread = copies.select("rep", F.explode("bands").alias("bucket")).distinct()
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("u"), F.col("rep"))).alias("pivot")).filter("n > 1")
-    members = cut(spread.join(sizes, "bucket").select("bucket", "rep", "n", F.col("pivot.rep").alias("pivot")))
-    candidates = cut(members.select(F.col("rep").alias("id")).distinct())
-    texts = source.join(broadcast_within(candidates, broadcast_ids), "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(shingle_sets(texts))
-
-    stars = members.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    links = cut(verified(stars, sets, threshold)).select("a", "b")
+    source = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).filter("id is not null")
+    marks = [f"m{i}" for i in range(MARKS)]
+    rows = cut(sketches(source))
+    nodes = cut(rows.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *[F.first(m).alias(m) for m in marks]))
+    spread = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    members = cut(spread.join(sizes, "bucket").select("bucket", "node", "pivot"))
+
+    own = lambda side: nodes.select(F.col("node").alias(side), *[F.col(m).alias(f"{side}_{m}") for m in marks])
+    stars = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    agree = F.lit(REGISTERS)
+    for m in marks:
+        agree = agree - F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}")))
+    stars = stars.join(own("a"), "a").join(own("b"), "b").filter(agree >= least_marks(threshold)).select("a", "b")
+    links = cut(verified(cut(stars), source, nodes, threshold, broadcast_ids))
     classes = connected_components(links, "a", "b")
-    labelled = members.join(classes, members.rep == classes.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(sets.withColumnRenamed("id", "rep"), "rep")
-    more = cut(tiled_links(open_, threshold).distinct())
-    if more.limit(1).count():
-        classes = connected_components(links.union(more), "a", "b")
-    members_of = copies.select("k1", "k2", "rep").join(classes, copies.rep == classes.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    out = rows.select("id", "k1", "k2").join(members_of, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id")
+    for best in (True, False):
+        labelled = members.join(classes, members.node == classes.node, "left").select("bucket", members.node, "pivot", F.coalesce("component", members.node).alias("label"))
+        more = cut(tiled_pairs(labelled.join(nodes.select("node", *marks), "node"), threshold, best))
+        if not more.limit(1).count():
+            break
+        found = cut(verified(more, source, nodes, threshold, broadcast_ids))
+        if found.limit(1).count():
+            links = links.union(found)
+            classes = connected_components(links, "a", "b")
+    of_node = nodes.select("node", "check", "rep").join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "check", "rep", "component")
+    of_class = of_node.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    of_node = of_node.join(of_class, "component", "left").select("node", "check", F.coalesce("least", "rep").alias("class_id"))
+    out = rows.select("id", "node", "check").join(of_node, ["node", "check"]).select(F.col("id").alias(id_col), "class_id")
     alone = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(out.schema["class_id"].dataType).alias("class_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
