@@ -7,13 +7,15 @@ are compared by the bit overlap of their filters, normalised so that overlap by
 
 A null text counts as empty.  A text shorter than a window is one feature, an empty one has none: its
 fingerprint is "0:", like only to another such (1.0).  Equal texts have equal fingerprints wherever they stand.
-Texts of any length are read whole.  Rows are ordered by (id, text), null ids first, so repeated ids and rows have
-a defined next row; the row after the last is the first, for a single row itself.
+Texts of any length are read whole.  Rows are ordered by (id, hash of the text, text), null ids first, so repeated ids and rows have
+a defined next row; the row after the last is the first, for a single row itself.  Ids may be of any type with an order.
+Only the id of the input's columns is returned, so others may have any name.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers
+from .common import cut, mix, powers
 
 WINDOW, NEIGHBOURS, POPULAR = 16, 32, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -170,48 +172,59 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def ranged(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
-    """(id, text, range, halo): rows dealt by ranges of the id, and at the end of each range the next range's first row.
+def ranged(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> DataFrame:
+    """(id, text, key, range, halo): rows dealt by ranges of (id, hash of the text), and in each range the next one's first row
+    as its halo.
 
-    The ranges come from a quantile sketch of the ids alone; only their bounds reach the driver.  A text is
-    shuffled once, but for the at most `ranges` halo rows.
+    The ranges come from a table of ids, hashes and sizes; only the first (id, hash) of each, one for every range_bytes of text, goes
+    to the driver and back.  A text is shuffled once, but for the first rows of ranges.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    splits = source.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
-    splits = sorted(set(splits))
-    step = max(1, int(len(splits) ** 0.5))
-    every = F.array(*[F.lit(x).cast("long") for x in splits]) if splits else F.array().cast("array<bigint>")
-    coarse = F.array(*[F.lit(x).cast("long") for x in splits[::step]]) if splits else every
-    block = F.size(F.filter(coarse, lambda s: s <= F.col("id")))
-    fine = F.size(F.filter(F.slice(every, F.greatest(F.lit(1), (block - 1) * step + 1), step), lambda s: s <= F.col("id")))
-    number = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + fine).cast("int")
-    source = source.withColumn("range", number)
-    firsts = {r[0]: (None if r[2] else r[1]) for r in source.groupBy("range").agg(F.min("id"), F.max(F.col("id").isNull())).collect()}
-    used = sorted(firsts)
-    before = {r: used[i - 1] for i, r in enumerate(used)}
-    n = max(used, default=0) + 1
-    first_of = F.array(*[F.lit(firsts.get(i)).cast("long") for i in range(n)])
-    before_of = F.array(*[F.lit(before.get(i, 0)) for i in range(n)])
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("halo"))
-    sent = F.struct(F.get(before_of, F.col("range")).alias("range"), F.lit(True).alias("halo"))
-    to = F.when(F.col("id").eqNullSafe(F.get(first_of, F.col("range"))), F.array(own, sent)).otherwise(F.array(own))
-    return source.select("id", "text", F.inline(to))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = 2000, block_bytes: int = 2 << 20) -> DataFrame:
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    keys = cut(source.select("id", "key", F.octet_length("text").alias("bytes")))
+    size = keys.agg(F.sum(F.col("bytes").cast("long"))).first()[0] or 0
+    dealt = keys.select("id", "key").repartitionByRange(max(16, -(-size // range_bytes)), "id", "key")
+    firsts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "key")).alias("first"))
+    splits = sorted((f.some, f.id, f.key) if f.some else (False, None, f.key) for (f,) in firsts.select("first").collect())
+    nulls, some = [k for s, _, k in splits if not s], [(i, k) for s, i, k in splits if s]
+    sent = docs.sparkSession.sparkContext.broadcast((nulls, some))
+
+    @F.arrow_udf("range int, first boolean")
+    def number(ids: pa.Array, keys: pa.Array) -> pa.Array:
+        nulls, some = sent.value
+        at, first = [], []
+        for i, k in zip(ids.to_pylist(), keys.to_pylist(), strict=True):
+            if i is None:
+                n = bisect_right(nulls, k) - 1
+                first.append(nulls[n] == k)
+                at.append(n)
+            else:
+                n = bisect_right(some, (i, k)) - 1
+                first.append(n >= 0 and some[n] == (i, k))
+                at.append(len(nulls) + n)
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(first, pa.bool_())], ["range", "first"])
+
+    n = max(1, len(splits))
+    own = F.struct(F.col("at.range").alias("range"), F.lit(False).alias("halo"))
+    before = F.struct(F.pmod(F.col("at.range") - 1, F.lit(n)).alias("range"), F.lit(True).alias("halo"))
+    to = F.when(F.col("at.first"), F.array(own, before)).otherwise(F.array(own))
+    return source.withColumn("at", number("id", "key")).select("id", "text", "key", F.inline(to))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """One row a document: its fingerprint, that of its edited text (the last half of its code points replaced by
     the start of the next document), and how like its own these and the next document's are."""
-    schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    dealt = ranged(docs, id_col, text_col, ranges).repartition("range").sortWithinPartitions("range", "halo", "id", "text")
+    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    schema = f"{id_col} {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    dealt = ranged(docs, id_col, text_col, range_bytes).repartition("range").sortWithinPartitions("range", "halo", "id", "key", "text").drop("key")
 
-    def rows(ids: list, texts: list[str], edits: list[str]) -> pa.RecordBatch:
+    def rows(ids: list, id_type: pa.DataType, texts: list[str], edits: list[str]) -> pa.RecordBatch:
         """texts has one more than ids: the row that follows the last."""
         raw = [e.encode() for e in edits]
         chains = digests([t.encode() for t in texts] + raw)
         own, changed = chains[: len(texts)], chains[len(texts) :]
         return pa.RecordBatch.from_pydict(
             {
-                id_col: pa.array(ids, pa.int64()),
+                id_col: pa.array(ids, id_type),
                 "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
                 "edited_sha256": [hashlib.sha256(r).hexdigest() for r in raw],
                 "fingerprint": [to_string(c) for c in own[:-1]],
@@ -233,7 +246,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if h and halo_seen and r == at:
                         continue
                     if ids and (h or size >= block_bytes) and r == at:
-                        yield rows(ids, [*texts, t], [edited(a, b) for a, b in zip(texts, [*texts[1:], t], strict=True)])
+                        yield rows(ids, batch.schema.field("id").type, [*texts, t], [edited(a, b) for a, b in zip(texts, [*texts[1:], t], strict=True)])
                         ids, texts, size = [], [], 0
                     at, halo_seen = r, h
                     if not h:
