@@ -26,6 +26,12 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("null"))) % m
 
 
+def free(name: str, taken) -> str:
+    """name, or where a column has it (in any case) name_1, name_2 and so on."""
+    used = {c.lower() for c in taken}
+    return next(x for i in range(len(used) + 1) if (x := name if i == 0 else f"{name}_{i}").lower() not in used)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and n + 1 offsets; a null is empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -6,7 +6,8 @@ and averages the windows' log-probabilities, weighted by the bytes they cover.
 
 A null text, or one without a letter, is `und` with score 0.  With no labelled text at all every document is
 `und`; with one label only, every other text gets that label.  Ties go to the label that sorts first.  Repeated
-rows get equal results; an empty table gives an empty table.
+rows get equal results; an empty table gives an empty table.  Columns of the input keep their names and values; a
+result whose name one of them has gets the name with _1.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, free
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
 UND = "und"
-#: The most characters of text that a sample holds.
+#: The most characters of text that a sample holds, by default.
 SAMPLE_CHARS = 64 << 20
 
 
@@ -112,11 +113,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 900, b
     return net
 
 
-def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col: str, most_chars: int | None = None) -> tuple[list[str], list[str]]:
     """The per_label texts of each label that come first by a hash of the id, at every size; of rows that tie, any.
 
-    Ids are cut before texts are read.  A label's texts that no longer fit its part of SAMPLE_CHARS are passed
-    over; its first is taken in any case, up to that length.
+    Ids are cut before texts are read.  A label's texts that no longer fit its part of most_chars (SAMPLE_CHARS if not given)
+    are passed over; its first is taken in any case, up to that length.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0))
     ids = known.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
@@ -124,7 +125,7 @@ def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col
     bounds = first.groupBy("l").agg(F.max("h").alias("last")).collect()
     if not bounds:
         return [], []
-    most = max(WINDOW, SAMPLE_CHARS // len(bounds))
+    most = max(WINDOW, (most_chars or SAMPLE_CHARS) // len(bounds))
     last = F.create_map(*[F.lit(v) for r in bounds for v in (r.l, r.last)])
     chosen = known.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.substring(F.col(text_col).cast("string"), 1, most).alias("t")).filter(F.col("h") <= last[F.col("l")])
     texts, langs, seen, held = [], [], dict.fromkeys((r.l for r in bounds), 0), dict.fromkeys((r.l for r in bounds), 0)
@@ -189,14 +190,16 @@ def identify(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", pred:
             yield pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], ["lang", "score"])
             pa.default_memory_pool().release_unused()
 
-    found = F.col("language_found")
-    out = docs.withColumn("language_found", label(F.col(text_col).cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], found["lang"].alias(pred), found["score"].alias(score))
+    found = free("language_found", docs.columns)
+    out = docs.withColumn(found, label(F.col(f"`{text_col}`").cast("string")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(found)["lang"].alias(free(pred, docs.columns)), F.col(found)["score"].alias(free(score, docs.columns)))
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, keep: tuple[str, ...] = (), pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, keep: tuple[str, ...] = (), pred: str = "lang_pred", score: str = "score", sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """id_col, the columns `keep`, pred and score of all of docs, after training on a bounded sample of them
-    (per_label texts of each label, ids with crc32 mod 5 <> 0)."""
-    net = train(*sample(docs, per_label, id_col, text_col, lang_col))
-    wide = identify(docs.select(*dict.fromkeys((id_col, *keep, text_col))), net, text_col, pred, score)
-    return wide.select(*dict.fromkeys((id_col, *keep)), pred, score)
+    (per_label texts of each label, ids with crc32 mod 5 <> 0, sample_chars characters in all; up to four windows of each)."""
+    net = train(*sample(docs, per_label, id_col, text_col, lang_col, sample_chars))
+    own = list(dict.fromkeys((id_col, *keep)))
+    text = free("text", (*own, pred, score))
+    wide = identify(docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").alias(text)), net, text, pred, score)
+    return wide.drop(text)

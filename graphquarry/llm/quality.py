@@ -7,6 +7,7 @@ labels, turns it into the score.
 
 A null or empty text has the feature 0, and so the score of the curve there.  Without labels of both classes the
 score is the share of label 1 (0.5 without labels).  Repeated rows get equal scores; an empty table gives an empty table.
+Columns of the input keep their names and values; if one of them has the name of the score, that gets the name with _1.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, free
 
 CHUNK, LEVEL, DICT_BYTES = 256, 3, 110 << 10
 CUT = 0.3
-#: The most bytes of text that a sample holds.
+#: The most bytes of text that a sample holds, by default.
 SAMPLE_BYTES = 64 << 20
 
 
@@ -92,19 +93,22 @@ def fit(texts: list[bytes], labels: list[int], prior: float | None = None) -> Mo
     return Model(good[0], bad[0], (good[1], bad[1]), slope, offset)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[bytes], list[int], float | None]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int], float | None]:
     """At most per_class labelled ids of each class, by the order of a hash; then their texts, and the share of label 1 in
-    all labels.  Only ids are sorted."""
+    all labels.  A class has half of most_bytes: its texts that no longer fit are passed over, its first is taken in any case, up
+    to that length."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     h = F.xxhash64(F.col(id_col), F.lit(13))
     ids = known.filter("label = 0").orderBy(h, id_col).limit(per_class).unionByName(known.filter("label = 1").orderBy(h, id_col).limit(per_class))
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(17)), "text").toLocalIterator()
-    texts, out, held = [], [], 0
+    most = max(1, most_bytes // 2)
+    text = F.substring(F.col(text_col).cast("string"), 1, most).alias("text")
+    rows = docs.select(F.col(id_col), text).join(F.broadcast(ids), id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(17)), "text").toLocalIterator()
+    texts, out, held = [], [], {0: 0, 1: 0}
     for r in rows:
-        raw = (r.text or "").encode()
-        held += len(raw)
-        if held > SAMPLE_BYTES:
-            break
+        raw = (r.text or "").encode()[:most]
+        if held[r.label] and held[r.label] + len(raw) > most:
+            continue
+        held[r.label] += len(raw)
         texts.append(raw)
         out.append(r.label)
     return texts, out, known.agg(F.avg("label")).first()[0]
@@ -130,12 +134,14 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", name: s
             yield pa.array(np.concatenate(scores), pa.float64())
             pa.default_memory_pool().release_unused()
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], rate(F.col(text_col).cast("string")).alias(name))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], rate(F.col(f"`{text_col}`").cast("string")).alias(free(name, docs.columns)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, keep: tuple[str, ...] = (), name: str = "score", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """id_col, the columns `keep` and the score of all of docs, after learning from a bounded sample of labels
-    (per_class ids of each class, crc32 mod 5 <> 0)."""
-    model = fit(*sample(docs, labels, per_class, id_col, text_col, label_col))
-    wide = score(docs.select(*dict.fromkeys((id_col, *keep, text_col))), model, text_col, name)
-    return wide.select(*dict.fromkeys((id_col, *keep)), name)
+    (per_class ids of each class, crc32 mod 5 <> 0, sample_bytes bytes of text in all)."""
+    model = fit(*sample(docs, labels, per_class, id_col, text_col, label_col, sample_bytes))
+    own = list(dict.fromkeys((id_col, *keep)))
+    text = free("text", (*own, name))
+    wide = score(docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").alias(text)), model, text, name)
+    return wide.drop(text)
