@@ -12,7 +12,8 @@ Everything is a column expression over one row: no shuffle, no join, nothing tha
 
 Null and empty texts, and those without a match, have null licence, score, piece and position, and 0 licences.
 Ties: the higher score, then the template that sorts first, then lines before paragraphs before the whole, then the
-earlier piece.  Repeated rows give equal rows; an empty table gives an empty table.
+earlier piece.  Repeated rows give equal rows; an empty table gives an empty table.  Columns of the input keep their names
+and values; n_lines or matches, where one of them has that name, get the name with _1.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 THRESHOLD = 0.8
 PIECES = ("line", "paragraph", "text")
 
@@ -82,8 +85,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
     ready = [prepare(k, v, threshold) for k, v in sorted((templates or TEMPLATES).items())]
     ready = [t for t in ready if t.n > 0]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    names = set(docs.columns)
-    norm, hits = (next(x for i in range(99) if (x := f"scan_{s}_{i}") not in names) for s in ("norm", "hits"))
+    norm, hits, n_lines, matches = (free(x, docs.columns) for x in ("scan_norm", "scan_hits", "n_lines", "matches"))
     df = docs.withColumn(norm, F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " "))
     anchors = F.array(*[F.lit(w) for w in sorted({w for t in ready for w in t.anchors})])
     everything = F.array(*[F.lit(g) for g in sorted({g for t in ready for g in t.grams})])
@@ -127,8 +129,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
     worth = F.arrays_overlap(F.split(F.col(norm), "[ \n]+"), anchors)
     return (
         df.withColumn(hits, F.when(worth, shape).otherwise(F.array().cast(kind)))
-        .withColumn("n_lines", F.when(text == "", 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("matches", F.col(hits).cast(kind))
+        .withColumn(n_lines, F.when(text == "", 0).otherwise(F.size(lines)).cast("long"))
+        .withColumn(matches, F.col(hits).cast(kind))
         .drop(norm, hits)
     )
 

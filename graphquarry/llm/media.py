@@ -5,7 +5,8 @@ overlapping frames, a short-time Fourier transform gives magnitudes, the stronge
 are paired with peaks of the next frames, and each pair is stored as a hash with the time of its first peak.
 
 Null and empty texts store one frame of padding and have no pairs; equal texts give equal values; a text of any
-length is read whole; repeated rows give repeated results; an empty table gives an empty table.
+length is read whole; repeated rows give repeated results; an empty table gives an empty table.  Only the id of the
+input's columns is returned, so others may have any name.
 """
 
 from __future__ import annotations

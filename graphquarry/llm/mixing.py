@@ -11,21 +11,28 @@ sorted whole.  Only the table of leaves is broadcast, if it has at most max_leav
 
 Null languages and sources are the label 'unknown'; null and empty texts have 0 tokens and take part in any start that
 reaches them.  Rows that repeat an id stand together in the order, and enter or stay out together.  Ties of the
-order go by id.  A label without a weight has weight 1; a weight of 0 gets nothing.  An empty table gives an empty table.
+order go by id.  A label without a weight has weight 1; a weight of 0 gets nothing.  An empty table gives an empty table.  Columns of the input keep their names and values; mix_domain
+or mix_epoch, where one of them has that name, get the name with _1.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_within, cut
+from .common import WORD, broadcast_within, cut, free
 
 LANG_WEIGHTS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 SHARE, EPOCHS, SEED = 0.6, 3, "mix-1"
 _TREE = ("mix_domain", "mix_lang", "mix_source")
-_DIGITS = 3
+
+
+def _digits(rows: int) -> int:
+    """Hexadecimal digits of the prefixes: 3, or more where the largest leaf would have over 4,096 rows a prefix."""
+    return max(3, math.ceil(math.log(max(1, rows) / 4096, 16))) if rows > 4096 else 3
 
 
 def tokens(text: Column) -> Column:
@@ -99,10 +106,12 @@ def mix(
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     tree = [domain.alias(_TREE[0]), lang.alias(_TREE[1]), source.alias(_TREE[2])]
     narrow = cut(docs.select(*tree, key.alias("mix_key"), tokens(F.col(text_col)).alias("mix_tokens")))
-    leaves = cut(budgets(narrow.groupBy(*_TREE).agg(F.sum("mix_tokens").alias("avail")), share, epochs, weights))
+    sizes = cut(narrow.groupBy(*_TREE).agg(F.sum("mix_tokens").alias("avail"), F.count(F.lit(1)).alias("rows")))
+    digits = _digits(sizes.agg(F.max("rows")).first()[0] or 0)
+    leaves = cut(budgets(sizes.drop("rows"), share, epochs, weights))
     leaf = list(_TREE)
     placed = narrow.join(broadcast_within(leaves, max_leaves), leaf).withColumn("mix_place", _place(seed, F.col("passes"), F.col("mix_key")))
-    placed = placed.withColumn("mix_prefix", F.substring("mix_place", 1, _DIGITS))
+    placed = placed.withColumn("mix_prefix", F.substring("mix_place", 1, digits))
     sums = placed.groupBy(*leaf, "rest", "mix_prefix").agg(F.sum("mix_tokens").alias("t"))
     sums = sums.withColumn("upto", F.sum("t").over(W.partitionBy(*leaf).orderBy("mix_prefix").rowsBetween(W.unboundedPreceding, 0)))
     ends = cut(sums.filter("upto > rest and upto - t <= rest").select(*leaf, F.col("mix_prefix").alias("end_prefix"), (F.col("upto") - F.col("t")).alias("end_before")))
@@ -110,13 +119,12 @@ def mix(
     last = last.withColumn("upto", F.col("end_before") + F.sum("t").over(W.partitionBy(*leaf).orderBy("mix_place").rowsBetween(W.unboundedPreceding, 0)))
     last = last.groupBy(*leaf).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("mix_place"))), F.max("end_prefix")).alias("end"))
     chosen = cut(leaves.select(*leaf, "passes").join(last, leaf, "left").select(*[F.col(c).alias(f"{c}_of") for c in leaf], F.col("passes").alias("mix_passes"), F.coalesce("end", F.lit("z")).alias("mix_end")))
-    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {"mix_domain", "mix_epoch"}], *[t.alias(f"{c}_own") for t, c in zip((domain, lang, source), leaf, strict=True)], key.alias("mix_key_own"))
-    match = [F.col(f"{c}_own") == F.col(f"{c}_of") for c in leaf]
-    taken = wide.join(broadcast_within(chosen, max_leaves), match)
-    times = F.col("mix_passes") + (_place(seed, F.col("mix_passes"), F.col("mix_key_own")) <= F.col("mix_end")).cast("int")
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)], *tree, key.alias("mix_key"))
+    taken = wide.join(broadcast_within(chosen, max_leaves), [F.col(c) == F.col(f"{c}_of") for c in leaf])
+    times = F.col("mix_passes") + (_place(seed, F.col("mix_passes"), F.col("mix_key")) <= F.col("mix_end")).cast("int")
     taken = taken.withColumn("mix_times", times).filter("mix_times > 0")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in {"mix_domain", "mix_epoch"}]
-    return taken.select(*own, F.col(f"{_TREE[0]}_own").alias("mix_domain"), F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)).alias("mix_epoch"))
+    own = [F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return taken.select(*own, F.col(_TREE[0]).alias(free("mix_domain", docs.columns)), F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)).alias(free("mix_epoch", docs.columns)))
 
 
 def oracle_sql() -> str:

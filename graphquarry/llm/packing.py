@@ -6,11 +6,12 @@ bounds with the least padding.  A bound is a length that occurs; buckets are cut
 Every document is padded to its bucket's bound, so a batch of a bucket holds budget // bound documents (one, where a
 document is longer than the budget).  Inside a bucket documents stand in a seeded order and are cut into
 batches by their rank, which is found from counts over prefixes of that order and a rank inside each prefix: no
-bucket is ever ranked in one task.
+bucket is ever ranked in one task.  A row without an id stands by a hash of its text.
 
 Null and empty texts have length 0 and share the first bucket; its bound is at least 1.  Ties of the order go by id, and
 among rows that repeat an id arbitrarily.  Fewer distinct lengths than buckets give as many buckets as lengths.  An
-empty table gives an empty table.
+empty table gives an empty table.  The columns `keep` keep their names and values; a result whose name one of them (or the
+id) has gets the name with _1.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import free
 from .mixing import tokens
 
 BUCKETS, BUDGET, SEED = 12, 16_384, "pack-1"
@@ -65,8 +67,8 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, bucke
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, `keep`, n_tokens, bucket, bound, batch (within the bucket) and slot (within the batch), a row a document."""
     names = dict.fromkeys((id_col, *keep))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rows = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], tokens(F.col(text_col)).alias("n"), F.concat(F.md5(F.concat(F.lit(f"{seed}:"), key)), F.lit(":"), F.lpad(key, 20, "0")).alias("place"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.col(text_col)).cast("string")))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], tokens(F.col(text_col)).alias("n"), F.concat(F.md5(F.concat(F.lit(f"{seed}:"), key)), F.lit(":"), F.lpad(key, 20, "0")).alias("place"))
     histogram = sorted(tuple(r) for r in rows.groupBy(cell(F.col("n")).alias("c")).agg(F.max("n"), F.count(F.lit(1)), F.sum("n")).collect())  # bounded by the grid
     bounds = best_bounds(*(np.array([float(r[i]) for r in histogram]) for i in (1, 2, 3)), buckets)
     total = sum(r[2] for r in histogram)
@@ -85,9 +87,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     ranked = rows.join(counts, ["bucket", "prefix"]).withColumn("rank", rank)
     return ranked.select(
         *[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)],
-        F.col("n").alias("n_tokens"),
-        "bucket",
-        "bound",
-        F.floor(F.col("rank") / size).cast("long").alias("batch"),
-        (F.col("rank") % size).cast("long").alias("slot"),
+        F.col("n").alias(free("n_tokens", names)),
+        F.col("bucket").alias(free("bucket", names)),
+        F.col("bound").alias(free("bound", names)),
+        F.floor(F.col("rank") / size).cast("long").alias(free("batch", names)),
+        (F.col("rank") % size).cast("long").alias(free("slot", names)),
     )

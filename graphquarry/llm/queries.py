@@ -69,7 +69,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_columns(table(spark, sf_dir, "documents"), keep_media=False)
-    return out.withColumn("n_pairs", F.size("pairs").cast("long")).drop("times", "pairs")
+    return out.withColumn("n_pairs", F.size("pairs").cast("long"))
 
 
 @query

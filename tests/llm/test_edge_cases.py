@@ -134,3 +134,59 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
             if i < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns
             assert out.count() >= 0
+
+
+def test_names_that_clash_keep_their_values(spark):
+    names = ("n_lines", "matches", "scan_norm", "language_found", "lang_pred", "score", "mix_domain", "mix_epoch", "mix_end", "mix_key", "bucket", "n_tokens", "slot", "in_0", "Text_1")
+    rows = [(1, "one two three MIT", "en", "a"), (2, "four five six seven", "fr", "b"), (3, "The one with some words", "en", "a")]
+    docs = spark.createDataFrame([(*r, *[f"{n} of {r[0]}" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    labels = labels_of(spark)
+    outs = {
+        "licenses": (licenses.scan(docs), {"n_lines_1", "matches_1"}),
+        "mixing": (mixing.mix(docs, share=1.0), {"mix_domain_1", "mix_epoch_1"}),
+        "language": (language.language_id(docs, keep=names), {"lang_pred_1", "score_1"}),
+        "quality": (quality.quality(docs, labels, keep=names), {"score_1"}),
+        "packing": (packing.pack(docs, keep=names), {"bucket_1", "n_tokens_1", "slot_1", "bound", "batch"}),
+    }
+    for name, (out, new) in outs.items():
+        assert new <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+        got = out.collect()
+        assert got and all(r[n] == f"{n} of {r.doc_id}" for r in got for n in names), name
+
+
+def test_samples_pass_over_texts_that_do_not_fit(spark):
+    rows = [(i, "the words of this text " * (4000 if i < 40 else 2), "en", "a") for i in range(80)] + [(100 + i, "les mots de ce texte " * (4000 if i < 40 else 2), "fr", "b") for i in range(80)]
+    docs = docs_of(spark, rows)
+    for limit in (1000, 20_000, 1 << 20):
+        out = {r.doc_id: r for r in language.language_id(docs, sample_chars=limit).collect()}
+        assert sum(r.lang_pred == ("en" if i < 100 else "fr") for i, r in out.items()) > 150, limit
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, *_ in rows], "doc_id long, quality int")
+    texts, kinds, share = quality.sample(docs, labels, 3000, "doc_id", "text", "quality", 20_000)
+    assert sum(map(len, texts)) <= 20_000 and 0.3 < share < 0.7 and min(kinds.count(0), kinds.count(1)) >= 10
+    assert {r.score > 0.5 for r in quality.quality(docs, labels, sample_bytes=20_000).collect() if r.doc_id < 100} == {True}
+
+
+def test_fingerprints_of_ids_of_any_type(spark):
+    rows = [(f"id {i % 7}" if i % 3 else None, f"text number {i} of some words and then {i * i}") for i in range(90)] + [("same", "same text")] * 12
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    out = {n: sorted(map(repr, fingerprint.fingerprints(docs, range_bytes=n).collect())) for n in (64, 1 << 20)}
+    assert out[64] == out[1 << 20] and len(out[64]) == len(rows)
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).collect()
+    order.sort(key=lambda r: (r.doc_id is not None, r.doc_id or "", r.key, r.text))
+    want = [fingerprint.likeness(*fingerprint.digests([a.text.encode(), b.text.encode()])) for a, b in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(f"{x:.9f}" for x in want) == sorted(f"{r.near_next:.9f}" for r in fingerprint.fingerprints(docs, range_bytes=64).collect())
+
+
+def test_rows_without_ids_are_spread(spark):
+    turns = spark.range(4000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in chat.ordered(turns).groupBy("range").count().collect()]
+        assert max(sizes) < 2000
+        out = sorted(chat.chat_format(turns.union(turns)).collect(), key=lambda r: r.part)
+        assert len(out) == 20 and "".join(r.rendered for r in out) == "".join(f"<|im_start|>user\nt{i:05d}<|im_end|>\n" for i in range(4000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    packed = packing.pack(docs).collect()
+    assert len({(r.batch, r.slot) for r in packed}) == 300
