@@ -90,14 +90,26 @@ def whole(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
 
 
+#: In steps of 32 bits, this stands for a step so long of which the next number is a part.
+_FAR = np.uint64((1 << 32) - 1)
+
+
 def to_steps(h: np.ndarray, short: bool) -> bytes:
-    """Sorted hashes of one slice as the steps between them; short: without their last two bytes, which are 0."""
-    return small(np.diff(h >> np.uint64(16) if short else h, prepend=np.uint64(0)))
+    """Sorted hashes of one slice, less its start, as the steps between them; short: without their last two bytes, which are 0, and in
+    32 bits."""
+    if not short:
+        return h.astype("<u8").tobytes()
+    far, rest = np.divmod(np.diff(h >> np.uint64(16), prepend=np.uint64(0)), _FAR)
+    out = np.full(len(h) + int(far.sum()), _FAR, "<u4")
+    out[np.arange(len(h)) + np.cumsum(far).astype(np.int64)] = rest
+    return out.tobytes()
 
 
 def from_steps(raw: bytes, start: np.uint64, short: bool) -> np.ndarray:
-    h = np.cumsum(whole(raw), dtype=np.uint64)
-    return (h << np.uint64(16) if short else h) + start
+    if not short:
+        return np.frombuffer(raw, "<u8") + start
+    steps = np.frombuffer(raw, "<u4")
+    return (np.cumsum(steps, dtype=np.uint64)[steps != _FAR] << np.uint64(16)) + start
 
 
 def slice_start(slice_: int, slices: int) -> np.uint64:
@@ -217,7 +229,7 @@ def dealt(held: DataFrame, slices: int) -> DataFrame:
                         start = slice_start(s, slices)
                         for k, (h, c), e in zip(KINDS, own, cuts, strict=True):
                             out[k].append(to_steps(h[e[s] : e[s + 1]] - start, k != "words"))
-                            out[f"n_{k}"].append(small(c[e[s] : e[s + 1]]))
+                            out[f"n_{k}"].append(squeezed(c[e[s] : e[s + 1]]))
                     yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     return held.mapInArrow(run, DEALT)
@@ -230,7 +242,7 @@ def gathered(t: pa.Table, slices: int, room: int) -> tuple[np.ndarray, list[tupl
     kinds = []
     for k in KINDS:
         own = [from_steps(raw, start, k != "words") for raw in t.column(k).to_pylist()]
-        counts = np.concatenate([whole(raw) for raw in t.column(f"n_{k}").to_pylist()]).astype(np.int64)
+        counts = np.concatenate([spread(raw) for raw in t.column(f"n_{k}").to_pylist()]).astype(np.int64)
         h, at = np.unique(np.concatenate(own), return_inverse=True)
         kinds.append((h, np.bincount(at, counts, len(h)).astype(np.int64), at, np.cumsum([len(x) for x in own])))
     return filled([(h[c > 0], level_of(c[c > 0])) for h, c, _, _ in kinds], room), kinds
@@ -280,11 +292,11 @@ def answers(rows: DataFrame, slices: int, room: int) -> DataFrame:
     return rows.groupBy("slice").applyInArrow(answer, f"{ANSWERS}, {STATS}")
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, small_bytes: int = 32 << 20, head_words: int = 1 << 20, block_bytes: int = 6 << 20, trust: tuple[float, float] = (300.0, 4.0), room: int = ROOM) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, small_bytes: int = 32 << 20, head_words: int = 1 << 20, block_bytes: int = 8 << 20, trust: tuple[float, float] = (300.0, 4.0), room: int = ROOM) -> DataFrame:
     """id, held_out (learn is not true), n_tokens, n_known, train_tokens, base_score, score; a row a document.
 
     small_bytes and head_words bound what is broadcast (at most twice small_bytes, and 16 bytes a word), not what the model holds.
-    There is a slice for every 8 MB of text, 2^18 at most; trust is that of one and of two
+    There is a slice for every 4 MB of text, 2^18 at most; trust is that of one and of two
     words before, room the bits of the filter for each entry.
     """
     spark = docs.sparkSession
@@ -293,7 +305,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), text)
     held = cut(blocked(source, block_bytes))
     size = held.agg(F.sum("bytes")).first()[0] or 0
-    slices = slices or min(1 << 18, max(64, 1 << max(0, (size >> 23) - 1).bit_length()))
+    slices = slices or min(1 << 18, max(64, 1 << max(0, (size >> 22) - 1).bit_length()))
     rows = dealt(held, slices)
     schema = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
