@@ -93,3 +93,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
         F.floor(F.col("rank") / size).cast("long").alias(free("batch", names)),
         (F.col("rank") % size).cast("long").alias(free("slot", names)),
     )
+
+
+def oracle_sql() -> str:
+    """The same buckets and batches as DuckDB SQL: a table for each number of buckets, and one window over each whole bucket."""
+    word = "[^\\x20\\t\\n\\x0B\\f\\r]+"
+    step = "CAST(pow(2, greatest(0, length(bin(n)) - 8)) AS BIGINT)"
+    levels = ",\n".join(
+        f"b{i} AS MATERIALIZED (SELECT h.j, h.ck, h.cs, min({{'c': p.m.c + h.mx * (h.ck - p.ck) - (h.cs - p.cs), 'i': p.j, 'l': list_append(p.m.l, h.mx)}}) AS m FROM b{i - 1} p JOIN h ON h.j > p.j GROUP BY h.j, h.ck, h.cs)"
+        for i in range(1, BUCKETS + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT {i} AS b, j, m.l AS l FROM b{i}" for i in range(1, BUCKETS + 1))
+    return f"""
+WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{word}')) AS BIGINT) AS n, md5('{SEED}:' || doc_id) || ':' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS place FROM documents),
+g AS (SELECT (n + {step} - 1) // {step} * {step} AS c, max(n) AS mx, count(*) AS k, sum(n) AS s FROM d GROUP BY 1),
+h AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY c) AS BIGINT) AS j, mx, CAST(sum(k) OVER (ORDER BY c) AS BIGINT) AS ck, CAST(sum(s) OVER (ORDER BY c) AS BIGINT) AS cs FROM g),
+b0 AS (SELECT CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS ck, CAST(0 AS BIGINT) AS cs, {{'c': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'l': CAST([] AS BIGINT[])}} AS m),
+{levels},
+l AS (SELECT l FROM ({every}) WHERE j = (SELECT max(j) FROM h) AND b = (SELECT least({BUCKETS}, max(j)) FROM h)),
+u AS (SELECT unnest(l) AS top, generate_subscripts(l, 1) - 1 AS bucket FROM l),
+w AS (SELECT d.*, (SELECT min(bucket) FROM u WHERE top >= d.n) AS bucket FROM d),
+x AS (SELECT w.*, greatest(1, u.top) AS bound, row_number() OVER (PARTITION BY w.bucket ORDER BY place) - 1 AS r FROM w JOIN u USING (bucket))
+SELECT doc_id, n AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(bound AS BIGINT) AS bound, CAST(r // greatest(1, {BUDGET} // bound) AS BIGINT) AS batch, CAST(r % greatest(1, {BUDGET} // bound) AS BIGINT) AS slot FROM x"""

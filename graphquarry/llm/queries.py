@@ -66,6 +66,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op6_packing"] = packing.oracle_sql()
+
+
 @query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_columns(table(spark, sf_dir, "documents"), keep_media=False)
