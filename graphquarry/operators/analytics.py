@@ -49,8 +49,25 @@ def language_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.round(F.sum("bytes") / 1048576, 6).alias("mb"))
 
 
-def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
-    """(user_id, session, n, first, last): runs of a user's events without a gap of gap_seconds."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp")) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
-    return events.withColumn("new", new).withColumn("session", F.sum("new").over(order)).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+def sessions(events: DataFrame, gap_seconds: int, block_seconds: int = 3600) -> DataFrame:
+    """(user_id, session, n, first, last): runs of a user's events without a gap of gap_seconds.
+
+    Events are compared and numbered inside blocks of time, and mended by small tables of (user, block), so a user with a large share
+    of all events is spread over tasks.  Events without a time are of the first session.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = events.withColumn("at", at).withColumn("block", F.coalesce(F.floor(F.col("at") / (block_seconds * 1_000_000)), F.lit(-(1 << 62))))
+    key, blocks = ("user_id", "block"), W.partitionBy("user_id").orderBy("block")
+
+    def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+        totals = totals.withColumnsRenamed({k: f"of_{k}" for k in key})
+        return rows.join(totals, rows.user_id.eqNullSafe(F.col("of_user_id")) & (rows.block == F.col("of_block"))).drop(*[f"of_{k}" for k in key])
+
+    ends = own.groupBy(*key).agg(F.max("at").alias("last_at")).select(*key, F.lag("last_at").over(blocks).alias("before"))
+    inside = W.partitionBy(*key).orderBy("ts", "event_id")
+    rows = with_totals(own, ends)
+    rows = rows.withColumn("new", F.coalesce((F.col("at") - F.coalesce(F.lag("at").over(inside), "before") > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
+    rows = rows.withColumn("local", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    offsets = rows.groupBy(*key).agg(F.sum("new").alias("k")).select(*key, F.coalesce(F.sum("k").over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    numbered = with_totals(rows, offsets).withColumn("session", F.col("offset") + F.col("local"))
+    return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,34 +14,54 @@ from ..functions import words
 from ..plans.materialise import broadcast_blocks
 
 
-def reference_edges(symbols: DataFrame) -> DataFrame:
-    """(source, target, symbol): users of a symbol to its definitions, from (node_id, name, kind); noisy symbols aside."""
-    own = symbols.filter(~T.noisy_symbol(F.col("name")))
+def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target, symbol): users of a symbol to its definitions, from (node_id, name, kind); noisy symbols, and those of the
+    project that `noise` names, aside."""
+    own = symbols.filter(~T.noisy_symbol(F.col("name")) & ~F.col("name").isin(*noise))
     defs = own.filter("kind = 'definition'").select(F.col("node_id").alias("target"), F.col("name").alias("symbol"))
     refs = own.filter("kind IN ('reference', 'call', 'import')").select(F.col("node_id").alias("source"), F.col("name").alias("symbol")).distinct()
     return refs.join(defs, "symbol").filter("source <> target").select("source", "target", "symbol").distinct()
 
 
-def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, max_df: int | None = None) -> DataFrame:
-    """(source, target, score): pairs of nodes by the Jaccard similarity of their names, from (node_id, name).
+def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, sources: DataFrame | None = None) -> DataFrame:
+    """(source, target, score, rank): pairs of nodes by the Jaccard similarity of their names, from (node_id, name).
 
-    An inverted-index join on the names, no cross join; each lower node keeps its `most` best.  max_df, off by
-    default, drops names that more nodes have.
+    A score over the threshold takes more than threshold * n of a node's n names in common, so each node is looked up by all
+    but its floor(threshold * n) most frequent names, which leaves the hottest names out of the join; the pairs found are
+    compared by their whole lists of names.  Each lower node keeps its `most` best.  With `sources` (node_id), only the edges of these
+    as lower nodes are made.
     """
     own = names.select("node_id", F.lower("name").alias("name")).distinct()
-    sizes = own.groupBy("node_id").agg(F.count(F.lit(1)).alias("size"))
-    if max_df is not None:
-        rare = own.groupBy("name").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= max_df).select("name")
-        own = own.join(rare, "name")
-    a, b = own.select(F.col("node_id").alias("source"), "name"), own.select(F.col("node_id").alias("target"), "name")
-    both = a.join(b, "name").filter("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("both"))
-    na, nb = sizes.select(F.col("node_id").alias("source"), F.col("size").alias("na")), sizes.select(F.col("node_id").alias("target"), F.col("size").alias("nb"))
-    score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    scored = both.join(na, "source").join(nb, "target").select("source", "target", score.alias("score")).filter(F.col("score") > threshold)
+    df = own.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
+    lists = own.join(df, "name").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("l"))
+    lists = lists.select("node_id", F.transform("l", lambda x: x["name"]).alias("names"))
+    looked_up = lists.select("node_id", F.explode(F.slice("names", 1, F.size("names") - F.floor(F.size("names") * threshold + 1e-9).cast("int"))).alias("name"))
+    own_side = looked_up if sources is None else looked_up.join(sources, "node_id", "left_semi")
+    a, b = own_side.select(F.col("node_id").alias("source"), "name"), looked_up.select(F.col("node_id").alias("target"), "name")
+    pairs = a.join(b, "name").filter("source < target").select("source", "target").distinct()
+    x, y = lists.select(F.col("node_id").alias("source"), F.col("names").alias("x")), lists.select(F.col("node_id").alias("target"), F.col("names").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    scored = pairs.join(x, "source").join(y, "target").select("source", "target", (both / (F.size("x") + F.size("y") - both)).alias("score")).filter(F.col("score") > threshold)
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "target"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(T.strings([]))
+
+
+def by_rarest(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, id): of needles (needle, keys) and texts (id, keys), the pairs where the text has the needle's rarest key: all that can
+    match, where a match needs every key of the needle.  Needles without keys are not looked up."""
+    index = texts.select("id", F.explode("keys").alias("key"))
+    wanted = needles.select("needle", F.explode(F.array_distinct("keys")).alias("key"))
+    found = index.join(wanted.select("key").distinct(), "key", "left_semi")
+    df = found.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = wanted.join(df, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r")).select("needle", F.col("r.key").alias("key"))
+    return rarest.join(index, "key").select("needle", "id")
+
+
 def active(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are among the nodes."""
     n = nodes.select("node_id")
@@ -95,16 +115,23 @@ def conversation_links(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, ref, target, rule): references of conversations to the nodes they name, by the first rule that holds:
     path (in the path), name (is or is in the file name), content (a whole word of the content).
 
-    references: (conv_id, ref); nodes: (node_id, path, content).  A substring condition has no equi-join, so the distinct
-    references go to the nodes in parts of a checked size.
+    references: (conv_id, ref); nodes: (node_id, path, content).  A reference is looked up by its rarest three characters among
+    those of the paths, and by its rarest word among those of the contents; what is found is checked in full.  Only references too
+    short for that go to all nodes, in parts of a checked size.
     """
     low, path = F.lower("ref"), F.lower("path")
     name = F.element_at(F.split(path, "/"), -1)
     quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.col("ref"), F.lit(r"\E($|[^\p{L}\p{N}_])"))
     rule = F.when(F.contains(path, low), "path").when((name == low) | F.contains(name, low), "name").when(F.contains("content", F.col("ref")) & F.regexp_like("content", quoted), "content")
-    parts = broadcast_blocks(references.select("ref").distinct())
-    hits = reduce(DataFrame.unionByName, [nodes.join(p, rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule")) for p in parts])
-    return references.join(hits, "ref").select(F.col("conv_id").alias("source"), "ref", "target", "rule")
+    refs = references.select("ref").distinct()
+    in_path = by_rarest(refs.select(F.col("ref").alias("needle"), grams(low).alias("keys")), nodes.select(F.col("node_id").alias("id"), grams(path).alias("keys")))
+    in_content = by_rarest(refs.select(F.col("ref").alias("needle"), T.runs(F.col("ref")).alias("keys")), nodes.select(F.col("node_id").alias("id"), F.array_distinct(T.runs(F.col("content"))).alias("keys")))
+    pairs = in_path.union(in_content).distinct().select(F.col("needle").alias("ref"), F.col("id").alias("node_id"))
+    hits = pairs.join(nodes, "node_id").filter(rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule"))
+    short = refs.filter((F.length("ref") < 3) | (F.size(T.runs(F.col("ref"))) == 0))
+    for part in broadcast_blocks(short):
+        hits = hits.unionByName(nodes.join(part, rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule")))
+    return references.join(hits.distinct(), "ref").select(F.col("conv_id").alias("source"), "ref", "target", "rule")
 
 
 def doc_mentions(entities: DataFrame, docs: DataFrame) -> DataFrame:
@@ -115,16 +142,40 @@ def doc_mentions(entities: DataFrame, docs: DataFrame) -> DataFrame:
 
 def endpoint_match(ends: DataFrame, nodes: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, node_id, how): the node of a relation's end, by exact entity name, else where the name occurs: path,
-    title, content.  Ties: the least node."""
+    title, content.  Ties: the least node.
+
+    A name is looked up by its rarest three characters in each of the three; only shorter names go to all nodes, in parts.
+    """
     low = F.lower("name")
     exact = ends.join(entities.select(F.lower("entity").alias("k"), "node_id"), low == F.col("k")).select("name", "node_id", F.lit(4).alias("w"))
     w = F.when(F.contains(F.lower("path"), low), 3).when(F.contains(F.lower("title"), low), 2).when(F.contains(F.lower("content"), low), 1)
-    loose = reduce(DataFrame.unionByName, [nodes.join(p, w.isNotNull()).select("name", "node_id", w.alias("w")) for p in broadcast_blocks(ends.select("name").distinct())])
+    names = ends.select("name").distinct()
+    keys = names.select(F.col("name").alias("needle"), grams(low).alias("keys"))
+    found = [by_rarest(keys, nodes.select(F.col("node_id").alias("id"), grams(F.lower(c)).alias("keys"))) for c in ("path", "title", "content")]
+    pairs = reduce(DataFrame.union, found).distinct().select(F.col("needle").alias("name"), F.col("id").alias("node_id"))
+    loose = pairs.join(nodes, "node_id").filter(w.isNotNull()).select("name", "node_id", w.alias("w"))
+    for part in broadcast_blocks(names.filter(F.length("name") < 3)):
+        loose = loose.unionByName(nodes.join(part, w.isNotNull()).select("name", "node_id", w.alias("w")))
     rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("w"), "node_id"))
     how = F.element_at(T.strings(["content", "title", "path", "entity"]), F.col("w"))
     return exact.unionByName(loose).withColumn("r", rank).filter("r = 1").select("name", "node_id", how.alias("how"))
 
 
+def quoted_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(quote, n): how many documents (doc_id, text) have each of the distinct quotes (quote) that any has.
+
+    A quote is looked up by the rarest of its words but the first and the last, which may be cut; quotes without such a word
+    go to all documents, in parts.
+    """
+    inner = F.slice(T.runs(F.col("quote")), 2, F.greatest(F.size(T.runs(F.col("quote"))) - 2, F.lit(0)))
+    keys = quotes.select(F.col("quote").alias("needle"), inner.alias("keys"))
+    pairs = by_rarest(keys, docs.select(F.col("doc_id").alias("id"), F.array_distinct(T.runs(F.col("text"))).alias("keys")))
+    hits = pairs.select(F.col("needle").alias("quote"), F.col("id").alias("doc_id")).join(docs, "doc_id").filter(F.contains("text", "quote")).select("quote")
+    for part in broadcast_blocks(quotes.filter(F.size(inner) < 1).select("quote")):
+        hits = hits.union(docs.join(part, F.contains("text", "quote")).select("quote"))
+    return hits.groupBy("quote").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lifted(retrieved: DataFrame, nodes: DataFrame, levels: int = 2, most: int = 5) -> DataFrame:
     """(query_id, node_id, path, rank): documents of the folders above retrieved nodes, not retrieved themselves.
 

@@ -130,7 +130,7 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compression(model(spark, sf_dir, "aliases"))
 
 
-_CAND = "SELECT 's:' || s_suppkey AS entity_id, CASE s_suppkey % 3 WHEN 0 THEN 'cobalt' WHEN 1 THEN 'Nova' ELSE 'zinc' END || s_suppkey AS name FROM supplier WHERE s_suppkey < 5"
+_CAND = "SELECT 's:' || s_suppkey AS entity_id, CASE s_suppkey % 3 WHEN 0 THEN 'cobalt' WHEN 1 THEN 'Nova' ELSE 'zinc' END || s_suppkey AS name FROM supplier"
 
 
 @query(f"WITH cd AS ({_CAND}) SELECT mention_id, entity_id FROM mentions JOIN cd ON lower(substr(surface, 1, 1)) = lower(substr(name, 1, 1))")

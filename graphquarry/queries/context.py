@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import context as C
+from ..operators import edges as E
 from ..operators import retrieval as R
 from ..plans import query as Q
-from ..plans.materialise import broadcast_blocks, cut
+from ..plans.materialise import cut
 from .registry import query, sql, table
 from .retrieval import _BM25, _TOP
 
@@ -132,7 +131,7 @@ def node_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, _WEIGH).select("node", R.rounded(score).alias("importance"))
 
 
-_QUOTED = "SELECT doc_id AS answer_id, 'As stated, \"' || substr(text, 3, 30) || '\" and \"short\".' AS response FROM documents WHERE doc_id % 10 = 0 AND length(text) > 40"
+_QUOTED = "SELECT doc_id AS answer_id, 'As stated, \"' || substr(text, 3, 30) || '\" and \"short\".' AS response FROM documents WHERE doc_id % 100 = 0 AND length(text) > 40"
 
 
 @query(
@@ -140,9 +139,7 @@ _QUOTED = "SELECT doc_id AS answer_id, 'As stated, \"' || substr(text, 3, 30) ||
 SELECT answer_id, quote, count(*) AS n FROM x JOIN documents d ON contains(d.text, quote) GROUP BY answer_id, quote"""
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted spans found in documents; the quotes go to the documents in parts of a checked size."""
+    """Quoted spans of every hundredth document's answer, found in all documents."""
     quotes = sql(spark, sf_dir, _QUOTED).select("answer_id", F.explode(F.regexp_extract_all("response", F.lit('"([^"]{20,})"'), F.lit(1))).alias("quote"))
-    docs = table(spark, sf_dir, "documents").select("text")
-    hits = [docs.join(p, F.contains("text", "quote")).select("quote") for p in broadcast_blocks(quotes.select("quote").distinct())]
-    found = reduce(DataFrame.union, hits).groupBy("quote").agg(F.count(F.lit(1)).alias("n"))
+    found = E.quoted_in(quotes.select("quote").distinct(), table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quotes.join(found, "quote").select("answer_id", "quote", "n")

@@ -31,7 +31,7 @@ def khop_reference_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(sql(spark, sf_dir, _SEEDS), G.adjacency(model(spark, sf_dir, "edges")), schema.MAX_HOPS)
 
 
-_PARTS = "SELECT 'p:' || p_partkey AS node FROM part WHERE p_partkey % 400 = 0"
+_PARTS = "SELECT 'p:' || p_partkey AS node FROM part WHERE p_partkey % 100 = 0"
 
 
 @query(_BFS(f"{_B} WHERE type IN ('reference', 'call')", _PARTS, 3))
@@ -151,7 +151,7 @@ def active_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.active(model(spark, sf_dir, "edges"), model(spark, sf_dir, "nodes").filter("type = 'code'")).select("source", "target", "type", "ord")
 
 
-@query("SELECT source, target, type, ord FROM edges WHERE source NOT IN (SELECT target FROM edges WHERE type = 'supersedes')")
+@query("SELECT e.source, e.target, e.type, e.ord FROM edges e LEFT JOIN (SELECT DISTINCT target FROM edges WHERE type = 'supersedes') s ON s.target = e.source WHERE s.target IS NULL")
 def temporal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges whose source nothing supersedes."""
     return E.without_superseded(model(spark, sf_dir, "edges")).select("source", "target", "type", "ord")
@@ -230,8 +230,8 @@ def enrich_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.enriched(sql(spark, sf_dir, _RESULTS), model(spark, sf_dir, "edges"))
 
 
-_RETRIEVED = "SELECT CAST(p_partkey % 20 AS BIGINT) AS query_id, 'p:' || p_partkey AS node_id, 'src/' || lower(p_type) || '/x/' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 5 = 0"
-_DOCS = "SELECT 'd' || p_partkey AS node_id, 'src/' || lower(p_type) || CASE p_partkey % 3 WHEN 0 THEN '/readme.md' WHEN 1 THEN '/x/__init__.py' ELSE '/x/overview.md' END AS path FROM part WHERE p_partkey < 60"
+_RETRIEVED = "SELECT CAST(p_partkey % 20 AS BIGINT) AS query_id, 'p:' || p_partkey AS node_id, 'src/' || lower(p_type) || '/x/' || p_partkey || '.py' AS path FROM part"
+_DOCS = "SELECT 'd' || p_partkey AS node_id, 'src/' || lower(p_type) || CASE p_partkey % 3 WHEN 0 THEN '/readme.md' WHEN 1 THEN '/x/__init__.py' ELSE '/x/overview.md' END AS path FROM part"
 
 
 @query(
@@ -257,7 +257,7 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merged(sql(spark, sf_dir, _OLD), sql(spark, sf_dir, _NEW), sql(spark, sf_dir, _RW)).select("source", "target", "type", "ord")
 
 
-_PLAN = "SELECT 'n' || p_partkey AS node, 'n' || (p_partkey // 3) AS \"on\" FROM part WHERE p_partkey > 0 AND p_partkey < 400 UNION ALL SELECT 'x1', 'x2' UNION ALL SELECT 'x2', 'x1' UNION ALL SELECT 'x3', 'x1'"
+_PLAN = "SELECT 'n' || p_partkey AS node, 'n' || (p_partkey // 3) AS \"on\" FROM part WHERE p_partkey > 0 UNION ALL SELECT 'x1', 'x2' UNION ALL SELECT 'x2', 'x1' UNION ALL SELECT 'x3', 'x1'"
 _PLAN_SPARK = _PLAN.replace("(p_partkey // 3)", "(p_partkey DIV 3)").replace('"on"', "`on`")
 
 

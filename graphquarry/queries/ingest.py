@@ -63,7 +63,7 @@ def wrapped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Documents as markdown: a heading of level 1 to 4 before every line, the text itself as body, fences in some.
-_MD = """SELECT CAST(doc_id AS VARCHAR) AS doc, 'lost line' || chr(10) || '# ' || source || chr(10) || substr(text, 1, 200) || chr(10) || '## ' || lang || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```py' || chr(10) || 'x = 1' || chr(10) || '```' ELSE 'plain' END || chr(10) || '#### deep' || chr(10) || 'body' || chr(10) || '### mid' || chr(10) || substr(text, 1, 50) || chr(10) || '# again ' || doc_id || chr(10) || chr(10) || 'end' AS text FROM documents"""
+_MD = """SELECT CAST(doc_id AS VARCHAR) AS doc, 'lost line' || chr(10) || '# ' || source || chr(10) || text || chr(10) || '## ' || lang || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```py' || chr(10) || 'x = 1' || chr(10) || '```' ELSE 'plain' END || chr(10) || '#### deep' || chr(10) || 'body' || chr(10) || '### mid' || chr(10) || text || chr(10) || '# again ' || doc_id || chr(10) || chr(10) || 'end' AS text FROM documents"""
 _MD_SPARK = _MD.replace("CAST(doc_id AS VARCHAR)", "CAST(doc_id AS STRING)")
 _SECTIONS = f"""WITH src AS ({_MD}), ln AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM src),
 hd AS (SELECT *, CASE WHEN regexp_matches(line, '^(#{{1,4}})\\s+(\\S.*)$') THEN length(regexp_extract(line, '^(#{{1,4}})\\s+(\\S.*)$', 1)) END AS level, CASE WHEN regexp_matches(line, '^(#{{1,4}})\\s+(\\S.*)$') THEN trim(regexp_extract(line, '^(#{{1,4}})\\s+(\\S.*)$', 2)) END AS header FROM ln),
@@ -77,10 +77,10 @@ def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, _MD_SPARK)
 
 
-@query(f"{_SECTIONS} SELECT * FROM fin WHERE CAST(doc AS BIGINT) % 5 = 0")
+@query(f"{_SECTIONS} SELECT * FROM fin")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections with header paths (every fifth document is made markdown)."""
-    return K.sections(_md(spark, sf_dir).filter("CAST(doc AS BIGINT) % 5 = 0"))
+    """Sections with header paths."""
+    return K.sections(_md(spark, sf_dir))
 
 
 @query("SELECT doc_id, CASE WHEN contains(p, 'readme') THEN 'readme' WHEN regexp_matches(p, 'config|\\.yaml|\\.yml|\\.json|\\.toml|\\.ini') THEN 'config' WHEN c THEN 'code' ELSE 'text' END AS section_type, CASE WHEN c THEN 'code' WHEN contains(p, 'readme') THEN 'readme' WHEN regexp_matches(p, 'config|\\.yaml|\\.yml|\\.json|\\.toml|\\.ini') THEN 'config' ELSE 'text' END AS node_type FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a/readme.md' WHEN 1 THEN 'a/config/x.md' WHEN 2 THEN 'a/b.toml' ELSE 'a/c.md' END AS p, doc_id % 2 = 0 AS c FROM documents)")

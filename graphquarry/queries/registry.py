@@ -55,7 +55,7 @@ UNION ALL SELECT 100000000 + c_custkey, c_name, 'none' FROM customer UNION ALL S
 (SELECT CAST(extract(DAY FROM ts) AS INT) AS d, count(*) AS n, count(DISTINCT user_id) AS v FROM events GROUP BY CAST(extract(DAY FROM ts) AS INT)) x""",
     "symbols": """SELECT 'p:' || p_partkey AS node_id, replace(p_name, ' ', '_') || '_' || (p_partkey % 50) AS name, CASE WHEN p_partkey % 50 = p_size THEN 'definition' WHEN p_partkey % 3 = 0 THEN 'call' ELSE 'reference' END AS kind FROM part
 UNION ALL SELECT 'p:' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'test_' || p_type ELSE 'run' END, 'definition' FROM part UNION ALL SELECT 'p:' || p_partkey, 'run', 'reference' FROM part""",
-    "names": """SELECT 'o:' || l_orderkey AS node_id, 'Part ' || (l_partkey % 40) AS name FROM lineitem WHERE l_orderkey < 3000""",
+    "names": """SELECT 'o:' || l_orderkey AS node_id, 'Part ' || l_partkey AS name FROM lineitem""",
     "calls": """SELECT 'method_' || c_custkey AS caller, 'method_' || ((c_custkey * 7 + 3) % 1000) AS callee FROM customer
 UNION ALL SELECT 'method_' || c_custkey, 'method_' || (c_custkey % 10) FROM customer WHERE c_custkey % 5 = 0
 UNION ALL SELECT 'method_' || ((c_custkey * 7 + 3) % 1000), 'method_' || c_custkey FROM customer WHERE c_custkey % 40 = 0

@@ -79,13 +79,13 @@ _FUSE = f"""{_BM25}, {_UNIT},
 s1 AS ({_TOP("sp", schema.TOP_K)}), d1 AS ({_TOP("de2", 3 * schema.TOP_K)}),
 s2 AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM s1 WINDOW w AS (PARTITION BY query_id)),
 d2 AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS d FROM d1 WINDOW w AS (PARTITION BY query_id)),
-fu AS (SELECT query_id, doc_id, {1 - schema.DENSE_WEIGHT} * coalesce(s, 0) + {schema.DENSE_WEIGHT} * coalesce(d, 0) AS score FROM s2 FULL JOIN d2 USING (query_id, doc_id))""".replace("FROM u a, u b WHERE a.vec_id % 100 = 0)", "FROM u a, u b WHERE a.vec_id < 20), de2 AS (SELECT * FROM de)")
+fu AS (SELECT query_id, doc_id, {1 - schema.DENSE_WEIGHT} * coalesce(s, 0) + {schema.DENSE_WEIGHT} * coalesce(d, 0) AS score FROM s2 FULL JOIN d2 USING (query_id, doc_id))""".replace("FROM u a, u b WHERE a.vec_id % 100 = 0)", "FROM u a, u b WHERE a.vec_id IN (SELECT item_id FROM benchmark)), de2 AS (SELECT * FROM de)")
 
 
 def _fusable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The benchmark texts' BM25 lists, and for the first ones a vector each: the one whose id is the item's."""
+    """The benchmark texts' BM25 lists, and a vector for each: the one whose id is the item's."""
     v = _vectors(spark, sf_dir)
-    return _sparse(spark, sf_dir), R.dense_scores(v.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding"), v)
+    return _sparse(spark, sf_dir), R.dense_scores(v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "embedding"), v)
 
 
 @query(f"WITH {_FUSE} {_TOP('fu', schema.TOP_K)}")

@@ -86,8 +86,8 @@ def code_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, _CODE).select("k", F.array_join(T.code_references(F.col("text")), "|").alias("refs"))
 
 
-_FILES = "SELECT 'f' || p_partkey AS node_id, 'src/' || lower(p_type) || CASE p_partkey % 2 WHEN 0 THEN '.py' ELSE '/main.c' END AS path, 'def get' || p_type || 'By' || p_size || '(x): pass' AS content FROM part WHERE p_partkey < 50"
-_CONVS = f"SELECT k, text FROM ({_CODE}) x WHERE k < 40"
+_FILES = "SELECT 'f' || p_partkey AS node_id, 'src/' || lower(p_type) || p_partkey || CASE p_partkey % 2 WHEN 0 THEN '.py' ELSE '/main.c' END AS path, 'def get' || p_type || 'By' || p_partkey || '(x): pass' AS content FROM part"
+_CONVS = _CODE.replace("'By' || p_size ||", "'By' || p_partkey ||").replace("lower(p_type) || '.py:'", "lower(p_type) || p_partkey || '.py:'")
 
 
 @query(
@@ -111,8 +111,8 @@ def doc_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.doc_mentions(names, table(spark, sf_dir, "documents"))
 
 
-_ENDS = "SELECT DISTINCT p_name AS name FROM part WHERE p_partkey < 30 UNION ALL SELECT 'NATION_3' UNION ALL SELECT 'nowhere at all'"
-_ENT_NAMES = "SELECT upper(p_name) AS entity, 'p:' || p_partkey AS node_id FROM part WHERE p_partkey BETWEEN 10 AND 12"
+_ENDS = "SELECT DISTINCT p_name AS name FROM part UNION ALL SELECT 'NATION_3' UNION ALL SELECT 'nowhere at all'"
+_ENT_NAMES = "SELECT upper(p_name) AS entity, 'p:' || p_partkey AS node_id FROM part WHERE p_partkey % 5 = 2"
 
 
 @query(
@@ -236,7 +236,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.whitespace_tokens(F.col("text")).alias("n_tokens"), F.sha1("text").alias("hash"))
 
 
-_CTX = "SELECT doc_id AS k, '## part one' || chr(10) || substr(text, 1, 900) || chr(10) || '## part two' || chr(10) || repeat('`', 3) || chr(10) || substr(text, 1, 400) || chr(10) || repeat('`', 3) || chr(10) || '## tail' || chr(10) || repeat('`', 3) || ' x' AS c FROM documents WHERE doc_id < 200"
+_CTX = "SELECT doc_id AS k, '## part one' || chr(10) || text || chr(10) || '## part two' || chr(10) || repeat('`', 3) || chr(10) || text || chr(10) || repeat('`', 3) || chr(10) || '## tail' || chr(10) || repeat('`', 3) || ' x' AS c FROM documents"
 
 
 @query(
