@@ -154,6 +154,9 @@ SKIP_PATTERNS = [
 SKIP_EXTENSIONS = [".pyc", ".pyo", ".pyd", ".so", ".dylib", ".dll", ".log", ".tmp", ".cache", ".lock", ".swp", ".swo", ".bak", ".orig"]
 MAX_FILE_SIZE = 1_000_000
 
+# Files that mark a project's folder.
+PROJECT_MARKERS = ["pyproject.toml", "setup.py", "package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "Makefile"]
+
 # Languages by extension, and folders that are not code.
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".c": "c", ".cpp": "cpp",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,3 +139,17 @@ def blocks(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """(mention_id, entity_id): candidates that start with the mention's first letter; a join on the letter."""
     key = lambda c: F.lower(F.substring(c, 1, 1))
     return mentions.select("mention_id", key("surface").alias("k")).join(candidates.select("entity_id", key("name").alias("k")), "k").select("mention_id", "entity_id")
+
+
+def reflect(generate: Callable[[DataFrame | None], DataFrame], evaluate: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, int]:
+    """(accepted, rounds used): `generate` makes triples, from the rejected ones of the round before (none at first); `evaluate` adds
+    the column approved; it ends when nothing is rejected, after `rounds` at most."""
+    accepted, rejected = None, None
+    for n in range(1, rounds + 1):
+        judged = cut(evaluate(generate(rejected)))
+        good = judged.filter("approved").drop("approved")
+        accepted = good if accepted is None else accepted.unionByName(good)
+        rejected = judged.filter("NOT approved").drop("approved")
+        if not rejected.limit(1).count():
+            break
+    return accepted.distinct(), n

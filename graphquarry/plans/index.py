@@ -1,4 +1,4 @@
-"""Building a store from files: filter, wrap, chunk, nodes, names, edges, postings."""
+"""Building a store from files: filter, wrap, chunk, nodes, names, symbols, edges."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as K
 from ..operators import edges as E
+from ..operators import entities as N
 from ..sources import files as S
 
+EDGES = ("source", "target", "type", "score", "ord")
+
 
 def build_nodes(files: DataFrame) -> DataFrame:
     """Nodes of (path, bytes, content) files that the filter keeps, with the names in their text."""
@@ -20,8 +23,30 @@ def build_nodes(files: DataFrame) -> DataFrame:
     return K.nodes_from_chunks(chunks, F.col("doc")).withColumn("names", T.entities(F.col("content")))
 
 
-def build_edges(nodes: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Semantic edges between nodes that share names."""
-    names = nodes.select("node_id", F.explode("names").alias("name"))
-    found = E.jaccard_edges(names, threshold)
+def build_symbols(nodes: DataFrame) -> DataFrame:
+    """(node_id, name, kind): what the code of nodes with a programming language defines and refers to."""
+    code = nodes.filter(S.language(F.col("path")).isNotNull())
+    return N.entities_of(code).select("node_id", "name", F.col("type").alias("kind")).distinct()
+
+
+def semantic_edges(nodes: DataFrame, threshold: float = 0.2, sources: DataFrame | None = None) -> DataFrame:
+    """Edges between nodes that share names."""
+    found = E.jaccard_edges(nodes.select("node_id", F.explode("names").alias("name")), threshold, sources=sources)
     return found.select("source", "target", F.lit("semantic").alias("type"), "score", F.lit(0).cast("bigint").alias("ord"))
+
+
+def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = (), touching: DataFrame | None = None) -> DataFrame:
+    """Edges from the users of a symbol to its definitions; with `touching` (node_id), those with an end among them."""
+    found = E.reference_edges(symbols, noise)
+    if touching is not None:
+        near = lambda end: found.join(touching.withColumnRenamed("node_id", end), end, "left_semi")
+        found = near("source").unionByName(near("target").select(*found.columns))
+    return found.select("source", "target").distinct().select("source", "target", F.lit("reference").alias("type"), F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("ord"))
+
+
+def build_edges(nodes: DataFrame, threshold: float = 0.2, symbols: DataFrame | None = None, noise: tuple[str, ...] = (), more: DataFrame | None = None) -> DataFrame:
+    """All families: semantic and reference edges, and those of other builders (`more`: code-property graphs, claims,
+    conversations; columns EDGES) whose ends are nodes and differ."""
+    symbols = build_symbols(nodes) if symbols is None else symbols
+    out = semantic_edges(nodes, threshold).unionByName(reference_edges(symbols, noise))
+    return out if more is None else out.unionByName(E.valid(more, nodes).select(*EDGES))

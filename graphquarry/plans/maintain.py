@@ -1,8 +1,9 @@
 """Keeping a store: incremental updates from files, versions, rollback.
 
-A store is a folder of Parquet tables: nodes, edges, postings, doc_stats, file_hashes and versions.  Every update writes
-a new generation beside the old ones and then appends its version row, so readers never see a half-written state
-and a rollback is another version row.
+A store is a folder of Parquet tables: nodes, symbols, edges, postings, doc_stats, file_hashes and versions.  An update writes a new
+generation with the rows that are new and the keys that are gone, and then appends its version row, which names the
+generations that make up the version.  So an update writes by the size of the change, readers never see a half-written state,
+and a rollback is another version row.  After MOST_PARTS generations the next one is whole again.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from ..sources import store
 from . import index
 from .materialise import cut
 
-VERSIONS = "version_id string, ts bigint, generation string, node_count bigint, edge_count bigint, file_hash string, added array<string>, modified array<string>, deleted array<string>"
+VERSIONS = "version_id string, ts bigint, generation string, node_count bigint, edge_count bigint, file_hash string, added bigint, modified bigint, deleted bigint"
+CHANGES = "version_id string, path string, status string"
+MOST_PARTS = 8
 
 
 @dataclass
@@ -39,8 +42,13 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], VERSIONS)
 
 
+def changes(spark: SparkSession, path: str, version_id: str) -> DataFrame:
+    """(path, status): every file that a version added, modified or deleted."""
+    return spark.read.schema(CHANGES).parquet(f"{path}/changes").filter(F.col("version_id") == version_id).select("path", "status")
+
+
 def generation(spark: SparkSession, path: str, version_id: str | None = None) -> str | None:
-    """The folder of a version's tables, the newest one's by default."""
+    """Where a version's tables are, the newest one's by default."""
     rows = versions(spark, path)
     rows = rows if version_id is None else rows.filter(F.col("version_id") == version_id)
     last = rows.orderBy(F.desc("ts"), F.desc("version_id")).limit(1).collect()
@@ -51,37 +59,71 @@ def _append(spark: SparkSession, path: str, row: tuple) -> None:
     spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
-def update(spark: SparkSession, files: DataFrame, path: str, ts: int, most_named: int = 1000) -> Update:
+def _named(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.explode("names").alias("name")).select(F.lower("name").alias("name")).distinct()
+
+
+def update(spark: SparkSession, files: DataFrame, path: str, ts: int, noise: tuple[str, ...] = ()) -> Update:
     """Bring a store up to date with (path, bytes, content) files.
 
-    Only changed files are chunked again; nodes of unchanged files are taken over, and nodes of equal content keep their
-    ids, since these derive from path, content and order.  A version names at most most_named files of each kind.
+    Only changed files are chunked, indexed and looked through for symbols.  Node ids derive from path, content and order, so nodes of
+    equal content keep theirs.  Edges are made anew where a change can reach them: reference edges with a new end, and semantic edges
+    of nodes that share a name with a new node or one that is gone.  The result equals a whole build.
     """
     hashes = cut(files.select("path", F.md5("content").alias("hash")))
     old = generation(spark, path)
-    before = spark.read.parquet(f"{old}/file_hashes") if old else hashes.limit(0)
+    before = store.read_hashes(spark, old) if old else hashes.limit(0)
     diff = cut(V.file_diff(before, hashes))
     counts = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
     changed = sum(n for k, n in counts.items() if k != "unchanged")
     number = versions(spark, path).count()
     if old and not changed:
         return Update(f"v{number}", False, 0, 0, 0)
+    if old and len(store.folders(old)) >= MOST_PARTS:
+        old = None
     name = f"generation-{number + 1}"
     new = f"{path}/{name}"
     stale = diff.filter("status <> 'unchanged'").select("path")
-    nodes = index.build_nodes(files.join(stale, "path", "left_semi"))
+    fresh_files = files.join(stale, "path", "left_semi") if old else files
+    built = index.build_nodes(fresh_files)
+    store.write_nodes(built, new)
+    fresh = spark.read.schema(built.schema).parquet(f"{new}/nodes")  # by its schema, since there may be no rows
+    index.build_symbols(fresh).write.mode("overwrite").parquet(f"{new}/symbols")
+    (hashes.join(stale, "path", "left_semi") if old else hashes).write.mode("overwrite").parquet(f"{new}/file_hashes")
+    store.write_index(spark, fresh, "node_id", "content", new)
+    store.write_vectors(spark, fresh, "node_id", "content", new)
     if old:
-        kept = spark.read.parquet(f"{old}/nodes").join(stale, "path", "left_anti")
-        nodes = nodes.unionByName(kept.select(*nodes.columns))
-    store.write_nodes(nodes, new)
-    written = store.read_nodes(spark, new)
-    store.write_edges(index.build_edges(written), new)
-    store.write_index(spark, written, "node_id", "content", new)
-    hashes.write.mode("overwrite").parquet(f"{new}/file_hashes")
-    listed = {k: [r.path for r in diff.filter(F.col("status") == k).orderBy("path").limit(most_named).select("path").collect()] for k in ("added", "modified", "deleted")}
-    file_hash = V.manifest_hash(hashes).first()["hash"]
-    _append(spark, path, (f"v{number + 1}", ts, name, written.count(), store.read_edges(spark, new).count(), file_hash, listed["added"], listed["modified"], listed["deleted"]))
-    return Update(f"v{number + 1}", True, counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0))
+        gone = cut(store.read_nodes(spark, old).join(stale, "path", "left_semi").select("node_id", "names"))
+        store.write_gone(gone, new, "gone_nodes", ("node_id",))
+        store.write_gone(gone.select(F.col("node_id").alias("doc_id")), new, "gone_docs", ("doc_id",))
+        store.write_gone(stale, new, "gone_files", ("path",))
+        at = f"{old},{name}"
+        nodes, symbols = store.read_nodes(spark, at), store.read_symbols(spark, at)
+        names = _named(gone).union(_named(fresh)).distinct()
+        sharing = nodes.select("node_id", F.explode("names").alias("name")).withColumn("name", F.lower("name")).join(names, "name", "left_semi").select("node_id")
+        reached = cut(sharing.union(fresh.select("node_id")).distinct())
+        lost = cut(reached.union(gone.select("node_id")).distinct())
+        edges = store.read_edges(spark, old)
+        ended = lambda end: edges.join(gone.select(F.col("node_id").alias(end)), end, "left_semi").select("source", "target", "type")
+        remade = edges.filter("type = 'semantic'").join(lost.withColumnRenamed("node_id", "source"), "source", "left_semi").select("source", "target", "type")
+        store.write_gone(ended("source").union(ended("target")).union(remade).distinct(), new, "gone_edges", ("source", "target", "type"))
+        made = index.semantic_edges(nodes, sources=reached).unionByName(index.reference_edges(symbols, noise, fresh.select("node_id")))
+    else:
+        at = new
+        nodes = fresh
+        made = index.build_edges(fresh, symbols=spark.read.parquet(f"{new}/symbols"), noise=noise)
+    store.write_edges(made, new)
+    version_id = f"v{number + 1}"
+    diff.filter("status <> 'unchanged'").select(F.lit(version_id).alias("version_id"), "path", "status").write.mode("append").parquet(f"{path}/changes")
+    chain = ",".join(f.rsplit("/", 1)[-1] for f in store.folders(at))
+    _append(spark, path, (version_id, ts, chain, nodes.count(), store.read_edges(spark, at).count(), V.manifest_hash(hashes).first()["hash"], *(counts.get(k, 0) for k in ("added", "modified", "deleted"))))
+    return Update(version_id, True, counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0))
+
+
+def difference(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
+    """(path, status): the files in which two versions differ."""
+    a, b = (store.read_hashes(spark, generation(spark, path, v)) for v in (old, new))
+    return V.file_diff(a, b).filter("status <> 'unchanged'")
 
 
 def rollback(spark: SparkSession, path: str, version_id: str, ts: int) -> str:
@@ -92,11 +134,11 @@ def rollback(spark: SparkSession, path: str, version_id: str, ts: int) -> str:
     if not target:
         raise ValueError(f"{version_id} is no earlier version")
     r = target[0]
-    _append(spark, path, (f"v{number + 1}", ts, r.generation, r.node_count, r.edge_count, r.file_hash, [], [], []))
+    _append(spark, path, (f"v{number + 1}", ts, r.generation, r.node_count, r.edge_count, r.file_hash, 0, 0, 0))
     return f"v{number + 1}"
 
 
 def check(spark: SparkSession, path: str) -> DataFrame:
-    """Violations of the newest generation's invariants, by check."""
+    """Violations of the newest version's invariants, by check."""
     at = generation(spark, path)
     return E.report(E.violations(store.read_nodes(spark, at), store.read_edges(spark, at)))

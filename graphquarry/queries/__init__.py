@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from . import registry
-from . import analytics, claims, context, entities, graph, ingest, programs, retrieval, text, versions  # noqa: F401  they register themselves
+from . import analytics, claims, context, entities, graph, ingest, programs, retrieval, stores, text, versions  # noqa: F401  they register themselves
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

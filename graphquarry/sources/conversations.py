@@ -86,6 +86,11 @@ def conversations(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [read(marked.filter(F.col("format") == k).drop("format")) for k, read in READERS.items()])
 
 
+def ingest(files: DataFrame, path: str) -> None:
+    """Write each conversation of the files as markdown, in a folder of its own under `path`."""
+    as_markdown(conversations(files)).select(F.regexp_replace("conv_id", r"[^\w.-]", "_").alias("conversation"), F.col("text").alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("conversation").text(path)
+
+
 def as_markdown(turns: DataFrame) -> DataFrame:
     """(conv_id, text): a heading, facts, and the messages in order; times are those of the turns or --:--:--."""
     icon = F.when(F.col("role") == "user", "👤").when(F.col("role") == "assistant", "🤖").otherwise("⚙️")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def source_type(path: Column, keys: Column) -> Column:
     )
 
 
+def project_root(start: str) -> str:
+    """The nearest folder from `start` upwards that is a repository, else the nearest with a project's marker, else `start`."""
+    at = Path(start).resolve()
+    folders = [at, *at.parents]
+    for markers in ([".git"], words.PROJECT_MARKERS):
+        for folder in folders:
+            if any((folder / m).exists() for m in markers):
+                return str(folder)
+    return str(at)
+
+
 def kept(path: Column, size: Column) -> Column:
     """Whether the file filter keeps a file.  Patterns are substrings of the whole path."""
     extension = F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1)

@@ -4,18 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from .. import schema
 from ..operators import retrieval as R
 
 
+def folders(at: str) -> list[str]:
+    """The folders of a version, oldest first: "store/generation-1,generation-2" has the rows of both."""
+    base, _, chain = at.rpartition("/")
+    return [f"{base}/{g}" if base else g for g in chain.split(",")]
+
+
+def _schema(spark: SparkSession, paths: list[str]) -> StructType:
+    """The schema of the first of the paths that has rows (a table by type without rows has no files)."""
+    for path in paths:
+        try:
+            return spark.read.parquet(path).schema
+        except AnalysisException:
+            continue
+    raise ValueError(f"no rows in {', '.join(paths)}")
+
+
+def _live(spark: SparkSession, at: str, table: str, gone: str, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of a table of a version: those of each of its folders, but for the keys that a later folder says are gone."""
+    every = folders(at)
+    form = _schema(spark, [f"{f}/{table}" for f in every])
+    out, later = None, None
+    for folder in reversed(every):
+        rows = spark.read.schema(form).parquet(f"{folder}/{table}")
+        rows = rows if later is None else rows.join(later.select(*[F.col(f"gone_{k}").alias(k) for k in keys]), list(keys), "left_anti").select(*rows.columns)
+        out = rows if out is None else out.unionByName(rows)
+        if folder != every[0]:
+            dropped = spark.read.schema(", ".join(f"gone_{k} string" for k in keys)).parquet(f"{folder}/{gone}")
+            later = dropped if later is None else later.union(dropped)
+    return out
+
+
+def write_gone(rows: DataFrame, path: str, name: str, keys: tuple[str, ...]) -> None:
+    """Keys that the folders before this one have no longer."""
+    rows.select(*[F.col(k).cast("string").alias(f"gone_{k}") for k in keys]).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def write_nodes(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").partitionBy("type").parquet(f"{path}/nodes")
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+def read_nodes(spark: SparkSession, at: str) -> DataFrame:
     """Nodes; a metadata-only read is a select, since columns are pruned at the scan."""
-    return spark.read.parquet(f"{path}/nodes")
+    return _live(spark, at, "nodes", "gone_nodes", ("node_id",))
+
+
+def read_symbols(spark: SparkSession, at: str) -> DataFrame:
+    return _live(spark, at, "symbols", "gone_nodes", ("node_id",))
+
+
+def read_hashes(spark: SparkSession, at: str) -> DataFrame:
+    return _live(spark, at, "file_hashes", "gone_files", ("path",))
 
 
 def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -23,8 +69,8 @@ def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
     edges.write.mode(mode).partitionBy("type").parquet(f"{path}/edges")
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/edges")
+def read_edges(spark: SparkSession, at: str) -> DataFrame:
+    return _live(spark, at, "edges", "gone_edges", ("source", "target", "type"))
 
 
 def edges_from_json(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +84,29 @@ def write_index(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str
     R.doc_stats(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+def read_index(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of a version; a document that is gone loses both."""
+    by_doc = lambda table: _live(spark, at, table, "gone_docs", ("doc_id",))
+    return by_doc("postings"), by_doc("doc_stats")
+
+
+def write_vectors(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """The dense index: hashed vectors as (doc_id, slot, value), in order of their slots."""
+    R.hashed_vectors(docs, id_col, text_col).sortWithinPartitions("slot", "doc_id").write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def read_vectors(spark: SparkSession, at: str) -> DataFrame:
+    return _live(spark, at, "vectors", "gone_docs", ("doc_id",))
+
+
+def write_embeddings(vectors: DataFrame, backend: str, path: str) -> None:
+    """A dense index of (doc_id, embedding) made by a backend, which is kept as a folder's name."""
+    vectors.select("doc_id", "embedding").write.mode("overwrite").parquet(f"{path}/embeddings/backend={backend}")
+
+
+def read_embeddings(spark: SparkSession, path: str, backend: str) -> DataFrame:
+    """The dense index of a backend; another one's vectors are never read as its own."""
+    return spark.read.parquet(f"{path}/embeddings").filter(F.col("backend") == backend).drop("backend")
 
 
 def graphml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
