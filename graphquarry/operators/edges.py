@@ -27,21 +27,27 @@ def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, sourc
     """(source, target, score, rank): pairs of nodes by the Jaccard similarity of their names, from (node_id, name).
 
     A score over the threshold takes more than threshold * n of a node's n names in common, so each node is looked up by all
-    but its floor(threshold * n) most frequent names, which leaves the hottest names out of the join; the pairs found are
-    compared by their whole lists of names.  Each lower node keeps its `most` best.  With `sources` (node_id), only the edges of these
+    but its floor(threshold * n) most frequent names, which leaves the hottest names out of the join; pairs for which
+    names were left out are compared by their whole lists, if they can still reach the threshold.  Each lower node keeps its `most` best.  With `sources` (node_id), only the edges of these
     as lower nodes are made.
     """
     own = names.select("node_id", F.lower("name").alias("name")).distinct()
     df = own.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     lists = own.join(df, "name").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("l"))
     lists = lists.select("node_id", F.transform("l", lambda x: x["name"]).alias("names"))
-    looked_up = lists.select("node_id", F.explode(F.slice("names", 1, F.size("names") - F.floor(F.size("names") * threshold + 1e-9).cast("int"))).alias("name"))
-    own_side = looked_up if sources is None else looked_up.join(sources, "node_id", "left_semi")
-    a, b = own_side.select(F.col("node_id").alias("source"), "name"), looked_up.select(F.col("node_id").alias("target"), "name")
-    pairs = a.join(b, "name").filter("source < target").select("source", "target").distinct()
+    left_out = F.floor(F.size("names") * threshold + 1e-9).cast("int")
+    looked_up = lists.select("node_id", F.size("names").alias("n"), left_out.alias("out"), F.explode(F.slice("names", 1, F.size("names") - left_out)).alias("name"))
+    side = lambda df, end: df.select(F.col("node_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("out").alias(f"out_{end}"), "name")
+    a = side(looked_up if sources is None else looked_up.join(sources, "node_id", "left_semi"), "source")
+    keys = ("source", "target", "n_source", "n_target", "out_source", "out_target")
+    pairs = a.join(side(looked_up, "target"), "name").filter("source < target").groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("seen"))
+    score = lambda both: both / (F.col("n_source") + F.col("n_target") - both)
+    unseen = F.col("out_source") + F.col("out_target")  # names that the pair may share besides
+    pairs = pairs.filter(score(F.least(F.col("seen") + unseen, F.col("n_source"), F.col("n_target"))) > threshold)
+    whole = pairs.filter(unseen == 0).select("source", "target", score(F.col("seen")).alias("score"))
     x, y = lists.select(F.col("node_id").alias("source"), F.col("names").alias("x")), lists.select(F.col("node_id").alias("target"), F.col("names").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.join(x, "source").join(y, "target").select("source", "target", (both / (F.size("x") + F.size("y") - both)).alias("score")).filter(F.col("score") > threshold)
+    compared = pairs.filter(unseen > 0).join(x, "source").join(y, "target").select("source", "target", score(F.size(F.array_intersect("x", "y"))).alias("score"))
+    scored = whole.unionByName(compared).filter(F.col("score") > threshold)
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "target"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
 

@@ -276,3 +276,36 @@ def test_plans_stay_narrow(spark, sf_dir):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan("timeline")
     for name in ("reference_edges", "jaccard_edges", "claims_resolve", "triple_revise", "file_diff", "bm25_topk"):
         assert "Cartesian" not in plan(name) and "NestedLoop" not in plan(name)
+
+
+def test_jaccard_edges_with_hot_names(spark):
+    rng = random.Random(9)
+    sets = {f"n{i:03d}": {f"w{min(39, int(rng.expovariate(0.15)))}" for _ in range(rng.randint(1, 14))} | ({"hot"} if i % 3 else set()) for i in range(120)}
+    rows = [(k, w) for k, v in sets.items() for w in v]
+    want = {}
+    for a in sorted(sets):
+        scored = sorted((-len(sets[a] & sets[b]) / len(sets[a] | sets[b]), b) for b in sets if b > a)
+        want |= {(a, b): (-s, r + 1) for r, (s, b) in enumerate(scored[:5]) if -s > 0.2}
+    names = spark.createDataFrame(rows, "node_id string, name string")
+    got = {(r.source, r.target): (r.score, r["rank"]) for r in edges.jaccard_edges(names).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in got)
+    some = spark.createDataFrame([("n003",), ("n100",)], "node_id string")
+    assert {(r.source, r.target) for r in edges.jaccard_edges(names, sources=some).collect()} == {k for k in want if k[0] in ("n003", "n100")}
+
+
+def test_lookups_by_rarest_key(spark):
+    paths = [f"src/{w}{i}.py" for i, w in enumerate(("auth", "Author", "ab", "x_auth", "deep/ab"))]
+    nodes = spark.createDataFrame([(f"n{i}", p, f"def f{i}(): call(ab.c) or auth_{i}") for i, p in enumerate(paths)], "node_id string, path string, content string")
+    refs = spark.createDataFrame([(1, r) for r in ("auth", "ab", "b", "c", "AUTH", "nothing", "f2", "call(", "auth_3")], "conv_id long, ref string")
+    want = set()
+    for r in ("auth", "ab", "b", "c", "AUTH", "nothing", "f2", "call(", "auth_3"):
+        for i, p in enumerate(paths):
+            content = f"def f{i}(): call(ab.c) or auth_{i}"
+            if r.lower() in p.lower():
+                want.add((r, f"n{i}", "path"))
+            elif re.search(rf"(?<!\w){re.escape(r)}(?!\w)", content):
+                want.add((r, f"n{i}", "content"))
+    assert {(r.ref, r.target, r.rule) for r in edges.conversation_links(refs, nodes).collect()} == want
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threex"), (3, "abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
+    quotes = spark.createDataFrame([("one two three",), ("defghijk",), ("two four",)], "quote string")
+    assert {tuple(r) for r in edges.quoted_in(quotes, docs).collect()} == {("one two three", 2), ("defghijk", 1)}
