@@ -12,12 +12,13 @@ repeats has a second signature with all weights 1 and stands in the buckets of b
 Only signatures of weight 1 prune: a pair is compared in full if the lowest bits of their registers agree as often as at the
 threshold, but for 4.5 standard deviations.
 
-1. In each bucket a pivot is paired with all others.
-2. Buckets whose other members are then still of several classes are gone through in tiles; of each pair of classes in a tile, the
-   pair that agrees best is compared.
-3. Those that even then hold several classes: all their pairs of different classes that the signatures do not rule out.
-So only pairs already in one class are left out.  Tiles hold 40 bytes of signature a text, and no tile is made of two parts of a
-bucket's largest class.  Classes are the connected components of the links; the class id is its least document id.
+1. In each bucket a pivot, another one in each, is paired with all others.
+2. Of buckets whose other members are then still of several classes, the members that the signatures do not rule out to
+   be linked with one of another class are kept.
+3. These are compared in tiles of bounded size, pair by pair, but for pairs of one class; a link found joins the two classes for the
+   rest of the tile.  No list of a bucket's pairs is ever made, and no two tiles of a bucket's largest class meet.
+So only pairs already in one class are left out.  Classes are the connected components of the links; the class id is its
+least document id.
 
 A row with a null id is a class of its own without an id and is kept.  Null and empty texts (no words) are copies of each
 other.  Rows that repeat an id belong to one class if their words are equal.  An empty table gives an empty table.
@@ -178,86 +179,133 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, items array<long>")
 
 
-def tiled_pairs(members: DataFrame, threshold: float, best: bool, tile: int = 512) -> DataFrame:
-    """(a, b): pairs of different labels in a bucket that the marks do not rule out, of (bucket, node, pivot, label, m0..); with
-    `best` only the pair of each two labels in a tile that agrees best.  Pairs with the bucket's pivot are left out.
+STEP = ("bucket", "lo", "hi")
 
-    A bucket's largest label is cut into tiles of its own, the other members into theirs; each step sees two tiles, one of the
-    others at least.
+
+def dealt(members: DataFrame, columns: tuple[str, ...], tile: int) -> DataFrame:
+    """members (bucket, node, label, columns..) of buckets with several labels, dealt into steps (bucket, lo, hi) of two tiles each.
+
+    A bucket's largest label is cut into tiles of its own, the other members into theirs; no step has two tiles of the
+    largest label.
     """
-    rest = members.filter("node <> pivot")
-    sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
     sizes = sizes.agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     sizes = sizes.select("bucket", F.col("most.label").alias("large"), F.ceil((F.col("n") - F.col("most.k")) / tile).cast("int").alias("few"), F.ceil(F.col("most.k") / tile).cast("int").alias("many"))
     is_large = F.col("label") == F.col("large")
     h = F.hash("node")
-    rows = rest.join(sizes, "bucket").withColumn("tile", F.when(is_large, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
+    rows = members.join(sizes, "bucket").withColumn("tile", F.when(is_large, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
     others = F.sequence(F.lit(0), F.when(is_large, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
-    marks = [f"m{i}" for i in range(MARKS)]
-    dealt = rows.withColumn("other", F.explode(others)).select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "label", *marks)
-    keys = ("bucket", "lo", "hi")
+    out = rows.withColumn("other", F.explode(others)).select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "label", *columns)
+    return out.repartition(*STEP).sortWithinPartitions(*STEP, "node")
+
+
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole steps."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in STEP], 1)
+        if not len(k):
+            continue
+        if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in STEP] != k[0].tolist():
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        turns = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if len(turns):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(turns[-1]))]).combine_chunks()
+            held = []
+        held.append(batch.slice(int(turns[-1]) if len(turns) else 0))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def open_pairs(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreeing marks) of a table of steps: the rows of different labels in a step that the marks do not rule out."""
+    k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in STEP], 1)
+    group = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]).any(axis=1)]))
+    bits = np.stack([t.column(f"m{i}").to_numpy() for i in range(MARKS)], 1).view(np.uint64)
+    label, own, single = t.column("label").to_numpy(), t.column("tile").to_numpy(), k[:, 1] == k[:, 2]
+    found = [[np.zeros(0, np.int64)] for _ in range(3)]
+    for d in range(1, len(group)):
+        at = np.flatnonzero(group[d:] == group[:-d])
+        if not len(at):
+            break
+        at = at[(label[at] != label[at + d]) & (single[at] | (own[at] != own[at + d]))]
+        same = REGISTERS - np.bitwise_count(bits[at] ^ bits[at + d]).sum(axis=1, dtype=np.int64)
+        ok = same >= least
+        for out, x in zip(found, (at[ok], at[ok] + d, same[ok]), strict=True):
+            out.append(x)
+    return tuple(np.concatenate(x) for x in found)
+
+
+def undecided(members: DataFrame, threshold: float, tile: int = 512) -> DataFrame:
+    """(bucket, node): the members (bucket, node, label, m0..) that could have a link to one of another label in their bucket."""
     least = least_marks(threshold)
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        column = {c: t.column(c).to_numpy() for c in t.column_names}
-        k = np.stack([column[c].astype(np.int64) for c in keys], 1)
-        group = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]).any(axis=1)]))
-        bits = np.stack([column[m] for m in marks], 1).view(np.uint64)
-        node, label, own = column["node"], column["label"], column["tile"]
-        single = column["lo"] == column["hi"]
-        i, j, agree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, len(group)):
-            at = np.flatnonzero(group[d:] == group[:-d])
-            if not len(at):
-                break
-            at = at[(label[at] != label[at + d]) & (single[at] | (own[at] != own[at + d]))]
-            same = REGISTERS - np.bitwise_count(bits[at] ^ bits[at + d]).sum(axis=1, dtype=np.int64)
-            ok = same >= least
-            i.append(at[ok])
-            j.append(at[ok] + d)
-            agree.append(same[ok])
-        i, j, agree = np.concatenate(i), np.concatenate(j), np.concatenate(agree)
-        if best and len(i):
-            lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-            order = np.lexsort((-agree, hi, lo, group[i]))
-            g, lo, hi = group[i][order], lo[order], hi[order]
-            first = np.concatenate([[True], (g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            i, j = i[order][first], j[order][first]
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in steps(batches):
+            i, j, _ = open_pairs(t, least)
+            at = np.unique(np.concatenate([i, j]))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(t.column("bucket").to_numpy()[at]), "node": pa.array(t.column("node").to_numpy()[at])})
+
+    return dealt(members, tuple(f"m{i}" for i in range(MARKS)), tile).mapInArrow(run, "bucket long, node long").distinct()
+
+
+def tiled_links(members: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
+    """(a, b): links that join the labels of each bucket, of (bucket, node, label, m0.., bands, items).
+
+    Two texts are compared in the first of the bands of weight 1 that they share, or in any bucket if they share none of these.  A
+    link makes their labels one for the rest of the step, so a step gives fewer links than it has labels.
+    """
+    least = least_marks(threshold)
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        i, j, same = open_pairs(t, least)
+        bucket, node = t.column("bucket").to_numpy(), t.column("node").to_numpy()
+        bands = t.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
+        shared = bands[i] == bands[j]
+        here = ~shared.any(axis=1) | (bands[i, shared.argmax(axis=1)] == bucket[i])
+        i, j, same = i[here], j[here], same[here]
+        items = t.column("items").chunk(0)
+        ends, values = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+        label = t.column("label").to_numpy().copy()
+        out = []
+        for at in np.lexsort((-same, bucket[i])):
+            x, y = i[at], j[at]
+            if label[x] != label[y] and similarity(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]]) >= threshold:
+                label[(label == label[y]) & (bucket == bucket[x])] = label[x]
+                out.append((node[x], node[y]))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(axis=1, initial=np.iinfo(np.int64).max)), "b": pa.array(pairs.max(axis=1, initial=np.iinfo(np.int64).min))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            # a step ends where the group changes; up to the last change everything is complete
-            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], 1)
-            turns = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            if held and len(k):
-                before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in keys]
-                if before != k[0].tolist():
-                    yield pairs(pa.Table.from_batches(held))
-                    held = []
-            if len(turns):
-                last = int(turns[-1])
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = [batch.slice(last)]
-            elif len(k):
-                held.append(batch)
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, threshold: float, broadcast_ids: int = 200_000, most: int = 512) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least the threshold.  Only the texts that stand in pairs are read for it, and
-    a text of many pairs is dealt out, at most about `most` pairs to a task."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for t in steps(batches):
+            yield links(t)
+
+    return dealt(members, (*(f"m{i}" for i in range(MARKS)), "bands", "items"), tile).mapInArrow(run, "a long, b long").distinct()
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted lists of distinct shingles."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def sets_of(wanted: DataFrame, source: DataFrame, nodes: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(node, items) of the wanted nodes (node); only their texts are read for it."""
     ids = cut(nodes.select("node", F.col("rep").alias("id")).join(wanted, "node").select("id").distinct())
-    sets = cut(shingle_sets(source.join(broadcast_within(ids, broadcast_ids), "id", "left_semi")).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    texts = source.join(broadcast_within(ids, broadcast_ids), "id", "left_semi")
+    return cut(shingle_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, most: int = 512) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least the threshold.  A text of many pairs is dealt out, at most about `most` pairs to a task."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     left = sets.join(parts, sets.node == parts.a).select("a", "parts", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), F.col("parts")))
-    rows = dealt.join(left, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    dealt_out = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), F.col("parts")))
+    rows = dealt_out.join(left, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return rows.filter(both / (F.size("x") + F.size("y") - both) >= threshold).select("a", "b")
 
@@ -269,26 +317,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(sketches(source))
     nodes = cut(rows.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *[F.first(m).alias(m) for m in marks]))
     spread = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    members = cut(spread.join(sizes, "bucket").select("bucket", "node", "pivot"))
+    # a pivot for each bucket, so that texts that share many buckets are compared with many others
+    least = F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("least")
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), least).filter("n > 1")
+    members = cut(spread.join(sizes, "bucket").select("bucket", "node", F.col("least").bitwiseXOR(F.col("bucket")).alias("pivot")))
 
     own = lambda side: nodes.select(F.col("node").alias(side), *[F.col(m).alias(f"{side}_{m}") for m in marks])
     stars = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     agree = F.lit(REGISTERS)
     for m in marks:
         agree = agree - F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}")))
-    stars = stars.join(own("a"), "a").join(own("b"), "b").filter(agree >= least_marks(threshold)).select("a", "b")
-    links = cut(verified(cut(stars), source, nodes, threshold, broadcast_ids))
+    stars = cut(stars.join(own("a"), "a").join(own("b"), "b").filter(agree >= least_marks(threshold)).select("a", "b"))
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    links = cut(verified(stars, sets_of(ends, source, nodes, broadcast_ids), threshold))
     classes = connected_components(links, "a", "b")
-    for best in (True, False):
-        labelled = members.join(classes, members.node == classes.node, "left").select("bucket", members.node, "pivot", F.coalesce("component", members.node).alias("label"))
-        more = cut(tiled_pairs(labelled.join(nodes.select("node", *marks), "node"), threshold, best))
-        if not more.limit(1).count():
-            break
-        found = cut(verified(more, source, nodes, threshold, broadcast_ids))
-        if found.limit(1).count():
-            links = links.union(found)
-            classes = connected_components(links, "a", "b")
+    labelled = members.filter("node <> pivot").join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
+    labelled = cut(labelled.join(mixed, "bucket"))
+    left = cut(undecided(labelled.join(nodes.select("node", *marks), "node"), threshold))
+    if left.limit(1).count():
+        sets = sets_of(left.select("node").distinct(), source, nodes, broadcast_ids)
+        rows_left = labelled.join(left, ["bucket", "node"]).join(nodes.select("node", F.slice("bands", 1, BANDS).alias("bands"), *marks), "node").join(sets, "node")
+        more = cut(tiled_links(rows_left, threshold))
+        if more.limit(1).count():
+            classes = connected_components(links.union(more), "a", "b")
     of_node = nodes.select("node", "check", "rep").join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "check", "rep", "component")
     of_class = of_node.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     of_node = of_node.join(of_class, "component", "left").select("node", "check", F.coalesce("least", "rep").alias("class_id"))
