@@ -8,7 +8,8 @@ with the input and no gram is left out.
 
 Up to small_bytes of text, where the whole filter has a proven bound (a gram has at most as many levels as occurrences), its parts
 are put together and broadcast.  Beyond, a part stays with its slice, which probes it for the grams that the blocks have dealt to it
-and sends the levels back to the blocks; the scores are the same.
+and sends the levels back to the blocks; the scores are the same.  Blocks are made anew from a scan when their answers come; those of
+an input that takes a shuffle, whose order could change, are kept in the checkpoint folder.
 
 Score: sum of log10 p over the tokens, each given the two before it:
   p1 = (c(w) + 1) / (sum of c + V + 1),    p2 = a * (c(h, w) - DISCOUNT)+ / c(h) + (1 - a) * p1,    p = the same from p2 with the two words before,
@@ -178,15 +179,15 @@ def spread(raw: bytes) -> np.ndarray:
 
 
 def blocked(source: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, bytes, rows): the texts of `source` in blocks of about block_bytes (one text at least), each under the key of its
-    first text."""
+    """(block, rows): the texts of `source` in blocks of about block_bytes (one text at least), each under the key of its first
+    text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def block() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_pydict({"block": rows.column("key").slice(0, 1), "bytes": pa.array([size], pa.int64()), "rows": pa.array([packed(rows)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": rows.column("key").slice(0, 1), "rows": pa.array([packed(rows)], pa.binary())})
 
         for batch in batches:
             offsets = text_buffer(batch.column("text"))[1]
@@ -204,7 +205,7 @@ def blocked(source: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield block()
 
-    return source.mapInArrow(run, "block long, bytes long, rows binary")
+    return source.mapInArrow(run, "block long, rows binary")
 
 
 DEALT = "slice int, block long, " + ", ".join(f"{k} binary, n_{k} binary" for k in KINDS)
@@ -292,7 +293,7 @@ def answers(rows: DataFrame, slices: int, room: int) -> DataFrame:
     return rows.groupBy("slice").applyInArrow(answer, f"{ANSWERS}, {STATS}")
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, small_bytes: int = 32 << 20, head_words: int = 1 << 20, block_bytes: int = 8 << 20, trust: tuple[float, float] = (300.0, 4.0), room: int = ROOM) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, small_bytes: int = 32 << 20, head_words: int = 1 << 20, block_bytes: int = 6 << 20, trust: tuple[float, float] = (300.0, 4.0), room: int = ROOM) -> DataFrame:
     """id, held_out (learn is not true), n_tokens, n_known, train_tokens, base_score, score; a row a document.
 
     small_bytes and head_words bound what is broadcast (at most twice small_bytes, and 16 bytes a word), not what the model holds.
@@ -303,8 +304,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), text)
-    held = cut(blocked(source, block_bytes))
-    size = held.agg(F.sum("bytes")).first()[0] or 0
+    held = blocked(source, block_bytes)
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # else a scan, which gives the same blocks each time
+        held = cut(held)
+    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = slices or min(1 << 18, max(64, 1 << max(0, (size >> 22) - 1).bit_length()))
     rows = dealt(held, slices)
     schema = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
