@@ -14,12 +14,17 @@ from ..operators import retrieval as R
 from .materialise import cut
 
 
-def subgraphs(seeds: DataFrame, edges: DataFrame, hops: int, temporal: bool = True, cap: int = schema.NODE_CAP) -> DataFrame:
-    """(query_id, node, depth): what each query's seeds reach, the first `cap` ids."""
+def subgraphs(seeds: DataFrame, edges: DataFrame, hops: int, temporal: bool = True, cap: int = schema.NODE_CAP, by_score: bool = False) -> DataFrame:
+    """(query_id, node, depth): what each query's seeds reach, the first `cap` ids; with by_score the seeds come first, the best ones
+    before others, and then what is nearest to them."""
     live = E.without_superseded(edges) if temporal else edges
     reached = G.reachable(seeds.select("query_id", F.col("doc_id").alias("node")), G.adjacency(live), hops, keys=("query_id",))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("node"))
-    return reached.withColumn("r", rank).filter(F.col("r") <= cap).drop("r")
+    order = ["node"]
+    if by_score:
+        reached = reached.join(seeds.select("query_id", F.col("doc_id").alias("node"), F.col("score").alias("seed_score")), ["query_id", "node"], "left")
+        order = ["depth", F.desc_nulls_last("seed_score"), "node"]
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    return reached.withColumn("r", rank).filter(F.col("r") <= cap).drop("r", "seed_score")
 
 
 def induced(sub: DataFrame, edges: DataFrame) -> DataFrame:

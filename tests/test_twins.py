@@ -309,3 +309,12 @@ def test_lookups_by_rarest_key(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threex"), (3, "abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
     quotes = spark.createDataFrame([("one two three",), ("defghijk",), ("two four",)], "quote string")
     assert {tuple(r) for r in edges.quoted_in(quotes, docs).collect()} == {("one two three", 2), ("defghijk", 1)}
+
+
+def test_capped_subgraphs_keep_the_best_seeds(spark):
+    from graphquarry.plans import query as Q
+
+    e = spark.createDataFrame([("z", "a"), ("z", "b"), ("y", "c")], "source string, target string").selectExpr("source", "target", "'call' AS type", "1.0D AS score", "0L AS ord")
+    seeds = spark.createDataFrame([(1, "y", 0.2), (1, "z", 0.9)], "query_id long, doc_id string, score double")
+    nodes = lambda **kw: {r.node for r in Q.subgraphs(seeds, e, 2, cap=3, **kw).collect()}
+    assert nodes() == {"a", "b", "c"} and nodes(by_score=True) == {"z", "y", "a"}
