@@ -177,12 +177,12 @@ def ranged(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> Dat
     as its halo.
 
     The ranges come from a table of ids, hashes and sizes; only the first (id, hash) of each, one for every range_bytes of text, goes
-    to the driver and back.  A text is shuffled once, but for the first rows of ranges.
+    to the driver and back, for 2^18 ranges at most.  A text is shuffled once, but for the first rows of ranges.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     keys = cut(source.select("id", "key", F.octet_length("text").alias("bytes")))
     size = keys.agg(F.sum(F.col("bytes").cast("long"))).first()[0] or 0
-    dealt = keys.select("id", "key").repartitionByRange(max(16, -(-size // range_bytes)), "id", "key")
+    dealt = keys.select("id", "key").repartitionByRange(min(1 << 18, max(16, -(-size // range_bytes))), "id", "key")
     firsts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "key")).alias("first"))
     splits = sorted((f.some, f.id, f.key) if f.some else (False, None, f.key) for (f,) in firsts.select("first").collect())
     nulls, some = [k for s, _, k in splits if not s], [(i, k) for s, i, k in splits if s]
@@ -210,7 +210,7 @@ def ranged(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> Dat
     return source.withColumn("at", number("id", "key")).select("id", "text", "key", F.inline(to))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20, block_bytes: int = 2 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 4 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """One row a document: its fingerprint, that of its edited text (the last half of its code points replaced by
     the start of the next document), and how like its own these and the next document's are."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
