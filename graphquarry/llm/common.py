@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,8 +15,8 @@ from ..plans.materialise import broadcast_within, cut  # noqa: F401
 #: Words are runs of anything but the six ASCII white-space bytes (fixed value of the result contract).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Python workers cut their batches into blocks of at most this many text bytes (one text at least).
-BLOCK_BYTES = 2 << 20
+#: Python workers cut their batches into blocks of at most this many text bytes (one text at least) and rows.
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,15 +50,28 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES):
-    """Slices of a record batch whose texts hold about `most` bytes, each with its byte buffer and offsets."""
-    data, offsets = text_buffer(batch.column(text))
-    at, n = 0, batch.num_rows
-    while at < n:
-        to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-        to = min(n, max(at + 1, to))
-        yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    """Slices of a record batch whose texts hold about `most` bytes, each with its byte buffer and offsets.
+
+    Texts are laid out BLOCK_ROWS rows at a time, and what is no longer used goes back to the system, since workers
+    live on between tasks.
+    """
+    for start in range(0, batch.num_rows, BLOCK_ROWS):
+        rows = batch.slice(start, BLOCK_ROWS)
+        data, offsets = text_buffer(rows.column(text))
+        at, n = 0, rows.num_rows
+        while at < n:
+            to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
+            to = min(n, max(at + 1, to))
+            yield rows.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow and, where the C library can, of the heap to the system."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
