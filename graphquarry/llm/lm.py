@@ -25,14 +25,16 @@ Only the id of the input's columns is returned, so others may have any name.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, mix, text_buffer
+from .common import WordHasher, cut, give_back, mix, text_buffer
 
 END, START = np.uint64(0x51ED270B35A9E1C7), np.uint64(0xA0761D6478BD642F)
 BASE = 1.5
@@ -164,11 +166,6 @@ def packed(batch: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def unpacked(raw: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    batch = pa.ipc.open_stream(raw).read_next_batch()
-    return batch, *text_buffer(batch.column("text"))
-
-
 def squeezed(x: np.ndarray) -> bytes:
     raw = small(x)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -178,62 +175,81 @@ def spread(raw: bytes) -> np.ndarray:
     return whole(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows in blocks of about block_bytes of text (one text at least), each with the key of its first row."""
+    held, size = [], 0
+
+    def block() -> tuple[int, pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return rows.column("key")[0].as_py(), rows
+
+    for batch in batches:
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(offsets, offsets[at] + block_bytes - size, side="right")) - 1
+            to = min(batch.num_rows, max(at if held else at + 1, to))
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(offsets[to] - offsets[at])
+            if to < batch.num_rows:
+                yield block()
+                held, size = [], 0
+                give_back()
+            at = to
+    if held:
+        yield block()
+
+
 def blocked(source: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, rows): the texts of `source` in blocks of about block_bytes (one text at least), each under the key of its first
-    text."""
+    """(block, rows): the texts of `source` in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def block() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_pydict({"block": rows.column("key").slice(0, 1), "rows": pa.array([packed(rows)], pa.binary())})
-
-        for batch in batches:
-            offsets = text_buffer(batch.column("text"))[1]
-            at = 0
-            while at < batch.num_rows:
-                to = int(np.searchsorted(offsets, offsets[at] + block_bytes - size, side="right")) - 1
-                to = min(batch.num_rows, max(at if held else at + 1, to))
-                if to > at:
-                    held.append(batch.slice(at, to - at))
-                    size += int(offsets[to] - offsets[at])
-                if to < batch.num_rows:
-                    yield block()
-                    held, size = [], 0
-                at = to
-        if held:
-            yield block()
+        for block, rows in blocks_of(batches, block_bytes):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "rows": pa.array([packed(rows)], pa.binary())})
 
     return source.mapInArrow(run, "block long, rows binary")
 
 
+def unblocked(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The blocks of blocked(), or those that blocked() would make of rows."""
+    first = next(batches, None)
+    if first is None:
+        return
+    batches = itertools.chain([first], batches)
+    if "rows" not in first.schema.names:
+        yield from blocks_of(batches, block_bytes)
+        return
+    for batch in batches:
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+            yield block, pa.ipc.open_stream(raw.as_py()).read_next_batch()
+
+
 DEALT = "slice int, block long, " + ", ".join(f"{k} binary, n_{k} binary" for k in KINDS)
 
 
-def dealt(held: DataFrame, slices: int) -> DataFrame:
+def dealt(texts: DataFrame, slices: int, block_bytes: int) -> DataFrame:
     """The distinct grams of each block, slice by slice, with how often training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, edges = WordHasher(), np.arange(slices)
-        for batch in batches:
-            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
-                part, data, offsets = unpacked(rows.as_py())
-                doc, grams = stream(words, data, offsets)
-                learnt = (~part.column("held_out").to_numpy(zero_copy_only=False)).astype(np.int64)[doc]
-                own = [summed(h, learnt) for h in grams]
-                cuts = [np.append(np.searchsorted(slice_of(h, slices), edges), len(h)) for h, _ in own]
-                for at in range(0, slices, 256):
-                    out: dict[str, list] = {k: [] for x in KINDS for k in (x, f"n_{x}")}
-                    some = [s for s in range(at, min(slices, at + 256)) if any(c[s] < c[s + 1] for c in cuts)]
-                    for s in some:
-                        start = slice_start(s, slices)
-                        for k, (h, c), e in zip(KINDS, own, cuts, strict=True):
-                            out[k].append(to_steps(h[e[s] : e[s + 1]] - start, k != "words"))
-                            out[f"n_{k}"].append(squeezed(c[e[s] : e[s + 1]]))
-                    yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
-
-    return held.mapInArrow(run, DEALT)
+        for block, part in unblocked(batches, block_bytes):
+            doc, grams = stream(words, *text_buffer(part.column("text")))
+            learnt = (~part.column("held_out").to_numpy(zero_copy_only=False)).astype(np.int64)[doc]
+            own = [summed(h, learnt) for h in grams]
+            del doc, grams, learnt
+            cuts = [np.append(np.searchsorted(slice_of(h, slices), edges), len(h)) for h, _ in own]
+            for at in range(0, slices, 256):
+                out: dict[str, list] = {k: [] for x in KINDS for k in (x, f"n_{x}")}
+                some = [s for s in range(at, min(slices, at + 256)) if any(c[s] < c[s + 1] for c in cuts)]
+                for s in some:
+                    start = slice_start(s, slices)
+                    for k, (h, c), e in zip(KINDS, own, cuts, strict=True):
+                        out[k].append(to_steps(h[e[s] : e[s + 1]] - start, k != "words"))
+                        out[f"n_{k}"].append(squeezed(c[e[s] : e[s + 1]]))
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+    return texts.mapInArrow(run, DEALT)
 
 
 def gathered(t: pa.Table, slices: int, room: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
@@ -304,12 +320,12 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), text)
-    held = blocked(source, block_bytes)
+    texts = source
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # else a scan, which gives the same blocks each time
-        held = cut(held)
+        texts = cut(blocked(source, block_bytes))
     size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = slices or min(1 << 18, max(64, 1 << max(0, (size >> 22) - 1).bit_length()))
-    rows = dealt(held, slices)
+    rows = dealt(texts, slices, block_bytes)
     schema = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def rated(part: pa.RecordBatch, doc: np.ndarray, of: list[np.ndarray], exact: np.ndarray, levels: list[np.ndarray], stats: tuple[int, int, float, int]) -> pa.RecordBatch:
@@ -338,11 +354,11 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         }
         return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], list(columns))
 
-    def taken_apart(raw: bytes, words: WordHasher) -> tuple[pa.RecordBatch, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        part, data, offsets = unpacked(raw)
-        doc, grams = stream(words, data, offsets)
+    def taken_apart(part: pa.RecordBatch, words: WordHasher) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The text of each token, the distinct grams of each kind in order, and where each token's are among them."""
+        doc, grams = stream(words, *text_buffer(part.column("text")))
         distinct, of = zip(*(np.unique(h, return_inverse=True) for h in grams), strict=True)
-        return part, doc, distinct, of
+        return doc, distinct, of
 
     def broadcast_model() -> DataFrame | None:
         """The scores by a broadcast filter, unless there are more than head_words words."""
@@ -365,18 +381,17 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filter_, starts, per, known, counts, stats = sent.value
             words = WordHasher()
-            for batch in batches:
-                for raw in batch.column("rows"):
-                    part, doc, distinct, of = taken_apart(raw.as_py(), words)
-                    slice_ = [slice_of(h, slices) for h in distinct]
-                    levels = [probe(filter_, h, starts[s], per[s]) for h, s in zip(distinct, slice_, strict=True)]
-                    exact = np.zeros(len(distinct[0]), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, distinct[0]), len(known) - 1)
-                        exact = np.where(known[at] == distinct[0], counts[at], 0)
-                    yield rated(part, doc, of, exact, levels, stats)
-
-        return held.select("rows").mapInArrow(apply, schema)
+            for _, part in unblocked(batches, block_bytes):
+                doc, distinct, of = taken_apart(part, words)
+                slice_ = [slice_of(h, slices) for h in distinct]
+                levels = [probe(filter_, h, starts[s], per[s]) for h, s in zip(distinct, slice_, strict=True)]
+                exact = np.zeros(len(distinct[0]), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, distinct[0]), len(known) - 1)
+                    exact = np.where(known[at] == distinct[0], counts[at], 0)
+                yield rated(part, doc, of, exact, levels, stats)
+
+        return texts.mapInArrow(apply, schema)
 
     if size <= small_bytes:
         scored = broadcast_model()
@@ -387,7 +402,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     n_docs = source.filter("not held_out").count()
 
     def regain(own: pa.Table, answered: pa.Table) -> pa.Table:
-        part, doc, distinct, of = taken_apart(own.column("rows")[0].as_py(), WordHasher())
+        part = pa.ipc.open_stream(own.column("rows")[0].as_py()).read_next_batch()
+        doc, distinct, of = taken_apart(part, WordHasher())
         answered = answered.sort_by("slice")
         exact, *levels = (np.concatenate([spread(x) for x in answered.column(k).to_pylist()]) for k in ("counts", *KINDS))
         if [len(x) for x in levels] != [len(h) for h in distinct]:
@@ -395,4 +411,5 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return pa.Table.from_batches([rated(part, doc, of, exact.astype(np.int64), levels, (n, v, mass, n_docs))])
 
     asked = told.select("block", "slice", "counts", *KINDS)
-    return held.select("block", "rows").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(regain, schema)
+    held = texts if texts is not source else blocked(source, block_bytes)
+    return held.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(regain, schema)

@@ -77,6 +77,7 @@ def test_op2_holds_all_levels_beyond_the_broadcast(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = {"whole": {}, "parts": {"small_bytes": 0}, "small blocks": {"small_bytes": 0, "block_bytes": 20_000}, "many words": {"head_words": 10}}
     out = {k: {r.doc_id: r for r in lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2, **kw).collect()} for k, kw in sizes.items()}
+    out["after a shuffle"] = {r.doc_id: r for r in lm.score(docs.repartition(3), crc_mod(F.col("doc_id"), 7) != 2, small_bytes=0).collect()}
     whole = out.pop("whole")
     for got in out.values():
         assert got.keys() == whole.keys()
@@ -264,10 +265,39 @@ def test_op7(spark, sf_dir, documents):
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r.media_bytes == len(payload) + 44
+        assert len(r.times) == len(r.pairs) == r.n_pairs and list(r.times) == sorted(r.times)
+        packed = b"".join(x.to_bytes(4, "little") for x in r.times) + b"".join(x.to_bytes(8, "little") for x in r.pairs)
+        assert r.feature == f"{r.n_frames}:{r.n_pairs}:{hashlib.md5(packed).hexdigest()}"
     rows = media.media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 20")).collect()
     assert all(media.from_wav(bytes(r.media))[: r.n_bytes] == documents[r.doc_id].text.encode() for r in rows)
 
 
+def peaks_by_sums(samples):
+    """Peaks of each frame by a transform written out as sums, in plain Python numbers."""
+    n, out = media.FRAME, []
+    for f, start in enumerate(range(0, len(samples) - n + 1, n // 2)):
+        x = [(samples[start + i] - 128) * 0.5 * (1 - math.cos(2 * math.pi * i / (n - 1))) for i in range(n)]
+        mag = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / n), -math.sin(2 * math.pi * k * i / n)) for i, v in enumerate(x))) for k in range(2, n // 2)]
+        top = [(-mag[k], k) for k in range(1, len(mag) - 1) if mag[k] > mag[k - 1] and mag[k] >= mag[k + 1] and mag[k] > 1e-3]
+        out += sorted((f, k + 2) for _, k in sorted(top)[: media.PEAKS])
+    return out
+
+
+def test_op7_pairs_by_plain_sums():
+    text = "A text of some words, and then of some more of them. " * 30
+    payload = media.pad(text.encode())
+    peaks = peaks_by_sums(payload)
+    frames, bins = media.peaks(payload)
+    assert list(zip(frames.tolist(), bins.tolist(), strict=True)) == peaks
+    want = []
+    for i, (t, f) in enumerate(peaks):
+        for u, g in peaks[i + 1 : i + media.PEAKS + media.FAN]:
+            if 0 < u - t <= media.FAN:
+                want.append((t, (f << 20) | (g << 8) | (u - t)))
+    times, pairs = media.peak_pairs(payload)
+    assert list(zip(times.tolist(), pairs.tolist(), strict=True)) == sorted(want)
+
+
 def test_op7_finds_tones():
     t = np.arange(576 * 20)
     tone = (128 + 60 * np.sin(2 * np.pi * t * 40 / 576) + 50 * np.sin(2 * np.pi * t * 100 / 576)).astype(np.uint8).tobytes()
