@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language, licenses, lm, media, mixing, neardup, packing, quality
+from . import alignment, chat, fingerprint, language, licenses, lm, media, mixing, neardup, negatives, packing, quality
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     held = (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out")
     return out.select("doc_id", held, "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = negatives.ORACLE
