@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, fingerprint, language, licenses, lm, media, mixing, neardup, negatives, packing, quality
+from . import alignment, chat, fingerprint, language, licenses, lm, media, mixing, neardup, negatives, packing, quality, triejoin
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_hard_negatives"] = negatives.ORACLE
+
+
+@query
+def op13_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.trie_join(table(spark, sf_dir, "documents"))
