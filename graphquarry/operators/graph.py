@@ -88,6 +88,26 @@ def simple_paths(sources: DataFrame, sinks: DataFrame, edges: DataFrame, cutoff:
     return found if found is not None else sources.select(F.array("node").alias("path")).limit(0)
 
 
+def shortest_paths(sources: DataFrame, sinks: DataFrame, edges: DataFrame, cutoff: int, small: int = SMALL) -> DataFrame:
+    """(source, sink, path): the shortest path (ties: the least) of at most `cutoff` edges from each source to each sink but itself.
+
+    A node is kept once a source, with its least predecessor path, so what a hop holds is bounded by reached pairs and not by paths.
+    """
+    steps = cut(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
+    back = reachable(sinks.select("node"), steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), cutoff)
+    useful = cut(steps.join(broadcast_within(back.select(F.col("node").alias("dst"), F.col("depth").alias("left")), small), "dst"))
+    frontier = seen = cut(sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")).distinct())
+    for hop in range(1, cutoff + 1):
+        near = useful.filter(F.col("left") <= cutoff - hop).join(broadcast_within(frontier.select("source", F.col("node").alias("src"), "path"), small), "src")
+        best = near.groupBy("source", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        frontier = cut(best.join(seen, ["source", "node"], "left_anti").select("source", "node", F.concat("path", F.array("node")).alias("path")))
+        if not frontier.limit(1).count():
+            break
+        seen = seen.unionByName(frontier)
+    ends = sinks.select(F.col("node").alias("sink")).distinct()
+    return seen.filter("source <> node").join(ends, F.col("node") == F.col("sink"), "left_semi").select("source", F.col("node").alias("sink"), "path")
+
+
 def degree_centrality(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(node, degree): distinct neighbours by the other nodes of the component; 1 for a component of one node."""
     pairs = edges.filter("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()

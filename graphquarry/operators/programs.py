@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions import words
-from .graph import reachable, simple_paths
+from ..plans.materialise import broadcast_within, cut
+from .graph import reachable, shortest_paths
 
 
 def labelled(nodes: DataFrame, label: str, pattern: str | None = None, field: str = "name") -> DataFrame:
@@ -141,6 +142,12 @@ def catalogue() -> list[tuple[int, str, str, str, str, str]]:
     return [(i, kind, cwe, severity, side, p) for i, (kind, cwe, severity, sources, sinks) in enumerate(words.VULNERABILITIES) for side, ps in (("source", sources), ("sink", sinks)) for p in ps]
 
 
+def pattern_matches(nodes: DataFrame) -> DataFrame:
+    """(node_id, kind, cwe, severity, side, pattern): each vulnerability pattern in the lower-cased content of each node."""
+    every = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(cwe).alias("cwe"), F.lit(grave).alias("severity"), F.lit(side).alias("side"), F.lit(p).alias("pattern")) for _, kind, cwe, grave, side, p in catalogue()])
+    return nodes.select("node_id", F.inline(F.filter(every, lambda v: F.contains(F.lower("content"), F.lower(v["pattern"])))))
+
+
 def pattern_nodes(nodes: DataFrame, side: str) -> DataFrame:
     """(node): nodes whose lower-cased content has any source or sink pattern."""
     parts = sorted({p.lower() for *_, s, p in catalogue() if s == side})
@@ -160,10 +167,7 @@ def sink_kind(content: Column) -> tuple[Column, Column]:
 
 def taint_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = 10) -> DataFrame:
     """(source, sink, path, kind, severity, confidence): the shortest data-flow path (ties: the least) of each pair."""
-    flow = edges.filter("type = 'data_flow'")
-    paths = simple_paths(pattern_nodes(nodes, "source"), pattern_nodes(nodes, "sink"), flow, cutoff)
-    ends = paths.select(F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("sink"), "path")
-    best = ends.groupBy("source", "sink").agg(F.min(F.struct(F.size("path").alias("n"), F.col("path"))).alias("b")).select("source", "sink", "b.path")
+    best = shortest_paths(pattern_nodes(nodes, "source"), pattern_nodes(nodes, "sink"), edges.filter("type = 'data_flow'"), cutoff)
     kind, severity = sink_kind(F.col("content"))
     sure = F.round(F.greatest(F.lit(0.0), 1.0 - 0.1 * (F.size("path") - 2)), 2)
     return best.join(nodes.select(F.col("node_id").alias("sink"), "content"), "sink").select("source", "sink", "path", kind.alias("kind"), severity.alias("severity"), sure.alias("confidence"))
@@ -269,6 +273,49 @@ def control_dependences(cfg: DataFrame, exit_: str) -> DataFrame:
     return near.distinct().join(own, ["method", "on", "node"], "left_anti")
 
 
+def reaching_definitions(cfg: DataFrame, facts: DataFrame, small: int = 200_000) -> DataFrame:
+    """(method, src, dst, var): data dependences, of cfg (method, src, dst) and facts (method, node, var, kind: def or use).
+
+    A definition goes along control flow up to the nodes that define its variable anew, which it still reaches; all
+    definitions of all methods go one step at a time until none reaches a new node.
+    """
+    defs = cut(facts.filter("kind = 'def'").select("method", "node", "var").distinct())
+    flow = cfg.select(F.col("method").alias("m"), F.col("src").alias("at"), "dst")
+    kills = defs.select(F.col("method").alias("m"), F.col("node").alias("at"), F.col("var").alias("v"))
+    step = lambda df: flow.join(broadcast_within(df, small), (F.col("m") == F.col("method")) & (F.col("at") == F.col("node"))).select("method", "var", "def", F.col("dst").alias("node")).distinct()
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  a union trips over constraints that a checkpoint keeps on columns it dropped
+    frontier = seen = fresh(cut(step(defs.withColumn("def", F.col("node")))))
+    while frontier.limit(1).count():
+        on = cut(frontier.join(kills, (F.col("m") == F.col("method")) & (F.col("at") == F.col("node")) & (F.col("v") == F.col("var")), "left_anti"))
+        known = seen.select(*[F.col(c).alias(f"known_{c}") for c in seen.columns])
+        near = step(on)
+        frontier = fresh(cut(near.join(known, [F.col(c) == F.col(f"known_{c}") for c in near.columns], "left_anti")))
+        seen = seen.unionByName(frontier)
+    uses = facts.filter("kind = 'use'").select("method", "node", "var").distinct()
+    return seen.join(uses, ["method", "node", "var"]).select("method", F.col("def").alias("src"), F.col("node").alias("dst"), "var")
+
+
+def program_dependences(cfg: DataFrame, facts: DataFrame, exit_: str) -> DataFrame:
+    """(method, src, dst, label): data dependences (DDG) and control dependences (CDG) of each method."""
+    data = reaching_definitions(cfg, facts).select("method", "src", "dst", F.lit("DDG").alias("label")).distinct()
+    return data.unionByName(control_dependences(cfg, exit_).select("method", F.col("on").alias("src"), F.col("node").alias("dst"), F.lit("CDG").alias("label")))
+
+
+def dependence_slice(dependences: DataFrame, facts: DataFrame, variable: str, hops: int = 10) -> DataFrame:
+    """(method, node, depth): what the uses of a variable depend on within their method, uses at depth 0."""
+    at = lambda c: F.struct("method", F.col(c).alias("node"))
+    uses = facts.filter("kind = 'use'").filter(F.col("var") == variable).select(at("node").alias("node"))
+    back = dependences.select(at("dst").alias("src"), at("src").alias("dst")).distinct()
+    return reachable(uses, back, hops).select("node.method", "node.node", "depth")
+
+
+def dot_of(edges: DataFrame) -> DataFrame:
+    """(method, label, dot): edges (method, src, dst, label) of each method and label as a DOT graph."""
+    line = F.format_string('  "%s" -> "%s"', "src", "dst")
+    lines = edges.groupBy("method", "label").agg(F.array_sort(F.collect_set(line)).alias("l"))
+    return lines.select("method", "label", F.concat(F.lit("digraph "), "label", F.lit(" {\n"), F.array_join("l", "\n"), F.lit("\n}")).alias("dot"))
+
+
 def name_edges(links: DataFrame, definitions: DataFrame, small: int = 200_000) -> DataFrame:
     """(source, target): links between names as links between ids; the first definition (least ord) of a name counts."""
     first = definitions.groupBy("name").agg(F.min_by("id", F.struct("ord", "id")).alias("id"))

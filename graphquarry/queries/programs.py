@@ -1,7 +1,7 @@
 """Queries over code-property graphs: call graphs, policies, taint, slices, dominance.
 
-The driver's tables hold no programs: call graphs come from keys of customers, code-property graphs from values that
-both engines read.
+The driver's tables hold no programs: call graphs come from keys of customers, code-property graphs, control flow and definitions
+from a program for each part, whose statements depend on the part.
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
 from ..functions import text as T
 from ..functions import words
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import programs as P
-from .registry import literal, model, query, quoted, sql
+from .registry import literal, model, query, quoted, sql, values
 
 
 @query("SELECT DISTINCT name FROM methods WHERE name NOT IN (SELECT callee FROM calls)")
@@ -63,34 +62,11 @@ def large_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir, "methods").select("name", (F.col("line_end") - F.col("line") + 1).alias("lines")).filter("lines > 50")
 
 
-# Values of a small program: (id, label, name, code, filename, line, idx, type_full_name).
-_NODES = [
-    ("m1", "METHOD", "handle", "handle(req)", "a.py", 1, 0, "fn"), ("m2", "METHOD", "load", "load(p)", "a.py", 30, 0, "fn"), ("m3", "METHOD", "<init>", "", "a.py", 0, 0, "fn"),
-    ("p1", "METHOD_PARAMETER_IN", "req", "req", "a.py", 1, 1, "str"), ("p2", "METHOD_PARAMETER_IN", "p", "p", "a.py", 30, 1, "str"), ("p3", "METHOD_PARAMETER_IN", "mode", "mode", "a.py", 30, 2, "str"),
-    ("i1", "IDENTIFIER", "req", "req", "a.py", 2, 1, "str"), ("i2", "IDENTIFIER", "cmd", "cmd", "a.py", 3, 1, "str"), ("i3", "IDENTIFIER", "p", "p", "a.py", 31, 1, "str"), ("i4", "IDENTIFIER", "sql", "f'{sql}'", "a.py", 9, 1, "str"),
-    ("l1", "LOCAL", "cmd", "cmd", "a.py", 2, 0, "str"), ("l2", "LOCAL", "sql", "sql", "a.py", 8, 0, "str"),
-    ("c1", "CALL", "system", "system(cmd)", "a.py", 3, 0, "int"), ("c2", "CALL", "open", "open(p)", "a.py", 31, 0, "file"), ("c3", "CALL", "execute", "execute(f'{sql}')", "a.py", 9, 0, "int"),
-    ("c4", "CALL", "strcpy", "strcpy(a, b)", "b.c", 7, 0, "ptr"), ("c5", "CALL", "MD5", "MD5(x)", "b.c", 8, 0, "ptr"), ("c6", "CALL", "popen", "popen('ls')", "b.c", 9, 0, "ptr"),
-    ("t1", "LITERAL", "", "password = 'x'", "a.py", 4, 0, "str"), ("t2", "LITERAL", "", "hello", "a.py", 5, 0, "str"), ("t3", "LITERAL", "", "API_KEY=1", "b.c", 5, 0, "str"),
-    ("k1", "CONTROL_STRUCTURE", "IF", "if", "a.py", 5, 0, ""), ("k2", "CONTROL_STRUCTURE", "FOR", "for", "a.py", 6, 0, ""), ("k3", "CONTROL_STRUCTURE", "WHILE", "while", "a.py", 7, 0, ""), ("k4", "CONTROL_STRUCTURE", "IF", "if", "a.py", 8, 0, ""),
-    ("y1", "TYPE_DECL", "Base", "", "a.py", 50, 0, ""), ("y2", "TYPE_DECL", "Child", "", "a.py", 60, 0, ""), ("y3", "TYPE_DECL", "Grand", "", "a.py", 70, 0, ""), ("y4", "TYPE_DECL", "<none>", "", "", 0, 0, ""),
-    ("o1", "COMMENT", "", "# TODO: fix", "a.py", 11, 0, ""), ("o2", "COMMENT", "", "# plain", "a.py", 12, 0, ""), ("g1", "TAG", "http", "", "", 0, 0, ""), ("n1", "ANNOTATION", "route", "@route", "a.py", 1, 0, ""),
-    ("z1", "IMPORT", "os", "import os", "a.py", 1, 0, ""), ("z2", "IMPORT", "json", "import json", "a.py", 1, 0, ""), ("f1", "FILE", "a.py", "", "a.py", 0, 0, ""), ("f2", "FILE", "b.c", "", "b.c", 0, 0, ""), ("f3", "FILE", "<unknown>", "", "", 0, 0, ""), ("s1", "NAMESPACE", "app", "", "", 0, 0, ""),
-]
-_EDGES = (
-    [("m1", x, "AST") for x in ("p1", "i1", "i2", "i4", "l1", "l2", "c1", "c3", "t1", "t2", "k1", "k2", "k3", "k4")]
-    + [("m2", x, "AST") for x in ("p2", "p3", "i3", "c2")]
-    + [("c1", "i2", "AST"), ("c2", "i3", "AST"), ("c3", "i4", "AST")]
-    + [("p1", "i1", "REACHING_DEF"), ("i1", "i2", "REACHING_DEF"), ("p2", "i3", "REACHING_DEF"), ("t2", "i4", "REACHING_DEF")]
-    + [("k1", "c1", "CDG"), ("k1", "i2", "CDG"), ("i1", "c1", "CFG"), ("c1", "c3", "CFG"), ("i3", "c2", "CFG")]
-    + [("y2", "y1", "INHERITS_FROM"), ("y3", "y2", "INHERITS_FROM")]
-)
-_VALUES = lambda rows: ", ".join("(" + ", ".join(literal(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-_CPG = f"WITH n(id, label, name, code, filename, line, idx, type_full_name) AS (VALUES {_VALUES(_NODES)}), e(src, dst, label) AS (VALUES {_VALUES(_EDGES)})"
+_CPG = "WITH n AS (SELECT * FROM cpg_nodes), e AS (SELECT * FROM cpg_edges)"
 
 
-def _cpg(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_NODES, schema.CPG_NODES), spark.createDataFrame(_EDGES, schema.CPG_EDGES)
+def _cpg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")
 
 
 _IN = lambda label: f"SELECT m.name AS method, n.name, n.line, n.idx FROM n JOIN e ON e.dst = n.id AND e.label = 'AST' JOIN n m ON m.id = e.src AND m.label = 'METHOD' WHERE n.label = '{label}'"
@@ -102,56 +78,60 @@ SELECT *, CASE WHEN complexity < 5 THEN 'low' WHEN complexity < 10 THEN 'medium'
 )
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control structures by method."""
-    return P.complexity(*_cpg(spark))
+    return P.complexity(*_cpg(spark, sf_dir))
 
 
-@query(
-    f"""{_CPG}, hit AS (
-SELECT 'NoBufferOverflow' AS policy, 'critical' AS severity, 'CWE-120' AS cwe, id, filename || ':' || line AS location FROM n WHERE id = 'c4' UNION ALL SELECT 'NoCommandInjection', 'critical', 'CWE-78', id, filename || ':' || line FROM n WHERE id = 'c1'
-UNION ALL SELECT 'NoSQLInjection', 'critical', 'CWE-89', id, filename || ':' || line FROM n WHERE id = 'c3' UNION ALL SELECT 'NoHardcodedSecrets', 'high', 'CWE-798', id, filename || ':' || line FROM n WHERE id IN ('t1', 't3')
-UNION ALL SELECT 'NoWeakCrypto', 'high', 'CWE-327', id, filename || ':' || line FROM n WHERE id = 'c5' UNION ALL SELECT 'NoPathTraversal', 'high', 'CWE-22', id, filename || ':' || line FROM n WHERE id = 'c2') SELECT * FROM hit"""
-)
+_HITS = f"""{_CPG.replace("WITH", "WITH RECURSIVE", 1)}, r(id, depth) AS (SELECT id, 0 FROM n WHERE label = 'METHOD_PARAMETER_IN' UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.id AND e.label = 'REACHING_DEF' WHERE depth < 10),
+arg AS (SELECT e.src AS call, n.id, n.code FROM e JOIN n ON n.id = e.dst WHERE e.label = 'AST'), tainted AS (SELECT DISTINCT call FROM arg WHERE id IN (SELECT id FROM r)),
+k AS (SELECT CASE WHEN label = 'CALL' AND name IN ('strcpy', 'sprintf', 'gets', 'strcat') THEN 'NoBufferOverflow' WHEN label = 'CALL' AND name IN ('system', 'exec', 'popen') AND id IN (SELECT call FROM tainted) THEN 'NoCommandInjection'
+WHEN label = 'CALL' AND name IN ('execute', 'executemany', 'query', 'raw') AND id IN (SELECT call FROM arg WHERE regexp_matches(code, '\\{{.*\\}}')) THEN 'NoSQLInjection' WHEN label = 'LITERAL' AND regexp_matches(code, '(?i)(password|secret|api[_-]?key|token).*=') THEN 'NoHardcodedSecrets'
+WHEN label = 'CALL' AND name IN ('MD5', 'SHA1', 'DES', 'RC4') THEN 'NoWeakCrypto' WHEN label = 'CALL' AND name IN ('open', 'fopen', 'readFile') AND id IN (SELECT call FROM tainted) THEN 'NoPathTraversal' END AS policy, id, filename || ':' || line AS location FROM n),
+hit AS (SELECT policy, CASE WHEN policy IN ('NoBufferOverflow', 'NoCommandInjection', 'NoSQLInjection') THEN 'critical' ELSE 'high' END AS severity,
+CASE policy WHEN 'NoBufferOverflow' THEN 'CWE-120' WHEN 'NoCommandInjection' THEN 'CWE-78' WHEN 'NoSQLInjection' THEN 'CWE-89' WHEN 'NoHardcodedSecrets' THEN 'CWE-798' WHEN 'NoWeakCrypto' THEN 'CWE-327' ELSE 'CWE-22' END AS cwe, id, location FROM k WHERE policy IS NOT NULL)"""
+
+
+@query(f"{_HITS} SELECT * FROM hit")
 def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of all policies (the oracle's ids are worked out by hand)."""
-    return P.policy_violations(*_cpg(spark))
+    """Violations of all policies."""
+    return P.policy_violations(*_cpg(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('critical', CAST(3 AS BIGINT))) t(severity, n)")
+@query(f"{_HITS} SELECT policy, severity, count(*) AS n FROM hit WHERE severity = 'critical' GROUP BY policy, severity")
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations by severity, critical ones only (the oracle's value is worked out by hand)."""
-    return P.policy_violations(*_cpg(spark), least="critical").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    """Violations by policy and severity, critical ones only."""
+    return P.policy_violations(*_cpg(spark, sf_dir), least="critical").groupBy("policy", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_CPG} SELECT x.name AS type, 'base' AS relation FROM e JOIN n x ON x.id = e.dst JOIN n y ON y.id = e.src WHERE e.label = 'INHERITS_FROM' AND y.name = 'Child' UNION SELECT y.name, 'derived' FROM e JOIN n x ON x.id = e.dst JOIN n y ON y.id = e.src WHERE e.label = 'INHERITS_FROM' AND x.name = 'Child'")
+@query(f"{_CPG} SELECT x.name AS type, 'base' AS relation FROM e JOIN n x ON x.id = e.dst JOIN n y ON y.id = e.src WHERE e.label = 'INHERITS_FROM' AND y.name = 'Child_7' UNION SELECT y.name, 'derived' FROM e JOIN n x ON x.id = e.dst JOIN n y ON y.id = e.src WHERE e.label = 'INHERITS_FROM' AND x.name = 'Child_7'")
 def type_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases and derivations of a type."""
-    nodes, edges = _cpg(spark)
-    return P.hierarchy(edges, nodes, "Child")
+    nodes, edges = _cpg(spark, sf_dir)
+    return P.hierarchy(edges, nodes, "Child_7")
 
 
 @query(f"{_CPG.replace('WITH', 'WITH RECURSIVE', 1)}, s(id, depth) AS (SELECT id, 0 FROM n WHERE label = 'IDENTIFIER' AND name = 'cmd' UNION SELECT e.src, depth + 1 FROM s JOIN e ON e.dst = s.id AND e.label IN ('REACHING_DEF', 'CDG') WHERE depth < 10) SELECT id, CAST(min(depth) AS INT) AS depth FROM s GROUP BY id")
 def backward_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a variable's uses depend on."""
-    return P.backward_slice(*_cpg(spark), "cmd")
+    return P.backward_slice(*_cpg(spark, sf_dir), "cmd")
 
 
 @query(f"{_CPG}, x AS (SELECT m.name AS method, '  \"' || c.src || '\" -> \"' || c.dst || '\"' AS l FROM e c JOIN e a ON a.dst = c.src AND a.label = 'AST' JOIN e b ON b.dst = c.dst AND b.src = a.src AND b.label = 'AST' JOIN n m ON m.id = a.src AND m.label = 'METHOD' WHERE c.label = 'CFG') SELECT method, 'digraph CFG {{' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) || '}}' AS dot FROM (SELECT DISTINCT * FROM x) GROUP BY method".replace("{{", "{").replace("}}", "}"))
 def cfg_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control flow of each method as DOT."""
-    nodes, edges = _cpg(spark)
+    nodes, edges = _cpg(spark, sf_dir)
     return P.dot(nodes, edges, "CFG")
 
 
 @query(f"{_CPG}, u AS ({_IN('IDENTIFIER')}) SELECT DISTINCT method, line FROM u WHERE name = 'cmd'")
 def variable_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: uses of a variable by method and line."""
-    return P.contained(*_cpg(spark), "IDENTIFIER").filter("name = 'cmd'").select("method", "line").distinct()
+    return P.contained(*_cpg(spark, sf_dir), "IDENTIFIER").filter("name = 'cmd'").select("method", "line").distinct()
 
 
 @query(f"{_CPG}, p AS ({_IN('METHOD_PARAMETER_IN')}), l AS ({_IN('LOCAL')}) SELECT method, name, 'parameter' AS kind, idx FROM p UNION ALL SELECT method, name, 'local', idx FROM l")
 def parameters_and_locals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters in order and locals of methods."""
-    nodes, edges = _cpg(spark)
+    nodes, edges = _cpg(spark, sf_dir)
     part = lambda label, kind: P.contained(nodes, edges, label).select("method", "name", F.lit(kind).alias("kind"), "idx")
     return part("METHOD_PARAMETER_IN", "parameter").union(part("LOCAL", "local"))
 
@@ -159,14 +139,14 @@ def parameters_and_locals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CPG}, p AS ({_IN('METHOD_PARAMETER_IN')}), u AS ({_IN('IDENTIFIER')}) SELECT method, name FROM p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.method = p.method AND u.name = p.name)")
 def unused_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters without a use."""
-    return P.unused_parameters(*_cpg(spark))
+    return P.unused_parameters(*_cpg(spark, sf_dir))
 
 
-@query(f"{_CPG} SELECT id, label FROM n WHERE (label = 'COMMENT' AND contains(code, 'TODO')) OR label IN ('TAG', 'ANNOTATION', 'IMPORT') OR (label = 'LITERAL' AND contains(lower(code), 'pass')) OR (label = 'METHOD' AND starts_with(name, 'ha')) OR (label = 'CALL' AND name IN ('strcpy', 'popen'))")
+@query(f"{_CPG} SELECT id, label FROM n WHERE (label = 'COMMENT' AND contains(code, 'TODO')) OR label IN ('TAG', 'ANNOTATION', 'IMPORT') OR (label = 'LITERAL' AND contains(lower(code), 'pass')) OR (label = 'METHOD' AND starts_with(name, 'handle_1')) OR (label = 'CALL' AND name IN ('strcpy', 'popen'))")
 def labelled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by label and pattern."""
-    nodes, _ = _cpg(spark)
-    wanted = (("COMMENT", "TODO", "code"), ("TAG", None, "name"), ("ANNOTATION", None, "name"), ("IMPORT", None, "name"), ("LITERAL", "(?i).*pass.*", "code"), ("METHOD", "^ha", "name"), ("CALL", "^(strcpy|popen)$", "name"))
+    nodes, _ = _cpg(spark, sf_dir)
+    wanted = (("COMMENT", "TODO", "code"), ("TAG", None, "name"), ("ANNOTATION", None, "name"), ("IMPORT", None, "name"), ("LITERAL", "(?i).*pass.*", "code"), ("METHOD", "^handle_1", "name"), ("CALL", "^(strcpy|popen)$", "name"))
     found = [P.labelled(nodes, *w).select("id", "label") for w in wanted]
     out = found[0]
     for f in found[1:]:
@@ -177,7 +157,7 @@ def labelled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CPG} SELECT DISTINCT label, name FROM n WHERE label IN ('FILE', 'NAMESPACE', 'TYPE_DECL') AND NOT starts_with(name, '<')")
 def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C17: files, namespaces and types."""
-    nodes, _ = _cpg(spark)
+    nodes, _ = _cpg(spark, sf_dir)
     lists = [P.names_of(nodes, label).select(F.lit(label).alias("label"), "name") for label in ("FILE", "NAMESPACE", "TYPE_DECL")]
     return lists[0].union(lists[1]).union(lists[2])
 
@@ -185,13 +165,10 @@ def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CPG} SELECT DISTINCT name, CASE label WHEN 'METHOD' THEN 'definition' WHEN 'CALL' THEN 'call' WHEN 'IMPORT' THEN 'import' ELSE 'reference' END AS type FROM n WHERE label IN ('METHOD', 'CALL', 'IDENTIFIER', 'LOCAL', 'IMPORT')")
 def cpg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of a program."""
-    return P.cpg_entities(_cpg(spark)[0])
+    return P.cpg_entities(_cpg(spark, sf_dir)[0])
 
 
-# Values of a web program as graph nodes, and what flows where.
-_WEB = [("w1", "x = request.args.get('q')"), ("w2", "y = x.strip()"), ("w3", "cursor.execute(y)"), ("w4", "os.system(x)"), ("w5", "name = input('?')"), ("w6", "open(name).read()"), ("w7", "requests.get(url)"), ("w8", "print(1)"), ("w9", "eval(y)")]
-_FLOWS = [("w1", "w2"), ("w2", "w3"), ("w1", "w4"), ("w5", "w6"), ("w5", "w8"), ("w8", "w6"), ("w2", "w9"), ("w8", "w2"), ("w2", "w8")]
-_WEB_SQL = f"WITH RECURSIVE n(node_id, content) AS (VALUES {_VALUES(_WEB)}), e(source, target) AS (VALUES {_VALUES(_FLOWS)})"
+_WEB_SQL = "WITH RECURSIVE n AS (SELECT * FROM web_nodes), e AS (SELECT * FROM web_flows)"
 _HAS = lambda side: "(" + " OR ".join(f"contains(lower(content), {literal(p)})" for p in sorted({p.lower() for *_, s, p in P.catalogue() if s == side})) + ")"
 _CASE = lambda at: "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(n.content), {literal(s.lower())})" for s in v[4]) + f" THEN {literal(v[at])}" for v in words.VULNERABILITIES) + f" ELSE '{'Unknown' if at == 0 else 'Medium'}' END"
 
@@ -203,14 +180,13 @@ SELECT source, sink, array_to_string(path, ' > ') AS path, {_CASE(0)} AS kind, {
 )
 def taint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-flow paths from sources to sinks with kind and confidence."""
-    nodes, edges = spark.createDataFrame(_WEB, "node_id string, content string"), spark.createDataFrame([(*f, "data_flow") for f in _FLOWS], "source string, target string, type string")
-    return P.taint_paths(nodes, edges).withColumn("path", F.array_join("path", " > "))
+    return P.taint_paths(model(spark, sf_dir, "web_nodes"), model(spark, sf_dir, "web_flows")).withColumn("path", F.array_join("path", " > "))
 
 
-@query(f"SELECT * FROM (VALUES {_VALUES(P.catalogue())}) t(ord, kind, cwe, severity, side, pattern)")
+@query(f"SELECT t.cwe, t.kind, t.severity, t.side, t.pattern, count(*) AS n FROM web_nodes JOIN (VALUES {values(P.catalogue())}) AS t(ord, kind, cwe, severity, side, pattern) ON contains(lower(content), lower(t.pattern)) GROUP BY ALL")
 def vulnerability_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vulnerability patterns."""
-    return spark.createDataFrame(P.catalogue(), "ord int, kind string, cwe string, severity string, side string, pattern string")
+    """How many statements match each vulnerability pattern."""
+    return P.pattern_matches(model(spark, sf_dir, "web_nodes")).groupBy("cwe", "kind", "severity", "side", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RANKED = "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'critical' WHEN 2 THEN 'LOW' WHEN 3 THEN 'medium' ELSE 'info' END AS severity, CAST(c_custkey % 11 AS DOUBLE) / 10 AS confidence FROM customer"
@@ -242,24 +218,59 @@ def tainted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tainted_candidates(model(spark, sf_dir, "methods"), "^method_1", "7$")
 
 
-# Control flow of two methods: (method, src, dst).
-_FLOW = [("f", "in", "a"), ("f", "a", "b"), ("f", "a", "c"), ("f", "b", "d"), ("f", "c", "d"), ("f", "d", "a"), ("f", "d", "out"), ("g", "in", "x"), ("g", "x", "out"), ("g", "in", "out"), ("g", "lost", "out")]
-_PATHS = f"WITH RECURSIVE f(method, src, dst) AS (VALUES {_VALUES(_FLOW)}), v AS (SELECT DISTINCT method, src AS node FROM f UNION SELECT DISTINCT method, dst FROM f)"
-_DOM = f"""{_PATHS}, r(method, cutoff, node) AS (SELECT v.method, v.node, 'in' FROM v WHERE v.node <> 'in' UNION SELECT r.method, r.cutoff, f.dst FROM r JOIN f ON f.method = r.method AND f.src = r.node WHERE f.dst <> r.cutoff),
-a(method, node) AS (SELECT DISTINCT method, 'in' FROM f UNION SELECT f.method, f.dst FROM a JOIN f ON f.method = a.method AND f.src = a.node),
-dm AS (SELECT a.method, a.node, a.node AS dominator FROM a UNION SELECT a.method, a.node, 'in' FROM a UNION SELECT a.method, a.node, b.node FROM a JOIN a b ON b.method = a.method WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.method = a.method AND r.cutoff = b.node AND r.node = a.node) AND b.node <> 'in')"""
+_dom = lambda start, src, dst: f"""WITH RECURSIVE f AS (SELECT method, {src} AS src, {dst} AS dst FROM control), v AS (SELECT DISTINCT method, src AS node FROM f UNION SELECT DISTINCT method, dst FROM f),
+r(method, cutoff, node) AS (SELECT v.method, v.node, '{start}' FROM v WHERE v.node <> '{start}' UNION SELECT r.method, r.cutoff, f.dst FROM r JOIN f ON f.method = r.method AND f.src = r.node WHERE f.dst <> r.cutoff),
+a(method, node) AS (SELECT DISTINCT method, '{start}' FROM f UNION SELECT f.method, f.dst FROM a JOIN f ON f.method = a.method AND f.src = a.node),
+dm AS (SELECT a.method, a.node, b.node AS dominator FROM a JOIN a b ON b.method = a.method LEFT JOIN r ON r.method = a.method AND r.cutoff = b.node AND r.node = a.node WHERE r.node IS NULL OR a.node = b.node)"""
 
 
-@query(f"{_DOM} SELECT * FROM dm")
+@query(f"{_dom('in', 'src', 'dst')} SELECT DISTINCT method, node, dominator FROM dm")
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominators of each node, against removal of the dominator."""
-    return P.dominators(spark.createDataFrame(_FLOW, "method string, src string, dst string"), "in").select("method", "node", "dominator")
+    return P.dominators(model(spark, sf_dir, "control"), "in").select("method", "node", "dominator")
+
 
+_CDG = """SELECT DISTINCT c.method, p.dominator AS node, c.src AS "on" FROM control c JOIN dm p ON p.method = c.method AND p.node = c.dst JOIN a ON a.method = c.method AND a.node = c.dst
+WHERE NOT EXISTS (SELECT 1 FROM dm q WHERE q.method = c.method AND q.node = c.src AND q.dominator = p.dominator AND q.node <> q.dominator)"""
 
-@query("SELECT * FROM (VALUES ('f', 'b', 'a'), ('f', 'c', 'a'), ('f', 'a', 'd'), ('f', 'd', 'd'), ('g', 'x', 'in')) t(method, node, \"on\")")
+
+@query(f"{_dom('out', 'dst', 'src')} {_CDG}")
 def control_dependences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that depend on a branch (the oracle's values are worked out by hand)."""
-    return P.control_dependences(spark.createDataFrame(_FLOW, "method string, src string, dst string"), "out").select("method", "node", "on")
+    """Nodes that depend on a branch, against removal of the post-dominator."""
+    return P.control_dependences(model(spark, sf_dir, "control"), "out").select("method", "node", "on")
+
+
+_DDG = """p AS (SELECT c.method, t.var, c.src, c.dst FROM control c JOIN (SELECT DISTINCT method, var FROM facts) t ON t.method = c.method LEFT JOIN facts k ON k.method = c.method AND k.node = c.src AND k.var = t.var AND k.kind = 'def' WHERE k.node IS NULL),
+z(method, var, def, node) AS (SELECT d.method, d.var, d.node, c.dst FROM facts d JOIN control c ON c.method = d.method AND c.src = d.node WHERE d.kind = 'def' UNION SELECT z.method, z.var, z.def, p.dst FROM z JOIN p ON p.method = z.method AND p.var = z.var AND p.src = z.node),
+ddg AS (SELECT DISTINCT z.method, z.def AS src, z.node AS dst, z.var FROM z JOIN facts u ON u.method = z.method AND u.node = z.node AND u.var = z.var AND u.kind = 'use')"""
+
+
+@query(f"WITH RECURSIVE {_DDG} SELECT * FROM ddg")
+def reaching_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data dependences made from control flow, definitions and uses."""
+    return P.reaching_definitions(model(spark, sf_dir, "control"), model(spark, sf_dir, "facts"))
+
+
+_PDG = f"{_dom('out', 'dst', 'src')}, cdg AS ({_CDG}), {_DDG}, pdg AS (SELECT method, src, dst, 'DDG' AS label FROM ddg UNION SELECT method, \"on\", node, 'CDG' FROM cdg)"
+
+
+@query(f"{_PDG} SELECT method, src, dst, label FROM pdg")
+def program_dependences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program dependence graph, data and control dependences in one."""
+    return P.program_dependences(model(spark, sf_dir, "control"), model(spark, sf_dir, "facts"), "out")
+
+
+@query(f"{_PDG}, l AS (SELECT method, label, '  \"' || src || '\" -> \"' || dst || '\"' AS l FROM pdg) SELECT method, label, 'digraph ' || label || ' {{' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) || '}}' AS dot FROM l GROUP BY method, label".replace("{{", "{").replace("}}", "}"))
+def dependence_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data and control dependences of each method as DOT."""
+    return P.dot_of(P.program_dependences(model(spark, sf_dir, "control"), model(spark, sf_dir, "facts"), "out"))
+
+
+@query(f"{_PDG}, s(method, node, depth) AS (SELECT DISTINCT method, node, 0 FROM facts WHERE var = 'cmd' AND kind = 'use' UNION SELECT s.method, pdg.src, depth + 1 FROM s JOIN pdg ON pdg.method = s.method AND pdg.dst = s.node WHERE depth < 10) SELECT method, node, CAST(min(depth) AS INT) AS depth FROM s GROUP BY method, node")
+def dependence_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward slices of the uses of a variable over dependences that are made, not given."""
+    facts = model(spark, sf_dir, "facts")
+    return P.dependence_slice(P.program_dependences(model(spark, sf_dir, "control"), facts, "out"), facts, "cmd", 10)
 
 
 @query("WITH RECURSIVE s(node, depth) AS (SELECT 'p:1', 0 UNION SELECT e.target, depth + 1 FROM s JOIN edges e ON e.source = s.node AND e.type = 'data_flow' WHERE depth < 5) SELECT node, CAST(min(depth) AS INT) AS depth FROM s GROUP BY node")
@@ -269,7 +280,10 @@ def dataflow_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(spark.sql("SELECT 'p:1' AS node"), G.adjacency(flow, "forward"), 5)
 
 
-@query(f"SELECT name, CASE WHEN name LIKE 'test%' OR length(name) < 2 THEN true ELSE false END AS noisy FROM (SELECT unnest([{quoted(['test_a', 'b', 'run_all', 'parse'])}]) AS name)")
+_METHOD_NAMES = "SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'test_' || p_size WHEN 1 THEN 'x' WHEN 2 THEN 'run_' || p_partkey WHEN 3 THEN '__init__' ELSE 'Test' || p_brand END AS name FROM part"
+
+
+@query(f"SELECT name, starts_with(name, 'test_') OR starts_with(name, 'Test') OR length(name) <= 1 OR name = '__init__' AS noisy FROM ({_METHOD_NAMES})")
 def noisy_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names aside when linking code."""
-    return spark.createDataFrame([("test_a",), ("b",), ("run_all",), ("parse",)], "name string").select("name", T.noisy_symbol(F.col("name")).alias("noisy"))
+    return sql(spark, sf_dir, _METHOD_NAMES).select("name", T.noisy_symbol(F.col("name")).alias("noisy"))
