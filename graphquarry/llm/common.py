@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.materialise import broadcast_within, cut  # noqa: F401
+from ..plans.materialise import broadcast_within, cut, ensure_checkpoint_dir  # noqa: F401
 
 #: Words are runs of anything but the six ASCII white-space bytes (fixed value of the result contract).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like cut(), but as a compressed table in the same shared folder; it stays there as checkpoints do."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of the id written as text, modulo m; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("null"))) % m

@@ -90,6 +90,10 @@ class Targets:
         self.ids, self.labels, self.vectors, self.same = ids, labels, vectors, same
         self.anchor, self.low, self.high = anchor, low, high
 
+    def plain(self) -> tuple:
+        """What to broadcast: workers need not have this module."""
+        return self.ids, self.labels, self.vectors, self.anchor, self.low, self.high, self.same
+
     def within(self, low: np.ndarray, high: np.ndarray, which: np.ndarray) -> Targets:
         return Targets(self.ids, self.labels, self.vectors, self.anchor[which], low[which], high[which], self.same)
 
@@ -124,7 +128,7 @@ def counted(rows: DataFrame, targets: Broadcast, k: int) -> DataFrame:
     """(target, bucket, n): scores in each bucket, counted from the top of the target's range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = targets.value
+        t = Targets(*targets.value)
         high, size = t.high.astype(np.uint64), bucket_width(t.low, t.high)
         counts = np.zeros(len(t.anchor) * BUCKETS, np.int64)
         for batch in batches:
@@ -151,7 +155,7 @@ def gathered(rows: DataFrame, targets: Broadcast, k: int) -> DataFrame:
     """(target, rank, id, score): the k best rows of each target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = targets.value
+        t = Targets(*targets.value)
         held = [np.zeros(0, np.int64)] * 3
         pending: list[tuple] = []
 
@@ -180,7 +184,7 @@ def selected(rows: DataFrame, targets: Targets, k: int) -> DataFrame:
     floor, need = targets.low.copy(), np.full(len(low), k, np.int64)
     undecided = np.arange(len(low))
     while len(undecided):
-        counts = counted(rows, sc.broadcast(targets.within(low, high, undecided)), k)
+        counts = counted(rows, sc.broadcast(targets.within(low, high, undecided).plain()), k)
         upto = F.sum("n").over(Window.partitionBy("target").orderBy("bucket"))
         # never more rows than a target's buckets that hold its k best
         counts = counts.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < k).toPandas().sort_values(["target", "bucket"])
@@ -195,7 +199,7 @@ def selected(rows: DataFrame, targets: Targets, k: int) -> DataFrame:
         floor[t] = np.where(whole, targets.low[t], bottom)
         need[t] -= (last["upto"] - last["n"]).to_numpy()
         undecided = t[~whole & (size > 1) & (last["n"].to_numpy() > FEW)]
-    return gathered(rows, sc.broadcast(targets.within(floor, targets.high, np.arange(len(floor)))), k)
+    return gathered(rows, sc.broadcast(targets.within(floor, targets.high, np.arange(len(floor))).plain()), k)
 
 
 def windows(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

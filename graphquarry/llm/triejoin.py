@@ -9,7 +9,9 @@ Two sets that link share one of their first `size - least overlap + 1` shingles,
 2. In each bucket one pivot is paired with the others.  The partners of a pivot are stored in tries, dealt out in parts of bounded size,
    and the pivot walks these.
 3. In buckets whose other members are then still of several components, tiles of bounded size are stored in a trie and walked by all
-   sets of the two tiles of a step; sets of one component are not compared.  Buckets of equal members are walked once.
+   sets of the two tiles of a step; sets of one component are not compared, and a pair in one bucket only.
+Both times tries of the first shingles that nodes share come before those of whole sets: up to where the first ones of both sets come, their
+overlap is known, and beyond it is at most what remains of either, so most pairs end there; sets whose sizes alone rule out all others are not stored.  Whole sets are read only of nodes that have others left.
 
 A trie holds sets as paths from their most frequent shingle on, so sets with equal parts share nodes.  All sets that walk are taken along at
 once: at each node their overlaps grow by the node's shingles, for all sets below it, and those that cannot reach the least overlap with what
@@ -22,7 +24,7 @@ An empty table gives an empty table.  Only the id of the input's columns is retu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ PERCENT = 85
 LARGE_BUCKET, COUNTED = 64, 1 << 20
 #: A tile holds about so many sets and shingles at most, or one set.
 TILE_SETS, TILE_ITEMS = 512, 1 << 19
+#: A set's first shingles are marked at so many places, so that it can be told how many of them come before one of another set.
+MARKS = 16
 _S1, _S2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -61,14 +65,20 @@ def first_ones(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
+def places(taken: np.ndarray) -> np.ndarray:
+    """(sets, MARKS + 1): how many of `taken` shingles come up to each mark, 0 before the first."""
+    return -(-np.arange(MARKS + 1)[None, :] * taken[:, None] // MARKS)
+
+
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def sketches(docs: DataFrame, percent: int, large: Broadcast | None = None, items: bool = False) -> DataFrame:
-    """(id, node, check, n, first) of (id, text): the set's keys, its size and its first shingles, or with `items` all of them.
+    """(id, node, check, n, first, marks) of (id, text): the set's keys, its size and its first shingles, or with `items` all of them.
 
-    large: shingles, sorted, and the counts by which they follow those that are not among them.
+    large: shingles, sorted, and the counts by which they follow those that are not among them.  marks: numbers that grow with the order of
+    shingles (equal ones tell nothing) at places() of the first ones.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -83,17 +93,23 @@ def sketches(docs: DataFrame, percent: int, large: Broadcast | None = None, item
                 n = np.bincount(d, minlength=m)
                 node, check = node_keys(d, s, m)
                 if items:
-                    first = lists(s, n)
+                    first, marks = lists(s, n), pa.nulls(m, pa.list_(pa.int32()))
                 else:
+                    grows = (s >> np.uint64(34)).astype(np.int32)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        order = np.lexsort((s, np.where(known[at] == s, count[at], 0), d))
+                        level = np.where(known[at] == s, count[at], 0)
+                        order = np.lexsort((s, level, d))
                         d, s = d[order], s[order]
-                    taken = first_ones(n, percent)
-                    first = lists(s[np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n) < taken[d]], taken)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "node": pa.array(node.view(np.int64)), "check": pa.array(check.view(np.int64)), "n": pa.array(n.astype(np.int64)), "first": first})
+                        grows = np.where(level > 0, (1 << 30) + np.minimum(level, (1 << 30) - 1), grows)[order].astype(np.int32)
+                    taken, starts = first_ones(n, percent), np.cumsum(n) - n
+                    first = lists(s[np.arange(len(d)) - np.repeat(starts, n) < taken[d]], taken)
+                    some = n > 0
+                    values = grows[(starts[some, None] + places(taken[some])[:, 1:] - 1).reshape(-1)]
+                    marks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * MARKS)]).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "node": pa.array(node.view(np.int64)), "check": pa.array(check.view(np.int64)), "n": pa.array(n.astype(np.int64)), "first": first, "marks": marks})
 
-    return docs.mapInArrow(run, f"id {kind}, node long, check long, n long, first array<long>")
+    return docs.mapInArrow(run, f"id {kind}, node long, check long, n long, first array<long>, marks array<int>")
 
 
 class Trie:
@@ -113,11 +129,59 @@ class Trie:
             self.shared[i] = differ.argmax() if differ.any() else k
 
 
-def trie_links(sets: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, tile: np.ndarray, single: bool, walkers: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (i, j) between sets of different labels and, unless single, different tiles, with i or j a walker.
-
-    A link makes two labels one, and pairs of one label are left out, so that there are fewer links than labels.
+class Behind:
+    """How much of each set may lie behind its first shingles, as far as they and those of another set come."""
+
+    def __init__(self, sizes: np.ndarray, marks: np.ndarray, percent: int) -> None:
+        self.sizes, self.marks, self.before = sizes, marks, places(first_ones(sizes, percent))
+        self.last = marks[:, -1]
+
+    def at(self, of: np.ndarray | int, mark: np.ndarray) -> np.ndarray:
+        """What of the sets may come at or after a mark."""
+        many = (self.marks[of] < mark[:, None]).sum(axis=1)
+        many = np.where(self.last[of] < mark, MARKS, many)
+        return self.sizes[of] - self.before[of, many]
+
+    def both(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The most that sets x may have in common with sets y besides first shingles."""
+        mark = np.minimum(self.last[x], self.last[y])
+        of_x = np.where(self.last[x] < self.last[y], self.sizes[x] - self.before[x, -1], self.at(x, mark))
+        of_y = np.where(self.last[y] < self.last[x], self.sizes[y] - self.before[y, -1], self.at(y, mark))
+        return np.minimum(of_x, of_y)
+
+
+def least_overlap(x: np.ndarray, y: np.ndarray | int, percent: int) -> np.ndarray:
+    """The overlap that two sizes need."""
+    return -(-percent * (x + y) // (100 + percent))
+
+
+def in_reach(group: np.ndarray, n: np.ndarray, held: np.ndarray, label: np.ndarray, tile: np.ndarray, single: np.ndarray, walks: np.ndarray, behind: Behind | None, percent: int) -> np.ndarray:
+    """Which rows have another one in their group that their sizes alone don't rule out; held: how many shingles each has here."""
+    reach = np.zeros(len(group), bool)
+    for d in range(1, len(group)):
+        x = np.flatnonzero(group[d:] == group[:-d])
+        if not len(x):
+            break
+        y = x + d
+        open_ = (label[x] != label[y]) & (single[x] | (tile[x] != tile[y])) & (walks[x] | walks[y])
+        open_ &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        x, y = x[open_], y[open_]
+        most = np.minimum(held[x], held[y]) + (behind.both(x, y) if behind else 0)
+        open_ = most >= least_overlap(n[x], n[y], percent)
+        reach[x[open_]] = reach[y[open_]] = True
+    return reach
+
+
+def trie_links(
+    sets: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray | None, label: np.ndarray, tile: np.ndarray, single: bool, walkers: np.ndarray, percent: int, bucket: int | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs (i, j) of sets of different labels and, unless single, different tiles, with i or j a walker, whose overlap suffices; and which sets are in one.
+
+    Without marks sets are whole, and the pairs are links: a link makes two labels one, and pairs of one label are left out, so that there are
+    fewer links than labels.  With marks they are first shingles, of whole sets of these sizes, and no pairs are made; bucket: only those pairs count
+    whose least common shingle it is, so that a pair counts in one bucket.
     """
+    whole = marks is None
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     names, rank, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     by = np.lexsort((names, -held))  # most frequent first, those of one set last
@@ -128,12 +192,13 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, til
     paths = [np.sort(r[r < some]) for r in (rank[a:b] for a, b in zip(ends, ends[1:], strict=False))]
     trie = Trie(paths, sizes)
     label, tile = label[trie.order].copy(), tile[trie.order]
+    behind = None if whole else Behind(trie.sizes, marks[trie.order], percent)
+    found = np.zeros(len(sets), bool)
     walks = np.flatnonzero(np.isin(trie.order, walkers))
     all_walk = len(walks) == len(sets)
     flat = np.concatenate([i * some + p for i, p in enumerate(trie.paths)]) if some else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(trie.lengths)])
     out: list[tuple[int, int]] = []
-    least = lambda x, y: -(-percent * (x + y) // (100 + percent))  # noqa: E731  the overlap that two sizes need
     step = max(1, (32 << 20) // max(some, 1))
     for at in range(0, len(walks), step):
         own = walks[at : at + step]
@@ -153,7 +218,9 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, til
             if one is not None:
                 fits &= label[own[live]] != one
             live, overlap = live[fits], overlap[fits]
-            needed = least(n[live], int(below.min()))
+            needed = least_overlap(n[live], int(below.min()), percent)
+            if behind:
+                needed = needed - behind.at(own[live], np.minimum(behind.last[own[live]], behind.last[lo:hi].min()))
             path = trie.paths[lo]
             while len(live) and depth < to:
                 upto = min(to, depth + 64)
@@ -166,42 +233,56 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, til
                 continue
             first = lo
             while first < hi and trie.lengths[first] == to:  # sets that end here come first
-                for k in np.flatnonzero(overlap >= least(n[live], int(trie.sizes[first]))):
-                    x = int(own[live[k]])
-                    if label[x] != label[first] and (single or tile[x] != tile[first]) and (x > first or not all_walk):
-                        label[label == label[x]] = label[first]
-                        out.append((int(trie.order[x]), int(trie.order[first])))
+                x = own[live]
+                most = overlap + behind.both(x, np.full(len(x), first)) if behind else overlap
+                hit = (most >= least_overlap(n[live], int(trie.sizes[first]), percent)) & (label[x] != label[first])
+                hit &= (single | (tile[x] != tile[first])) & ((x > first) | (not all_walk))
+                if bucket is not None and hit.any():
+                    common = np.where(has[trie.paths[first]][:, live[hit]], names[by[trie.paths[first]]][:, None], np.uint64(2**64 - 1))
+                    hit[hit] = common.min(axis=0, initial=np.uint64(2**64 - 1)) == np.uint64(bucket)
+                if hit.any():
+                    found[trie.order[x[hit]]] = found[trie.order[first]] = True
+                for k in x[hit].tolist() if whole else ():
+                    if label[k] != label[first]:
+                        label[label == label[k]] = label[first]
+                        out.append((int(trie.order[k]), int(trie.order[first])))
                 first += 1
             if first < hi:
                 turns = [first, *(first + 1 + np.flatnonzero(trie.shared[first + 1 : hi] == to)).tolist(), hi]
                 stack += [(a, b, to, live, overlap) for a, b in zip(turns, turns[1:], strict=False)]
-    return out
+    return out, found
 
 
-def walked(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links of dealt rows (bucket, lo, hi, tile, walks, node, label, n, items)."""
+def walked(rows: DataFrame, percent: int, whole: bool, once: bool = False) -> DataFrame:
+    """The links (a, b) of dealt rows (bucket, lo, hi, tile, walks, node, label, n, items), or where items are not whole sets the
+    members (bucket, node) that may have one; once: a pair counts in the bucket of its least common shingle."""
+    names = ("a", "b") if whole else ("bucket", "node")
 
-    def links(t: pa.Table) -> pa.RecordBatch:
+    def of_steps(t: pa.Table) -> pa.RecordBatch:
         k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in STEP], 1)
         turns = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
-        node, label, tile, n = (t.column(c).to_numpy() for c in ("node", "label", "tile", "n"))
-        walks = t.column("walks").to_numpy()
+        node, label, tile, n, walks = (t.column(c).to_numpy() for c in ("node", "label", "tile", "n", "walks"))
+        marks = None if whole else t.column("marks").chunk(0).flatten().to_numpy().reshape(-1, MARKS)
         items = t.column("items").chunk(0)
         ends, values = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+        group, single = np.repeat(np.arange(len(turns) - 1), np.diff(turns)), k[:, 1] == k[:, 2]
+        reach = in_reach(group, n, np.diff(ends), label, tile, single, walks.astype(bool), None if whole else Behind(n, marks, percent), percent)
         out = []
-        for i, j in zip(turns, turns[1:], strict=False):
-            if j - i > 1:
-                sets = [values[ends[x] : ends[x + 1]] for x in range(i, j)]
-                found = trie_links(sets, n[i:j], label[i:j], tile[i:j], bool(k[i, 1] == k[i, 2]), np.flatnonzero(walks[i:j]), percent)
-                out += [(node[i + x], node[i + y]) for x, y in found]
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+        at = np.flatnonzero(reach)
+        for own in np.split(at, np.flatnonzero(np.diff(group[at])) + 1):
+            if len(own):
+                i = own[0]
+                sets = [values[ends[x] : ends[x + 1]] for x in own.tolist()]
+                pairs, found = trie_links(sets, n[own], None if whole else marks[own], label[own], tile[own], bool(single[i]), np.flatnonzero(walks[own]), percent, int(k[i, 0]) % (1 << 64) if once else None)
+                out += [(node[own[x]], node[own[y]]) for x, y in pairs] if whole else [(k[i, 0], x) for x in node[own][found].tolist()]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({c: pa.array(both[:, x].copy()) for x, c in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in steps(batches):
-            yield links(t)
+            yield of_steps(t)
 
-    return rows.repartition(*STEP).sortWithinPartitions(*STEP, "node").mapInArrow(run, "a long, b long")
+    return rows.repartition(*STEP).sortWithinPartitions(*STEP, "node").mapInArrow(run, f"{names[0]} long, {names[1]} long").distinct()
 
 
 def tiles(n: str = "n") -> Column:
@@ -210,12 +291,12 @@ def tiles(n: str = "n") -> Column:
 
 
 def star_rows(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of each pivot and its partners, of pairs (a: pivot, b, n: size of b); a pivot goes with each tile of its partners."""
+    """Rows of each pivot and its partners, of pairs (a: pivot, node, n: its size); a pivot goes with each tile of its partners."""
     parts = pairs.groupBy("a").agg(tiles().alias("parts"))
-    partners = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), F.col("parts"))).select("a", "part", F.col("b").alias("node"), F.lit(False).alias("walks"))
+    partners = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).select("a", "part", "node", F.lit(False).alias("walks"))
     pivots = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(True).alias("walks"))
     rows = partners.unionByName(pivots).join(sets, "node")
-    return rows.select(F.col("a").alias("bucket"), F.col("part").alias("lo"), F.col("part").alias("hi"), F.col("part").alias("tile"), "walks", "node", F.col("node").alias("label"), "n", "items")
+    return rows.select(F.col("a").alias("bucket"), F.col("part").alias("lo"), F.col("part").alias("hi"), F.col("part").alias("tile"), "walks", "node", F.col("node").alias("label"), "n", "items", "marks")
 
 
 def tile_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,14 +318,14 @@ def trie_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(sketches(source, percent))
     nodes = rows.filter("id is not null and n > 0").groupBy("node", "check")
-    nodes = cut(nodes.agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("first").alias("first")))
+    nodes = cut(nodes.agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("marks").alias("marks")))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         ids = cut(nodes.join(wanted, "node").select(F.col("rep").alias("id")).distinct())
         return source.join(broadcast_within(ids, broadcast_rows), "id", "left_semi")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        found = sketches(texts_of(wanted), percent, items=True).select("node", "n", F.col("first").alias("items"))
+        found = sketches(texts_of(wanted), percent, items=True).select("node", "n", F.col("first").alias("items"), "marks")
         return cut(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     def shared(of: DataFrame) -> DataFrame:
@@ -259,23 +340,30 @@ def trie_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         order = np.argsort(known)
         large = spark.sparkContext.broadcast((known[order], k[order]))
         changed = cut(spread.join(F.broadcast(spark.createDataFrame(top)), "bucket", "left_semi").select("node").distinct())
-        anew = sketches(texts_of(changed), percent, large).select("node", F.col("first").alias("anew")).join(changed, "node", "left_semi").dropDuplicates(["node"])
-        spread = cut(nodes.join(anew, "node", "left").select("node", "n", F.coalesce("anew", "first").alias("first"))).select("node", "n", F.explode("first").alias("bucket"))
+        anew = sketches(texts_of(changed), percent, large).select("node", F.col("first").alias("anew"), F.col("marks").alias("marked")).join(changed, "node", "left_semi").dropDuplicates(["node"])
+        nodes = cut(nodes.join(anew, "node", "left").select("node", "check", "rep", "copies", "n", F.coalesce("anew", "first").alias("first"), F.coalesce("marked", "marks").alias("marks")))
+        spread = nodes.select("node", "n", F.explode("first").alias("bucket"))
         buckets = shared(spread)
-    members = cut(spread.join(broadcast_within(buckets, broadcast_rows), "bucket").filter("node <> pivot").select("bucket", "node", "n", "pivot"))
-
-    stars = members.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct().join(nodes.select(F.col("node").alias("a"), F.col("n").alias("pivot_n")), "a")
-    stars = cut(stars.filter(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent).select("a", "b", "n"))
-    links = cut(walked(star_rows(stars, sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())), percent).distinct())
+    members = cut(spread.join(broadcast_within(buckets, broadcast_rows), "bucket").select("bucket", "node", "n", "pivot"))
+    shared_first = cut(members.groupBy("node").agg(F.collect_list("bucket").alias("items")).join(nodes.select("node", "n", "marks"), "node"))
+
+    def left(rows_of: Callable[[DataFrame, DataFrame], DataFrame], asked: DataFrame) -> DataFrame:
+        """Links of the asked pairs or members: first ones decide which of them whole sets are compared of."""
+        open_ = cut(walked(rows_of(asked, shared_first), percent, whole=False, once=rows_of is tile_rows))
+        key = asked.columns[0]
+        still = asked.join(open_.select(F.col("bucket").alias(key), "node"), [key, "node"], "left_semi")
+        return cut(walked(rows_of(still, sets_of(open_.select("node").distinct())), percent, whole=True))
+
+    others = members.filter("node <> pivot")
+    stars = others.select(F.col("pivot").alias("a"), "node", "n").distinct().join(nodes.select(F.col("node").alias("a"), F.col("n").alias("pivot_n")), "a")
+    stars = cut(stars.filter(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent).select("a", "node", "n"))
+    links = left(star_rows, stars)
     classes = connected_components(links, "a", "b")
-    labelled = members.join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("k"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)])
-    mixed = mixed.filter("l0 <> l1").groupBy("k", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
-    labelled = cut(labelled.join(mixed, "bucket"))
-    if labelled.limit(1).count():
-        more = cut(walked(tile_rows(labelled, sets_of(labelled.select("node").distinct())), percent).distinct())
-        if more.limit(1).count():
-            classes = connected_components(links.union(more), "a", "b")
+    labelled = others.join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
+    more = left(tile_rows, cut(labelled.join(mixed, "bucket")))
+    if more.limit(1).count():
+        classes = connected_components(links.union(more), "a", "b")
 
     # only texts with copies or links have a component of another id
     of_node = nodes.select("node", "check", "rep", "copies").join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").filter("copies > 1 or component is not null")
