@@ -133,3 +133,13 @@ def token_overlap(queries: DataFrame, tags: DataFrame, k: int) -> DataFrame:
     exploded = q.select("query_id", F.size("qt").alias("n"), F.explode("qt").alias("t")).join(tags.select("tag", F.explode(T.code_tokens(F.col("tag"))).alias("t")), "t")
     scores = exploded.groupBy("query_id", "tag", "n").agg(F.count(F.lit(1)).alias("c")).select("query_id", "tag", (F.col("c") / F.col("n")).alias("score"))
     return top_k(scores, k, "tag")
+
+
+def batch(queries: DataFrame, posts: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(query_id, status, found): for each query (query_id, text) its best documents in order, or why there are none."""
+    asked = queries.filter(F.trim("text") != "")
+    best = top_k(bm25(query_terms(asked, "query_id"), posts, stats), k)
+    lists = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("l"))
+    status = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "error: empty query").otherwise("ok")
+    found = F.array_join(F.transform("l", lambda x: x["doc_id"].cast("string")), " ")
+    return queries.join(lists, "query_id", "left").select("query_id", status.alias("status"), F.coalesce(found, F.lit("")).alias("found"))

@@ -161,11 +161,15 @@ def conversation_temporal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.temporal_edges(sql(spark, sf_dir, _CONV_CLAIMS))
 
 
-@query("SELECT key, span FROM (VALUES ('Dr. Lena Ortiz', 'lena_ortiz'), ('The Atlas robotic arm', 'atlas'), ('  a Robotics  Company ', 'robotics_company'), ('Nova-Dynamics, Inc.', 'nova_dynamics_inc')) t(key, span)")
+_FORMS = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN 'The ' || p_brand || ' robotic arm' WHEN 2 THEN '  a ' || p_type || '  Company ' WHEN 3 THEN p_name || '-' || p_brand || ', Inc.' WHEN 4 THEN 'dr ' || p_brand || ' robotic arm' ELSE 'An ' || upper(p_type) || '!' END AS form FROM part"
+
+
+@query(
+    f"""SELECT id, form, replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(form)), '^dr\\.?\\s+', ''), '\\s+robotic arm$', ''), '^(the|a|an)\\s+', ''), '^the_company$', 'nova_dynamics'), '[^a-z0-9]+', ' ', 'g')), ' ', '_') AS span FROM ({_FORMS})"""
+)
 def span_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface forms as keys."""
-    rows = spark.sql("SELECT * FROM VALUES ('Dr. Lena Ortiz'), ('The Atlas robotic arm'), ('  a Robotics  Company '), ('Nova-Dynamics, Inc.') AS t(key)")
-    return rows.select("key", T.span_key(F.col("key")).alias("span"))
+    return sql(spark, sf_dir, _FORMS).select("id", "form", T.span_key(F.col("form")).alias("span"))
 
 
 _QUOTES = "SELECT p_partkey AS id, p_name || ' of ' || p_brand AS unit, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN 'absent words' ELSE p_brand END AS quote FROM part"

@@ -73,7 +73,12 @@ def cpg_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT 'METHOD' AS name, count(*) AS n FROM cpg_methods")
 
 
-@query("SELECT type, weight FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in schema.ROLE_WEIGHTS.items()) + ") t(type, weight)")
+_WEIGHTS = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in schema.ROLE_WEIGHTS.items()) + f" ELSE {schema.DEFAULT_ROLE_WEIGHT} END"
+
+
+@query(f"SELECT type, CAST({_WEIGHTS} AS DOUBLE) AS weight, count(*) AS n FROM nodes GROUP BY type")
 def role_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3, H1: the dimension table of node types."""
-    return schema.dimension(spark, schema.ROLE_WEIGHTS, "type", "weight")
+    """M3, H1: how many nodes have each type's weight."""
+    weights = schema.dimension(spark, schema.ROLE_WEIGHTS, "type", "weight")
+    rows = model(spark, sf_dir, "nodes").join(F.broadcast(weights), "type", "left")
+    return rows.groupBy("type", F.coalesce("weight", F.lit(schema.DEFAULT_ROLE_WEIGHT)).alias("weight")).agg(F.count(F.lit(1)).alias("n"))

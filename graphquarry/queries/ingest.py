@@ -12,9 +12,10 @@ from ..operators import chunking as K
 from ..operators import unitizer as U
 from ..plans import index as I
 from ..sources import conversations as S
+from ..sources import exports
 from ..sources import files
 from ..sources import store
-from .registry import query, quoted, sql, table
+from .registry import literal, model, query, quoted, sql, table
 
 _PATHS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'app/environment/' WHEN 3 THEN 'target/' WHEN 4 THEN 'https://github.com/x/' ELSE 'docs/' END || lower(p_type) || CASE p_partkey % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.tsx' WHEN 2 THEN '.md' WHEN 3 THEN '.aichat' WHEN 4 THEN '.log' WHEN 5 THEN '.json' WHEN 6 THEN '.rs' WHEN 7 THEN '/README' ELSE '.c' END AS path,
 CAST(p_partkey * 791 AS BIGINT) AS bytes, CAST(p_size AS INT) AS lines FROM part"""
@@ -117,37 +118,47 @@ def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.nodes_from_chunks(d, F.col("at")).select("node_id", "hash", "title", "path", "type")
 
 
-_MESSY = ["a\r\nb  \r\n\r\n\r\n\r\n\r\nc", "# head\ntext\n## next\n\nok", "#a\n#b\n\n\n\nx", "\n\n\n\nlead", "plain"]
-_NEAT = ["a\nb\n\n\nc", "# head\n\ntext\n## next\n\nok", "#a\n\n#b\n\n\nx", "\n\nlead", "plain"]
+_MESSY = "SELECT doc_id AS id, chr(10) || '# ' || lang || chr(13) || chr(10) || '#  next' || chr(10) || replace(replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || '## more' || chr(13)), ', ', ', ' || chr(10) || chr(10)) || chr(10) || chr(10) || chr(10) AS text FROM documents"
+_STEPS = ((r"\r\n?", "\n"), (r"(?m)[ \t\f\v]+$", ""), (r"^\n+\z", "\n"), (r"^\n{3,}", "\n\n"), (r"\n{3,}\z", "\n\n"), (r"\n{4,}", "\n\n\n"), (r"(?m)^(#[^\n]*)\n([^\n])", r"\1" + "\n\n" + r"\2"), (r"(?m)^(#[^\n]*)\n([^\n])", r"\1" + "\n\n" + r"\2"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INT), '{n.replace(chr(10), '|')}')" for i, n in enumerate(_NEAT)) + ") t(id, text)")
+def _normal(text: str) -> str:
+    for pattern, to in _STEPS:
+        text = f"regexp_replace({text}, {literal(pattern)}, {literal(to)}, 'g')"
+    return text
+
+
+@query(f"SELECT id, {_normal('text')} AS text FROM ({_MESSY})")
 def normal_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised markdown (the oracle's values are worked out by hand; | stands for a line end)."""
-    rows = spark.createDataFrame(list(enumerate(_MESSY)), "id int, text string")
-    return rows.select("id", F.replace(T.markdown(F.col("text")), F.lit("\n"), F.lit("|")).alias("text"))
-
-
-_LOGS = [
-    ("logs/antigravity/brain/c1/first_task.txt", "x <USER_REQUEST> fix it </USER_REQUEST> y <USER_REQUEST>and test</USER_REQUEST>"),
-    ("logs/antigravity/c2/plain.txt", "User: hello there\nAssistant: hi\nHuman: bye"),
-    ("logs/antigravity/c3/whole.txt", "nothing marked here at all"),
-    ("logs/chat.aichat", '{"id": "k1", "title": "T", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b", "timestamp": "2024-01-01T10:00:00"}]}'),
-    ("logs/claude.json", '{"uuid": "u1", "name": "N", "chat_messages": [{"sender": "human", "text": "q"}, {"sender": "assistant", "text": "r"}]}'),
-    ("logs/copilot.json", '{"sessionId": "s1", "messages": [{"role": "user", "value": "v"}, {"sender": "copilot", "text": "w"}]}'),
-    ("logs/entries.json", '{"entries": [{"role": "assistant", "content": "e"}]}'),
-    ("logs/other.json", '{"a": 1}'),
-]
-_TURNS = [
-    ("c1", 0, "user", "fix it", "antigravity"), ("c1", 1, "user", "and test", "antigravity"), ("c2", 0, "user", "hello there", "antigravity"), ("c2", 1, "user", "bye", "antigravity"), ("c3", 0, "user", "nothing marked here at all", "antigravity"),
-    ("k1", 0, "user", "a", "cursor"), ("k1", 1, "assistant", "b", "cursor"), ("u1", 0, "user", "q", "claude"), ("u1", 1, "assistant", "r", "claude"), ("s1", 0, "user", "v", "github_copilot"), ("s1", 1, "assistant", "w", "github_copilot"), ("entries", 0, "assistant", "e", "github_copilot"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST({t} AS INT), '{r}', '{x}', '{s}')" for c, t, r, x, s in _TURNS) + ") t(conv_id, turn, role, text, source)")
+    """Normalised markdown of all documents with line ends, blanks and headings put in."""
+    return sql(spark, sf_dir, _MESSY).select("id", T.markdown(F.col("text")).alias("text"))
+
+
+def _logs(turns: DataFrame) -> DataFrame:
+    """(path, content): a log of each conversation, of one editor's format by its id."""
+    by = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    said = lambda f: F.transform("m", f)
+    key = F.col("conv_id").cast("string")
+    cursor = F.to_json(F.struct(key.alias("id"), F.lit("t").alias("title"), said(lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+    claude = F.to_json(F.struct(key.alias("uuid"), F.lit("t").alias("name"), said(lambda x: F.struct(x["role"].alias("sender"), x["text"].alias("text"))).alias("chat_messages")))
+    copilot = F.to_json(F.struct(key.alias("sessionId"), said(lambda x: F.struct(x["role"].alias("role"), x["text"].alias("value"))).alias("messages")))
+    entries = F.to_json(F.struct(said(lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("entries")))
+    tagged = F.array_join(said(lambda x: F.when(x["role"] == "user", F.concat(F.lit("<USER_REQUEST>"), x["text"], F.lit("</USER_REQUEST>"))).otherwise(F.lit("..."))), "\n")
+    kind = F.col("conv_id") % 5
+    path = F.when(kind == 0, F.concat(F.lit("logs/"), key, F.lit(".aichat"))).when(kind == 1, F.concat(F.lit("logs/claude"), key, F.lit(".json"))).when(kind == 2, F.concat(F.lit("logs/copilot"), key, F.lit(".json")))
+    path = path.when(kind == 3, F.concat(F.lit("logs/"), key, F.lit(".json"))).otherwise(F.concat(F.lit("logs/antigravity/brain/"), key, F.lit("/task.txt")))
+    return by.select(path.alias("path"), F.when(kind == 0, cursor).when(kind == 1, claude).when(kind == 2, copilot).when(kind == 3, entries).otherwise(tagged).alias("content"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn, role, text FROM conversations),
+u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM t WHERE role = 'user' AND conv_id % 5 = 4)
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS INT) AS turn, CASE WHEN conv_id % 5 = 0 OR role = 'assistant' THEN role ELSE 'user' END AS role, text, CASE conv_id % 5 WHEN 0 THEN 'cursor' WHEN 1 THEN 'claude' ELSE 'github_copilot' END AS source FROM t WHERE conv_id % 5 < 4
+UNION ALL SELECT CAST(conv_id AS VARCHAR), CAST(turn AS INT), 'user', text, 'antigravity' FROM u"""
+)
 def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs of four editors as turns (the oracle's values are worked out by hand)."""
-    return S.conversations(spark.createDataFrame(_LOGS, "path string, content string")).select("conv_id", "turn", "role", "text", "source")
+    """Conversations as logs of four editors, told apart and parsed back into turns."""
+    return S.conversations(_logs(table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "role", "text", "source")
 
 
 @query(
@@ -160,23 +171,16 @@ def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.as_markdown(rows)
 
 
-_XML = [
-    (0, '<graphml><graph><node id="1"><data key="labelV">METHOD</data><data key="NAME">f</data></node><node id="2"><data key="labelV">CALL</data></node><edge source="1" target="2"><data key="labelE">AST</data></edge></graph></graphml>'),
-    (1, '<graphml><graph><node id="2"><data key="labelV">CALL</data><data key="NAME">g</data><data key="LINE_NUMBER">7</data></node><node id="3"><data key="labelV">LOCAL</data></node><edge source="1" target="3"><data key="labelE">AST</data></edge></graph></graphml>'),
-]
-
-
-@query("SELECT * FROM (VALUES ('1', 'METHOD', 'f', CAST(NULL AS INT)), ('2', 'CALL', 'g', 7), ('3', 'LOCAL', NULL, NULL)) t(id, label, name, line)")
+@query("SELECT id, label, nullif(name, '') AS name, nullif(code, '') AS code, filename, line FROM cpg_nodes")
 def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of GraphML documents, the last document counting."""
-    nodes, _ = store.graphml(spark.createDataFrame(_XML, "ord int, content string"))
-    return nodes.select("id", "label", "name", "line")
+    """Nodes of GraphML documents, written from the programs of all parts and parsed back."""
+    return store.graphml(exports.graphml_documents(model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")))[0]
 
 
-@query("SELECT * FROM (VALUES ('1', '2', 'AST'), ('1', '3', 'AST')) t(src, dst, label)")
+@query("SELECT DISTINCT src, dst, label FROM cpg_edges")
 def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of GraphML documents."""
-    return store.graphml(spark.createDataFrame(_XML, "ord int, content string"))[1]
+    """Edges of these documents."""
+    return store.graphml(exports.graphml_documents(model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")))[1]
 
 
 @query(
@@ -198,11 +202,17 @@ def built_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build_nodes(d.select(path.alias("path"), F.col("n_chars").alias("bytes"), F.concat(F.lit("# "), "lang", F.lit("\n"), "text").alias("content"))).drop("content")
 
 
-_MARKS = [("b1", "react-hooks", "react hooks", "how to use state"), ("b2", "auth", "auth", "login with react hooks"), ("b3", "docs", "docs", "react docs only")]
+_MARKS = "SELECT 'p' || p_partkey AS node_id, lower(p_type) || '-' || p_size AS tag, lower(p_type) || ' ' || p_size AS tag_tokens, p_name || ' ' || CASE WHEN p_partkey % 3 = 0 THEN 'economy' ELSE p_brand END || ' ' || lower(p_type) || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_name ELSE '' END AS content FROM part"
+_SEARCHED = "part economy"
 
 
-@query("SELECT * FROM (VALUES ('b1'), ('b2')) t(node_id)")
+@query(
+    f"""WITH m AS ({_MARKS}), f AS (SELECT node_id, 1 AS field, tag_tokens AS t FROM m UNION ALL SELECT node_id, 2, tag FROM m UNION ALL SELECT node_id, 3, content FROM m),
+w AS (SELECT node_id, field, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM f), k AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY field),
+p AS (SELECT node_id, field, len(w) AS size, q, len(list_filter(w, lambda x: x = q)) AS tf FROM w JOIN (SELECT unnest([{quoted(_SEARCHED.split())}]) AS q) ON list_contains(w, q)), d AS (SELECT field, q, count(*) AS df FROM p GROUP BY field, q),
+s AS (SELECT node_id, field, count(*) AS hits, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM p JOIN d USING (field, q) JOIN k USING (field) GROUP BY node_id, field)
+SELECT node_id, round(sum(score), 6) AS score FROM s WHERE hits = {len(_SEARCHED.split())} GROUP BY node_id"""
+)
 def bookmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookmarks with all words of a query in one field (the oracle's set is worked out by hand)."""
-    rows = spark.createDataFrame(_MARKS, "node_id string, tag string, tag_tokens string, content string")
-    return store.bookmark_search(rows, "react hooks", 10).select("node_id")
+    """Bookmarks of all parts with all words of a query in one field, by BM25 over the fields that match."""
+    return store.bookmark_search(sql(spark, sf_dir, _MARKS), _SEARCHED, 1 << 30)

@@ -160,16 +160,22 @@ def preselection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(df, 100, "node_id").select(F.col("query_id").alias("type"), "node_id", "rank")
 
 
-_QUERIES = "SELECT CAST(1 AS BIGINT) AS query_id, 'getUserById auth_token login' AS text UNION ALL SELECT 2, 'readDataFile for the session' UNION ALL SELECT 3, 'nothing here'"
-_TAGS = "SELECT 'react-hooks-useState' AS tag UNION ALL SELECT 'auth-token-refresh' UNION ALL SELECT 'getUser login session' UNION ALL SELECT 'data file reader'"
+_ASKERS = "SELECT c_custkey AS query_id, lower(c_mktsegment) || ' getBy' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' size_' || (c_custkey % 50) AS text FROM customer WHERE c_custkey % 100 = 0"
+_ASKERS_SPARK = "SELECT c_custkey AS query_id, lower(c_mktsegment) || ' getBy' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' size_' || (c_custkey % 50) AS text FROM customer WHERE c_custkey % 100 = 0"
+_TAGS = "SELECT DISTINCT lower(p_type) || '-size_' || p_size || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'building' WHEN p_partkey % 5 = 1 THEN 'machinery' WHEN p_partkey % 5 = 2 THEN 'getByHousehold' ELSE p_brand END AS tag FROM part"
+_DROPPED = quoted(sorted(set(words.STOP_WORDS) - set(words.CODE_KEYWORDS)))
+_code_words = lambda src, key, text: f"""(WITH tk AS (SELECT {key} AS k, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS t FROM {src}),
+ok AS (SELECT k, t, lower(t) AS l, regexp_extract_all(t, '[a-z]+|[A-Z][a-z]*') AS cp FROM tk WHERE lower(t) NOT IN ({_DROPPED}))
+SELECT k, l AS w FROM ok UNION SELECT k, lower(unnest(cp)) FROM ok WHERE len(cp) > 1 AND NOT (upper(t) = t AND lower(t) <> t) UNION SELECT k, w FROM (SELECT k, unnest(string_split(l, '_')) AS w FROM ok WHERE contains(l, '_')) WHERE w <> '' AND w NOT IN ({quoted(words.STOP_WORDS)}))"""
 
 
 @query(
-    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'auth-token-refresh', CAST(0.222222 AS DOUBLE), CAST(2 AS INT)), (1, 'getUser login session', 0.333333, 1), (2, 'data file reader', 0.333333, 1), (2, 'getUser login session', 0.166667, 2)) t(query_id, tag, score, rank)"""
+    f"""WITH aq AS ({_ASKERS}), tg AS ({_TAGS}), qw AS (SELECT * FROM {_code_words("aq", "query_id", "text")}), tw AS (SELECT * FROM {_code_words("tg", "tag", "tag")}), qn AS (SELECT k, count(*) AS n FROM qw GROUP BY k),
+sc AS (SELECT qw.k AS query_id, tw.k AS tag, count(*) * 1.0 / any_value(n) AS score FROM qw JOIN tw USING (w) JOIN qn ON qn.k = qw.k GROUP BY qw.k, tw.k) {_TOP("sc", 5, "tag")}"""
 )
 def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookmarks by the share of a query's code tokens (the oracle's values are worked out by hand)."""
-    return R.token_overlap(spark.sql(_QUERIES), spark.sql(_TAGS), 5)
+    """The best tags of all parts by the share of a query's code tokens."""
+    return R.token_overlap(sql(spark, sf_dir, _ASKERS_SPARK), sql(spark, sf_dir, _TAGS), 5)
 
 
 def _grounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -203,13 +209,17 @@ def grounding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(n.alias("a"), F.col("a.node_id") == e.source).join(n.alias("b"), F.col("b.node_id") == e.target).select(_name("a").alias("s"), e.type.alias("p"), _name("b").alias("o")).distinct()
 
 
+_BATCH = "SELECT item_id AS query_id, CASE WHEN item_id % 10 = 3 THEN '  ' ELSE text END AS text FROM benchmark"
+
+
 @query(
-    f"""WITH q(query_id, text) AS ({_QUERIES}), r(query_id, node_id, score) AS (VALUES (CAST(1 AS BIGINT), 'a', CAST(1 AS DOUBLE)))
-SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n FROM q WHERE length(text) > 0 GROUP BY query_id"""
+    f"""WITH {_BM25.replace("item_id AS query_id", "query_id").replace("FROM benchmark", f"FROM ({_BATCH})")}, be AS ({_TOP("sp", 5)}), l AS (SELECT query_id, string_agg(doc_id, ' ' ORDER BY rank) AS found FROM be GROUP BY query_id)
+SELECT q.query_id, CASE WHEN trim(text) = '' THEN 'error: empty query' ELSE 'ok' END AS status, coalesce(found, '') AS found FROM ({_BATCH}) q LEFT JOIN l USING (query_id)"""
 )
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: a batch of queries in one plan, an empty text among them failing alone."""
-    return cut(spark.sql(_QUERIES).filter("length(text) > 0")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    """V4: a batch of queries searched in one plan; those that fail say so in a row of their own and stop no other."""
+    docs = table(spark, sf_dir, "documents")
+    return R.batch(sql(spark, sf_dir, _BATCH), R.postings(docs, "doc_id", "text"), R.doc_stats(docs, "doc_id", "text"), 5)
 
 
 @query(f"SELECT node_id, {literal('')} || title || chr(10) || path || chr(10) || content AS text FROM nodes")

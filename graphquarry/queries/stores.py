@@ -11,7 +11,7 @@ from .. import schema
 from ..operators import retrieval as R
 from ..plans import maintain
 from ..plans.materialise import ensure_checkpoint_dir
-from ..sources import bookmarks, store
+from ..sources import bookmarks, exports, store
 from .registry import model, query, quoted, sql, table
 from .retrieval import _BM25, _POST, _TOP, _UNIT, _vectors
 
@@ -120,3 +120,27 @@ def store_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = store.read_nodes(spark, at), store.read_edges(spark, at).filter("type = 'reference'")
     named = lambda end: nodes.select(F.col("node_id").alias(end), F.col("path").alias(f"{end}_path"))
     return edges.join(named("source"), "source").join(named("target"), "target").select(F.col("source_path").alias("source"), F.col("target_path").alias("target"))
+
+
+@query("SELECT form, id, label, CASE WHEN form = 'graphml' THEN nullif(name, '') ELSE name END AS name, CASE WHEN form = 'graphml' THEN nullif(code, '') ELSE code END AS code, filename, line FROM cpg_nodes JOIN (SELECT unnest(['graphml', 'graphson', 'neo4jcsv']) AS form) ON true")
+def exported_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all parts' programs, exported in three forms and read back."""
+    at, nodes, edges = _folder(spark), model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")
+    out = None
+    for form in ("graphml", "graphson", "neo4jcsv"):
+        exports.write(nodes, edges, at, form)
+        rows = exports.read(spark, at, form)[0].select(F.lit(form).alias("form"), "id", "label", "name", "code", "filename", "line")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT form, src, dst, label FROM (SELECT DISTINCT src, dst, label FROM cpg_edges) JOIN (SELECT unnest(['graphml', 'graphson', 'neo4jcsv']) AS form) ON true")
+def exported_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of these exports."""
+    at, nodes, edges = _folder(spark), model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")
+    out = None
+    for form in ("graphml", "graphson", "neo4jcsv"):
+        exports.write(nodes, edges, at, form)
+        rows = exports.read(spark, at, form)[1].select(F.lit(form).alias("form"), "src", "dst", "label").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words
 from ..operators import edges as E
-from .registry import literal, query, quoted, sql, table
+from .registry import literal, query, quoted, sql, table, values
 
 _RUNS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
 #: Entities of (k, text) rows: classes in order, then position; the first of each lower-cased form.
@@ -126,14 +126,14 @@ def endpoint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = [
-    "how does user input flow to the database", "find data flow from request to response", "trace from login to logout?", "source leads to sink",
-    "who calls parse_file", "usage of config", "find function main", "show me class Node", "is login secure", "is the function safe", "why is it slow",
-    "explain the method", "how to stay safe", "dead code in module", "call graph of main", "list all recursion", "path between Alpha and 'Beta'.", "what is this",
-    "which class has bug", "analyze security of code", "does main contain bug", "list files", "complexity of parse", "comments in main", "parameters of \"run\"", "subclasses of Base",
+    "how does user input flow to the database", "find data flow from request to response", "trace from ~ to logout?", "source leads to sink",
+    "who calls ~", "usage of ~ here", "find function ~", "show me class ~", "is login secure", "is the function safe", "why is it slow",
+    "explain the method", "how to stay safe", "dead code in module", "call graph of ~", "list all recursion", "path between ~ and 'Beta'.", "what is this",
+    "which class has bug", "analyze security of code", "does main contain bug", "list files", "complexity of parse", "comments in main", "parameters of \"~\"", "subclasses of Base",
     "kod güvenli mi", "execute query now", "locals of main", "where is the readme",
 ]
-_ASK_SPARK = "SELECT posexplode(array(" + ", ".join('"' + a.replace('"', '\\"') + '"' for a in _ASKED) + ")) AS (id, q)"
-_ASK = f"SELECT CAST(i - 1 AS INT) AS id, l[i] AS q, lower(l[i]) AS t FROM (SELECT [{quoted(_ASKED)}] AS l, unnest(range(1, {len(_ASKED) + 1})) AS i)"
+# A question for each customer, with the customer's name for ~.
+_ASK = f"SELECT id, q, lower(q) AS t FROM (SELECT c_custkey AS id, replace(tq, '~', c_name) AS q FROM customer JOIN (VALUES {values(list(enumerate(_ASKED)))}) AS v(tn, tq) ON c_custkey % {len(_ASKED)} = tn) asked_questions"
 _ANY = lambda parts: "(" + " OR ".join(f"contains(t, {literal(p)})" for p in parts) + ")"
 _SUM = lambda parts: "(" + " + ".join(f"CAST(contains(t, {literal(p)}) AS INT)" for p in parts) + ")"
 _RX = lambda p: f"regexp_matches(t, {literal(p)})"
@@ -145,7 +145,7 @@ WHEN {_ANY(words.SECURITY_TERMS)} AND {_ANY(words.CODE_INDICATORS)} THEN 'hybrid
 )
 def query_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of a question."""
-    return spark.sql(_ASK_SPARK).select("id", T.query_class(F.col("q")).alias("class"))
+    return sql(spark, sf_dir, _ASK).select("id", T.query_class(F.col("q")).alias("class"))
 
 
 @query(
@@ -153,13 +153,13 @@ def query_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def code_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sure a question is about code."""
-    return spark.sql(_ASK_SPARK).select("id", T.code_confidence(F.col("q")).alias("confidence"))
+    return sql(spark, sf_dir, _ASK).select("id", T.code_confidence(F.col("q")).alias("confidence"))
 
 
 @query(f"WITH a AS ({_ASK}) SELECT id, CASE {' '.join(f'WHEN {_RX(p)} THEN {literal(n)}' for p, n in words.TOOLS)} WHEN {_ANY(words.TOOL_TERMS)} THEN {literal(words.FALLBACK_TOOL)} END AS tool FROM a")
 def tool_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tool that answers a question."""
-    return spark.sql(_ASK_SPARK).select("id", T.tool(F.col("q")).alias("tool"))
+    return sql(spark, sf_dir, _ASK).select("id", T.tool(F.col("q")).alias("tool"))
 
 
 _CHAIN = r"(?i)(from|between)\s+(.+?)\s+(to|and)\s+(.+)"
@@ -174,16 +174,21 @@ def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Method names, flow ends and chain ends in questions."""
     q = F.col("q")
     (source, sink), (a, b) = T.dataflow_ends(q), T.chain_ends(q)
-    return spark.sql(_ASK_SPARK).select("id", T.word_after(q, ["who calls ", "usage of ", "parameters of "]).alias("method"), source.alias("source"), sink.alias("sink"), a.alias("chain_from"), b.alias("chain_to"))
+    return sql(spark, sf_dir, _ASK).select("id", T.word_after(q, ["who calls ", "usage of ", "parameters of "]).alias("method"), source.alias("source"), sink.alias("sink"), a.alias("chain_from"), b.alias("chain_to"))
 
 
-_TERMS = ["login flow", " token refresh ", "getUser", "user_id", "a.b", "is_valid", "Find_me", "hesaplama", "bulut", "", "session", "call()"]
+_TERMS = """SELECT p_partkey AS id, n, CASE n WHEN 0 THEN p_name WHEN 1 THEN ' ' || lower(p_type) || ' ' WHEN 2 THEN 'get' || p_brand WHEN 3 THEN 'user_' || p_partkey WHEN 4 THEN 'a.' || p_partkey WHEN 5 THEN 'is_' || p_size WHEN 6 THEN 'Find_me'
+WHEN 7 THEN 'hesaplama' || p_size WHEN 8 THEN 'bulut' WHEN 9 THEN '' WHEN 10 THEN 'session ' || p_size WHEN 11 THEN 'call()' WHEN 12 THEN p_type ELSE 'x' || p_brand END AS term FROM part JOIN (VALUES {}) AS v(n) ON (p_partkey + n) % 3 > 0""".format(", ".join(f"({i})" for i in range(14)))
 
 
-@query(f"SELECT CAST(1 AS INT) AS id, {literal('login flow|token refresh|session')} AS safe")
+@query(
+    f"""WITH t AS (SELECT id, n, trim(term) AS term FROM ({_TERMS})), k AS (SELECT id, n, term FROM t WHERE term <> '' AND NOT regexp_matches(term, '[a-z0-9][A-Z]') AND NOT contains(term, '_') AND NOT regexp_matches(term, '[./()@]')
+AND NOT regexp_matches(lower(term), '^({"|".join(words.IDENTIFIER_STARTS)})')) SELECT p_partkey AS id, coalesce(string_agg(term, '|' ORDER BY n), '') AS safe FROM part LEFT JOIN k ON id = p_partkey GROUP BY p_partkey"""
+)
 def safe_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expansion terms that are no identifiers (the oracle's value is worked out by hand)."""
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("id"), F.array_join(T.safe_expansions(T.strings(_TERMS)), "|").alias("safe"))
+    """Expansion terms that are no identifiers."""
+    terms = sql(spark, sf_dir, _TERMS).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]).alias("terms"))
+    return terms.select("id", F.array_join(T.safe_expansions(F.col("terms")), "|").alias("safe"))
 
 
 @query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 10000) AS query FROM documents")
@@ -192,13 +197,17 @@ def safe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.safe_query(F.col("text")).alias("query"))
 
 
+_NAMES = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN p_name || '<b>:' || p_partkey || '.txt' WHEN 1 THEN '..' || p_name || '. ' WHEN 2 THEN 'con' WHEN 3 THEN 'lpt' || (p_size % 10) WHEN 4 THEN 'path/to' || chr(92) || p_partkey || '?' WHEN 5 THEN ' . '
+WHEN 6 THEN repeat('x', 240 + p_size) || '.md' ELSE p_brand || '|' || p_type || '.' END AS name FROM part"""
+
+
 @query(
-    """SELECT * FROM (VALUES ('a<b>:c.txt', 'a_b__c.txt'), ('..hidden. ', 'hidden'), ('con', '_con'), ('LPT1', '_LPT1'), ('path/to\\file?', 'path_to_file_'), (' . ', NULL), (repeat('x', 300) || '.md', repeat('x', 251) || '.md')) t(name, safe)"""
+    f"""WITH a AS (SELECT id, name, regexp_replace(regexp_replace(name, '[<>:"/\\\\|?*]', '_', 'g'), '^[. \\t\\n\\r]+|[. \\t\\n\\r]+$', '', 'g') AS s FROM ({_NAMES})), b AS (SELECT id, name, s, regexp_extract(s, '[^.](\\.[^.]*)$', 1) AS e FROM a),
+c AS (SELECT id, name, CASE WHEN length(s) > 255 THEN s[:255 - length(e) - 1] || e ELSE s END AS s FROM b) SELECT id, name, CASE WHEN regexp_matches(upper(s), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || s ELSE nullif(s, '') END AS safe FROM c"""
 )
 def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sanitised file names; an empty one is null (the oracle's values are worked out by hand)."""
-    rows = spark.sql(r"SELECT * FROM VALUES ('a<b>:c.txt'), ('..hidden. '), ('con'), ('LPT1'), ('path/to\\file?'), (' . '), (concat(repeat('x', 300), '.md')) AS t(name)")
-    return rows.select("name", T.safe_filename(F.col("name")).alias("safe"))
+    """Sanitised file names; an empty one is null."""
+    return sql(spark, sf_dir, _NAMES).select("id", "name", T.safe_filename(F.col("name")).alias("safe"))
 
 
 @query("SELECT event_id, strlen(props) <= 9 AS small FROM events")
@@ -221,13 +230,13 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, _VERS).select("id", F.when(b.isNotNull(), a < b).alias("older"), F.when(b.isNotNull(), a["major"] == b["major"]).alias("compatible"))
 
 
-_SYM = [*words.GENERIC_SYMBOLS[:5], "run", "parse", "test_x", "TestCase", "x_test", "q", "loader"]
+_SYM = f"SELECT DISTINCT name FROM symbols UNION SELECT gname || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_' || p_size END FROM part JOIN (VALUES {values([(i, n) for i, n in enumerate([*words.GENERIC_SYMBOLS, 'TestCase', 'x_test', 'q', 'loader'])])}) AS v(gi, gname) ON p_partkey % 90 = gi"
 
 
-@query(f"SELECT unnest([{quoted(_SYM)}]) AS name, unnest([true, true, true, true, true, true, false, true, true, true, true, false]) AS noisy")
+@query(f"SELECT name, name IN ({quoted(words.GENERIC_SYMBOLS)}) OR starts_with(name, 'test_') OR starts_with(name, 'Test') OR ends_with(name, '_test') OR length(name) <= 1 AS noisy FROM ({_SYM})")
 def noisy_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbols too common to link."""
-    return spark.range(1).select(F.explode(T.strings(_SYM)).alias("name")).select("name", T.noisy_symbol(F.col("name")).alias("noisy"))
+    return sql(spark, sf_dir, _SYM).select("name", T.noisy_symbol(F.col("name")).alias("noisy"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS INT) AS n_tokens, sha1(text) AS hash FROM documents")
