@@ -1,28 +1,38 @@
-"""Keeping a store: incremental updates from files, versions, rollback.
+"""Keeping a store: incremental updates from files, versions, rollback, any number of writers.
 
-A store is a folder of Parquet tables: nodes, symbols, edges, postings, doc_stats, file_hashes and versions.  An update writes a new
-generation with the rows that are new and the keys that are gone, and then appends its version row, which names the
-generations that make up the version.  So an update writes by the size of the change, readers never see a half-written state,
-and a rollback is another version row.  After MOST_PARTS generations the next one is whole again.
+A store is a folder of Parquet tables: nodes, symbols, edges, postings, doc_stats and file_hashes.  An update writes a generation of its own with the
+rows that are new and the keys that are gone, and then publishes its version, which names the generations that make it up
+(plans/commits.py).  So an update writes by the size of the change, readers never see a half-written state, a writer that dies leaves a folder
+that sweep() removes, one that was overtaken starts again from the version that is there now, and a rollback is another version.  After
+MOST_PARTS generations the next one is whole again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import edges as E
 from ..operators import versions as V
 from ..sources import store
-from . import index
+from . import commits, index
 from .materialise import cut
 
-VERSIONS = "version_id string, ts bigint, generation string, node_count bigint, edge_count bigint, file_hash string, added bigint, modified bigint, deleted bigint"
-CHANGES = "version_id string, path string, status string"
+VERSIONS = (
+    "number bigint, version_id string, ts bigint, generation string, own string, node_count bigint, edge_count bigint, file_hash string, "
+    "added bigint, modified bigint, deleted bigint"
+)
+CHANGES = "path string, status string"
 MOST_PARTS = 8
+PREFIX = "generation-"
+
+
+class Overtaken(RuntimeError):
+    """Other writers published first, as often as a writer may start again."""
 
 
 @dataclass
@@ -36,64 +46,84 @@ class Update:
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """All versions of a store, oldest first; none of a store that is not there."""
-    try:
-        return spark.read.schema(VERSIONS).parquet(f"{path}/versions").orderBy("ts", "version_id")
-    except AnalysisException:
-        return spark.createDataFrame([], VERSIONS)
+    return commits.published(spark, path, VERSIONS)
+
+
+def version(spark: SparkSession, path: str, version_id: str | None = None) -> Row | None:
+    """A version's row, the newest one's by default."""
+    rows = versions(spark, path)
+    rows = rows if version_id is None else rows.filter(F.col("version_id") == version_id)
+    return next(iter(rows.orderBy(F.desc("number")).limit(1).collect()), None)
 
 
 def changes(spark: SparkSession, path: str, version_id: str) -> DataFrame:
     """(path, status): every file that a version added, modified or deleted."""
-    return spark.read.schema(CHANGES).parquet(f"{path}/changes").filter(F.col("version_id") == version_id).select("path", "status")
+    row = version(spark, path, version_id)
+    if row is None or not row.own:
+        return spark.createDataFrame([], CHANGES)
+    return spark.read.schema(CHANGES).parquet(f"{path}/{row.own}/changes")
 
 
 def generation(spark: SparkSession, path: str, version_id: str | None = None) -> str | None:
     """Where a version's tables are, the newest one's by default."""
-    rows = versions(spark, path)
-    rows = rows if version_id is None else rows.filter(F.col("version_id") == version_id)
-    last = rows.orderBy(F.desc("ts"), F.desc("version_id")).limit(1).collect()
-    return f"{path}/{last[0].generation}" if last else None
-
-
-def _append(spark: SparkSession, path: str, row: tuple) -> None:
-    spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    row = version(spark, path, version_id)
+    return f"{path}/{row.generation}" if row else None
 
 
 def _named(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("names").alias("name")).select(F.lower("name").alias("name")).distinct()
 
 
-def update(spark: SparkSession, files: DataFrame, path: str, ts: int, noise: tuple[str, ...] = ()) -> Update:
+def update(spark: SparkSession, files: DataFrame, path: str, ts: int, noise: tuple[str, ...] = (), retries: int = 5, watch: Callable[[str], None] = lambda step: None) -> Update:
     """Bring a store up to date with (path, bytes, content) files.
 
     Only changed files are chunked, indexed and looked through for symbols.  Node ids derive from path, content and order, so nodes of
     equal content keep theirs.  Edges are made anew where a change can reach them: reference edges with a new end, and semantic edges
     of nodes that share a name with a new node or one that is gone.  The result equals a whole build.
+
+    If another writer publishes meanwhile, the update starts again from its version, at most `retries` times, and then raises Overtaken.
+    watch is told the name of each table before it is written, and "publish".
     """
     hashes = cut(files.select("path", F.md5("content").alias("hash")))
-    old = generation(spark, path)
+    for _ in range(retries + 1):
+        done = _attempt(spark, files, hashes, path, ts, noise, watch)
+        if done:
+            return done
+    raise Overtaken(f"{path}: overtaken {retries + 1} times")
+
+
+def _attempt(spark: SparkSession, files: DataFrame, hashes: DataFrame, path: str, ts: int, noise: tuple[str, ...], watch: Callable[[str], None]) -> Update | None:
+    """One update from the newest version; None if another one was published before it."""
+    number = commits.taken(spark, path) + 1
+    last = version(spark, path)
+    old = f"{path}/{last.generation}" if last else None
     before = store.read_hashes(spark, old) if old else hashes.limit(0)
     diff = cut(V.file_diff(before, hashes))
     counts = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
     changed = sum(n for k, n in counts.items() if k != "unchanged")
-    number = versions(spark, path).count()
     if old and not changed:
-        return Update(f"v{number}", False, 0, 0, 0)
+        return Update(last.version_id, False, 0, 0, 0)
     if old and len(store.folders(old)) >= MOST_PARTS:
         old = None
-    name = f"generation-{number + 1}"
+    name = f"{PREFIX}{number}-{uuid4().hex[:12]}"
     new = f"{path}/{name}"
     stale = diff.filter("status <> 'unchanged'").select("path")
     fresh_files = files.join(stale, "path", "left_semi") if old else files
     built = index.build_nodes(fresh_files)
+    watch("nodes")
     store.write_nodes(built, new)
     fresh = spark.read.schema(built.schema).parquet(f"{new}/nodes")  # by its schema, since there may be no rows
+    watch("symbols")
     index.build_symbols(fresh).write.mode("overwrite").parquet(f"{new}/symbols")
+    watch("hashes")
     (hashes.join(stale, "path", "left_semi") if old else hashes).write.mode("overwrite").parquet(f"{new}/file_hashes")
+    watch("index")
     store.write_index(spark, fresh, "node_id", "content", new)
+    watch("vectors")
     store.write_vectors(spark, fresh, "node_id", "content", new)
     if old:
         gone = cut(store.read_nodes(spark, old).join(stale, "path", "left_semi").select("node_id", "names"))
+        watch("gone")
         store.write_gone(gone, new, "gone_nodes", ("node_id",))
         store.write_gone(gone.select(F.col("node_id").alias("doc_id")), new, "gone_docs", ("doc_id",))
         store.write_gone(stale, new, "gone_files", ("path",))
@@ -112,12 +142,20 @@ def update(spark: SparkSession, files: DataFrame, path: str, ts: int, noise: tup
         at = new
         nodes = fresh
         made = index.build_edges(fresh, symbols=spark.read.parquet(f"{new}/symbols"), noise=noise)
+    watch("edges")
     store.write_edges(made, new)
-    version_id = f"v{number + 1}"
-    diff.filter("status <> 'unchanged'").select(F.lit(version_id).alias("version_id"), "path", "status").write.mode("append").parquet(f"{path}/changes")
-    chain = ",".join(f.rsplit("/", 1)[-1] for f in store.folders(at))
-    _append(spark, path, (version_id, ts, chain, nodes.count(), store.read_edges(spark, at).count(), V.manifest_hash(hashes).first()["hash"], *(counts.get(k, 0) for k in ("added", "modified", "deleted"))))
-    return Update(version_id, True, counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0))
+    watch("changes")
+    diff.filter("status <> 'unchanged'").select("path", "status").write.mode("overwrite").parquet(f"{new}/changes")
+    version_id = f"v{number}"
+    row = {
+        "version_id": version_id, "ts": ts, "generation": ",".join(f.rsplit("/", 1)[-1] for f in store.folders(at)), "own": name,
+        "node_count": nodes.count(), "edge_count": store.read_edges(spark, at).count(), "file_hash": V.manifest_hash(hashes).first()["hash"],
+        **{k: counts.get(k, 0) for k in ("added", "modified", "deleted")},
+    }
+    watch("publish")
+    if not commits.claim(spark, path, number, row):
+        return None
+    return Update(version_id, True, row["added"], row["modified"], row["deleted"])
 
 
 def difference(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
@@ -126,16 +164,24 @@ def difference(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
     return V.file_diff(a, b).filter("status <> 'unchanged'")
 
 
-def rollback(spark: SparkSession, path: str, version_id: str, ts: int) -> str:
+def rollback(spark: SparkSession, path: str, version_id: str, ts: int, retries: int = 5) -> str:
     """A new version with the tables of an older one."""
-    every = versions(spark, path)
-    number = every.count()
-    target = V.rollback_targets(every, f"v{number}").filter(F.col("version_id") == version_id).collect()
-    if not target:
-        raise ValueError(f"{version_id} is no earlier version")
-    r = target[0]
-    _append(spark, path, (f"v{number + 1}", ts, r.generation, r.node_count, r.edge_count, r.file_hash, 0, 0, 0))
-    return f"v{number + 1}"
+    for _ in range(retries + 1):
+        every, number = versions(spark, path), commits.taken(spark, path) + 1
+        target = V.rollback_targets(every, version(spark, path).version_id).filter(F.col("version_id") == version_id).collect()
+        if not target:
+            raise ValueError(f"{version_id} is no earlier version")
+        r = target[0]
+        row = {"version_id": f"v{number}", "ts": ts, "own": "", "added": 0, "modified": 0, "deleted": 0}
+        if commits.claim(spark, path, number, row | {c: r[c] for c in ("generation", "node_count", "edge_count", "file_hash")}):
+            return f"v{number}"
+    raise Overtaken(f"{path}: overtaken {retries + 1} times")
+
+
+def sweep(spark: SparkSession, path: str, now: int, older: int = 86_400_000) -> list[str]:
+    """Remove the generations that no version has and that nobody wrote to for `older` ms before `now`; their names."""
+    used = {g for r in versions(spark, path).select("generation", "own").collect() for g in [*r.generation.split(","), r.own]}
+    return commits.sweep(spark, path, used, PREFIX, now - older)
 
 
 def check(spark: SparkSession, path: str) -> DataFrame:
