@@ -10,6 +10,7 @@ from ..operators import chunking as K
 from ..operators import edges as E
 from ..operators import entities as N
 from ..sources import files as S
+from . import cache
 
 EDGES = ("source", "target", "type", "score", "ord")
 
@@ -29,6 +30,19 @@ def build_symbols(nodes: DataFrame) -> DataFrame:
     return N.entities_of(code).select("node_id", "name", F.col("type").alias("kind")).distinct()
 
 
+def cached_symbols(nodes: DataFrame, path: str) -> DataFrame:
+    """build_symbols(), by way of a cache of what was found in a text; nodes have hashes of their content."""
+    code = nodes.filter(S.language(F.col("path")).isNotNull())
+    form = "array<struct<name: string, type: string>>"
+
+    def look(texts: DataFrame) -> DataFrame:
+        rows = N.entities_of(texts.select(F.col("hash").alias("node_id"), "content"))
+        return rows.groupBy(F.col("node_id").alias("hash")).agg(F.collect_set(F.struct("name", "type")).cast(form).alias("found"))
+
+    known, _ = cache.through(code.select("hash", "content"), path, form, look)
+    return code.select("node_id", "hash").join(known, "hash").select("node_id", F.inline("found")).select("node_id", "name", F.col("type").alias("kind")).distinct()
+
+
 def semantic_edges(nodes: DataFrame, threshold: float = 0.2, sources: DataFrame | None = None) -> DataFrame:
     """Edges between nodes that share names."""
     found = E.jaccard_edges(nodes.select("node_id", F.explode("names").alias("name")), threshold, sources=sources)

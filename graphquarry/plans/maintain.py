@@ -4,7 +4,8 @@ A store is a folder of Parquet tables: nodes, symbols, edges, postings, doc_stat
 rows that are new and the keys that are gone, and then publishes its version, which names the generations that make it up
 (plans/commits.py).  So an update writes by the size of the change, readers never see a half-written state, a writer that dies leaves a folder
 that sweep() removes, one that was overtaken starts again from the version that is there now, and a rollback is another version.  After
-MOST_PARTS generations the next one is whole again.
+MOST_PARTS generations the next one is whole again.  What was found in a text is kept in the folder `cache` by the text's hash
+(plans/cache.py), so no update or whole build looks through a text that an earlier one has.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _attempt(spark: SparkSession, files: DataFrame, hashes: DataFrame, path: str
     store.write_nodes(built, new)
     fresh = spark.read.schema(built.schema).parquet(f"{new}/nodes")  # by its schema, since there may be no rows
     watch("symbols")
-    index.build_symbols(fresh).write.mode("overwrite").parquet(f"{new}/symbols")
+    index.cached_symbols(fresh, f"{path}/cache").write.mode("overwrite").parquet(f"{new}/symbols")
     watch("hashes")
     (hashes.join(stale, "path", "left_semi") if old else hashes).write.mode("overwrite").parquet(f"{new}/file_hashes")
     watch("index")

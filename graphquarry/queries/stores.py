@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..operators import entities as N
 from ..operators import retrieval as R
-from ..plans import maintain
+from ..plans import cache, maintain
 from ..plans.materialise import ensure_checkpoint_dir
 from ..sources import bookmarks, exports, store
 from .registry import model, query, quoted, sql, table
@@ -144,3 +145,37 @@ def exported_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = exports.read(spark, at, form)[1].select(F.lit(form).alias("form"), "src", "dst", "label").distinct()
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_FOUND = "array<struct<name: string, type: string>>"
+
+
+def _looked(texts: DataFrame) -> DataFrame:
+    rows = N.entities_of(texts.select(F.col("hash").alias("node_id"), "content"))
+    return rows.groupBy(F.col("node_id").alias("hash")).agg(F.collect_set(F.struct("name", "type")).cast(_FOUND).alias("found"))
+
+
+@query(
+    f"""WITH t AS ({_SOURCE}), o AS (SELECT DISTINCT sha1(content) AS hash FROM t WHERE k % 3 <> 0), n AS (SELECT DISTINCT sha1(CASE WHEN k % 10 = 1 THEN content || 'x = 1' || chr(10) ELSE content END) AS hash FROM t)
+SELECT 'first' AS build, count(*) AS asked, CAST(0 AS BIGINT) AS known, count(*) AS looked_through FROM o UNION ALL SELECT 'second', count(*), count(*) FILTER (hash IN (SELECT hash FROM o)), count(*) FILTER (hash NOT IN (SELECT hash FROM o)) FROM n"""
+)
+def entity_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of two builds that were looked through and those that the cache knew."""
+    at = _folder(spark)
+    rows = sql(spark, sf_dir, _SOURCE)
+    first = rows.filter("k % 3 <> 0").select(F.sha1("content").alias("hash"), "content")
+    text = F.when(F.col("k") % 10 == 1, F.concat("content", F.lit("x = 1\n"))).otherwise(F.col("content"))
+    uses = [("first", cache.through(first, at, _FOUND, _looked)[1]), ("second", cache.through(rows.select(F.sha1(text).alias("hash"), text.alias("content")), at, _FOUND, _looked)[1])]
+    return spark.createDataFrame([(b, u.asked, u.known, u.looked_through) for b, u in uses], "build string, asked bigint, known bigint, looked_through bigint")
+
+
+@query(f"WITH t AS ({_SOURCE}) SELECT 'makePart' || k AS name, 'definition' AS type, count(*) AS n FROM t GROUP BY k")
+def cached_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions read from a cache of two parts after its compaction."""
+    at = _folder(spark)
+    texts = sql(spark, sf_dir, _SOURCE).select("k", F.sha1("content").alias("hash"), "content")
+    for part in (texts.filter("k % 2 = 0"), texts):
+        cache.through(part, at, _FOUND, _looked)
+    cache.compact(spark, at, _FOUND)
+    known, _ = cache.through(texts, at, _FOUND, _looked)
+    return texts.join(known, "hash").select(F.inline("found")).filter("type = 'definition'").groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
