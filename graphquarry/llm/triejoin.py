@@ -184,8 +184,10 @@ def trie_links(
     whole = marks is None
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     names, rank, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    by = np.lexsort((names, -held))  # most frequent first, those of one set last
-    some = int((held > 1).sum())
+    # shingles that rule a pair out where it has them in common, then most frequent first, those of one set last
+    ruling = np.zeros(len(names), bool) if bucket is None else names < np.uint64(bucket)
+    by = np.lexsort((names, -held, ~ruling, held == 1))
+    some, out_of = int((held > 1).sum()), int((ruling & (held > 1)).sum())
     place = np.empty(len(names), np.int64)
     place[by] = np.arange(len(names))
     rank = place[rank]
@@ -222,9 +224,16 @@ def trie_links(
             if behind:
                 needed = needed - behind.at(own[live], np.minimum(behind.last[own[live]], behind.last[lo:hi].min()))
             path = trie.paths[lo]
+            bound = int(np.searchsorted(path[:to], out_of))
             while len(live) and depth < to:
-                upto = min(to, depth + 64)
-                overlap = overlap + has[path[depth:upto][:, None], live].sum(axis=0, dtype=np.int64)
+                upto = min(to, depth + 64, bound if depth < bound else to)
+                common = has[path[depth:upto][:, None], live].sum(axis=0, dtype=np.int64)
+                if depth < bound:
+                    live, overlap, needed = (x[common == 0] for x in (live, overlap, needed))
+                    if not len(live):
+                        break
+                else:
+                    overlap = overlap + common
                 depth = upto
                 left = starts[own[live] + 1] - np.searchsorted(flat, own[live] * some + path[depth - 1], side="right")
                 can = overlap + np.minimum(left, longest - depth) >= needed
@@ -237,9 +246,6 @@ def trie_links(
                 most = overlap + behind.both(x, np.full(len(x), first)) if behind else overlap
                 hit = (most >= least_overlap(n[live], int(trie.sizes[first]), percent)) & (label[x] != label[first])
                 hit &= (single | (tile[x] != tile[first])) & ((x > first) | (not all_walk))
-                if bucket is not None and hit.any():
-                    common = np.where(has[trie.paths[first]][:, live[hit]], names[by[trie.paths[first]]][:, None], np.uint64(2**64 - 1))
-                    hit[hit] = common.min(axis=0, initial=np.uint64(2**64 - 1)) == np.uint64(bucket)
                 if hit.any():
                     found[trie.order[x[hit]]] = found[trie.order[first]] = True
                 for k in x[hit].tolist() if whole else ():
@@ -266,8 +272,12 @@ def walked(rows: DataFrame, percent: int, whole: bool, once: bool = False) -> Da
         items = t.column("items").chunk(0)
         ends, values = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
         group, single = np.repeat(np.arange(len(turns) - 1), np.diff(turns)), k[:, 1] == k[:, 2]
-        reach = in_reach(group, n, np.diff(ends), label, tile, single, walks.astype(bool), None if whole else Behind(n, marks, percent), percent)
+        size = np.diff(ends).astype(np.int64)
+        if once:  # common shingles are the bucket's and those after it
+            of = np.repeat(np.arange(len(size)), size)
+            size = np.bincount(of[values[ends[0] : ends[-1]] >= k[:, 0].view(np.uint64)[of]], minlength=len(size))
         out = []
+        reach = in_reach(group, n, size, label, tile, single, walks.astype(bool), None if whole else Behind(n, marks, percent), percent)
         at = np.flatnonzero(reach)
         for own in np.split(at, np.flatnonzero(np.diff(group[at])) + 1):
             if len(own):
