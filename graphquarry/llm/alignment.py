@@ -234,6 +234,13 @@ def groups_of_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list
         yield held
 
 
+def noted(batches: Iterator[pa.RecordBatch], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The batches; kinds gets the type of their ids."""
+    for batch in batches:
+        kinds[:] = [batch.schema.field("ids").type]
+        yield batch
+
+
 def alignments(segments: DataFrame, files: Broadcast) -> DataFrame:
     """(block, place, known): FIELDS of the segments of each row (block, part, place, segments), distinct ones of a part made once."""
 
@@ -332,8 +339,8 @@ class Block:
             out += [next(found) if n else b"" for n in self.n_a[i:j].tolist()]
         return out
 
-    def documents(self, code: np.ndarray, documents: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        """The result row of each document, by counts that are sorted by code."""
+    def documents(self, kind: pa.DataType, code: np.ndarray, documents: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        """The result row of each document (ids of this kind), by counts that are sorted by code."""
         at = np.minimum(np.searchsorted(code, self.codes), max(0, len(code) - 1))
         seen = code[at] == self.codes if len(code) else np.zeros(len(at), bool)  # links that only documents without tokens have are not counted
         of = np.repeat(np.arange(len(self.n_links)), self.n_links)[seen]
@@ -349,7 +356,7 @@ class Block:
                 digests.append(hashlib.sha256(b";".join([groups[x] for x in own.tolist()])).hexdigest())
             else:
                 digests.append("")
-        return pa.RecordBatch.from_pydict({"id": pa.array(self.ids), **{c: pa.array(total[:, j].copy()) for j, c in enumerate(SUMS)}, "groups_sha256": pa.array(digests, pa.string())})
+        return pa.RecordBatch.from_pydict({"id": pa.array(self.ids, kind), **{c: pa.array(total[:, j].copy()) for j, c in enumerate(SUMS)}, "groups_sha256": pa.array(digests, pa.string())})
 
 
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -361,13 +368,7 @@ def counted(texts: DataFrame, known: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list[pa.DataType] = []
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds[:] = [batch.schema.field("ids").type]
-                yield batch
-
-        for rows in groups_of_rows(seen(), "block"):
+        for rows in groups_of_rows(noted(batches, kinds), "block"):
             head, packs = rows[0], [r["known"] for r in rows[1:]]
             assert head["place"] == -1, "a block without its texts"
             code, n = Block(head["ids"], head["sizes"], head["path"], packs).pairs()
@@ -388,12 +389,13 @@ def composed(blocks: DataFrame, kind: str, counts: Broadcast | None) -> DataFram
         if counts is not None:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield Block(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "path", "packs"))).documents(*counts.value)
+                    yield Block(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "path", "packs"))).documents(batch.schema.field("ids").type.value_type, *counts.value)
                     give_back()
             return
-        for rows in groups_of_rows(batches, "block"):
+        kinds: list[pa.DataType] = []
+        for rows in groups_of_rows(noted(batches, kinds), "block"):
             head, own = rows[0], np.array([(r["code"], r["documents"], r["best"]) for r in rows[1:]], np.int64).reshape(-1, 3)
-            yield Block(head["ids"], head["sizes"], head["path"], head["packs"]).documents(*own.T)
+            yield Block(head["ids"], head["sizes"], head["path"], head["packs"]).documents(kinds[0].value_type, *own.T)
 
     return blocks.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
 
