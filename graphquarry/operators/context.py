@@ -1,4 +1,4 @@
-"""Centrality of query subgraphs, reasoning paths, and greedy packing into a token budget.
+"""Centrality of query subgraphs, and greedy packing into a token budget.
 
 Subgraphs hold at most schema.NODE_CAP nodes a query (graph expansion caps them), so one query's subgraph is one group of
 bounded size; queries are spread over tasks.
@@ -141,22 +141,6 @@ def path_qualities(seeds: list[str], edges: list[tuple[str, str, str]], depth: i
     return best
 
 
-def reasoning_paths(graph_pairs: list[tuple[str, str, float]], scores: dict[tuple[str, str], float], seeds: list[str], k: int = 5) -> list[tuple[list[str], float]]:
-    """The k shortest-path-tree paths from the seeds with the highest sum of edge scores; ties: the least path."""
-    graph = _neighbours(graph_pairs)
-    found = []
-    for s in seeds:
-        if s not in graph:
-            continue
-        _, before, _, order = shortest(graph, s)
-        route = {s: [s]}
-        for v in order[1:]:
-            route[v] = [*route[min(before[v])], v]
-            total = sum(scores[min(a, b), max(a, b)] for a, b in zip(route[v], route[v][1:], strict=False))
-            found.append((route[v], total))
-    return sorted(found, key=lambda p: (-round(p[1], 9), p[0]))[:k]
-
-
 def greedy_pack(blocks: list[tuple[str, str, float, int]], budget: int) -> list[str]:
     """Ids of the blocks (id, path, importance, tokens) that are taken, in order.
 
@@ -210,25 +194,6 @@ def prefix_packed(blocks: DataFrame, budget: int) -> DataFrame:
     return blocks.withColumn("upto", F.sum("tokens").over(order)).filter(F.col("upto") <= budget).select("query_id", "node_id", "upto")
 
 
-def explained_paths(pairs: DataFrame, seeds: DataFrame, titles: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, path, score, narrative) of (query_id, a, b, weight, score, label), seeds and (node, title)."""
-
-    def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        name = dict(zip(left["a"], left["a_title"], strict=True)) | dict(zip(left["b"], left["b_title"], strict=True))
-        scores = {(min(a, b), max(a, b)): s for a, b, s in zip(left["a"], left["b"], left["score"], strict=True)}
-        label = {(min(a, b), max(a, b)): s for a, b, s in zip(left["a"], left["b"], left["label"], strict=True)}
-        rows = []
-        for rank, (path, total) in enumerate(reasoning_paths(list(zip(left["a"], left["b"], left["weight"], strict=True)), scores, sorted(right["node"]), k), 1):
-            told = name[path[0]] + "".join(f" → {name[b]} [{label[min(a, b), max(a, b)]}]" for a, b in zip(path, path[1:], strict=False))
-            rows.append((key[0], rank, path, total, told))
-        return pd.DataFrame(rows, columns=["query_id", "rank", "path", "score", "narrative"])
-
-    a, b = (titles.select(F.col("node").alias(c), F.col("title").alias(f"{c}_title")) for c in ("a", "b"))
-    named = pairs.join(a, "a").join(b, "b").select(*[F.col(c).alias(c) for c in ("query_id", "a", "b", "weight", "score", "label", "a_title", "b_title")])
-    seeds = seeds.select(F.col("query_id").alias("query_id"), F.col("node").alias("node"))
-    return named.groupBy("query_id").cogroup(seeds.groupBy("query_id")).applyInPandas(solve, "query_id bigint, rank int, path array<string>, score double, narrative string")
-
-
 def qualities(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, node, quality) of seeds (query_id, node) and edges (query_id, source, target, type)."""
 

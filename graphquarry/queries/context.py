@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..operators import context as C
 from ..operators import edges as E
+from ..operators import paths as P
 from ..operators import retrieval as R
 from ..plans import query as Q
 from ..plans.materialise import cut
@@ -89,13 +90,35 @@ def path_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.qualities(first, text).withColumn("quality", F.round("quality", 6))
 
 
-@query()
+_PAIRS = f"""{_SUB}, own AS (SELECT a.query_id, CAST(de.source AS VARCHAR) AS source, CAST(de.target AS VARCHAR) AS target, de.type, de.score, de.ord FROM de JOIN sb a ON a.node = de.source JOIN sb b ON b.node = de.target AND b.query_id = a.query_id WHERE de.source <> de.target),
+pw AS (SELECT query_id, least(source, target) AS a, greatest(source, target) AS b, arg_max(score, ord) AS score, arg_max(type, ord) AS label FROM own GROUP BY ALL), st2 AS (SELECT query_id, a AS src, b AS dst, score, label, score * CASE WHEN label = 'reference' THEN 2 ELSE 1 END AS w FROM pw UNION ALL SELECT query_id, b, a, score, label, score * CASE WHEN label = 'reference' THEN 2 ELSE 1 END FROM pw),
+dd(h, query_id, seed, node, x) AS (SELECT DISTINCT 0, query_id, CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), CAST(0 AS DOUBLE) FROM se JOIN st2 USING (query_id) WHERE src = CAST(doc_id AS VARCHAR) UNION ALL SELECT h + 1, dd.query_id, seed, dst, min(x + w) FROM dd JOIN st2 ON st2.query_id = dd.query_id AND src = node WHERE h < 24 GROUP BY h, dd.query_id, seed, dst),
+be AS (SELECT query_id, seed, node, min(x) AS x FROM dd GROUP BY query_id, seed, node)"""
+
+
+@query(f"{_PAIRS} SELECT query_id, seed, node, round(x, 6) AS distance FROM be")
+def seed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of every node of each query's subgraph from each seed."""
+    seeds, _, pairs = _pairs(spark, sf_dir)
+    ends = pairs.select("query_id", F.col("a").alias("node")).union(pairs.select("query_id", "b")).distinct()
+    first = cut(seeds.select("query_id", F.col("doc_id").cast("string").alias("node")).join(ends, ["query_id", "node"], "left_semi"))
+    return P.distances(first, pairs).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    f"""{_PAIRS}, bp AS (SELECT v.query_id, v.seed, v.node, min(u.node) AS before FROM be v JOIN st2 ON st2.query_id = v.query_id AND st2.dst = v.node JOIN be u ON u.query_id = v.query_id AND u.seed = v.seed AND u.node = st2.src WHERE abs(u.x + st2.w - v.x) <= 1e-9 AND u.x < v.x GROUP BY ALL),
+ti AS (SELECT CAST(doc_id AS VARCHAR) AS node, source || '/' || doc_id AS title FROM documents),
+ro(query_id, seed, node, path, score, told) AS (SELECT query_id, seed, be.node, [be.node], CAST(0 AS DOUBLE), title FROM be JOIN ti ON ti.node = be.node WHERE seed = be.node UNION ALL
+SELECT ro.query_id, ro.seed, bp.node, list_append(path, bp.node), ro.score + st2.score, told || ' → ' || title || ' [' || st2.label || ']' FROM ro JOIN bp ON bp.query_id = ro.query_id AND bp.seed = ro.seed AND bp.before = ro.node JOIN st2 ON st2.query_id = ro.query_id AND st2.src = ro.node AND st2.dst = bp.node JOIN ti ON ti.node = bp.node),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM ro WHERE len(path) > 1)
+SELECT query_id, CAST(rank AS INT) AS rank, array_to_string(path, '>') AS path, round(score, 6) AS score, told AS narrative FROM rk WHERE rank <= 5"""
+)
 def reasoning_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best shortest paths from the seeds, told as text."""
     seeds, _, pairs = _pairs(spark, sf_dir)
     titles = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("title"))
     first = cut(seeds.select("query_id", F.col("doc_id").cast("string").alias("node")))
-    return C.explained_paths(pairs, first, titles).select("query_id", "rank", F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), "narrative")
+    return P.best_routes(first, pairs, titles).select("query_id", "rank", F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), "narrative")
 
 
 _BLOCKS = "SELECT CAST(o_custkey % 20 AS BIGINT) AS query_id, 'o' || o_orderkey AS node_id, 'f' || (o_orderkey % 37) AS path, CAST(o_totalprice % 1000 AS DOUBLE) / 1000 AS importance, CAST(o_orderkey % 400 + 3 AS INT) AS tokens, CASE o_orderkey % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'text' WHEN 2 THEN 'readme' ELSE 'config' END AS role FROM orders"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import edges as E
+from ..operators import betweenness as B
 from ..operators import graph as G
 from ..operators.components import connected_components
 from ..operators.retrieval import rounded
@@ -323,3 +324,22 @@ def call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = model(spark, sf_dir, "calls").filter("caller <> callee AND callee LIKE 'method%'").select(F.col("caller").alias("source"), F.col("callee").alias("target"))
     ends = sql(spark, sf_dir, "SELECT DISTINCT 'method_' || (c_custkey % 40) AS node FROM customer")
     return G.simple_paths(spark.sql("SELECT 'method_5' AS node"), ends, e, 3).select(F.array_join("path", " > ").alias("chain"))
+
+
+_TRADE = """SELECT source, target FROM edges WHERE type = 'hierarchy' AND (source LIKE 's:%' OR source LIKE 'n:%') UNION ALL SELECT 's:' || s_suppkey, 's:' || (s_suppkey * 7 % 97 + 1) FROM supplier"""
+
+
+@query(
+    f"""WITH RECURSIVE ed AS ({_TRADE}), e2 AS (SELECT source AS a, target AS b FROM ed WHERE source <> target UNION SELECT target, source FROM ed WHERE source <> target), nd AS (SELECT DISTINCT a AS node FROM e2), nn AS (SELECT count(*) AS n FROM nd),
+wa(s, v, h) AS (SELECT node, node, 0 FROM nd UNION SELECT s, b, h + 1 FROM wa JOIN e2 ON a = v WHERE h < 10), di AS (SELECT s, v, min(h) AS d FROM wa GROUP BY s, v),
+sg(h, s, v, c) AS (SELECT 0, node, node, CAST(1 AS DOUBLE) FROM nd UNION ALL SELECT h + 1, sg.s, b, sum(c) FROM sg JOIN e2 ON a = sg.v JOIN di ON di.s = sg.s AND di.v = b AND di.d = h + 1 WHERE h < 10 GROUP BY h, sg.s, b),
+sh AS (SELECT x.v AS node, x.s, sum(x.c * y.c / z.c) AS share FROM sg x JOIN sg y ON y.s = x.v JOIN sg z ON z.s = x.s AND z.v = y.v AND z.h = x.h + y.h WHERE x.v <> x.s AND x.v <> y.v GROUP BY x.v, x.s),
+ex AS (SELECT node, sum(share) AS t FROM sh GROUP BY node), sp AS (SELECT node, sum(share) AS t FROM sh WHERE s LIKE '%0' OR s LIKE '%5' GROUP BY node), pv AS (SELECT count(*) AS p FROM nd WHERE node LIKE '%0' OR node LIKE '%5')
+SELECT nd.node, round(coalesce(ex.t, 0) / ((n - 1) * (n - 2)), 6) AS exact, round(coalesce(sp.t, 0) * n / p / ((n - 1) * (n - 2)), 6) AS sampled FROM nd LEFT JOIN ex ON ex.node = nd.node LEFT JOIN sp ON sp.node = nd.node, nn, pv"""
+)
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness of suppliers, nations and regions, from all nodes and from pivots."""
+    edges = sql(spark, sf_dir, _TRADE)
+    ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    exact = B.betweenness(edges, pivots=ends).select("node", F.round("betweenness", 6).alias("exact"))
+    return exact.join(B.betweenness(edges, pivots=ends.filter("node LIKE '%0' OR node LIKE '%5'")).select("node", F.round("betweenness", 6).alias("sampled")), "node")

@@ -125,12 +125,6 @@ def test_greedy_pack():
     assert context.greedy_pack(blocks, 0) == []
 
 
-def test_reasoning_paths_prefer_high_scores():
-    pairs = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0)]
-    found = context.reasoning_paths(pairs, {("a", "b"): 1.0, ("b", "c"): 1.0, ("a", "c"): 5.0}, ["a"], 2)
-    assert found == [(["a", "b", "c"], 2.0), (["a", "b"], 1.0)]
-
-
 GOLDEN = [
     (
         ["Nova Dynamics, the robotics firm, negotiates supply agreements with Quantum Materials.", "Quantum Materials coordinates delivery logistics with Nova Dynamics and licenses battery patents to Meridian Labs.", "Meridian Labs provides laboratory services to Quantum Materials while managing warranty claims for Atlas.", "Atlas generates maintenance reports for Meridian Labs and streams telemetry to Quantum Materials.", "Nova Dynamics maintains a joint testing facility in Denver and Quantum Materials maintains a warehouse in Denver."],
