@@ -1,6 +1,7 @@
 """Bookmarks as a log of Parquet rows: the last row of a node counts, and a cleared log counts from there on.
 
-Rows are only appended, so a write costs its own rows; readers see a node once however often it was added.
+Rows are only appended, so a write costs its own rows; readers see a node once however often it was added.  Searches go by an index that each
+write brings up to date (bookmark_index.py).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from . import store
+from . import bookmark_index
 
 LOG = "seq bigint, node_id string, tag string, tag_tokens string, content string, gone boolean"
 FIELDS = ("node_id", "tag", "tag_tokens", "content")
@@ -31,14 +32,17 @@ def _append(rows: DataFrame, path: str, gone: bool) -> None:
 def upsert(rows: DataFrame, path: str) -> None:
     """Add bookmarks (node_id, tag, tag_tokens, content) or put them in the place of those with the same node."""
     _append(rows, path, False)
+    bookmark_index.upsert(rows, path)
 
 
 def delete(ids: DataFrame, path: str) -> None:
     _append(ids.select("node_id"), path, True)
+    bookmark_index.delete(ids, path)
 
 
 def clear(spark: SparkSession, path: str) -> None:
     _append(spark.createDataFrame([(None,)], "node_id string"), path, True)
+    bookmark_index.clear(spark, path)
 
 
 def bookmarks(spark: SparkSession, path: str) -> DataFrame:
@@ -55,4 +59,5 @@ def stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def search(spark: SparkSession, path: str, query: str, k: int) -> DataFrame:
-    return store.bookmark_search(bookmarks(spark, path), query, k)
+    """(node_id, score) of the best bookmarks, from the kept index."""
+    return bookmark_index.search(spark, path, query, k)

@@ -128,7 +128,7 @@ def bookmark_search(bookmarks: DataFrame, query: str, k: int) -> DataFrame:
     asked = query.lower().split()
     out = None
     for field in ("tag_tokens", "tag", "content"):
-        docs = bookmarks.select(F.col("node_id").alias("doc_id"), F.col(field).alias("t"))
+        docs = bookmarks.select(F.col("node_id").alias("doc_id"), F.coalesce(F.col(field), F.lit("")).alias("t"))
         words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
         posts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         stats = docs.select("doc_id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("doc_len"))
