@@ -1,6 +1,7 @@
 """Chat formatting: collapse logged snapshots of growing conversations, then render what remains.
 
-The turns of a conversation are numbered in the order of (turn, role, text), nulls first; a turn logged twice counts once.
+The turns of a conversation are numbered in the order of (turn, role, text), nulls first, among them turns that are no numbers; a turn
+logged twice counts once.
 The hash of its first k turns is a running sum of hashes of (number, role, text); a conversation whose whole hash is
 the hash of a shorter start of another one is dropped by an anti-join, and of equal conversations the least id stays.
 
@@ -30,7 +31,7 @@ def ordered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """(conv, role, text, at, range): the distinct turns; `at` follows the order, without gaps in a range."""
     rows = turns.select(
         F.col(conv).alias("conv"),
-        F.col(turn).cast("long").alias("turn"),
+        F.col(turn).try_cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     ).distinct()

@@ -114,7 +114,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 900, b
 
 
 def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col: str, most_chars: int | None = None) -> tuple[list[str], list[str]]:
-    """The per_label texts of each label that come first by a hash of the id, at every size; of rows that tie, any.
+    """The per_label texts of each label that come first by a hash of the id, at every size; of rows that repeat an id the least text.
 
     Ids are cut before texts are read.  A label's texts that no longer fit its part of most_chars (SAMPLE_CHARS if not given)
     are passed over; its first is taken in any case, up to that length.
@@ -129,7 +129,8 @@ def sample(docs: DataFrame, per_label: int, id_col: str, text_col: str, lang_col
     last = F.create_map(*[F.lit(v) for r in bounds for v in (r.l, r.last)])
     chosen = known.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.substring(F.col(text_col).cast("string"), 1, most).alias("t")).filter(F.col("h") <= last[F.col("l")])
     texts, langs, seen, held = [], [], dict.fromkeys((r.l for r in bounds), 0), dict.fromkeys((r.l for r in bounds), 0)
-    for r in chosen.orderBy("h", "t").toLocalIterator():
+    one = chosen.groupBy("l", "h").agg(F.min("t").alias("t"))  # an id's rows are one text
+    for r in one.orderBy("h", "t").toLocalIterator():
         if seen[r.l] == per_label or (seen[r.l] and held[r.l] + len(r.t) > most):
             continue
         seen[r.l] += 1

@@ -96,13 +96,14 @@ def fit(texts: list[bytes], labels: list[int], prior: float | None = None) -> Mo
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int], float | None]:
     """At most per_class labelled ids of each class, by the order of a hash; then their texts, and the share of label 1 in
     all labels.  A class has half of most_bytes: its texts that no longer fit are passed over, its first is taken in any case, up
-    to that length."""
+    to that length.  Of rows that repeat an id the least text counts."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 5) != 0)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     h = F.xxhash64(F.col(id_col), F.lit(13))
     ids = known.filter("label = 0").orderBy(h, id_col).limit(per_class).unionByName(known.filter("label = 1").orderBy(h, id_col).limit(per_class))
     most = max(1, most_bytes // 2)
     text = F.substring(F.col(text_col).cast("string"), 1, most).alias("text")
-    rows = docs.select(F.col(id_col), text).join(F.broadcast(ids), id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(17)), "text").toLocalIterator()
+    one = docs.select(F.col(id_col), text).join(F.broadcast(ids), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))  # an id's rows are one text
+    rows = one.orderBy(F.xxhash64(F.col(id_col), F.lit(17))).toLocalIterator()
     texts, out, held = [], [], {0: 0, 1: 0}
     for r in rows:
         raw = (r.text or "").encode()[:most]

@@ -190,3 +190,18 @@ def test_rows_without_ids_are_spread(spark):
     docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
     packed = packing.pack(docs).collect()
     assert len({(r.batch, r.slot) for r in packed}) == 300
+
+
+def test_turns_that_are_no_numbers(spark):
+    turns = spark.createDataFrame([("a", "x", "user", "first"), ("a", "1", "user", "second"), ("a", "2", "assistant", "third")], "conv_id string, turn string, role string, text string")
+    out = chat.chat_format(turns).collect()
+    assert len(out) == 1 and [out[0].asDict()[c] for c in out[0].asDict() if "first" in str(out[0].asDict()[c])]
+
+
+def test_samples_take_one_text_of_a_repeated_id(spark):
+    rows = [(1, f"text {i} of one id", "en", "a") for i in range(500)] + [(i, "le la les des une", "fr", "b") for i in range(2, 60)]
+    texts, langs = language.sample(docs_of(spark, rows), 400, "doc_id", "text", "lang")
+    assert langs.count("en") == 1 and texts[langs.index("en")] == "text 0 of one id" and langs.count("fr") > 20
+    labels = spark.createDataFrame([(1, 1), *[(i, 0) for i in range(2, 60)]], "doc_id long, quality int")
+    found, of, _ = quality.sample(docs_of(spark, rows), labels, 100, "doc_id", "text", "quality")
+    assert of.count(1) == 1 and found[of.index(1)] == b"text 0 of one id"
