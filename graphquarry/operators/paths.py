@@ -47,6 +47,12 @@ def distances(seeds: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("quer
     return best
 
 
+def closeness(nodes: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("query_id",), width: float = 1.0) -> DataFrame:
+    """(keys.., node, closeness): the other nodes of a node's component by the sum of its distances from them; 0 for a node alone."""
+    far = distances(nodes, pairs, keys, width).groupBy(*keys, F.col("seed").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total"))
+    return far.select(*keys, "node", F.when(F.col("total") > 0, (F.col("n") - 1) / F.col("total")).otherwise(0.0).alias("closeness"))
+
+
 def predecessors(best: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(keys.., seed, node, before, the pairs' other columns): the last step of the shortest path to each node but the seed; ties: the least node before."""
     steps = _steps(pairs, keys)

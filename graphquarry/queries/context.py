@@ -105,6 +105,17 @@ def seed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.distances(first, pairs).withColumn("distance", F.round("distance", 6))
 
 
+_ALL = _PAIRS.replace("FROM se JOIN st2 USING (query_id) WHERE src = CAST(doc_id AS VARCHAR)", "FROM (SELECT DISTINCT query_id, src AS doc_id FROM st2) every_node")
+
+
+@query(f"{_ALL} SELECT query_id, node, round((n - 1) / total, 6) AS closeness FROM (SELECT query_id, seed AS node, count(*) AS n, sum(x) AS total FROM be GROUP BY query_id, seed)")
+def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closeness of all nodes of each query's subgraph within their component, from distances of all of them at once."""
+    pairs = _pairs(spark, sf_dir)[2]
+    ends = cut(pairs.select("query_id", F.col("a").alias("node")).union(pairs.select("query_id", "b")).distinct())
+    return P.closeness(ends, pairs).withColumn("closeness", F.round("closeness", 6))
+
+
 @query(
     f"""{_PAIRS}, bp AS (SELECT v.query_id, v.seed, v.node, min(u.node) AS before FROM be v JOIN st2 ON st2.query_id = v.query_id AND st2.dst = v.node JOIN be u ON u.query_id = v.query_id AND u.seed = v.seed AND u.node = st2.src WHERE abs(u.x + st2.w - v.x) <= 1e-9 AND u.x < v.x GROUP BY ALL),
 ti AS (SELECT CAST(doc_id AS VARCHAR) AS node, source || '/' || doc_id AS title FROM documents),

@@ -85,7 +85,7 @@ def impact_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.impact(sql(spark, sf_dir, _PATTERN), model(spark, sf_dir, "edges"), 1).select("target", "node", "depth")
 
 
-_FLOW = "SELECT source, target, type, score, ord FROM edges WHERE type IN ('call', 'reference', 'data_flow') AND ord % 7 < 3"
+_FLOW = "SELECT source, target, type, score, ord FROM edges WHERE type IN ('call', 'reference', 'data_flow')"
 _SRC, _SINK = "SELECT 'c:' || c_custkey AS node FROM customer WHERE c_custkey < 5", "SELECT 's:' || s_suppkey AS node FROM supplier WHERE s_suppkey < 5"
 
 
@@ -218,7 +218,7 @@ def jaccard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.jaccard_edges(model(spark, sf_dir, "names")).select("source", "target", rounded(F.col("score")).alias("score"), "rank")
 
 
-_RESULTS = "SELECT o_custkey % 50 AS query_id, 'o:' || o_orderkey AS node_id FROM orders WHERE o_orderkey % 3 = 0"
+_RESULTS = "SELECT o_custkey % 50 AS query_id, 'o:' || o_orderkey AS node_id FROM orders"
 
 
 @query(
