@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import text as T
 from .operators import analytics, claims, context, graph, programs, retrieval, unitizer
-from .plans import maintain
+from .plans import maintain, results
 from .plans.materialise import cut
 from .sources import conversations, files, store
 
@@ -73,6 +73,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = schema.T
     return best.withColumnRenamed("doc_id", "node_id").join(store.read_nodes(spark, at).select("node_id", "path", "title"), "node_id")
 
 
+def kept_search(spark: SparkSession, path: str, queries: DataFrame, k: int = schema.TOP_K, settings: Settings = Settings(dense=False), keep_ms: int = 86_400_000) -> results.Answer:
+    """search(), from the results that are kept for the store's newest version if these queries were asked of it before."""
+    return results.through(spark, path, "search", queries, {"k": k, **vars(settings)}, lambda: search(spark, path, queries, k, settings), int(time.time() * 1000), keep_ms)
+
+
 def ask(spark: SparkSession, path: str, queries: DataFrame, k: int = schema.TOP_K, hops: int = schema.MAX_HOPS, budget: int = schema.PACK_TOKENS, settings: Settings = Settings(dense=False)) -> DataFrame:
     """(query_id, slot, node_id, path, content): the packed context of each query."""
     from .plans import query as Q

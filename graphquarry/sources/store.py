@@ -17,20 +17,22 @@ def folders(at: str) -> list[str]:
     return [f"{base}/{g}" if base else g for g in chain.split(",")]
 
 
-def _schema(spark: SparkSession, paths: list[str]) -> StructType:
-    """The schema of the first of the paths that has rows (a table by type without rows has no files)."""
+def _schema(spark: SparkSession, paths: list[str], empty: str | None = None) -> StructType | str:
+    """The schema of the first of the paths that has rows (a table by type without rows has no files), or else `empty`."""
     for path in paths:
         try:
             return spark.read.parquet(path).schema
         except AnalysisException:
             continue
+    if empty:
+        return empty
     raise ValueError(f"no rows in {', '.join(paths)}")
 
 
-def _live(spark: SparkSession, at: str, table: str, gone: str, keys: tuple[str, ...]) -> DataFrame:
+def _live(spark: SparkSession, at: str, table: str, gone: str, keys: tuple[str, ...], empty: str | None = None) -> DataFrame:
     """The rows of a table of a version: those of each of its folders, but for the keys that a later folder says are gone."""
     every = folders(at)
-    form = _schema(spark, [f"{f}/{table}" for f in every])
+    form = _schema(spark, [f"{f}/{table}" for f in every], empty)
     out, later = None, None
     for folder in reversed(every):
         rows = spark.read.schema(form).parquet(f"{folder}/{table}")
@@ -70,7 +72,7 @@ def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_edges(spark: SparkSession, at: str) -> DataFrame:
-    return _live(spark, at, "edges", "gone_edges", ("source", "target", "type"))
+    return _live(spark, at, "edges", "gone_edges", ("source", "target", "type"), "source string, target string, score double, ord bigint, type string")
 
 
 def edges_from_json(spark: SparkSession, path: str) -> DataFrame:

@@ -103,6 +103,8 @@ def test_search_settings(spark, tmp_path):
     for settings in (api.Settings(), api.Settings(dense=False), api.Settings(dense_weight=1.0)):
         best = api.search(spark, path, q, 3, settings).orderBy("rank").collect()
         assert best[0].path.endswith("beacon.md")
+    kept = [api.kept_search(spark, path, q, 3) for _ in range(2)]
+    assert [a.hit for a in kept] == [False, True] and [r.path for r in kept[1].rows.orderBy("rank").collect()] == [r.path for r in kept[0].rows.orderBy("rank").collect()]
     assert api.ask(spark, path, q, settings=api.Settings(expand=False)).count() > 0
     assert api.Settings.of({"dense": "off", "dense_weight": "0.5"}) == api.Settings(dense=False, dense_weight=0.5)
     assert api.Settings.of({"dense": "maybe", "dense_weight": "7", "expand": ""}) == api.Settings()
