@@ -16,6 +16,17 @@ from graphquarry.llm.common import broadcast_within, cut, table
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+#: Bytes of a batch that goes to a Python worker; a stage's own session setting is kept if it isn't Spark's default.
+BATCH_BYTES = 8 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Smaller batches between the JVM and Python workers, since a task holds several, outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def _shielded(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
     """docs under column names of its own, these names, and the columns that give the old names back."""
     names = tuple(f"doc_column_{i}" for i in range(len(docs.columns)))
@@ -24,6 +35,7 @@ def _shielded(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without text or letters, or too unlike every learned language, go."""
+    _bounded(spark)
     own, names, back = _shielded(docs)
     at = dict(zip(docs.columns, names, strict=True))
     out = language.language_id(own, at["doc_id"], at["text"], at["lang"], keep=names)
@@ -32,6 +44,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the classifier's cut."""
+    _bounded(spark)
     own, names, back = _shielded(docs)
     at = dict(zip(docs.columns, names, strict=True))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias(at["doc_id"]), F.col("quality").alias("quality"))
@@ -41,6 +54,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the least id, once; rows without an id stay."""
+    _bounded(spark)
     classes = cut(neardup.near_duplicates(docs).filter("doc_id is not null"))
     gone = cut(classes.filter("not kept").select("doc_id").distinct())
     repeated = cut(classes.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
