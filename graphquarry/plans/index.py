@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,10 +24,15 @@ def build_nodes(files: DataFrame) -> DataFrame:
     return K.nodes_from_chunks(chunks, F.col("doc")).withColumn("names", T.entities(F.col("content")))
 
 
+def _kind() -> Column:
+    """definition, reference, or call for a reference that a call makes."""
+    return F.when(F.col("description").startswith("Code call to "), "call").otherwise(F.col("type"))
+
+
 def build_symbols(nodes: DataFrame) -> DataFrame:
     """(node_id, name, kind): what the code of nodes with a programming language defines and refers to."""
     code = nodes.filter(S.language(F.col("path")).isNotNull())
-    return N.entities_of(code).select("node_id", "name", F.col("type").alias("kind")).distinct()
+    return N.entities_of(code).select("node_id", "name", _kind().alias("kind")).distinct()
 
 
 def cached_symbols(nodes: DataFrame, path: str) -> DataFrame:
@@ -37,7 +42,7 @@ def cached_symbols(nodes: DataFrame, path: str) -> DataFrame:
 
     def look(texts: DataFrame) -> DataFrame:
         rows = N.entities_of(texts.select(F.col("hash").alias("node_id"), "content"))
-        return rows.groupBy(F.col("node_id").alias("hash")).agg(F.collect_set(F.struct("name", "type")).cast(form).alias("found"))
+        return rows.groupBy(F.col("node_id").alias("hash")).agg(F.collect_set(F.struct("name", _kind().alias("type"))).cast(form).alias("found"))
 
     known, _ = cache.through(code.select("hash", "content"), path, form, look)
     return code.select("node_id", "hash").join(known, "hash").select("node_id", F.inline("found")).select("node_id", "name", F.col("type").alias("kind")).distinct()
@@ -58,9 +63,26 @@ def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = (), touching: D
     return found.select("source", "target").distinct().select("source", "target", F.lit("reference").alias("type"), F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("ord"))
 
 
-def build_edges(nodes: DataFrame, threshold: float = 0.2, symbols: DataFrame | None = None, noise: tuple[str, ...] = (), more: DataFrame | None = None) -> DataFrame:
-    """All families: semantic and reference edges, and those of other builders (`more`: code-property graphs, claims,
-    conversations; columns EDGES) whose ends are nodes and differ."""
+def call_edges(symbols: DataFrame, noise: tuple[str, ...] = (), touching: DataFrame | None = None) -> DataFrame:
+    """Edges from the code that calls a symbol to its definitions."""
+    found = reference_edges(symbols.filter("kind IN ('call', 'definition')"), noise, touching)
+    return found.withColumn("type", F.lit("call"))
+
+
+def build_edges(
+    nodes: DataFrame, threshold: float = 0.2, symbols: DataFrame | None = None, noise: tuple[str, ...] = (), more: DataFrame | None = None, sources: DataFrame | None = None, touching: DataFrame | None = None
+) -> DataFrame:
+    """All families: semantic, reference and call edges, and those of other builders (`more`: data flow, claims,
+    conversations; columns EDGES) whose ends are nodes and differ.
+
+    With `sources` (node_id) only the semantic edges of these, with `touching` (node_id) only the others that have an end among them.
+    """
     symbols = build_symbols(nodes) if symbols is None else symbols
-    out = semantic_edges(nodes, threshold).unionByName(reference_edges(symbols, noise))
-    return out if more is None else out.unionByName(E.valid(more, nodes).select(*EDGES))
+    out = semantic_edges(nodes, threshold, sources).unionByName(reference_edges(symbols, noise, touching)).unionByName(call_edges(symbols, noise, touching))
+    if more is None:
+        return out
+    own = E.valid(more, nodes).select(*EDGES)
+    if touching is not None:
+        near = lambda end: own.join(touching.withColumnRenamed("node_id", end), end, "left_semi").select(*EDGES)
+        own = near("source").union(near("target")).distinct()
+    return out.unionByName(own)

@@ -75,25 +75,26 @@ def _named(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("names").alias("name")).select(F.lower("name").alias("name")).distinct()
 
 
-def update(spark: SparkSession, files: DataFrame, path: str, ts: int, noise: tuple[str, ...] = (), retries: int = 5, watch: Callable[[str], None] = lambda step: None) -> Update:
+def update(spark: SparkSession, files: DataFrame, path: str, ts: int, noise: tuple[str, ...] = (), retries: int = 5, watch: Callable[[str], None] = lambda step: None, more: Callable[[DataFrame], DataFrame] | None = None) -> Update:
     """Bring a store up to date with (path, bytes, content) files.
 
     Only changed files are chunked, indexed and looked through for symbols.  Node ids derive from path, content and order, so nodes of
-    equal content keep theirs.  Edges are made anew where a change can reach them: reference edges with a new end, and semantic edges
+    equal content keep theirs.  Edges are made anew where a change can reach them: reference and call edges with a new end, and semantic edges
     of nodes that share a name with a new node or one that is gone.  The result equals a whole build.
 
     If another writer publishes meanwhile, the update starts again from its version, at most `retries` times, and then raises Overtaken.
-    watch is told the name of each table before it is written, and "publish".
+    watch is told the name of each table before it is written, and "publish".  more gives edges of other families (columns index.EDGES) for
+    the nodes of the version; of these an update adds the ones with a new end.
     """
     hashes = cut(files.select("path", F.md5("content").alias("hash")))
     for _ in range(retries + 1):
-        done = _attempt(spark, files, hashes, path, ts, noise, watch)
+        done = _attempt(spark, files, hashes, path, ts, noise, watch, more)
         if done:
             return done
     raise Overtaken(f"{path}: overtaken {retries + 1} times")
 
 
-def _attempt(spark: SparkSession, files: DataFrame, hashes: DataFrame, path: str, ts: int, noise: tuple[str, ...], watch: Callable[[str], None]) -> Update | None:
+def _attempt(spark: SparkSession, files: DataFrame, hashes: DataFrame, path: str, ts: int, noise: tuple[str, ...], watch: Callable[[str], None], more: Callable[[DataFrame], DataFrame] | None) -> Update | None:
     """One update from the newest version; None if another one was published before it."""
     number = commits.taken(spark, path) + 1
     last = version(spark, path)
@@ -138,11 +139,11 @@ def _attempt(spark: SparkSession, files: DataFrame, hashes: DataFrame, path: str
         ended = lambda end: edges.join(gone.select(F.col("node_id").alias(end)), end, "left_semi").select("source", "target", "type")
         remade = edges.filter("type = 'semantic'").join(lost.withColumnRenamed("node_id", "source"), "source", "left_semi").select("source", "target", "type")
         store.write_gone(ended("source").union(ended("target")).union(remade).distinct(), new, "gone_edges", ("source", "target", "type"))
-        made = index.semantic_edges(nodes, sources=reached).unionByName(index.reference_edges(symbols, noise, fresh.select("node_id")))
+        made = index.build_edges(nodes, symbols=symbols, noise=noise, more=more(nodes) if more else None, sources=reached, touching=fresh.select("node_id"))
     else:
         at = new
         nodes = fresh
-        made = index.build_edges(fresh, symbols=spark.read.parquet(f"{new}/symbols"), noise=noise)
+        made = index.build_edges(fresh, symbols=spark.read.parquet(f"{new}/symbols"), noise=noise, more=more(fresh) if more else None)
     watch("edges")
     store.write_edges(made, new)
     watch("changes")

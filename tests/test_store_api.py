@@ -49,6 +49,8 @@ def test_updates_equal_a_whole_build(spark, tmp_path):
     at = maintain.generation(spark, path)
     refer = {r.source for r in store.read_edges(spark, at).filter("type = 'reference'").collect()}
     assert targets and targets <= refer  # dependents come by reference edges
+    calls = {(r.source, r.target) for r in store.read_edges(spark, at).filter("type = 'call'").collect()}
+    assert calls and {s for s, _ in calls} <= refer and {(r.source, r.target) for r in store.read_edges(spark, at).filter("type = 'reference'").collect()} >= calls
     steps = [
         lambda: (src / "m2.py").write_text("def makePart2(x):\n    return otherThing(x)\n\ndef otherThing(x):\n    return sharedHelper(x)\n"),
         lambda: (src / "helper.py").unlink(),
@@ -71,6 +73,32 @@ def test_updates_equal_a_whole_build(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[-1] for r in fresh.select("path").collect()} == {"m2.py"}
 
 
+def test_edges_of_other_families(spark, tmp_path):
+    """Edges that a builder gives for the nodes of a version: valid ones enter, those with a new end with an update, those of gone nodes go."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    of = lambda *names: spark.createDataFrame([(n, 50, f"# {n}\nThe text of {n} has some words of its own here.\n") for n in names], "path string, bytes long, content string")
+
+    def flows(nodes):
+        a, b = (nodes.select(F.col("node_id").alias(e), F.regexp_extract("path", r"(\d+)", 1).cast("int").alias(f"{e}_at")) for e in ("source", "target"))
+        pairs = a.join(b, F.col("target_at") == F.col("source_at") + 1).select("source", "target")
+        dangling = nodes.select(F.col("node_id").alias("source"), F.lit("nobody").alias("target"))
+        return pairs.union(dangling).select("source", "target", F.lit("data_flow").alias("type"), F.lit(0.7).alias("score"), F.lit(0).cast("bigint").alias("ord"))
+
+    def found():
+        at = maintain.generation(spark, path)
+        name = {r.node_id: r.path for r in store.read_nodes(spark, at).collect()}
+        return sorted((name[r.source], name[r.target]) for r in store.read_edges(spark, at).filter("type = 'data_flow'").collect())
+
+    maintain.update(spark, of("t1.md", "t2.md", "t4.md"), path, 1, more=flows)
+    assert found() == [("t1.md", "t2.md")]
+    maintain.update(spark, of("t1.md", "t2.md", "t3.md", "t4.md"), path, 2, more=flows)
+    assert found() == [("t1.md", "t2.md"), ("t2.md", "t3.md"), ("t3.md", "t4.md")]
+    maintain.update(spark, of("t1.md", "t3.md", "t4.md"), path, 3, more=flows)
+    assert found() == [("t3.md", "t4.md")]
+
+
 def test_classify(spark):
     q = spark.createDataFrame([(1, "who calls main"), (2, "hello")], "query_id int, text string")
     out = {r.query_id: r for r in api.classify(q).collect()}
