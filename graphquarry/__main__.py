@@ -1,5 +1,6 @@
 """python -m graphquarry index SOURCE STORE | update SOURCE STORE | query STORE TEXT | search STORE TEXT | impact STORE PATTERN |
-versions STORE | version STORE VERSION | diff STORE VERSION VERSION | rollback STORE VERSION | check STORE | conversations SOURCE"""
+versions STORE | version STORE VERSION | diff STORE VERSION VERSION | rollback STORE VERSION | check STORE | sweep STORE | conversations SOURCE |
+list-conversations SOURCE EDITOR | bookmarks STORE TEXT"""
 
 from __future__ import annotations
 
@@ -10,8 +11,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .plans import maintain
-from .sources import conversations, files
+from .plans import cache, maintain, results
+from .sources import bookmarks, conversations, files
 
 COMMANDS = {
     "index": ("source", "store"),
@@ -24,7 +25,10 @@ COMMANDS = {
     "diff": ("store", "old", "new"),
     "rollback": ("store", "version"),
     "check": ("store",),
+    "sweep": ("store",),
     "conversations": ("source",),
+    "list-conversations": ("source", "editor"),
+    "bookmarks": ("store", "text"),
 }
 
 
@@ -44,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
         for r in api.ask(spark, a.store, asked()).orderBy("slot").toLocalIterator():
             print(f"## {r.path}\n\n{r.content}\n")
     elif a.do == "search":
-        api.search(spark, a.store, asked(), settings=api.Settings()).orderBy("rank").select("rank", "score", "path", "title").show(50, False)
+        api.kept_search(spark, a.store, asked(), settings=api.Settings()).rows.orderBy("rank").select("rank", "score", "path", "title").show(50, False)
     elif a.do == "impact":
         api.impact(spark, a.store, a.pattern).orderBy("depth", "node").show(50, False)
     elif a.do == "versions":
@@ -59,6 +63,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.do == "conversations":
         found = files.read_texts(spark, a.source).withColumn("format", conversations.log_format(F.col("path"), F.col("content")))
         found.filter("format IS NOT NULL").groupBy("format").count().orderBy("format").show(50, False)
+    elif a.do == "list-conversations":
+        found = files.read_texts(spark, a.source).filter(conversations.log_format(F.col("path"), F.col("content")) == a.editor)
+        turns = conversations.conversations(found).groupBy("path", "conv_id", "title").agg(F.count(F.lit(1)).alias("turns"))
+        turns.orderBy("path", "conv_id").show(50, False)
+    elif a.do == "bookmarks":
+        bookmarks.search(spark, a.store, a.text, 20).show(20, False)
+    elif a.do == "sweep":
+        now = int(time.time() * 1000)
+        for name in [*maintain.sweep(spark, a.store, now), *results.sweep(spark, a.store, now), *cache.sweep(spark, f"{a.store}/cache", now)]:
+            print(name)
     else:
         print(maintain.rollback(spark, a.store, a.version, int(time.time())))
 

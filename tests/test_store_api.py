@@ -185,3 +185,21 @@ def test_reflection_and_reports(spark):
     found = spark.createDataFrame([("low", f"m{i:02d}") for i in range(25)] + [("critical", "z")], "severity string, method string")
     out = api.shown(found).collect()
     assert len(out) == 11 and {(r.severity, r.hidden) for r in out} == {("low", 15), ("critical", 0)}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from graphquarry.__main__ import main
+
+    src, path = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    (src / "guide.md").write_text("# Guide\nThe lighthouse guide has words about lights and harbours.\n")
+    (src / "talk.aichat").write_text('{"id": "c1", "title": "Talk", "messages": [{"role": "user", "content": "hello"}, {"role": "assistant", "content": "yes"}]}')
+    main(["index", str(src), path])
+    for _ in range(2):
+        main(["search", path, "lighthouse"])
+    main(["list-conversations", str(src), "cursor"])
+    bookmarks.upsert(spark.createDataFrame([("n1", "light-house", "light house", "x")], "node_id string, tag string, tag_tokens string, content string"), path)
+    main(["bookmarks", path, "light"])
+    main(["sweep", path])
+    out = capsys.readouterr().out
+    assert out.count("guide.md") >= 2 and "Talk" in out and "n1" in out and "generation-" not in out.rsplit("n1", 1)[1]
