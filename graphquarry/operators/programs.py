@@ -305,7 +305,7 @@ def dependence_slice(dependences: DataFrame, facts: DataFrame, variable: str, ho
     """(method, node, depth): what the uses of a variable depend on within their method, uses at depth 0."""
     at = lambda c: F.struct("method", F.col(c).alias("node"))
     uses = facts.filter("kind = 'use'").filter(F.col("var") == variable).select(at("node").alias("node"))
-    back = dependences.select(at("dst").alias("src"), at("src").alias("dst")).distinct()
+    back = cut(dependences.select(at("dst").alias("src"), at("src").alias("dst")).distinct())  # made once, walked hop by hop
     return reachable(uses, back, hops).select("node.method", "node.node", "depth")
 
 
