@@ -203,7 +203,7 @@ def built_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKS = "SELECT 'p' || p_partkey AS node_id, lower(p_type) || '-' || p_size AS tag, lower(p_type) || ' ' || p_size AS tag_tokens, p_name || ' ' || CASE WHEN p_partkey % 3 = 0 THEN 'economy' ELSE p_brand END || ' ' || lower(p_type) || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_name ELSE '' END AS content FROM part"
-_SEARCHED = "part economy"
+_SEARCHED = "red economy"
 
 
 @query(

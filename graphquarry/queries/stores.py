@@ -97,7 +97,7 @@ _INDEXED = "SELECT 'p' || p_partkey AS node_id, lower(p_type) || '-' || p_size A
 @query(
     f"""WITH m AS ({_INDEXED}), f AS (SELECT node_id, 1 AS field, tag_tokens AS t FROM m UNION ALL SELECT node_id, 2, tag FROM m UNION ALL SELECT node_id, 3, content FROM m),
 w AS (SELECT node_id, field, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM f), k AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY field),
-p AS (SELECT node_id, field, len(w) AS size, q, len(list_filter(w, lambda x: x = q)) AS tf FROM w JOIN (SELECT unnest(['part', 'economy']) AS q) ON list_contains(w, q)), d AS (SELECT field, q, count(*) AS df FROM p GROUP BY field, q),
+p AS (SELECT node_id, field, len(w) AS size, q, len(list_filter(w, lambda x: x = q)) AS tf FROM w JOIN (SELECT unnest(['red', 'economy']) AS q) ON list_contains(w, q)), d AS (SELECT field, q, count(*) AS df FROM p GROUP BY field, q),
 s AS (SELECT node_id, field, count(*) AS hits, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM p JOIN d USING (field, q) JOIN k USING (field) GROUP BY node_id, field)
 SELECT node_id, round(sum(score), 6) AS score FROM s WHERE hits = 2 GROUP BY node_id"""
 )
@@ -108,7 +108,7 @@ def bookmark_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     bookmark_index.upsert(rows, at)
     bookmark_index.upsert(sql(spark, sf_dir, _MARKED).filter(key % 3 == 0).withColumn("content", F.concat("content", F.lit(" economy again"))), at)
     bookmark_index.delete(rows.filter(key % 7 == 0), at)
-    return bookmark_index.search(spark, at, "part economy", 1 << 30)
+    return bookmark_index.search(spark, at, "red economy", 1 << 30)
 
 
 _SOURCE = "SELECT p_partkey AS k, 'src/' || lower(p_type) || '/m' || p_partkey || '.py' AS path, 'def makePart' || p_partkey || '(x):' || chr(10) || '    return makePart' || (p_partkey + 1) || '(x)' || chr(10) AS content FROM part"
