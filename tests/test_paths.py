@@ -104,3 +104,16 @@ def test_betweenness_of_sampled_pivots(spark):
     assert len(top({r.node: r.betweenness for r in rows}) & top(want)) >= 6
     again = {r.node: r.betweenness for r in betweenness.betweenness(df, pivots=few, seed=3).collect()}
     assert all(again[r.node] == pytest.approx(r.betweenness) for r in rows)
+
+
+def test_betweenness_of_twins(spark):
+    """Many nodes with the same neighbours: exact values, and rounds that hold classes instead of nodes."""
+    pairs = [(f"s{i}", f"n{i % 3}") for i in range(60)] + [(f"s{i}", f"h{i % 2}") for i in range(60)] + [("n0", "r"), ("n1", "r"), ("n2", "r"), ("t", "r"), ("u", "v"), ("u", "w")]
+    df = spark.createDataFrame(pairs, "source string, target string")
+    names = sorted({x for p in pairs for x in p})
+    some = [x for x in names if x.endswith(("0", "5"))]
+    assert betweenness._twins(betweenness.cut(df.union(df.selectExpr("target", "source")).toDF("src", "dst").distinct())).select("class").distinct().count() == 6 + 3 + 2 + 2 + 2
+    for chosen, sources in ((spark.createDataFrame([(x,) for x in some], "node string"), some), (len(names), None)):
+        want = between(pairs, len(names), sources)
+        got = {r.node: r.betweenness for r in betweenness.betweenness(df, pivots=chosen).collect()}
+        assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in want)
