@@ -7,6 +7,7 @@ IMPORT, FILE, NAMESPACE.  Edges run from container to contained (AST), caller to
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -204,18 +205,43 @@ def unused_parameters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return contained(nodes, edges, "METHOD_PARAMETER_IN").select("method", "name").join(used, ["method", "name"], "left_anti")
 
 
+def once_each(tables: list[DataFrame], work: Callable[..., DataFrame], small: int = 200_000) -> DataFrame:
+    """work(*tables), which has a column method and looks at one method at a time, done once for all methods whose rows are equal.
+
+    Methods are alike if the number of their rows in the tables (method, ..) and the sums of four 32-bit parts of the rows' hashes are equal,
+    so no method's rows are gathered to compare them.
+    """
+    marks = None
+    for i, t in enumerate(tables):
+        own = [F.col(c) for c in t.columns if c != "method"]
+        h, g = (F.xxhash64(F.lit(seed), *own, *[c.isNull() for c in own]) for seed in (2 * i, 2 * i + 1))
+        rows = t.select("method", h.alias("h"), g.alias("g"))
+        marks = rows if marks is None else marks.unionByName(rows)
+    low, high = lambda c: F.sum(F.col(c).bitwiseAND(0xFFFFFFFF)), lambda c: F.sum(F.shiftrightunsigned(c, 32))
+    bodies = cut(marks.groupBy("method").agg(F.struct(F.count(F.lit(1)).alias("n"), low("h").alias("a"), high("h").alias("b"), low("g").alias("c"), high("g").alias("d")).alias("body")))
+    firsts = cut(bodies.groupBy("body").agg(F.min("method").alias("first")))
+    first = broadcast_within(firsts.select("first"), small)
+    done = work(*[cut(t.join(first, F.col("method").eqNullSafe(F.col("first"))).select(*t.columns)) for t in tables])
+    columns = [c for c in done.columns if c != "method"]
+    found = cut(done.join(firsts, F.col("method").eqNullSafe(F.col("first"))).select("body", *columns))
+    return bodies.join(broadcast_within(found, small), "body").select("method", *columns)
+
+
 def dominators(cfg: DataFrame, entry: str, post: bool = False) -> DataFrame:
     """(method, node, dominator, immediate): dominators over each method's control flow; unreachable nodes are left out.
 
-    cfg: (method, src, dst).  The graph of one method is the group: its size is that of a method.  With post, edges are
-    turned round and `entry` is the exit.  A node dominates itself.
+    cfg: (method, src, dst).  Equal graphs are solved once; the graph of one method is a row of work: its size is that of a method.  With
+    post, edges are turned round and `entry` is the exit.  A node dominates itself.
     """
+    return once_each([cfg.select("method", "src", "dst")], lambda c: _dominators(c, entry, post))
+
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+def _dominators(cfg: DataFrame, entry: str, post: bool = False) -> DataFrame:
+    def solve(flow: list) -> list[tuple[str, str, bool]]:
         follow: dict[str, list[str]] = {}
         before: dict[str, list[str]] = {}
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            s, d = (d, s) if post else (s, d)
+        for e in flow:
+            s, d = (e["dst"], e["src"]) if post else (e["src"], e["dst"])
             follow.setdefault(s, []).append(d)
             before.setdefault(d, []).append(s)
         order, seen, stack = [], {entry}, [(entry, iter(follow.get(entry, ())))]
@@ -255,19 +281,29 @@ def dominators(cfg: DataFrame, entry: str, post: bool = False) -> DataFrame:
         for n in order:
             at = n
             while True:
-                rows.append((pdf["method"].iloc[0], n, at, n != entry and at == up[n]))
+                rows.append((n, at, n != entry and at == up[n]))
                 if at == entry:
                     break
                 at = up[at]
-        return pd.DataFrame(rows, columns=["method", "node", "dominator", "immediate"])
+        return rows
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(m, *r) for m, flow in zip(part["method"], part["flow"], strict=True) for r in solve(flow)]
+            yield pd.DataFrame(rows, columns=["method", "node", "dominator", "immediate"])
 
-    return cfg.groupBy("method").applyInPandas(solve, "method string, node string, dominator string, immediate boolean")
+    flows = cfg.groupBy("method").agg(F.collect_list(F.struct("src", "dst")).alias("flow"))
+    return flows.mapInPandas(batches, "method string, node string, dominator string, immediate boolean")
 
 
 def control_dependences(cfg: DataFrame, exit_: str) -> DataFrame:
     """(method, node, on): nodes that run or not by a branch's outcome: those that post-dominate one successor of the
-    branch but not the branch itself."""
-    post = dominators(cfg, exit_, post=True).select("method", F.col("node").alias("n"), F.col("dominator").alias("d"))
+    branch but not the branch itself.  Equal graphs are solved once."""
+    return once_each([cfg.select("method", "src", "dst")], lambda c: _control_dependences(c, exit_))
+
+
+def _control_dependences(cfg: DataFrame, exit_: str) -> DataFrame:
+    post = cut(_dominators(cfg, exit_, post=True)).select("method", F.col("node").alias("n"), F.col("dominator").alias("d"))
     near = cfg.join(post, (cfg.method == post.method) & (cfg.dst == post.n)).select(cfg.method, F.col("src").alias("on"), F.col("d").alias("node"))
     own = post.filter("n <> d").select("method", F.col("n").alias("on"), F.col("d").alias("node"))
     return near.distinct().join(own, ["method", "on", "node"], "left_anti")
@@ -277,8 +313,12 @@ def reaching_definitions(cfg: DataFrame, facts: DataFrame, small: int = 200_000)
     """(method, src, dst, var): data dependences, of cfg (method, src, dst) and facts (method, node, var, kind: def or use).
 
     A definition goes along control flow up to the nodes that define its variable anew, which it still reaches; all
-    definitions of all methods go one step at a time until none reaches a new node.
+    definitions of all methods go one step at a time until none reaches a new node.  Equal methods are solved once.
     """
+    return once_each([cfg.select("method", "src", "dst"), facts.select("method", "node", "var", "kind")], lambda c, f: _reaching_definitions(c, f, small), small)
+
+
+def _reaching_definitions(cfg: DataFrame, facts: DataFrame, small: int = 200_000) -> DataFrame:
     defs = cut(facts.filter("kind = 'def'").select("method", "node", "var").distinct())
     flow = cfg.select(F.col("method").alias("m"), F.col("src").alias("at"), "dst")
     kills = defs.select(F.col("method").alias("m"), F.col("node").alias("at"), F.col("var").alias("v"))
@@ -296,9 +336,13 @@ def reaching_definitions(cfg: DataFrame, facts: DataFrame, small: int = 200_000)
 
 
 def program_dependences(cfg: DataFrame, facts: DataFrame, exit_: str) -> DataFrame:
-    """(method, src, dst, label): data dependences (DDG) and control dependences (CDG) of each method."""
-    data = reaching_definitions(cfg, facts).select("method", "src", "dst", F.lit("DDG").alias("label")).distinct()
-    return data.unionByName(control_dependences(cfg, exit_).select("method", F.col("on").alias("src"), F.col("node").alias("dst"), F.lit("CDG").alias("label")))
+    """(method, src, dst, label): data dependences (DDG) and control dependences (CDG) of each method.  Equal methods are solved once."""
+    return once_each([cfg.select("method", "src", "dst"), facts.select("method", "node", "var", "kind")], lambda c, f: _program_dependences(c, f, exit_))
+
+
+def _program_dependences(cfg: DataFrame, facts: DataFrame, exit_: str) -> DataFrame:
+    data = _reaching_definitions(cfg, facts).select("method", "src", "dst", F.lit("DDG").alias("label")).distinct()
+    return data.unionByName(_control_dependences(cfg, exit_).select("method", F.col("on").alias("src"), F.col("node").alias("dst"), F.lit("CDG").alias("label")))
 
 
 def dependence_slice(dependences: DataFrame, facts: DataFrame, variable: str, hops: int = 10) -> DataFrame:

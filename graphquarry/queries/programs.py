@@ -263,14 +263,14 @@ def program_dependences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PDG}, l AS (SELECT method, label, '  \"' || src || '\" -> \"' || dst || '\"' AS l FROM pdg) SELECT method, label, 'digraph ' || label || ' {{' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) || '}}' AS dot FROM l GROUP BY method, label".replace("{{", "{").replace("}}", "}"))
 def dependence_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data and control dependences of each method as DOT."""
-    return P.dot_of(P.program_dependences(model(spark, sf_dir, "control"), model(spark, sf_dir, "facts"), "out"))
+    return P.once_each([model(spark, sf_dir, "control"), model(spark, sf_dir, "facts")], lambda c, f: P.dot_of(P.program_dependences(c, f, "out")))
 
 
 @query(f"{_PDG}, s(method, node, depth) AS (SELECT DISTINCT method, node, 0 FROM facts WHERE var = 'cmd' AND kind = 'use' UNION SELECT s.method, pdg.src, depth + 1 FROM s JOIN pdg ON pdg.method = s.method AND pdg.dst = s.node WHERE depth < 10) SELECT method, node, CAST(min(depth) AS INT) AS depth FROM s GROUP BY method, node")
 def dependence_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward slices of the uses of a variable over dependences that are made, not given."""
-    facts = model(spark, sf_dir, "facts")
-    return P.dependence_slice(P.program_dependences(model(spark, sf_dir, "control"), facts, "out"), facts, "cmd", 10)
+    tables = [model(spark, sf_dir, "control"), model(spark, sf_dir, "facts")]
+    return P.once_each(tables, lambda c, f: P.dependence_slice(P.program_dependences(c, f, "out"), f, "cmd", 10))
 
 
 @query("WITH RECURSIVE s(node, depth) AS (SELECT 'p:1', 0 UNION SELECT e.target, depth + 1 FROM s JOIN edges e ON e.source = s.node AND e.type = 'data_flow' WHERE depth < 5) SELECT node, CAST(min(depth) AS INT) AS depth FROM s GROUP BY node")
