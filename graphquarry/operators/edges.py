@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions import words
-from ..plans.materialise import broadcast_blocks
+from ..plans.materialise import broadcast_blocks, broadcast_within, cut, spread
+from .graph import SMALL
 
 
 def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
@@ -57,15 +58,45 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(T.strings([]))
 
 
-def by_rarest(needles: DataFrame, texts: DataFrame) -> DataFrame:
+#: Lengths of the runs that a needle is looked up by: the longest that it has; three characters say little among many texts.
+GRAMS = (12, 6, 3)
+
+
+def longest_grams(text: Column) -> Column:
+    """The distinct runs of a needle, of the first of GRAMS that it is long enough for."""
+    out = T.strings([])
+    for n in reversed(GRAMS):
+        out = F.when(F.length(text) >= n, grams(text, n)).otherwise(out)
+    return out
+
+
+def all_grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
+    """The distinct runs of a text, of each of the sizes."""
+    return F.concat(*[grams(text, n) for n in sizes]) if sizes else T.strings([])
+
+
+def used_grams(needles: DataFrame, text: Column) -> tuple[int, ...]:
+    """Those of GRAMS that longest_grams() takes of these needles."""
+    size = F.lit(None).cast("int")
+    for n in reversed(GRAMS):
+        size = F.when(F.length(text) >= n, n).otherwise(size)
+    return tuple(r.n for r in needles.select(size.alias("n")).distinct().filter("n IS NOT NULL").collect())
+
+
+def by_rarest(needles: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame:
     """(needle, id): of needles (needle, keys) and texts (id, keys), the pairs where the text has the needle's rarest key: all that can
-    match, where a match needs every key of the needle.  Needles without keys are not looked up."""
-    index = texts.select("id", F.explode("keys").alias("key"))
-    wanted = needles.select("needle", F.explode(F.array_distinct("keys")).alias("key"))
-    found = index.join(wanted.select("key").distinct(), "key", "left_semi")
-    df = found.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    rarest = wanted.join(df, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r")).select("needle", F.col("r.key").alias("key"))
-    return rarest.join(index, "key").select("needle", "id")
+    match, where a match needs every key of the needle.  Needles without keys are not looked up.
+
+    Keys go as 64-bit hashes, since what is found is checked in full.  Spark takes a table of exploded keys for as small as its
+    file, so the index has a hint that keeps it from being broadcast; the needles are, if they are few.
+    """
+    index = texts.select("id", F.explode("keys").alias("key")).select("id", F.xxhash64("key").alias("key")).hint("merge")
+    wanted = cut(needles.select("needle", F.explode(F.array_distinct("keys")).alias("key")).select("needle", F.xxhash64("key").alias("key")))
+    keys = cut(wanted.select("key").distinct())
+    df = cut(index.join(broadcast_within(keys, small), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("df")))
+    rarest = wanted.hint("merge").join(broadcast_within(df, small), "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r"))
+    rarest = cut(rarest.filter("r.df > 0").select("needle", F.col("r.key").alias("key")))
+    return index.join(broadcast_within(rarest, small), "key").select("needle", "id")
 
 
 def active(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -121,7 +152,7 @@ def conversation_links(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, ref, target, rule): references of conversations to the nodes they name, by the first rule that holds:
     path (in the path), name (is or is in the file name), content (a whole word of the content).
 
-    references: (conv_id, ref); nodes: (node_id, path, content).  A reference is looked up by its rarest three characters among
+    references: (conv_id, ref); nodes: (node_id, path, content).  A reference is looked up by its rarest run of 12, 6 or 3 characters among
     those of the paths, and by its rarest word among those of the contents; what is found is checked in full.  Only references too
     short for that go to all nodes, in parts of a checked size.
     """
@@ -129,15 +160,15 @@ def conversation_links(references: DataFrame, nodes: DataFrame) -> DataFrame:
     name = F.element_at(F.split(path, "/"), -1)
     quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.col("ref"), F.lit(r"\E($|[^\p{L}\p{N}_])"))
     rule = F.when(F.contains(path, low), "path").when((name == low) | F.contains(name, low), "name").when(F.contains("content", F.col("ref")) & F.regexp_like("content", quoted), "content")
-    refs = references.select("ref").distinct()
-    in_path = by_rarest(refs.select(F.col("ref").alias("needle"), grams(low).alias("keys")), nodes.select(F.col("node_id").alias("id"), grams(path).alias("keys")))
+    refs, nodes = cut(references.select("ref").distinct()), spread(nodes)
+    in_path = by_rarest(refs.select(F.col("ref").alias("needle"), longest_grams(low).alias("keys")), nodes.select(F.col("node_id").alias("id"), all_grams(path, used_grams(refs, low)).alias("keys")))
     in_content = by_rarest(refs.select(F.col("ref").alias("needle"), T.runs(F.col("ref")).alias("keys")), nodes.select(F.col("node_id").alias("id"), F.array_distinct(T.runs(F.col("content"))).alias("keys")))
     pairs = in_path.union(in_content).distinct().select(F.col("needle").alias("ref"), F.col("id").alias("node_id"))
-    hits = pairs.join(nodes, "node_id").filter(rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule"))
+    hits = pairs.join(nodes.hint("merge"), "node_id").filter(rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule"))
     short = refs.filter((F.length("ref") < 3) | (F.size(T.runs(F.col("ref"))) == 0))
     for part in broadcast_blocks(short):
         hits = hits.unionByName(nodes.join(part, rule.isNotNull()).select("ref", F.col("node_id").alias("target"), rule.alias("rule")))
-    return references.join(hits.distinct(), "ref").select(F.col("conv_id").alias("source"), "ref", "target", "rule")
+    return references.hint("merge").join(broadcast_within(cut(hits.distinct()), SMALL), "ref").select(F.col("conv_id").alias("source"), "ref", "target", "rule")
 
 
 def doc_mentions(entities: DataFrame, docs: DataFrame) -> DataFrame:
@@ -150,21 +181,21 @@ def endpoint_match(ends: DataFrame, nodes: DataFrame, entities: DataFrame) -> Da
     """(name, node_id, how): the node of a relation's end, by exact entity name, else where the name occurs: path,
     title, content.  Ties: the least node.
 
-    A name is looked up by its rarest three characters in each of the three; only shorter names go to all nodes, in parts.
+    A name is looked up by its rarest run of 12, 6 or 3 characters in each of the three; only shorter names go to all nodes, in parts.
     """
     low = F.lower("name")
     exact = ends.join(entities.select(F.lower("entity").alias("k"), "node_id"), low == F.col("k")).select("name", "node_id", F.lit(4).alias("w"))
     w = F.when(F.contains(F.lower("path"), low), 3).when(F.contains(F.lower("title"), low), 2).when(F.contains(F.lower("content"), low), 1)
-    names = ends.select("name").distinct()
-    keys = names.select(F.col("name").alias("needle"), grams(low).alias("keys"))
-    found = [by_rarest(keys, nodes.select(F.col("node_id").alias("id"), grams(F.lower(c)).alias("keys"))) for c in ("path", "title", "content")]
+    names, nodes = cut(ends.select("name").distinct()), spread(nodes)
+    sizes = used_grams(names, low)
+    keys = cut(names.select(F.col("name").alias("needle"), longest_grams(low).alias("keys")))
+    found = [by_rarest(keys, nodes.select(F.col("node_id").alias("id"), all_grams(F.lower(c), sizes).alias("keys"))) for c in ("path", "title", "content")]
     pairs = reduce(DataFrame.union, found).distinct().select(F.col("needle").alias("name"), F.col("id").alias("node_id"))
-    loose = pairs.join(nodes, "node_id").filter(w.isNotNull()).select("name", "node_id", w.alias("w"))
+    loose = pairs.join(nodes.hint("merge"), "node_id").filter(w.isNotNull()).select("name", "node_id", w.alias("w"))
     for part in broadcast_blocks(names.filter(F.length("name") < 3)):
         loose = loose.unionByName(nodes.join(part, w.isNotNull()).select("name", "node_id", w.alias("w")))
-    rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("w"), "node_id"))
-    how = F.element_at(T.strings(["content", "title", "path", "entity"]), F.col("w"))
-    return exact.unionByName(loose).withColumn("r", rank).filter("r = 1").select("name", "node_id", how.alias("how"))
+    how = F.element_at(T.strings(["content", "title", "path", "entity"]), -F.col("best.w"))
+    return exact.unionByName(loose).groupBy("name").agg(F.min(F.struct((-F.col("w")).alias("w"), "node_id")).alias("best")).select("name", "best.node_id", how.alias("how"))
 
 
 def quoted_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:

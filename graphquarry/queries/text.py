@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words
 from ..operators import edges as E
+from ..plans.materialise import spread
 from .registry import literal, query, quoted, sql, table, values
 
 _RUNS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
@@ -97,7 +98,7 @@ SELECT source, ref, target, rule FROM ht WHERE rule IS NOT NULL"""
 )
 def conversation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations linked to the nodes they name."""
-    refs = sql(spark, sf_dir, _CONVS).select(F.col("k").alias("conv_id"), F.explode(T.code_references(F.col("text"))).alias("ref"))
+    refs = spread(sql(spark, sf_dir, _CONVS)).select(F.col("k").alias("conv_id"), F.explode(T.code_references(F.col("text"))).alias("ref"))
     return E.conversation_links(refs, sql(spark, sf_dir, _FILES))
 
 

@@ -305,6 +305,18 @@ def test_lookups_by_rarest_key(spark):
     assert {tuple(r) for r in edges.quoted_in(quotes, docs).collect()} == {("one two three", 2), ("defghijk", 1)}
 
 
+def test_lookups_broadcast_no_index(spark, sf_dir):
+    """Exploded keys of the texts are never the side that goes to the driver, however small their file is."""
+    texts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "concat('src/', p_name, p_partkey, '.py') AS path")
+    needles = texts.filter("id % 50 = 0").select(F.col("path").alias("needle"), edges.longest_grams(F.col("path")).alias("keys"))
+    for small in (0, 200_000):
+        found = edges.by_rarest(needles, texts.select("id", edges.all_grams(F.col("path")).alias("keys")), small)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("rightHint=(strategy=broadcast)" in text) == (small > 0) and "leftHint=(strategy=merge)" in text
+        # a long needle meets its own text and hardly another, where any three characters of a number are in many
+        assert needles.count() <= found.count() < 2 * needles.count()
+
+
 def test_capped_subgraphs_keep_the_best_seeds(spark):
     from graphquarry.plans import query as Q
 
