@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as T
-from graphquarry.operators import chunking, context, edges, graph, retrieval, unitizer
+from graphquarry.operators import chunking, claims, context, edges, graph, retrieval, unitizer
 from graphquarry.operators.components import connected_components
 from graphquarry.plans import index
 from graphquarry.sources import conversations, files, store
@@ -305,6 +305,15 @@ def test_lookups_by_rarest_key(spark):
     assert {tuple(r) for r in edges.quoted_in(quotes, docs).collect()} == {("one two three", 2), ("defghijk", 1)}
 
 
+def test_blocks_are_not_shuffled(spark):
+    mentions = spark.range(500).selectExpr("id AS mention_id", "concat(char(97 + id % 3), id) AS surface")
+    entities = spark.range(300).selectExpr("concat('e', id) AS entity_id", "concat(char(65 + id % 3), id) AS name")
+    found = claims.blocks(mentions.repartition(3), entities)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert {tuple(r) for r in found.collect()} == {(i, f"e{j}") for i in range(500) for j in range(300) if i % 3 == j % 3}
+
+
 def test_lookups_broadcast_no_index(spark, sf_dir):
     """Exploded keys of the texts are never the side that goes to the driver, however small their file is."""
     texts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "concat('src/', p_name, p_partkey, '.py') AS path")
