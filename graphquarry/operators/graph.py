@@ -157,9 +157,9 @@ def claim_kind(claims: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def citation_gaps(cited: DataFrame, triples: DataFrame) -> DataFrame:
-    """cited (answer, pos, s, p, o) with in_graph and adjacent (null at the last citation of an answer)."""
+    """cited (answer, pos, s, p, o) with in_graph and adjacent (null at the last citation of an answer); citations at one place of an answer follow each other by s, p, o."""
     known = triples.select("s", "p", "o").distinct().withColumn("k", F.lit(True))
-    following = F.lead("s").over(W.partitionBy("answer").orderBy("pos"))
+    following = F.lead("s").over(W.partitionBy("answer").orderBy("pos", "s", "p", "o"))
     return cited.withColumn("following", following).join(known, ["s", "p", "o"], "left").select("answer", "pos", "s", "p", "o", F.coalesce("k", F.lit(False)).alias("in_graph"), (F.col("o") == F.col("following")).alias("adjacent"))
 
 

@@ -305,6 +305,14 @@ def test_lookups_by_rarest_key(spark):
     assert {tuple(r) for r in edges.quoted_in(quotes, docs).collect()} == {("one two three", 2), ("defghijk", 1)}
 
 
+def test_citations_at_one_place_have_an_order(spark):
+    rows = [(1, 5, s, "p", o) for s, o in (("b", "c"), ("c", "a"), ("a", "b"))] + [(1, 9, "a", "p", "z")]
+    triples = spark.createDataFrame([("a", "p", "b")], "s string, p string, o string")
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = graph.citation_gaps(spark.createDataFrame(order, "answer long, pos long, s string, p string, o string"), triples).collect()
+        assert {(r.pos, r.s, r.in_graph, r.adjacent) for r in got} == {(5, "a", True, True), (5, "b", False, True), (5, "c", False, True), (9, "a", False, None)}
+
+
 def test_blocks_are_not_shuffled(spark):
     mentions = spark.range(500).selectExpr("id AS mention_id", "concat(char(97 + id % 3), id) AS surface")
     entities = spark.range(300).selectExpr("concat('e', id) AS entity_id", "concat(char(65 + id % 3), id) AS name")
