@@ -182,18 +182,22 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 STEP = ("bucket", "lo", "hi")
 
 
-def dealt(members: DataFrame, columns: tuple[str, ...], tile: int) -> DataFrame:
-    """members (bucket, node, label, columns..) of buckets with several labels, dealt into steps (bucket, lo, hi) of two tiles each.
+def dealt(members: DataFrame, own: DataFrame, columns: tuple[str, ...], tile: int) -> DataFrame:
+    """members (bucket, node, label) of buckets with several labels, dealt into steps (bucket, lo, hi) of two tiles each, with the
+    columns that own (node, columns..) has for their nodes.
 
     A bucket's largest label is cut into tiles of its own, the other members into theirs; no step has two tiles of the
-    largest label.
+    largest label.  own is joined to one row a node, which is spread over the node's buckets after it: a group of near copies
+    shares many buckets, and what its texts have is then read once for each text.
     """
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
     sizes = sizes.agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     sizes = sizes.select("bucket", F.col("most.label").alias("large"), F.ceil((F.col("n") - F.col("most.k")) / tile).cast("int").alias("few"), F.ceil(F.col("most.k") / tile).cast("int").alias("many"))
+    at = members.join(sizes, "bucket").groupBy("node", "label").agg(F.collect_list(F.struct("bucket", "large", "few", "many")).alias("at"))
     is_large = F.col("label") == F.col("large")
     h = F.hash("node")
-    rows = members.join(sizes, "bucket").withColumn("tile", F.when(is_large, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
+    rows = at.join(own.select("node", *columns), "node").select("node", "label", *columns, F.inline("at"))
+    rows = rows.withColumn("tile", F.when(is_large, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
     others = F.sequence(F.lit(0), F.when(is_large, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
     out = rows.withColumn("other", F.explode(others)).select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "label", *columns)
     return out.repartition(*STEP).sortWithinPartitions(*STEP, "node")
@@ -237,8 +241,9 @@ def open_pairs(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in found)
 
 
-def undecided(members: DataFrame, threshold: float, tile: int = 512) -> DataFrame:
-    """(bucket, node): the members (bucket, node, label, m0..) that could have a link to one of another label in their bucket."""
+def undecided(members: DataFrame, own: DataFrame, threshold: float, tile: int = 512) -> DataFrame:
+    """(bucket, node): the members (bucket, node, label) that could have a link to one of another label in their bucket; own is
+    (node, m0..)."""
     least = least_marks(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +252,11 @@ def undecided(members: DataFrame, threshold: float, tile: int = 512) -> DataFram
             at = np.unique(np.concatenate([i, j]))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(t.column("bucket").to_numpy()[at]), "node": pa.array(t.column("node").to_numpy()[at])})
 
-    return dealt(members, tuple(f"m{i}" for i in range(MARKS)), tile).mapInArrow(run, "bucket long, node long").distinct()
+    return dealt(members, own, tuple(f"m{i}" for i in range(MARKS)), tile).mapInArrow(run, "bucket long, node long").distinct()
 
 
-def tiled_links(members: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
-    """(a, b): links that join the labels of each bucket, of (bucket, node, label, m0.., bands, items).
+def tiled_links(members: DataFrame, own: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
+    """(a, b): links that join the labels of each bucket, of members (bucket, node, label) and own (node, m0.., bands, items).
 
     Two texts are compared in the first of the bands of weight 1 that they share, or in any bucket if they share none of these.  A
     link makes their labels one for the rest of the step, so a step gives fewer links than it has labels.
@@ -281,7 +286,7 @@ def tiled_links(members: DataFrame, threshold: float, tile: int = 256) -> DataFr
         for t in steps(batches):
             yield links(t)
 
-    return dealt(members, (*(f"m{i}" for i in range(MARKS)), "bands", "items"), tile).mapInArrow(run, "a long, b long").distinct()
+    return dealt(members, own, (*(f"m{i}" for i in range(MARKS)), "bands", "items"), tile).mapInArrow(run, "a long, b long").distinct()
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -334,11 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = members.filter("node <> pivot").join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
     labelled = cut(labelled.join(mixed, "bucket"))
-    left = cut(undecided(labelled.join(nodes.select("node", *marks), "node"), threshold))
+    left = cut(undecided(labelled, nodes.select("node", *marks), threshold))
     if left.limit(1).count():
         sets = sets_of(left.select("node").distinct(), source, nodes, broadcast_ids)
-        rows_left = labelled.join(left, ["bucket", "node"]).join(nodes.select("node", F.slice("bands", 1, BANDS).alias("bands"), *marks), "node").join(sets, "node")
-        more = cut(tiled_links(rows_left, threshold))
+        own_left = nodes.select("node", F.slice("bands", 1, BANDS).alias("bands"), *marks).join(sets, "node")
+        more = cut(tiled_links(labelled.join(left, ["bucket", "node"]), own_left, threshold))
         if more.limit(1).count():
             classes = connected_components(links.union(more), "a", "b")
     of_node = nodes.select("node", "check", "rep").join(classes.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "check", "rep", "component")

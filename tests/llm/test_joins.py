@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphquarry.llm import alignment, negatives, triejoin
+from graphquarry.llm import alignment, neardup, negatives, triejoin
 from graphquarry.llm.queries import ORACLES, QUERIES
 
 ODD = [None, "", "a  b   c \n d\t e  ", "  lead", " ", "▁x y", "x 　 y  z \x1c q", "<|endoftext|> <s> ok </s>", "word " * 3000, "é ü 漢字 漢字 😀 😀z", "\x00 a", "a\r\n b\r c \r", "x" * 5000, " ".join("ab" * (i % 7) for i in range(400))]
@@ -249,3 +249,35 @@ def test_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d", 5, "x"), (2, "a b c d", 6, None)], "doc_id long, text string, n int, block string")
     assert sorted(r.component_id for r in triejoin.trie_join(df).collect()) == [1, 1]
     assert [r.n_a for r in alignment.align(df.withColumn("place", F.lit(1))).collect()] == [4, 4]
+
+
+def join_rows(df):
+    """Rows that each join of a plan made, largest first, once df has run."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "Join" in name:
+            out.append((node.metrics().apply("numOutputRows").value(), str(node.leftKeys().mkString(","))))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return sorted(out, reverse=True)
+
+
+def test_op5_reads_a_text_once_for_all_its_buckets(spark):
+    """Near copies share many buckets; what they have is joined to a row a text, not to a row a text and bucket."""
+    n, buckets = 60, 30
+    members = spark.createDataFrame([(b, i, i % 3) for i in range(n) for b in range(buckets)], "bucket long, node long, label long")
+    own = spark.createDataFrame([(i, 10 * i) for i in range(n)], "node long, m long")
+    out = neardup.dealt(members, own, ("m",), 16)
+    rows = join_rows(out)
+    by_node = [r for r, keys in rows if keys.startswith("node#")]
+    assert by_node and max(by_node) == n
+    got = {(r.bucket, r.node, r.label, r.m) for r in out.collect()}
+    assert got == {(b, i, i % 3, 10 * i) for i in range(n) for b in range(buckets)}
