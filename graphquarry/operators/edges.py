@@ -24,25 +24,53 @@ def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = ()) -> DataFram
     return refs.join(defs, "symbol").filter("source <> target").select("source", "target", "symbol").distinct()
 
 
-def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, sources: DataFrame | None = None) -> DataFrame:
+#: Lists of up to so many names are looked up by pairs of names, where one name in common is too few.
+SHORT_LIST = 12
+
+
+def name_pairs(names: Column, size: Column) -> Column:
+    """All pairs (k1, k2) of the first `size` of a list of names, in the list's order."""
+    few = F.slice(names, F.lit(1), F.greatest(size, F.lit(0)))
+    return F.flatten(F.transform(few, lambda x, i: F.transform(F.slice(few, i + 2, size), lambda y: F.struct(x.alias("k1"), y.alias("k2")))))
+
+
+def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, sources: DataFrame | None = None, short: int = SHORT_LIST) -> DataFrame:
     """(source, target, score, rank): pairs of nodes by the Jaccard similarity of their names, from (node_id, name).
 
     A score over the threshold takes more than threshold * n of a node's n names in common, so each node is looked up by all
     but its floor(threshold * n) most frequent names, which leaves the hottest names out of the join; pairs for which
-    names were left out are compared by their whole lists, if they can still reach the threshold.  Each lower node keeps its `most` best.  With `sources` (node_id), only the edges of these
-    as lower nodes are made.
+    names were left out are compared by their whole lists, if they can still reach the threshold.  Two lists of up to `short` names for
+    which one common name is too few are looked up by pairs of names instead (with one more name each, since two of the common ones
+    must be among them), so that no row is made for two nodes with one name in common.  Each lower node keeps its `most` best.  With
+    `sources` (node_id), only the edges of these as lower nodes are made.
     """
     own = names.select("node_id", F.lower("name").alias("name")).distinct()
     df = own.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     lists = own.join(df, "name").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("l"))
-    lists = lists.select("node_id", F.transform("l", lambda x: x["name"]).alias("names"))
-    left_out = F.floor(F.size("names") * threshold + 1e-9).cast("int")
-    looked_up = lists.select("node_id", F.size("names").alias("n"), left_out.alias("out"), F.explode(F.slice("names", 1, F.size("names") - left_out)).alias("name"))
-    side = lambda df, end: df.select(F.col("node_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("out").alias(f"out_{end}"), "name")
-    a = side(looked_up if sources is None else looked_up.join(sources, "node_id", "left_semi"), "source")
-    keys = ("source", "target", "n_source", "n_target", "out_source", "out_target")
-    pairs = a.join(side(looked_up, "target"), "name").filter("source < target").groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("seen"))
+    lists = cut(lists.select("node_id", F.transform("l", lambda x: x["name"]).alias("names")))
+    n, left_out = F.size("names"), F.floor(F.size("names") * threshold + 1e-9).cast("int")
+    lower = lists if sources is None else lists.join(sources, "node_id", "left_semi")
     score = lambda both: both / (F.col("n_source") + F.col("n_target") - both)
+    is_long, one_does = F.greatest("n_source", "n_target") > short, score(F.lit(1)) > threshold
+
+    def side(df: DataFrame, end: str, out: Column, key: Column) -> DataFrame:
+        return df.select(F.col("node_id").alias(end), n.alias(f"n_{end}"), out.alias(f"out_{end}"), key)
+
+    keys = ("source", "target", "n_source", "n_target", "out_source", "out_target")
+    seen = lambda a, b, key, which: a.join(b, key).filter(F.col("source") < F.col("target")).filter(which).groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
+    by_name = lambda df, end: side(df, end, left_out, F.explode(F.slice("names", F.lit(1), n - left_out)).alias("name"))
+    single = F.lit(1) / n > threshold  # a node that one common name can do for
+    found = [
+        seen(by_name(lower.filter((n <= short) & single), "source"), by_name(lists.filter((n <= short) & single), "target"), "name", one_does),
+        seen(by_name(lower.filter(n > short), "source"), by_name(lists, "target"), "name", is_long),
+        seen(by_name(lower.filter(n <= short), "source"), by_name(lists.filter(n > short), "target"), "name", is_long),
+    ]
+    left_too = F.greatest(left_out - 1, F.lit(0))
+    in_pairs = lambda df, end: side(df.filter((n > 1) & (n <= short)), end, left_too, F.inline(name_pairs(F.col("names"), n - left_too)))
+    twos = seen(in_pairs(lower, "source"), in_pairs(lists, "target"), ["k1", "k2"], ~one_does)
+    # k common pairs are of c names, where k = c * (c - 1) / 2
+    found.append(twos.withColumn("seen", F.round((1 + F.sqrt(1 + 8 * F.col("seen"))) / 2).cast("long")))
+    pairs = reduce(DataFrame.unionByName, found)
     unseen = F.col("out_source") + F.col("out_target")  # names that the pair may share besides
     pairs = pairs.filter(score(F.least(F.col("seen") + unseen, F.col("n_source"), F.col("n_target"))) > threshold)
     whole = pairs.filter(unseen == 0).select("source", "target", score(F.col("seen")).alias("score"))

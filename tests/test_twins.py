@@ -287,6 +287,35 @@ def test_jaccard_edges_with_hot_names(spark):
     assert {(r.source, r.target) for r in edges.jaccard_edges(names, sources=some).collect()} == {k for k in want if k[0] in ("n003", "n100")}
 
 
+def test_jaccard_edges_make_no_row_for_one_common_name_that_is_too_few(spark):
+    rows = [(i, w) for i in range(60) for w in ("x", f"a{i}", f"b{i}", f"c{i}" if i > 1 else "b0")]
+    out = edges.jaccard_edges(spark.createDataFrame(rows, "node_id int, name string"))
+    assert [(r.source, r.target, r["rank"]) for r in out.collect()] == [(0, 1, 1)]
+    todo, made = [out._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if "Join" in kind:
+                made.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) < 60  # 1,770 pairs share x
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.2, 0.5, 0.9])
+@pytest.mark.parametrize("short", [0, 4, 12])
+def test_jaccard_edges_by_all_lookups(spark, threshold, short):
+    rng = random.Random(4)
+    sets = {i: {f"w{min(19, int(rng.expovariate(0.2)))}" for _ in range(rng.randint(1, 20))} for i in range(50)}
+    got = edges.jaccard_edges(spark.createDataFrame([(k, w) for k, v in sets.items() for w in v], "node_id int, name string"), threshold, 100, short=short)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert {(r.source, r.target): pytest.approx(r.score) for r in got.collect()} == {k: v for k, v in want.items() if v > threshold}
+
+
 def test_lookups_by_rarest_key(spark):
     paths = [f"src/{w}{i}.py" for i, w in enumerate(("auth", "Author", "ab", "x_auth", "deep/ab"))]
     nodes = spark.createDataFrame([(f"n{i}", p, f"def f{i}(): call(ab.c) or auth_{i}") for i, p in enumerate(paths)], "node_id string, path string, content string")
