@@ -128,11 +128,13 @@ def importance(df: DataFrame) -> Column:
 
 
 def token_overlap(queries: DataFrame, tags: DataFrame, k: int) -> DataFrame:
-    """(query_id, tag, score, rank): share of a query's code tokens that a tag has, best k."""
-    q = queries.select("query_id", T.code_tokens(F.col("text")).alias("qt"))
-    exploded = q.select("query_id", F.size("qt").alias("n"), F.explode("qt").alias("t")).join(tags.select("tag", F.explode(T.code_tokens(F.col("tag"))).alias("t")), "t")
-    scores = exploded.groupBy("query_id", "tag", "n").agg(F.count(F.lit(1)).alias("c")).select("query_id", "tag", (F.col("c") / F.col("n")).alias("score"))
-    return top_k(scores, k, "tag")
+    """(query_id, tag, score, rank): share of a query's code tokens that a tag has, best k.  Queries of equal tokens are looked up once."""
+    q = queries.select("query_id", F.array_sort(F.array_distinct(T.code_tokens(F.col("text")))).alias("qt"))
+    asked = q.select(F.col("qt").alias("query_id")).distinct()
+    exploded = asked.select("query_id", F.explode("query_id").alias("t")).join(tags.select("tag", F.explode(T.code_tokens(F.col("tag"))).alias("t")), "t")
+    scores = exploded.groupBy("query_id", "tag").agg(F.count(F.lit(1)).alias("c")).select("query_id", "tag", (F.col("c") / F.size("query_id")).alias("score"))
+    best = top_k(scores, k, "tag").select(F.col("query_id").alias("qt"), "tag", "score")
+    return top_k(q.join(best, "qt").select("query_id", "tag", "score"), k, "tag")
 
 
 def batch(queries: DataFrame, posts: DataFrame, stats: DataFrame, k: int) -> DataFrame:

@@ -287,11 +287,9 @@ def test_jaccard_edges_with_hot_names(spark):
     assert {(r.source, r.target) for r in edges.jaccard_edges(names, sources=some).collect()} == {k for k in want if k[0] in ("n003", "n100")}
 
 
-def test_jaccard_edges_make_no_row_for_one_common_name_that_is_too_few(spark):
-    rows = [(i, w) for i in range(60) for w in ("x", f"a{i}", f"b{i}", f"c{i}" if i > 1 else "b0")]
-    out = edges.jaccard_edges(spark.createDataFrame(rows, "node_id int, name string"))
-    assert [(r.source, r.target, r["rank"]) for r in out.collect()] == [(0, 1, 1)]
-    todo, made = [out._jdf.queryExecution().executedPlan()], []
+def rows_of_joins(ran):
+    """Rows that each join of a collected DataFrame's plan made."""
+    todo, made = [ran._jdf.queryExecution().executedPlan()], []
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
@@ -303,6 +301,14 @@ def test_jaccard_edges_make_no_row_for_one_common_name_that_is_too_few(spark):
             if "Join" in kind:
                 made.append(node.metrics().apply("numOutputRows").value())
             todo += [node.children().apply(i) for i in range(node.children().size())]
+    return made
+
+
+def test_jaccard_edges_make_no_row_for_one_common_name_that_is_too_few(spark):
+    rows = [(i, w) for i in range(60) for w in ("x", f"a{i}", f"b{i}", f"c{i}" if i > 1 else "b0")]
+    out = edges.jaccard_edges(spark.createDataFrame(rows, "node_id int, name string"))
+    assert [(r.source, r.target, r["rank"]) for r in out.collect()] == [(0, 1, 1)]
+    made = rows_of_joins(out)
     assert made and max(made) < 60  # 1,770 pairs share x
 
 
@@ -316,6 +322,17 @@ def test_jaccard_edges_by_all_lookups(spark, threshold, short):
     assert {(r.source, r.target): pytest.approx(r.score) for r in got.collect()} == {k: v for k, v in want.items() if v > threshold}
 
 
+def test_token_overlap_looks_equal_queries_up_once(spark):
+    queries = spark.createDataFrame([(i, "load table" if i % 2 else "table load x_y") for i in range(200)] + [(200, ""), (201, None)], "query_id long, text string")
+    tags = spark.createDataFrame([("load it",), ("table load",), ("none",)], "tag string")
+    out = retrieval.token_overlap(queries, tags, 1)
+    got = {tuple(r) for r in out.select("query_id", "tag", "score", "rank").collect()}
+    assert {r for r in got if r[0] % 2} == {(i, "table load", 1.0, 1) for i in range(1, 200, 2)} and {r[0] for r in got} == set(range(200))
+    out.collect()
+    made = rows_of_joins(out)  # tokens with tags, then queries with what their tokens found
+    assert sorted(made)[0] <= 6 and max(made) == 200
+
+
 def test_lookups_by_rarest_key(spark):
     paths = [f"src/{w}{i}.py" for i, w in enumerate(("auth", "Author", "ab", "x_auth", "deep/ab"))]
     nodes = spark.createDataFrame([(f"n{i}", p, f"def f{i}(): call(ab.c) or auth_{i}") for i, p in enumerate(paths)], "node_id string, path string, content string")
