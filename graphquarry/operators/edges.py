@@ -241,16 +241,27 @@ def quoted_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.groupBy("quote").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Nodes of a task that lifts documents, about; each is ranked for all queries whose folders lead to it.
+LIFTED_ROWS = 50_000
+
+
 def lifted(retrieved: DataFrame, nodes: DataFrame, levels: int = 2, most: int = 5) -> DataFrame:
     """(query_id, node_id, path, rank): documents of the folders above retrieved nodes, not retrieved themselves.
 
     retrieved: (query_id, node_id, path).  Readme first, then __init__, architecture and overview, others; ties by path.
+    Nodes go in parts of about LIFTED_ROWS to be ranked, so that a task's rows do not grow with the table; only those that some query
+    retrieved are compared with its results.
     """
     parts = F.split("path", "/")
     depth = F.sequence(F.size(parts) - 1, F.greatest(F.size(parts) - levels, F.lit(1)), F.lit(-1))
     folders = retrieved.filter(F.size(parts) > 1).select("query_id", F.explode(F.transform(depth, lambda d: F.array_join(F.slice(parts, 1, d), "/"))).alias("folder")).distinct()
     wanted = folders.select("query_id", F.explode(F.transform(T.strings(words.LIFTED_NAMES), lambda n: F.concat(F.col("folder"), F.lit("/"), n))).alias("path"))
-    found = wanted.join(nodes.select("node_id", "path"), "path").join(retrieved.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    some = retrieved.select("node_id", F.lit(True).alias("again")).distinct().hint("merge")
+    marked = nodes.select("node_id", "path").join(some, "node_id", "left")
+    marked = cut(marked.repartition(max(1, -(-nodes.count() // LIFTED_ROWS))))
+    wanted = broadcast_within(cut(wanted), SMALL)
+    again = marked.filter("again").join(wanted, "path").select("query_id", "node_id", "path").join(retrieved.select("query_id", "node_id").hint("merge"), ["query_id", "node_id"], "left_anti")
+    found = marked.filter("again IS NULL").join(wanted, "path").select("query_id", "node_id", "path").unionByName(again)
     name = F.element_at(F.split(F.lower("path"), "/"), -1)
     first = F.when(name.contains("readme"), 0).when(name.contains("__init__"), 1).when(name.contains("architecture") | name.contains("overview"), 2).otherwise(3)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(first, "path", "node_id"))

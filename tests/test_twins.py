@@ -333,6 +333,20 @@ def test_token_overlap_looks_equal_queries_up_once(spark):
     assert sorted(made)[0] <= 6 and max(made) == 200
 
 
+@pytest.mark.parametrize("part", [1, 7, 50_000])
+def test_lifted_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(edges, "LIFTED_ROWS", part)
+    docs = [(f"d{i:02d}", f"src/{'ab'[i % 2]}/{('readme.md', 'overview.md')[i % 3 > 0]}") for i in range(30)]
+    asked = [(q, f"r{q}", f"src/{'ab'[q % 2]}/x/m.py") for q in range(6)] + [(0, "d00", "src/a/readme.md"), (3, "d00", "src/b/x/m.py")]
+    out = edges.lifted(spark.createDataFrame(asked, "query_id long, node_id string, path string"), spark.createDataFrame(docs, "node_id string, path string"))
+    want = set()
+    for q in range(6):
+        gone = {n for k, n, _ in asked if k == q}
+        found = sorted((0 if "readme" in p else 2, p, n) for n, p in docs if p.startswith(f"src/{'ab'[q % 2]}/") and n not in gone)
+        want |= {(q, n, p, r) for r, (_, p, n) in enumerate(found[:5], 1)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_lookups_by_rarest_key(spark):
     paths = [f"src/{w}{i}.py" for i, w in enumerate(("auth", "Author", "ab", "x_auth", "deep/ab"))]
     nodes = spark.createDataFrame([(f"n{i}", p, f"def f{i}(): call(ab.c) or auth_{i}") for i, p in enumerate(paths)], "node_id string, path string, content string")
