@@ -151,6 +151,7 @@ def greedy_pack(blocks: list[tuple[str, str, float, int]], budget: int) -> list[
     of: dict[str, list] = defaultdict(list)
     for b in ranked:
         of[b[1]].append(b)
+    longest = {path: max(x[3] for x in own) for path, own in of.items()}
     taken: dict[str, None] = {}
     used: set[str] = set()
     room = budget
@@ -162,7 +163,7 @@ def greedy_pack(blocks: list[tuple[str, str, float, int]], budget: int) -> list[
             room -= b[3]
 
     for b in ranked:
-        stub = b[3] < 25 and max(x[3] for x in of[b[1]]) > 10 * b[3]
+        stub = b[3] < 25 and longest[b[1]] > 10 * b[3]
         if b[1] in used or b[3] > room or stub:
             continue
         used.add(b[1])
@@ -174,7 +175,17 @@ def greedy_pack(blocks: list[tuple[str, str, float, int]], budget: int) -> list[
 
 
 def packed(blocks: DataFrame, budget: int = schema.PACK_TOKENS) -> DataFrame:
-    """(query_id, node_id, slot) of (query_id, node_id, path, importance, tokens, role): taken blocks, roles in order."""
+    """(query_id, node_id, slot) of (query_id, node_id, path, importance, tokens, role): taken blocks, roles in order.
+
+    Of blocks of one query, path and number of tokens one is only taken after all that rank before it, so those that would not fit into the
+    budget together are left where they are (one of each stays, since a path's longest block decides about stubs).
+    """
+    from pyspark.sql import Window as W
+
+    if not blocks.filter("tokens < 0").limit(1).count():
+        place = F.row_number().over(W.partitionBy("query_id", "path", "tokens").orderBy(F.desc("importance"), "node_id"))
+        fit = F.col("tokens").isNull() | (F.col("tokens") == 0) | (F.col("place") <= F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("tokens"))))
+        blocks = blocks.withColumn("place", place).filter(fit).drop("place")
     role_order = {"code": 0, "readme": 1, "config": 2, "text": 3}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -347,6 +347,15 @@ def test_lifted_in_parts(spark, monkeypatch, part):
     assert {tuple(r) for r in out.collect()} == want
 
 
+def test_packed_sends_few_blocks_of_equal_size(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(q, f"n{i:03d}", f"f{rng.randrange(3)}", rng.choice([0.1, 0.5, 0.9]), rng.choice([0, 3, 20, 40, 90, 300]) if i % 40 else 2, "code") for q in range(3) for i in range(300)]
+    want = {(q, i) for q in range(3) for i in context.greedy_pack([(r[1], r[2], r[3], r[4]) for r in rows if r[0] == q], 250)}
+    out = context.packed(spark.createDataFrame(rows, "query_id long, node_id string, path string, importance double, tokens int, role string"), 250)
+    assert {(r.query_id, r.node_id) for r in out.collect()} == want
+    assert "row_number" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lookups_by_rarest_key(spark):
     paths = [f"src/{w}{i}.py" for i, w in enumerate(("auth", "Author", "ab", "x_auth", "deep/ab"))]
     nodes = spark.createDataFrame([(f"n{i}", p, f"def f{i}(): call(ab.c) or auth_{i}") for i, p in enumerate(paths)], "node_id string, path string, content string")
