@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions import words
+from ..operators import dense as D
 from ..operators import edges as E
 from ..operators import retrieval as R
 from ..plans.materialise import cut
@@ -40,7 +41,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return R.dense_scores(v.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), v)
+    return D.best(v.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), v, schema.TOP_K)
 
 
 @query(f"WITH {_POST} SELECT doc_id, term, tf FROM posts")
@@ -83,9 +84,9 @@ fu AS (SELECT query_id, doc_id, {1 - schema.DENSE_WEIGHT} * coalesce(s, 0) + {sc
 
 
 def _fusable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The benchmark texts' BM25 lists, and a vector for each: the one whose id is the item's."""
+    """The benchmark texts' BM25 lists, and the best vectors for each by the one whose id is the item's."""
     v = _vectors(spark, sf_dir)
-    return _sparse(spark, sf_dir), R.dense_scores(v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "embedding"), v)
+    return _sparse(spark, sf_dir), D.best(v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "embedding"), v, 3 * schema.TOP_K)
 
 
 @query(f"WITH {_FUSE} {_TOP('fu', schema.TOP_K)}")
