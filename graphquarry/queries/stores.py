@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..operators import dense as D
 from ..operators import entities as N
 from ..operators import retrieval as R
 from ..plans import cache, maintain
@@ -48,7 +49,7 @@ def stored_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark)
     store.write_embeddings(_vectors(spark, sf_dir), "table", at)
     v = store.read_embeddings(spark, at, "table")
-    return R.top_k(R.dense_scores(v.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), v), schema.TOP_K)
+    return R.top_k(D.best(v.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), v, schema.TOP_K), schema.TOP_K)
 
 
 @query("SELECT node_id, type, path, title FROM nodes")
