@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -142,9 +143,17 @@ def with_model(sql: str, recursive: bool = False) -> str:
     return f"WITH{' RECURSIVE' if recursive else ''} {head} {own}"
 
 
+#: Where each part becomes the rows of a program; and the parts of a task there.
+_MANY, PROGRAM_PARTS = "FROM part JOIN (VALUES", 20_000
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run SQL over model and driver tables; each table is read straight from its file."""
+    """Run SQL over model and driver tables; each table is read straight from its file, but for parts that programs are made of, which are dealt out before."""
     text = with_model(text)
+    if _MANY in text:
+        view = f"part_{md5(sf_dir.encode()).hexdigest()}"
+        spread(spark.read.parquet(f"{sf_dir}/part.parquet"), PROGRAM_PARTS).createOrReplaceTempView(view)
+        text = text.replace(_MANY, f"FROM {view} JOIN (VALUES")
     for t in TABLES:
         text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", text)
     return spark.sql(text)
