@@ -171,16 +171,22 @@ def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.as_markdown(rows)
 
 
+def _reparsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = model(spark, sf_dir, "cpg_nodes")
+    shards = exports.shard_count(nodes)
+    return store.graphml(exports.graphml_documents(nodes, model(spark, sf_dir, "cpg_edges"), shards=shards), exports.task_count(spark, shards))
+
+
 @query("SELECT id, label, nullif(name, '') AS name, nullif(code, '') AS code, filename, line FROM cpg_nodes")
 def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of GraphML documents, written from the programs of all parts and parsed back."""
-    return store.graphml(exports.graphml_documents(model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")))[0]
+    return _reparsed(spark, sf_dir)[0]
 
 
 @query("SELECT DISTINCT src, dst, label FROM cpg_edges")
 def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of these documents."""
-    return store.graphml(exports.graphml_documents(model(spark, sf_dir, "cpg_nodes"), model(spark, sf_dir, "cpg_edges")))[1]
+    return _reparsed(spark, sf_dir)[1]
 
 
 @query(

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from . import store
+from .graphml import KEYS
 
 #: Nodes of a GraphML document, about.
 SHARD_NODES = 2000
-#: GraphML keys of node columns.
-KEYS = {"label": "labelV", "name": "NAME", "code": "CODE", "filename": "FILENAME", "line": "LINE_NUMBER"}
+#: Documents that a task makes or reads, about.
+TASK_SHARDS = 32
 
 
 def escaped(c: Column) -> Column:
@@ -26,15 +27,24 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def graphml_documents(nodes: DataFrame, edges: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """(ord, content): GraphML documents of about shard_nodes nodes each, with the edges that begin at them."""
-    shards = max(1, -(-nodes.count() // shard_nodes))
+def shard_count(nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> int:
+    return max(1, -(-nodes.count() // shard_nodes))
+
+
+def task_count(spark: SparkSession, shards: int) -> int:
+    """Partitions for that many documents: they grow in number, not in size."""
+    return min(shards, max(spark.sparkContext.defaultParallelism, -(-shards // TASK_SHARDS)))
+
+
+def graphml_documents(nodes: DataFrame, edges: DataFrame, shard_nodes: int = SHARD_NODES, shards: int | None = None) -> DataFrame:
+    """(ord, content): GraphML documents of about shard_nodes nodes each, with the edges that begin at them; `shards` if their number is known."""
+    shards = shards or shard_count(nodes, shard_nodes)
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     data = [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f'<data key="{key}">'), escaped(F.col(c).cast("string")), F.lit("</data>"))).otherwise("") for c, key in KEYS.items()]
     node = F.concat(F.lit('<node id="'), escaped(F.col("id")), F.lit('">'), *data, F.lit("</node>"))
     edge = F.concat(F.lit('<edge source="'), escaped(F.col("src")), F.lit('" target="'), escaped(F.col("dst")), F.lit('"><data key="labelE">'), escaped(F.col("label")), F.lit("</data></edge>"))
     lines = nodes.select(shard("id").alias("ord"), F.lit(0).alias("k"), node.alias("line")).unionByName(edges.select(shard("src").alias("ord"), F.lit(1).alias("k"), edge.alias("line")))
-    body = lines.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    body = lines.repartition(task_count(nodes.sparkSession, shards), "ord").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
     return body.select("ord", F.concat(F.lit('<graphml><graph edgedefault="directed">'), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("</graph></graphml>")).alias("content"))
 
 
@@ -52,7 +62,7 @@ def write(nodes: DataFrame, edges: DataFrame, path: str, form: str) -> None:
         heads = {"id": ":ID", "label": ":LABEL", "line": "line:int", "idx": "idx:int", "src": ":START_ID", "dst": ":END_ID"}
         for name, df, own in (("nodes", nodes, heads), ("edges", edges, heads | {"label": ":TYPE"})):
             out = plain(df).withColumnsRenamed({c: own[c] for c in df.columns if c in own}).withColumn("part", F.col("label") if "label" not in own else F.col(own["label"]))
-            out.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').partitionBy("part").csv(f"{path}/neo4jcsv/{name}")
+            out.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").partitionBy("part").csv(f"{path}/neo4jcsv/{name}")
     else:
         raise ValueError(f"no export form is called {form}")
 
@@ -67,7 +77,7 @@ def read(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFram
     """The nodes and edges of an export; GraphML has the columns of store.graphml."""
     if form == "graphml":
         files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "false").text(f"{path}/graphml")
-        return store.graphml(files.select(F.col("shard").cast("int").alias("ord"), F.col("value").alias("content")))
+        return store.graphml(files.select(F.col("shard").cast("int").alias("ord"), F.col("value").alias("content")), task_count(spark, len(files.inputFiles())))
     if form == "graphson":
         columns = [c.strip() for c in schema.CPG_NODES.split(",")]
         own = ", ".join(c.replace(" ", ": ", 1) for c in columns if c.split()[0] not in ("id", "label"))

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .. import schema
 from ..operators import retrieval as R
+from . import graphml as G
 
 
 def folders(at: str) -> list[str]:
@@ -111,17 +112,16 @@ def read_embeddings(spark: SparkSession, path: str, backend: str) -> DataFrame:
     return spark.read.parquet(f"{path}/embeddings").filter(F.col("backend") == backend).drop("backend")
 
 
-def graphml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CPG nodes and edges of GraphML documents (ord, content); of a node in several documents the last counts."""
-    data = "STRUCT<_VALUE: STRING, _key: STRING>"
-    form = f"graph STRUCT<node: ARRAY<STRUCT<_id: STRING, data: ARRAY<{data}>>>, edge: ARRAY<STRUCT<_source: STRING, _target: STRING, data: ARRAY<{data}>>>>"
-    parsed = files.select("ord", F.from_xml("content", form).alias("x"))
-    facts = lambda c: F.map_from_entries(F.transform(F.coalesce(F.col(c), F.array().cast(f"array<{data}>")), lambda d: F.struct(d["_key"], d["_VALUE"])))
-    nodes = parsed.select("ord", F.explode("x.graph.node").alias("n")).select("ord", F.col("n._id").alias("id"), facts("n.data").alias("facts"))
-    last = nodes.groupBy("id").agg(F.max_by("facts", "ord").alias("facts"))
-    edges = parsed.select(F.explode("x.graph.edge").alias("e")).select(F.col("e._source").alias("src"), F.col("e._target").alias("dst"), facts("e.data")["labelE"].alias("label")).distinct()
-    get = lambda k: F.col("facts")[k]
-    return last.select("id", get("labelV").alias("label"), get("NAME").alias("name"), get("CODE").alias("code"), get("FILENAME").alias("filename"), get("LINE_NUMBER").cast("int").alias("line")), edges
+def graphml(files: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """CPG nodes and edges of GraphML documents (ord, content); of a node in several documents the last counts.
+
+    Rows are dealt to `parts` partitions, so that these need not grow with the documents.
+    """
+    dealt = lambda df, *c: df if parts is None else df.repartition(parts, *c)
+    facts = list(G.KEYS)
+    last = dealt(G.nodes(files), "id").groupBy("id").agg(F.max_by(F.struct(*facts), "ord").alias("facts"))
+    edges = dealt(G.edges(files), "src", "dst", "label").distinct()
+    return last.select("id", *[F.col(f"facts.{c}").alias(c) if c != "line" else F.col("facts.line").cast("int").alias("line") for c in facts]), edges
 
 
 def bookmark_search(bookmarks: DataFrame, query: str, k: int) -> DataFrame:
