@@ -16,15 +16,27 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions import words
-from ..plans.materialise import broadcast_blocks, cut
+from ..plans.materialise import broadcast_blocks, broadcast_within, cut
 
+#: Terms, and pairs of a query and a term, that may be broadcast.
+SMALL_TERMS = 200_000
+#: Postings of a task that scores documents, about.
+TASK_POSTINGS = 200_000
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, term, tf): how often each document has each term.  Stop words go after the explode, in compiled code."""
+
+def postings(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf): how often each document has each term, or each term of `asked` (term), which then are the only ones that are
+    counted and shuffled.  Stop words go after the explode, in compiled code."""
     terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.long_words(F.col(text_col))).alias("term")).filter(~F.col("term").isin(words.STOP_WORDS))
+    if asked is not None:
+        terms = terms.join(_wanted(asked), "term", "left_semi")
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
+def _wanted(terms: DataFrame) -> DataFrame:
+    return broadcast_within(cut(terms.select("term").distinct()), SMALL_TERMS)
+
+
 def doc_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc_len): terms of each document, 0 for those without any.  No shuffle."""
     return docs.select(F.col(id_col).alias("doc_id"), F.size(T.text_tokens(F.col(text_col))).cast("bigint").alias("doc_len"))
@@ -43,20 +55,22 @@ def rounded(score: Column) -> Column:
     return F.round(score, 6)
 
 
-def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = schema.BM25_K1, b: float = schema.BM25_B) -> DataFrame:
+def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = schema.BM25_K1, b: float = schema.BM25_B, task_postings: int = TASK_POSTINGS) -> DataFrame:
     """(query_id, doc_id, score): BM25 over each query's distinct terms.
 
     Postings are first cut down to the terms that any query has; document frequencies are counted on those only, and
-    the documents are not tokenised again for them.
+    the documents are not tokenised again for them.  Then they are dealt by document, about TASK_POSTINGS a task, and scored where they are,
+    so that no row of a query, term and document is shuffled.
     """
     stats = cut(stats)  # narrow: documents are tokenised for their lengths once
     corpus = corpus_stats(stats).first()  # two numbers
     n, avgdl = corpus.n_docs, corpus.avgdl or 1.0
-    wanted = terms.select("term").distinct()
-    own = cut(posts.join(wanted, "term"))
+    own = cut(posts.join(_wanted(terms), "term", "left_semi").select("doc_id", "term", "tf"))
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").select("query_id", "term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    hits = own.join(weights, "term").join(stats, "doc_id")
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, -(-own.count() // task_postings))
+    dealt = own.repartition(parts, "doc_id").join(stats.repartition(parts, "doc_id").hint("merge"), "doc_id")
+    hits = dealt.join(broadcast_within(cut(weights), SMALL_TERMS), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avgdl))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 

@@ -65,8 +65,9 @@ def ranked(seeds: DataFrame, sub: DataFrame, nodes: DataFrame, edges: DataFrame,
 
 def answer(queries: DataFrame, docs: DataFrame, edges: DataFrame, k: int = schema.TOP_K, hops: int = schema.MAX_HOPS, budget: int = schema.PACK_TOKENS) -> DataFrame:
     """(query_id, node_id, slot): the packed context of each query over documents (node_id, path, type, token_count, text)."""
-    posts, stats = R.postings(docs, "node_id", "text"), R.doc_stats(docs, "node_id", "text")
-    seeds = cut(R.top_k(R.bm25(R.query_terms(queries), posts, stats), k))
+    terms = R.query_terms(queries)
+    posts, stats = R.postings(docs, "node_id", "text", terms), R.doc_stats(docs, "node_id", "text")
+    seeds = cut(R.top_k(R.bm25(terms, posts, stats), k))
     sub = cut(subgraphs(seeds, edges, hops))
     blocks = ranked(seeds, sub, docs.select("node_id", "path", "type", "token_count"), edges, queries)
     return C.packed(blocks, budget)

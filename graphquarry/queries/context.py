@@ -28,7 +28,7 @@ mi AS (SELECT query_id, node, CAST(min(depth) AS INT) AS depth FROM re GROUP BY
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id")
-    return cut(R.top_k(R.bm25(terms, R.postings(docs, "doc_id", "text"), R.doc_stats(docs, "doc_id", "text")), 5))
+    return cut(R.top_k(R.bm25(terms, R.postings(docs, "doc_id", "text", terms), R.doc_stats(docs, "doc_id", "text")), 5))
 
 
 def _subgraphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

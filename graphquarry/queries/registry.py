@@ -143,6 +143,8 @@ def with_model(sql: str, recursive: bool = False) -> str:
     return f"WITH{' RECURSIVE' if recursive else ''} {head} {own}"
 
 
+#: Texts of a task, about.
+TEXT_ROWS = 20_000
 #: Where each part becomes the rows of a program; and the parts of a task there.
 _MANY, PROGRAM_PARTS = "FROM part JOIN (VALUES", 20_000
 
@@ -164,9 +166,9 @@ def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; texts are spread over all cores before any work on them."""
+    """A driver table; texts are spread over all cores before any work on them, and over tasks of TEXT_ROWS if these are more."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "conversations") else df
+    return spread(df, TEXT_ROWS) if name in ("documents", "conversations") else df
 
 
 def query(oracle: str | None = None, name: str | None = None):

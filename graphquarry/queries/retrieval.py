@@ -31,8 +31,8 @@ de AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    posts = R.postings(docs, "doc_id", "text")
-    return R.bm25(R.query_terms(table(spark, sf_dir, "benchmark"), "item_id"), posts, R.doc_stats(docs, "doc_id", "text"))
+    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id")
+    return R.bm25(terms, R.postings(docs, "doc_id", "text", terms), R.doc_stats(docs, "doc_id", "text"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
