@@ -136,7 +136,8 @@ CHUNKS = "doc string, n int, content string, header string, header_depth int, he
 def chunks(docs: DataFrame, most: int = schema.MAX_CHARS, overlap_tokens: int = schema.OVERLAP_TOKENS, least: int = schema.MIN_CHUNK) -> DataFrame:
     """CHUNKS rows of (doc, text).  The fold runs over one document's sections at a time, all at once in memory."""
     s = F.array_sort(F.collect_list(F.struct("section", "level", "header", "header_path", "content", "line_start", "line_end", "has_code")))
-    grouped = sections(docs).groupBy(F.col("doc").cast("string").alias("doc")).agg(s.alias("sections"))
+    # the id becomes text before the lines are dealt by it, so that sections and documents are put together where their lines are
+    grouped = sections(docs.withColumn("doc", F.col("doc").cast("string"))).groupBy("doc").agg(s.alias("sections"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
