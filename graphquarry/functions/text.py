@@ -71,12 +71,16 @@ def code_tokens(code: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """camelCase, snake_case, Capitalised and backticked names, each once whatever its case, of at least 3 characters."""
-    found = runs(text)
-    camel = F.filter(found, lambda w: w.rlike("^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$"))
-    snake = F.filter(found, lambda w: w.rlike("^[a-z_][a-z0-9_]{2,}$") & w.contains("_"))
-    capital = F.filter(found, lambda w: w.rlike("^[A-Z][A-Za-z0-9]{2,}$"))
+
+    def named(found: Column) -> Column:
+        camel = F.filter(found, lambda w: w.rlike("^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$"))
+        snake = F.filter(found, lambda w: w.contains("_") & w.rlike("^[a-z_][a-z0-9_]{2,}$"))
+        capital = F.filter(found, lambda w: w.rlike("^[A-Z][A-Za-z0-9]{2,}$"))
+        return F.concat(camel, snake, capital)
+
+    words_ = F.transform(F.array(F.array_distinct(runs(text))), named)[0]  # as an array's only item the words are found once
     ticked = F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1))
-    every = F.array_distinct(F.concat(camel, snake, capital, ticked))
+    every = F.array_distinct(F.concat(words_, ticked))
     return dedupe_by(F.filter(every, lambda w: F.length(w) >= 3), F.lower)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,7 +101,7 @@ def _joined(a: Chunk, b: Chunk) -> Chunk:
     return replace(a, content=content, line_end=b.line_end, has_code=a.has_code or b.has_code, tokens=len(content.split()))
 
 
-def chunk_sections(rows: list[dict], most: int = schema.MAX_CHARS, overlap_tokens: int = schema.OVERLAP_TOKENS, least: int = schema.MIN_CHUNK) -> list[Chunk]:
+def chunk_sections(rows: Iterable[dict], most: int = schema.MAX_CHARS, overlap_tokens: int = schema.OVERLAP_TOKENS, least: int = schema.MIN_CHUNK) -> list[Chunk]:
     """Chunks of one document's sections in order; small ones go into the next, the last small ones into the one before."""
     if most <= 0:
         raise ValueError("the chunk size must be positive")
@@ -131,23 +131,60 @@ def chunk_sections(rows: list[dict], most: int = schema.MAX_CHARS, overlap_token
 
 
 CHUNKS = "doc string, n int, content string, header string, header_depth int, header_path string, line_start int, line_end int, has_code boolean, chunk_id string, token_count int"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_CHUNKS = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in CHUNKS.split(", ")])
+#: What \s is to Spark's patterns, and the line ends that $ may stand before.
+_SPACE, _ENDS = " \t\n\x0b\f\r", "\x85\u2028\u2029"
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """(doc, text, at, level, header) of (doc, text): the lines that are headings, what number of line, level and text each has.
+
+    Texts without any stay as rows, with a null for the text: a filter would be pushed to where the text is made, below what deals texts out.
+    """
+    part = lambda x, i: F.regexp_extract(x, HEADING, i)
+    found = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.startswith("#") & x.rlike(HEADING), F.struct(i.alias("at"), F.length(part(x, 1)).alias("level"), F.trim(part(x, 2)).alias("header"))))
+    heads = docs.select("doc", "text", F.filter(found, lambda h: h.isNotNull()).alias("h"))
+    return heads.select("doc", F.when(F.size("h") > 0, F.col("text")).alias("text"), *[F.col(f"h.{c}").alias(c) for c in ("at", "level", "header")])
+
+
+def _body(lines: list[str]) -> str:
+    """Lines without the white space around them, as sections() trims it."""
+    text = "\n".join(lines).lstrip(_SPACE)
+    return text[:-1].rstrip(_SPACE) + text[-1] if text and text[-1] in _ENDS else text.rstrip(_SPACE)
+
+
+def document_sections(text: str, at: list[int], level: list[int], header: list[str]) -> Iterator[dict]:
+    """The rows of sections() for one document of headings()."""
+    lines = text.split("\n")
+    last: dict[int, tuple[int, str]] = {}
+    for pos, end, depth, name in zip(at, [*at[1:], len(lines)], level, header, strict=True):
+        last[depth] = (pos, name)
+        above, path = -1, []
+        for k in range(1, depth):
+            if k in last and last[k][0] > above:
+                path.append(last[k][1])
+                above = last[k][0]
+        body = lines[pos + 1 : end]
+        yield {"level": depth, "header": name, "header_path": " > ".join([*path, name]), "content": _body(body), "line_start": pos + 1, "line_end": end, "has_code": any(x.lstrip(" ").startswith("```") for x in body)}
 
 
 def chunks(docs: DataFrame, most: int = schema.MAX_CHARS, overlap_tokens: int = schema.OVERLAP_TOKENS, least: int = schema.MIN_CHUNK) -> DataFrame:
-    """CHUNKS rows of (doc, text).  The fold runs over one document's sections at a time, all at once in memory."""
-    s = F.array_sort(F.collect_list(F.struct("section", "level", "header", "header_path", "content", "line_start", "line_end", "has_code")))
-    # the id becomes text before the lines are dealt by it, so that sections and documents are put together where their lines are
-    grouped = sections(docs.withColumn("doc", F.col("doc").cast("string"))).groupBy("doc").agg(s.alias("sections"))
+    """CHUNKS rows of (doc, text).  Documents are dealt whole and once; the fold runs over one document's sections at a time."""
+    # a document's lines stay in its row: dealt as rows of their own they cost a sort and a window of all lines
+    dealt = docs.select(F.col("doc").cast("string").alias("doc"), "text").repartition("doc")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, parts in zip(batch["doc"], batch["sections"], strict=True):
-                for n, c in enumerate(chunk_sections([dict(p) for p in parts], most, overlap_tokens, least)):
+            for doc, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts[0] is None:
+                    continue
+                for n, c in enumerate(chunk_sections(document_sections(*parts), most, overlap_tokens, least)):
                     rows.append((doc, n, c.content, c.header, c.level, c.header_path, c.line_start, c.line_end, c.has_code, c.chunk_id, c.tokens))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNKS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows) if rows else [[]] * len(_CHUNKS), _CHUNKS, strict=True)], schema=_CHUNKS)
 
-    return grouped.mapInPandas(run, CHUNKS)
+    return headings(dealt).mapInArrow(run, CHUNKS)
 
 
 def slices(docs: DataFrame, width: int) -> DataFrame:

@@ -15,13 +15,18 @@ from ..plans.materialise import broadcast_blocks, broadcast_within, cut, spread
 from .graph import SMALL
 
 
-def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
-    """(source, target, symbol): users of a symbol to its definitions, from (node_id, name, kind); noisy symbols, and those of the
-    project that `noise` names, aside."""
+def symbol_uses(symbols: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target, symbol, called): users of a symbol to its definitions, from (node_id, name, kind), and whether they call it; noisy symbols,
+    and those of the project that `noise` names, aside.  A definition that is listed twice gives its rows twice."""
     own = symbols.filter(~T.noisy_symbol(F.col("name")) & ~F.col("name").isin(*noise))
     defs = own.filter("kind = 'definition'").select(F.col("node_id").alias("target"), F.col("name").alias("symbol"))
-    refs = own.filter("kind IN ('reference', 'call', 'import')").select(F.col("node_id").alias("source"), F.col("name").alias("symbol")).distinct()
-    return refs.join(defs, "symbol").filter("source <> target").select("source", "target", "symbol").distinct()
+    refs = own.filter("kind IN ('reference', 'call', 'import')").groupBy(F.col("node_id").alias("source"), F.col("name").alias("symbol")).agg(F.bool_or(F.col("kind") == "call").alias("called"))
+    return refs.join(defs, "symbol").filter("source <> target").select("source", "target", "symbol", "called")
+
+
+def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target, symbol) of symbol_uses(), each once."""
+    return symbol_uses(symbols, noise).select("source", "target", "symbol").distinct()
 
 
 #: Lists of up to so many names are looked up by pairs of names, where one name in common is too few.
@@ -42,12 +47,13 @@ def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, sourc
     names were left out are compared by their whole lists, if they can still reach the threshold.  Two lists of up to `short` names for
     which one common name is too few are looked up by pairs of names instead (with one more name each, since two of the common ones
     must be among them), so that no row is made for two nodes with one name in common.  Each lower node keeps its `most` best.  With
-    `sources` (node_id), only the edges of these as lower nodes are made.
+    `sources` (node_id), only the edges of these as lower nodes are made.  Lookups that the longest list leaves nothing to are not planned.
     """
     own = names.select("node_id", F.lower("name").alias("name")).distinct()
     df = own.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     lists = own.join(df, "name").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("l"))
     lists = cut(lists.select("node_id", F.transform("l", lambda x: x["name"]).alias("names")))
+    longest = lists.agg(F.max(F.size("names")).alias("n")).first()["n"] or 0
     n, left_out = F.size("names"), F.floor(F.size("names") * threshold + 1e-9).cast("int")
     lower = lists if sources is None else lists.join(sources, "node_id", "left_semi")
     score = lambda both: both / (F.col("n_source") + F.col("n_target") - both)
@@ -60,23 +66,24 @@ def jaccard_edges(names: DataFrame, threshold: float = 0.2, most: int = 5, sourc
     seen = lambda a, b, key, which: a.join(b, key).filter(F.col("source") < F.col("target")).filter(which).groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
     by_name = lambda df, end: side(df, end, left_out, F.explode(F.slice("names", F.lit(1), n - left_out)).alias("name"))
     single = F.lit(1) / n > threshold  # a node that one common name can do for
-    found = [
-        seen(by_name(lower.filter((n <= short) & single), "source"), by_name(lists.filter((n <= short) & single), "target"), "name", one_does),
-        seen(by_name(lower.filter(n > short), "source"), by_name(lists, "target"), "name", is_long),
-        seen(by_name(lower.filter(n <= short), "source"), by_name(lists.filter(n > short), "target"), "name", is_long),
-    ]
-    left_too = F.greatest(left_out - 1, F.lit(0))
-    in_pairs = lambda df, end: side(df.filter((n > 1) & (n <= short)), end, left_too, F.inline(name_pairs(F.col("names"), n - left_too)))
-    twos = seen(in_pairs(lower, "source"), in_pairs(lists, "target"), ["k1", "k2"], ~one_does)
-    # k common pairs are of c names, where k = c * (c - 1) / 2
-    found.append(twos.withColumn("seen", F.round((1 + F.sqrt(1 + 8 * F.col("seen"))) / 2).cast("long")))
+    found = [seen(by_name(lower.filter((n <= short) & single), "source"), by_name(lists.filter((n <= short) & single), "target"), "name", one_does)]
+    if longest > short:
+        found.append(seen(by_name(lower.filter(n > short), "source"), by_name(lists, "target"), "name", is_long))
+        found.append(seen(by_name(lower.filter(n <= short), "source"), by_name(lists.filter(n > short), "target"), "name", is_long))
+    if min(longest, short) > 1 and not 1 / (2 * min(longest, short) - 1) > threshold:
+        left_too = F.greatest(left_out - 1, F.lit(0))
+        in_pairs = lambda df, end: side(df.filter((n > 1) & (n <= short)), end, left_too, F.inline(name_pairs(F.col("names"), n - left_too)))
+        twos = seen(in_pairs(lower, "source"), in_pairs(lists, "target"), ["k1", "k2"], ~one_does)
+        # k common pairs are of c names, where k = c * (c - 1) / 2
+        found.append(twos.withColumn("seen", F.round((1 + F.sqrt(1 + 8 * F.col("seen"))) / 2).cast("long")))
     pairs = reduce(DataFrame.unionByName, found)
     unseen = F.col("out_source") + F.col("out_target")  # names that the pair may share besides
     pairs = pairs.filter(score(F.least(F.col("seen") + unseen, F.col("n_source"), F.col("n_target"))) > threshold)
-    whole = pairs.filter(unseen == 0).select("source", "target", score(F.col("seen")).alias("score"))
-    x, y = lists.select(F.col("node_id").alias("source"), F.col("names").alias("x")), lists.select(F.col("node_id").alias("target"), F.col("names").alias("y"))
-    compared = pairs.filter(unseen > 0).join(x, "source").join(y, "target").select("source", "target", score(F.size(F.array_intersect("x", "y"))).alias("score"))
-    scored = whole.unionByName(compared).filter(F.col("score") > threshold)
+    scored = pairs.filter(unseen == 0).select("source", "target", score(F.col("seen")).alias("score"))
+    if longest * threshold + 1e-9 >= 1:  # some names are left out
+        x, y = lists.select(F.col("node_id").alias("source"), F.col("names").alias("x")), lists.select(F.col("node_id").alias("target"), F.col("names").alias("y"))
+        scored = scored.unionByName(pairs.filter(unseen > 0).join(x, "source").join(y, "target").select("source", "target", score(F.size(F.array_intersect("x", "y"))).alias("score")))
+    scored = scored.filter(F.col("score") > threshold)
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "target"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
 

@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +77,13 @@ def code_entities(text: str | None) -> list[Entity]:
 def entities_of(nodes: DataFrame) -> DataFrame:
     """(node_id, pos, name, type, description) of (node_id, content); texts go to Python in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([(c, pa.int32() if c == "pos" else pa.string()) for c in ("node_id", "pos", "name", "type", "description")])
         for batch in batches:
-            rows = [(i, pos, *e) for i, text in zip(batch["node_id"], batch["content"], strict=True) for pos, e in enumerate(code_entities(text))]
-            yield pd.DataFrame(rows, columns=["node_id", "pos", "name", "type", "description"])
+            rows = [(i, pos, *e) for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for pos, e in enumerate(code_entities(text))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows) if rows else [[]] * len(out), out, strict=True)], schema=out)
 
-    return nodes.select(F.col("node_id").cast("string").alias("node_id"), "content").mapInPandas(run, f"node_id string, pos int, {ENTITY}")
+    return nodes.select(F.col("node_id").cast("string").alias("node_id"), "content").mapInArrow(run, f"node_id string, pos int, {ENTITY}")
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:

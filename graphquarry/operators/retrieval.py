@@ -124,9 +124,14 @@ def hybrid(sparse: DataFrame, dense: DataFrame, k: int = schema.TOP_K, dense_wei
 
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 384) -> DataFrame:
     """(doc_id, slot, value): feature-hashed, signed and L2-normalised term counts, as a sparse table."""
-    terms = postings(docs, id_col, text_col)
+    return posting_vectors(postings(docs, id_col, text_col), size)
+
+
+def posting_vectors(terms: DataFrame, size: int = 384) -> DataFrame:
+    """hashed_vectors() of documents whose postings (doc_id, term, tf) are there.  Slots are dealt by document once, for sums and norms."""
     slot, sign = T.hash_slots(F.col("term"), size)
-    sums = terms.select("doc_id", slot.alias("slot"), (sign * F.col("tf")).alias("v")).groupBy("doc_id", "slot").agg(F.sum("v").alias("v")).filter("v <> 0")
+    slots = terms.select("doc_id", slot.alias("slot"), (sign * F.col("tf")).alias("v")).repartition("doc_id")
+    sums = slots.groupBy("doc_id", "slot").agg(F.sum("v").alias("v")).filter("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("doc_id")))
     return sums.select("doc_id", "slot", (F.col("v") / norm).alias("value"))
 

@@ -54,19 +54,17 @@ def semantic_edges(nodes: DataFrame, threshold: float = 0.2, sources: DataFrame
     return found.select("source", "target", F.lit("semantic").alias("type"), "score", F.lit(0).cast("bigint").alias("ord"))
 
 
-def reference_edges(symbols: DataFrame, noise: tuple[str, ...] = (), touching: DataFrame | None = None) -> DataFrame:
-    """Edges from the users of a symbol to its definitions; with `touching` (node_id), those with an end among them."""
-    found = E.reference_edges(symbols, noise)
+def symbol_edges(symbols: DataFrame, noise: tuple[str, ...] = (), touching: DataFrame | None = None) -> DataFrame:
+    """Reference edges from the users of a symbol to its definitions, and call edges from the code that calls it, found together; with
+    `touching` (node_id), those with an end among them."""
+    found = E.symbol_uses(symbols, noise).groupBy("source", "target").agg(F.bool_or("called").alias("called"))
     if touching is not None:
-        near = lambda end: found.join(touching.withColumnRenamed("node_id", end), end, "left_semi")
-        found = near("source").unionByName(near("target").select(*found.columns))
-    return found.select("source", "target").distinct().select("source", "target", F.lit("reference").alias("type"), F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("ord"))
-
-
-def call_edges(symbols: DataFrame, noise: tuple[str, ...] = (), touching: DataFrame | None = None) -> DataFrame:
-    """Edges from the code that calls a symbol to its definitions."""
-    found = reference_edges(symbols.filter("kind IN ('call', 'definition')"), noise, touching)
-    return found.withColumn("type", F.lit("call"))
+        near = touching.distinct()
+        for end in ("source", "target"):
+            found = found.join(near.select(F.col("node_id").alias(end), F.lit(True).alias(f"near_{end}")), end, "left")
+        found = found.filter("near_source OR near_target")
+    types = F.when(F.col("called"), F.array(F.lit("reference"), F.lit("call"))).otherwise(F.array(F.lit("reference")))
+    return found.select("source", "target", F.explode(types).alias("type"), F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("ord"))
 
 
 def build_edges(
@@ -78,7 +76,7 @@ def build_edges(
     With `sources` (node_id) only the semantic edges of these, with `touching` (node_id) only the others that have an end among them.
     """
     symbols = build_symbols(nodes) if symbols is None else symbols
-    out = semantic_edges(nodes, threshold, sources).unionByName(reference_edges(symbols, noise, touching)).unionByName(call_edges(symbols, noise, touching))
+    out = semantic_edges(nodes, threshold, sources).unionByName(symbol_edges(symbols, noise, touching))
     if more is None:
         return out
     own = E.valid(more, nodes).select(*EDGES)

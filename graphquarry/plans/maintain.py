@@ -122,7 +122,7 @@ def _attempt(spark: SparkSession, files: DataFrame, hashes: DataFrame, path: str
     watch("index")
     store.write_index(spark, fresh, "node_id", "content", new)
     watch("vectors")
-    store.write_vectors(spark, fresh, "node_id", "content", new)
+    store.write_vectors(spark.read.schema("doc_id string, term string, tf int").parquet(f"{new}/postings"), new)
     if old:
         gone = cut(store.read_nodes(spark, old).join(stale, "path", "left_semi").select("node_id", "names"))
         watch("gone")

@@ -149,13 +149,14 @@ TEXT_ROWS = 20_000
 _MANY, PROGRAM_PARTS = "FROM part JOIN (VALUES", 20_000
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run SQL over model and driver tables; each table is read straight from its file, but for parts that programs are made of, which are dealt out before."""
+def sql(spark: SparkSession, sf_dir: str, text: str, dealt: bool = False) -> DataFrame:
+    """Run SQL over model and driver tables; each table is read straight from its file, but for parts that programs are made of, or with `dealt` all
+    parts, which are dealt out before."""
     text = with_model(text)
-    if _MANY in text:
+    if dealt or _MANY in text:
         view = f"part_{md5(sf_dir.encode()).hexdigest()}"
         spread(spark.read.parquet(f"{sf_dir}/part.parquet"), PROGRAM_PARTS).createOrReplaceTempView(view)
-        text = text.replace(_MANY, f"FROM {view} JOIN (VALUES")
+        text = re.sub(r"\bFROM part\b" if dealt else re.escape("FROM part") + r"(?= JOIN \(VALUES)", f"FROM {view}", text)
     for t in TABLES:
         text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", text)
     return spark.sql(text)

@@ -116,7 +116,7 @@ _SOURCE = "SELECT p_partkey AS k, 'src/' || lower(p_type) || '/m' || p_partkey |
 
 
 def _history(spark: SparkSession, sf_dir: str) -> str:
-    at, rows = _folder(spark), sql(spark, sf_dir, _SOURCE).withColumn("bytes", F.length("content").cast("long"))
+    at, rows = _folder(spark), sql(spark, sf_dir, _SOURCE, dealt=True).withColumn("bytes", F.length("content").cast("long"))
     maintain.update(spark, rows.filter("k % 11 <> 0").drop("k"), at, 1)
     changed = F.when(F.col("k") % 50 == 1, F.replace("content", F.lit("return "), F.lit("return 1 + "))).otherwise(F.col("content"))
     maintain.update(spark, rows.filter("k % 13 <> 0").withColumn("content", changed).drop("k"), at, 2)
@@ -183,7 +183,7 @@ SELECT 'first' AS build, count(*) AS asked, CAST(0 AS BIGINT) AS known, count(*)
 def entity_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of two builds that were looked through and those that the cache knew."""
     at = _folder(spark)
-    rows = sql(spark, sf_dir, _SOURCE)
+    rows = sql(spark, sf_dir, _SOURCE, dealt=True)
     first = rows.filter("k % 3 <> 0").select(F.sha1("content").alias("hash"), "content")
     text = F.when(F.col("k") % 10 == 1, F.concat("content", F.lit("x = 1\n"))).otherwise(F.col("content"))
     uses = [("first", cache.through(first, at, _FOUND, _looked)[1]), ("second", cache.through(rows.select(F.sha1(text).alias("hash"), text.alias("content")), at, _FOUND, _looked)[1])]
@@ -194,7 +194,7 @@ def entity_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions read from a cache of two parts after its compaction."""
     at = _folder(spark)
-    texts = sql(spark, sf_dir, _SOURCE).select("k", F.sha1("content").alias("hash"), "content")
+    texts = sql(spark, sf_dir, _SOURCE, dealt=True).select("k", F.sha1("content").alias("hash"), "content")
     for part in (texts.filter("k % 2 = 0"), texts):
         cache.through(part, at, _FOUND, _looked)
     cache.compact(spark, at, _FOUND)

@@ -45,7 +45,9 @@ def project_root(start: str) -> str:
 def kept(path: Column, size: Column) -> Column:
     """Whether the file filter keeps a file.  Patterns are substrings of the whole path."""
     extension = F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1)
-    return ~T.any_in(path, words.SKIP_PATTERNS) & ~extension.isin(words.SKIP_EXTENSIONS) & size.between(1, words.MAX_FILE_SIZE)
+    # a filter is pushed to where the path is made, and would make it anew for each pattern
+    skipped = F.exists(F.array(path), lambda p: T.any_in(p, words.SKIP_PATTERNS))
+    return ~skipped & ~extension.isin(words.SKIP_EXTENSIONS) & size.between(1, words.MAX_FILE_SIZE)
 
 
 def language(path: Column) -> Column:

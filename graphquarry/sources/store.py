@@ -93,9 +93,9 @@ def read_index(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     return by_doc("postings"), by_doc("doc_stats")
 
 
-def write_vectors(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    """The dense index: hashed vectors as (doc_id, slot, value), in order of their slots."""
-    R.hashed_vectors(docs, id_col, text_col).sortWithinPartitions("slot", "doc_id").write.mode("overwrite").parquet(f"{path}/vectors")
+def write_vectors(postings: DataFrame, path: str) -> None:
+    """The dense index: hashed vectors of written postings as (doc_id, slot, value), in order of their slots."""
+    R.posting_vectors(postings).sortWithinPartitions("slot", "doc_id").write.mode("overwrite").parquet(f"{path}/vectors")
 
 
 def read_vectors(spark: SparkSession, at: str) -> DataFrame:
