@@ -111,6 +111,19 @@ def test_centrality_of_pairs():
     assert len(context.centralities([])) == 0
 
 
+@pytest.mark.parametrize("n", [3, 75, 76, 200])
+def test_eigenvectors_do_not_depend_on_a_number_of_steps(n):
+    chain = [(f"{i:03d}", f"{i + 1:03d}", 1.5) for i in range(1, n)]
+    out = context.centralities(chain).set_index("node")
+    want = [math.sin(math.pi * i / (n + 1)) * math.sqrt(2 / (n + 1)) for i in range(1, n + 1)]
+    assert [out.eigenvector[f"{i:03d}"] for i in range(1, n + 1)] == pytest.approx(want)
+
+
+def test_eigenvectors_of_odd_weights():
+    assert list(context.centralities([("a", "b", 0.0)]).eigenvector) == pytest.approx([math.sqrt(0.5)] * 2)
+    assert list(context.leading(context.np.array([[0.0, math.nan], [math.nan, 0.0]]))) == [0.0, 0.0]
+
+
 def test_path_quality():
     e = [("a", "b", "reference"), ("b", "c", "semantic"), ("d", "a", "reference"), ("c", "x", "supersedes")]
     q = context.path_qualities(["a"], e)
