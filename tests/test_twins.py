@@ -404,6 +404,17 @@ def test_blocks_are_not_shuffled(spark):
     assert {tuple(r) for r in found.collect()} == {(i, f"e{j}") for i in range(500) for j in range(300) if i % 3 == j % 3}
 
 
+def test_blocks_deal_mentions_to_tasks(spark):
+    """Mentions of one small file are not paired in the one task that reads it."""
+    mentions = spark.range(0, 1000, 1, 1).selectExpr("id AS mention_id", "CASE WHEN id = 7 THEN NULL WHEN id = 8 THEN '' ELSE concat(char(97 + id % 3), id) END AS surface")
+    entities = spark.createDataFrame([("e1", "A"), (None, "ax"), ("e2", "b"), ("e2", "b"), ("e3", None), ("e4", "")], "entity_id string, name string")
+    found = claims.blocks(mentions, entities, 100)
+    assert found.rdd.getNumPartitions() == 10
+    letter = {i: "abc"[i % 3] for i in range(1000) if i not in (7, 8)} | {8: ""}
+    held = {"a": ["e1", None], "b": ["e2", "e2"], "": ["e4"]}
+    assert Counter(map(tuple, found.collect())) == Counter((i, e) for i, k in letter.items() for e in held.get(k, []))
+
+
 def test_lookups_broadcast_no_index(spark, sf_dir):
     """Exploded keys of the texts are never the side that goes to the driver, however small their file is."""
     texts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "concat('src/', p_name, p_partkey, '.py') AS path")
