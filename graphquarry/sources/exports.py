@@ -2,7 +2,7 @@
 
 Rows go to shards by a hash of their node, so that a GraphML document holds a bounded number of nodes and their outgoing edges, and ids are those
 of the tables.  The other two forms are a row a line.  Values may hold any text; nulls and empty strings stay apart but in GraphML,
-where a property that is null or empty is left out.
+where a property that is null or empty is left out.  All files are written through gzip, since tags and field names repeat.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .graphml import KEYS
 SHARD_NODES = 2000
 #: Documents that a task makes or reads, about.
 TASK_SHARDS = 32
+#: Codec of the files; each is what one task writes, so none is too large to be read in one piece.
+CODEC = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def escaped(c: Column) -> Column:
@@ -51,18 +53,18 @@ def graphml_documents(nodes: DataFrame, edges: DataFrame, shard_nodes: int = SHA
 def write(nodes: DataFrame, edges: DataFrame, path: str, form: str) -> None:
     """Write a graph (schema.CPG_NODES, schema.CPG_EDGES) under path as graphml, graphson or neo4jcsv."""
     if form == "graphml":
-        graphml_documents(nodes, edges).select(F.col("ord").alias("shard"), F.col("content").alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("shard").text(f"{path}/graphml")
+        graphml_documents(nodes, edges).select(F.col("ord").alias("shard"), F.col("content").alias("value")).write.mode("overwrite").options(**CODEC).option("lineSep", "\n").partitionBy("shard").text(f"{path}/graphml")
     elif form == "graphson":
         own = [F.col(c) for c in nodes.columns if c not in ("id", "label")]
-        nodes.select("id", "label", F.struct(*own).alias("properties")).write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/graphson/vertices")
-        edges.select(F.col("src").alias("outV"), F.col("dst").alias("inV"), "label").write.mode("overwrite").json(f"{path}/graphson/edges")
+        nodes.select("id", "label", F.struct(*own).alias("properties")).write.mode("overwrite").options(**CODEC).option("ignoreNullFields", "true").json(f"{path}/graphson/vertices")
+        edges.select(F.col("src").alias("outV"), F.col("dst").alias("inV"), "label").write.mode("overwrite").options(**CODEC).json(f"{path}/graphson/edges")
     elif form == "neo4jcsv":
         # a null is an empty field, an empty string a quoted one; line ends and backslashes in values are escaped, so that a row is a line
         plain = lambda df: df.select(*[F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
         heads = {"id": ":ID", "label": ":LABEL", "line": "line:int", "idx": "idx:int", "src": ":START_ID", "dst": ":END_ID"}
         for name, df, own in (("nodes", nodes, heads), ("edges", edges, heads | {"label": ":TYPE"})):
             out = plain(df).withColumnsRenamed({c: own[c] for c in df.columns if c in own}).withColumn("part", F.col("label") if "label" not in own else F.col(own["label"]))
-            out.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").partitionBy("part").csv(f"{path}/neo4jcsv/{name}")
+            out.write.mode("overwrite").options(**CODEC).option("header", "true").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").partitionBy("part").csv(f"{path}/neo4jcsv/{name}")
     else:
         raise ValueError(f"no export form is called {form}")
 
@@ -74,10 +76,13 @@ def _unplain(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes and edges of an export; GraphML has the columns of store.graphml."""
+    """The nodes and edges of an export; GraphML has the columns of store.graphml, and each edge once.
+
+    A node is in one document of an export, with all edges that begin at it, so rows of GraphML are not dealt to find those that repeat.
+    """
     if form == "graphml":
         files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "false").text(f"{path}/graphml")
-        return store.graphml(files.select(F.col("shard").cast("int").alias("ord"), F.col("value").alias("content")), task_count(spark, len(files.inputFiles())))
+        return store.graphml(files.select(F.col("shard").cast("int").alias("ord"), F.col("value").alias("content")), apart=True)
     if form == "graphson":
         columns = [c.strip() for c in schema.CPG_NODES.split(",")]
         own = ", ".join(c.replace(" ", ": ", 1) for c in columns if c.split()[0] not in ("id", "label"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -44,30 +44,32 @@ def _edges(content: str | None) -> Iterator[tuple]:
             yield edge.get("source"), edge.get("target"), next((d.text for d in edge if d.tag == tag and d.get("key") == "labelE"), None)
 
 
-def _columns(rows: Iterator[tuple], width: int) -> list[pa.Array]:
+def _columns(rows: Iterable[tuple], width: int) -> list[pa.Array]:
     columns = list(zip(*rows, strict=True)) or [()] * width
     return [pa.array(c, pa.string()) for c in columns]
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """NODES rows of documents (ord, content)."""
+def nodes(files: DataFrame, once: bool = False) -> DataFrame:
+    """NODES rows of documents (ord, content); with once a document gives an id's last row only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["ord", "id", *KEYS]
         for batch in batches:
             for at, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = _columns(_nodes(content.as_py()), len(names) - 1)
+                rows = _nodes(content.as_py())
+                found = _columns({r[0]: r for r in rows}.values() if once else rows, len(names) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * len(found[0]), pa.int32()), *found], names=names)
 
     return files.selectExpr("cast(ord as int) ord", "content").mapInArrow(run, NODES)
 
 
-def edges(files: DataFrame) -> DataFrame:
-    """EDGES rows of documents (ord, content)."""
+def edges(files: DataFrame, once: bool = False) -> DataFrame:
+    """EDGES rows of documents (ord, content); with once a document gives no row twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                yield pa.RecordBatch.from_arrays(_columns(_edges(content.as_py()), 3), names=["src", "dst", "label"])
+                rows = _edges(content.as_py())
+                yield pa.RecordBatch.from_arrays(_columns(dict.fromkeys(rows) if once else rows, 3), names=["src", "dst", "label"])
 
     return files.select("content").mapInArrow(run, EDGES)

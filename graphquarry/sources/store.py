@@ -112,16 +112,19 @@ def read_embeddings(spark: SparkSession, path: str, backend: str) -> DataFrame:
     return spark.read.parquet(f"{path}/embeddings").filter(F.col("backend") == backend).drop("backend")
 
 
-def graphml(files: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def graphml(files: DataFrame, parts: int | None = None, apart: bool = False) -> tuple[DataFrame, DataFrame]:
     """CPG nodes and edges of GraphML documents (ord, content); of a node in several documents the last counts.
 
-    Rows are dealt to `parts` partitions, so that these need not grow with the documents.
+    Rows are dealt to `parts` partitions, so that these need not grow with the documents.  Documents that are `apart` have no node or edge
+    in common, so that rows stay where their document is.
     """
-    dealt = lambda df, *c: df if parts is None else df.repartition(parts, *c)
     facts = list(G.KEYS)
+    typed = lambda df, at: df.select("id", *[F.col(f"{at}{c}").alias(c) if c != "line" else F.col(f"{at}line").cast("int").alias("line") for c in facts])
+    if apart:
+        return typed(G.nodes(files, once=True), ""), G.edges(files, once=True)
+    dealt = lambda df, *c: df if parts is None else df.repartition(parts, *c)
     last = dealt(G.nodes(files), "id").groupBy("id").agg(F.max_by(F.struct(*facts), "ord").alias("facts"))
-    edges = dealt(G.edges(files), "src", "dst", "label").distinct()
-    return last.select("id", *[F.col(f"facts.{c}").alias(c) if c != "line" else F.col("facts.line").cast("int").alias("line") for c in facts]), edges
+    return typed(last, "facts."), dealt(G.edges(files), "src", "dst", "label").distinct()
 
 
 def bookmark_search(bookmarks: DataFrame, query: str, k: int) -> DataFrame:
